@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, secrets, sharding
+from . import bpe, decontaminate, exact_dedup, secrets, sharding
 from .common import table
 
 
+def op1_bpe(spark, sf_dir, path=None):
+    import public_tokenizers
+
+    path = path or public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode(table(spark, sf_dir, "documents"), path, want=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -23,7 +30,7 @@ def op7_sharding(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = [op2_exact_dedup, op4_decontaminate, op5_secrets, op7_sharding]
+    named = [op1_bpe, op2_exact_dedup, op4_decontaminate, op5_secrets, op7_sharding]
     return {f.__name__: f for f in named}
 
 
