@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, secrets, sharding
+from . import bpe, decontaminate, exact_dedup, secrets, sharding, simhash
 from .common import table
 
 
@@ -29,8 +29,12 @@ def op7_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    named = [op1_bpe, op2_exact_dedup, op4_decontaminate, op5_secrets, op7_sharding]
+    named = [op1_bpe, op2_exact_dedup, op4_decontaminate, op5_secrets, op7_sharding, op9_simhash]
     return {f.__name__: f for f in named}
 
 
