@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, secrets, sharding, simhash
+from . import bpe, decontaminate, exact_dedup, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op5_secrets(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -34,7 +39,7 @@ def op9_simhash(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = [op1_bpe, op2_exact_dedup, op4_decontaminate, op5_secrets, op7_sharding, op9_simhash]
+    named = [op1_bpe, op2_exact_dedup, op4_decontaminate, op5_secrets, op6_toxicity, op7_sharding, op9_simhash]
     return {f.__name__: f for f in named}
 
 
