@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, secrets, sharding, simhash, toxicity
+from . import bpe, decontaminate, exact_dedup, html_text, lm, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,8 +42,12 @@ def op9_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_lm(spark, sf_dir):
+    return lm.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    named = [op1_bpe, op2_exact_dedup, op4_decontaminate, op5_secrets, op6_toxicity, op7_sharding, op9_simhash]
+    named = [op1_bpe, op2_exact_dedup, op3_html, op4_decontaminate, op5_secrets, op6_toxicity, op7_sharding, op9_simhash, op10_lm]
     return {f.__name__: f for f in named}
 
 
