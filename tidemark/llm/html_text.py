@@ -122,10 +122,15 @@ def looks(n: Node) -> list[str]:
     return [f"size:{min(size.bit_length(), 9)}", f"links:{0 if links == 0 else 1 if links < 0.5 else 2}", f"stop:{n.text[-1] in '.!?…。'}"]
 
 
+def kind(n: Node) -> str:
+    """Blocks of text, elements that hold others, and the rest (paragraphs, headings, items) take states from parents differently."""
+    return "text" if n.tag == "#text" else "holder" if n.tag in HOLDERS else "block"
+
+
 @dataclass
 class Model:
     node: dict[str, float]  # log odds of content that a look adds
-    edge: dict[tuple[bool, int], float]  # (child is text, state of the parent) -> probability that the child is content
+    edge: dict[tuple[str, int], float]  # (kind of the child, state of the parent) -> probability that the child is content
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Probability of content of every node, by one pass up and one down the tree."""
@@ -133,9 +138,9 @@ class Model:
         own = [[1.0, o] for o in odds]  # node potential times the messages of the children
         up = [[1.0, 1.0] for _ in nodes]
         for i in range(len(nodes) - 1, 0, -1):
-            text = nodes[i].tag == "#text"
+            own_kind = kind(nodes[i])
             for s in (0, 1):
-                p = self.edge[text, s]
+                p = self.edge[own_kind, s]
                 up[i][s] = (1 - p) * own[i][0] + p * own[i][1]
             total = up[i][0] + up[i][1]
             up[i] = [x / total for x in up[i]]
@@ -145,11 +150,11 @@ class Model:
             parent[0], parent[1] = parent[0] / total, parent[1] / total
         belief: list[list[float]] = [[1.0, 0.0]] + [[0.0, 0.0]] * (len(nodes) - 1)  # the root is no content
         for i in range(1, len(nodes)):
-            text, above = nodes[i].tag == "#text", belief[nodes[i].parent]
+            own_kind, above = kind(nodes[i]), belief[nodes[i].parent]
             without = [above[s] / max(up[i][s], 1e-300) for s in (0, 1)]  # the parent without what this child told it
             b = [0.0, 0.0]
             for s in (0, 1):
-                p = self.edge[text, s]
+                p = self.edge[own_kind, s]
                 b[0] += without[s] * (1 - p)
                 b[1] += without[s] * p
             b = [b[0] * own[i][0], b[1] * own[i][1]]
@@ -167,7 +172,7 @@ def fit(pages: list[str], smooth: float = 0.5) -> Model:
     contents unless an element inside carries data-rest."""
     seen: dict[str, Counter] = defaultdict(Counter)
     total: dict[bool, Counter] = defaultdict(Counter)
-    passed: dict[tuple[bool, int], Counter] = defaultdict(Counter)
+    passed: dict[tuple[str, int], Counter] = defaultdict(Counter)
     for page in pages:
         nodes = parse(page)
         for n in nodes[1:]:
@@ -175,14 +180,14 @@ def fit(pages: list[str], smooth: float = 0.5) -> Model:
                 n.label = nodes[n.parent].label
             text = n.tag == "#text"
             total[text][n.label] += 1
-            passed[text, nodes[n.parent].label][n.label] += 1
+            passed[kind(n), nodes[n.parent].label][n.label] += 1
             for x in looks(n):
                 seen[x][n.label] += 1
     node = {}
     for x, c in seen.items():
         t = total[x.startswith(("size", "links", "stop"))]
         node[x] = log((c[1] + smooth) / (t[1] + 2 * smooth)) - log((c[0] + smooth) / (t[0] + 2 * smooth))
-    edge = {(text, s): (passed[text, s][1] + smooth) / (sum(passed[text, s].values()) + 2 * smooth) for text in (False, True) for s in (0, 1)}
+    edge = {(k, s): (passed[k, s][1] + smooth) / (sum(passed[k, s].values()) + 2 * smooth) for k in ("text", "block", "holder") for s in (0, 1)}
     return Model(node, edge)
 
 
@@ -265,11 +270,11 @@ def extract(pages: DataFrame, model: Model | None = None, id_col: str = "page_id
     spark = pages.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model or default_model())
-    kind = pages.schema[id_col].dataType.simpleString()
+    id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shared.value.text(h) for h in b.column(2).to_pylist()], pa.string())], ["id", "url", "text"])
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, f"id {kind}, url string, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
+    return rows.mapInArrow(run, f"id {id_type}, url string, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
