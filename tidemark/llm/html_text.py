@@ -30,6 +30,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An opening tag of the first kind closes an open element of the second kind.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 HOLDERS = frozenset("article aside div main section td th table ul ol dl body form header footer nav blockquote figure fieldset".split())
+#: Of these, the ones that belong to running text.
+INNER = frozenset("ul ol dl table td th blockquote figure".split())
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|math|head)\b[^>]*>"""
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"<]*"|'[^'<]*'|[^>"'<])*)>?|<[!?/][^>]*>|(?P<text>[^<]+|<)""",
@@ -124,7 +126,7 @@ def looks(n: Node) -> list[str]:
 
 def kind(n: Node) -> str:
     """Blocks of text, elements that hold others, and the rest (paragraphs, headings, items) take states from parents differently."""
-    return "text" if n.tag == "#text" else "holder" if n.tag in HOLDERS else "block"
+    return "text" if n.tag == "#text" else "holder" if n.tag in HOLDERS - INNER else "block"
 
 
 @dataclass

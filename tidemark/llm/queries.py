@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, lm, secrets, sharding, simhash, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, html_text, lm, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark, sf_dir):
+    return chat.format_report(table(spark, sf_dir, "conversations"))
+
+
 def op9_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_lm(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = [op1_bpe, op2_exact_dedup, op3_html, op4_decontaminate, op5_secrets, op6_toxicity, op7_sharding, op9_simhash, op10_lm]
+    named = [op1_bpe, op2_exact_dedup, op3_html, op4_decontaminate, op5_secrets, op6_toxicity, op7_sharding, op8_chat, op9_simhash, op10_lm]
     return {f.__name__: f for f in named}
 
 
