@@ -63,3 +63,8 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("tidemark", os.path.relpath(full, top)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``df``, a table of keys that was written before, to be broadcast if its counted rows are few enough."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_of
+from .common import ascii_lower, broadcast_if_small, durable, text_of
 
 #: What separates words: every ASCII character but digits and letters (fixed value).
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -93,7 +93,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     found = hits(docs, bench, id_col, text_col, item_col, bench_text_col, n, block_bytes).select(F.col("id").alias("_hit_id"), F.col("digest").alias("_hit_digest"), F.col("spans").alias("_hit_spans"))
     on = F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(text_of(text_col)) == F.col("_hit_digest"))
     if remove == "documents":
-        return docs.join(found, on, "left_anti")
+        return docs.join(broadcast_if_small(durable(found.drop("_hit_spans"), "hits")), on, "left_anti")
     text, spans = text_of(text_col), F.col("_hit_spans")
     gaps, words = F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     inside = lambda i: F.exists(spans, lambda s: (s["pos"] <= i) & (i < s["end"]))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import broadcast_if_small, durable, text_of
 
 ENTRY = ["digest", "sha", "bytes"]
 
@@ -48,3 +48,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
         (F.col("id").eqNullSafe(keep) & (F.row_number().over(same) == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:
+    """The documents, all columns, with one row of each group of equal texts, as ``exact_dedup`` keeps it."""
+    report = exact_dedup(docs, id_col, text_col, largest).where("NOT kept")
+    gone = durable(report.select(F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("_repeats")), "copies")
+    others = gone.where("NOT _repeats").drop("_repeats").distinct()
+    rest = docs.join(broadcast_if_small(others), F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.sha2(text_of(text_col), 256) == F.col("_gone_sha")), "left_anti")
+    if gone.where("_repeats").isEmpty():
+        return rest
+    return rest.withColumn("_text", text_of(text_col)).dropDuplicates([id_col, "_text"]).drop("_text")

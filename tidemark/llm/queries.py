@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bpe, chat, decontaminate, exact_dedup, html_text, lm, secrets, sharding, simhash, toxicity
 from .common import table
 
@@ -50,8 +52,12 @@ def op10_lm(spark, sf_dir):
     return lm.fit_and_score(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    named = [op1_bpe, op2_exact_dedup, op3_html, op4_decontaminate, op5_secrets, op6_toxicity, op7_sharding, op8_chat, op9_simhash, op10_lm]
+    named = [op1_bpe, op2_exact_dedup, op3_html, op4_decontaminate, op5_secrets, op6_toxicity, op7_sharding, op8_chat, op9_simhash, op10_lm, pipeline]
     return {f.__name__: f for f in named}
 
 

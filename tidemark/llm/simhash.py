@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, ship, text_of
+from .common import broadcast_if_small, durable, ship, text_of
 
 SEED = 42
 #: Lanes that are compared at once; a key with more fingerprints goes the way of ``flip_stars``.
@@ -250,3 +250,122 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = of.groupBy("root").agg(F.min("first").alias("component_id"))
     of = of.select("fp", "root").join(named, "root").select("fp", "component_id")
     return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- near duplicates by similarity ----------------------------------------------------------------------------------
+
+#: Bits of the wide fingerprint (two words) that texts of similarity 0.8 differ in: 19 on average, 33 at most but for 1 in 1000.
+WIDE_RADIUS = 33
+#: Keys of two min-hashes each; texts of similarity 0.8 share none of them in 1 of 3500 cases.
+KEYS = 8
+NEAREST = 3
+#: Odd multipliers that spread a hash anew (fixed values).
+SPREAD = np.array([0x9E3779B97F4A7C15 ^ (0xD1B54A32D192ED03 * i & 0xFFFFFFFFFFFFFFFF) | 1 for i in range(2 * KEYS)], np.uint64)
+
+
+def signature(text: str, width: int) -> tuple[int, int, list[int]]:
+    """Two words of SimHash bits and KEYS block keys of a text's distinct shingles."""
+    parts = list(shingle_hashes(text, width))
+    h = np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(h), 4096):
+        x = h[at : at + 4096]
+        y = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        both = np.stack([x, y ^ (y >> np.uint64(32))], axis=1)
+        ones += np.unpackbits(both.view(np.uint8).reshape(len(x), 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    fp = np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)
+    low = np.array([((h ^ (h >> np.uint64(32))) * m).min() for m in SPREAD], np.uint64)
+    keys = (low[::2] ^ (low[1::2] >> np.uint64(1))) * np.uint64(0xFF51AFD7ED558CCD) + np.arange(KEYS, dtype=np.uint64)
+    return int(fp[0]), int(fp[1]), keys.view(np.int64).tolist()
+
+
+def signatures(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(node, f0, f1, keys); texts without words are no one's near duplicates and are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [signature(t, width) for t in b.column(1).to_pylist()]
+            f0, f1, keys = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f0, pa.int64()), pa.array(f1, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "f0", "f1", "keys"])
+
+    return docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select("node", F.col(text_col).alias("text")).mapInArrow(run, "node long, f0 long, f1 long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(node, set): 32-bit hashes of a text's distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(np.concatenate([p.astype(np.uint32) for p in shingle_hashes(t, width)])).view(np.int32) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "set"])
+
+    return docs.select("node", F.col(text_col).alias("text")).mapInArrow(run, "node long, set array<int>")
+
+
+def nearest_pairs(rows: DataFrame, lanes: int) -> DataFrame:
+    """(a, b), a > b: of rows (block, node, f0, f1), each node's NEAREST smaller nodes of its block within the radius."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, node, f0, f1 in blocks_of(batches, lanes):
+            fps = np.stack([f0, f1], axis=1).view(np.uint64)
+            i, j = near_pairs(fps, block, WIDE_RADIUS)
+            far = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1)
+            order = np.lexsort((far, j))
+            i, j = i[order], j[order]
+            start = np.concatenate([[True], j[1:] != j[:-1]]) if len(j) else np.zeros(0, bool)
+            rank = np.arange(len(j)) - np.maximum.accumulate(np.where(start, np.arange(len(j)), 0)) if len(j) else np.arange(0)
+            i, j = i[rank < NEAREST], j[rank < NEAREST]
+            some = node[i] != node[j]
+            yield pa.RecordBatch.from_arrays([pa.array(node[j][some]), pa.array(node[i][some])], ["a", "b"])
+
+    return rows.select("block", "node", "f0", "f1").repartition("block").sortWithinPartitions("block", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_links(docs: DataFrame, pairs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets really have the Jaccard similarity; only texts that stand in a pair are read again."""
+    pairs = durable(pairs, "pairs")
+    nodes = durable(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+    sets = durable(shingle_sets(docs.join(broadcast_if_small(nodes), "node", "left_semi"), text_col, width).dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = LANES) -> DataFrame:
+    """The documents, all columns, with one document of each group of near duplicates.
+
+    Groups are components over pairs of Jaccard similarity ``similarity`` or more on sets of ``width`` words. Pairs come from
+    blocks of a shared key; in a block, distances of 128-bit fingerprints are compared bit-sliced, and each document proposes
+    its nearest smaller ones, so a group of any size gives links in proportion to its documents. Proposed links are verified
+    on the whole texts. A crowded key is first worked through in slices, each of which collapses to few documents; what stays
+    crowded after that is compared slice by slice, every slice with every other. Null and empty texts always stay; equal rows
+    (id and text) stay or go together.
+    """
+    ship(docs.sparkSession)
+    node = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_of(text_col))
+    own = docs.select(node.alias("node"), text_of(text_col).alias("text"))
+    signed = durable(signatures(own, "text", width), "signatures").dropDuplicates(["node"])
+    gone, last = None, False
+    while True:
+        alive = signed if gone is None else signed.join(broadcast_if_small(gone), "node", "left_anti")
+        rows = alive.select("node", "f0", "f1", F.explode("keys").alias("key"))
+        crowd = durable(rows.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1"), "crowds")
+        crowded = crowd.where(F.col("crowd") > lanes)
+        hot = not crowded.isEmpty()
+        if gone is not None and not hot:
+            break
+        rows = rows.join(crowd, "key").withColumn("slices", F.ceil(F.col("crowd") / lanes).cast("int"))
+        slot = F.pmod(F.hash("node"), F.col("slices"))
+        if last:  # every slice with every other
+            rows = rows.withColumn("mine", slot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+            block = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+        else:
+            block = F.xxhash64("key", slot)
+        found = similar_links(own, nearest_pairs(rows.withColumn("block", block), lanes), "text", width, similarity)
+        new = components(found).where("node != root").select("node")
+        before = 0 if gone is None else gone.count()
+        gone = durable(new if gone is None else gone.unionAll(new).distinct(), "near")
+        if last or not hot:
+            break
+        last = gone.count() == before
+    return docs.join(broadcast_if_small(gone), node == F.col("node"), "left_anti") if "node" not in docs.columns else docs.withColumnRenamed("node", "_node").join(broadcast_if_small(gone), node == F.col("node"), "left_anti").withColumnRenamed("_node", "node")
