@@ -16,7 +16,9 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ END, NEVER = "\0", 1 << 62
 #: Texts are worked through in pieces of about this many characters, cut at white space.
 PIECE = 1 << 20
 #: Words whose ids a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -97,7 +99,7 @@ class Tokenizer:
     def fits(self, left: int, right: int) -> bool:
         found = self.known.get((left, right))
         if found is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 300_000:
                 self.known.clear()
             found = self.known[left, right] = self._fits(left, right)
         return found
@@ -177,6 +179,7 @@ def tokenizer(spec: str) -> Tokenizer:
 
 
 def row(t: Tokenizer, text: str, want: tuple[str, ...]) -> list:
+    """What is wanted of one text; ids as an array of 32-bit numbers, as Python's would take ten times the memory."""
     n, sep = 0, b""
     ids_sha, text_sha, ids, decoded = hashlib.sha256(), hashlib.sha256(), [], []
     for chunk in t.chunks(text):
@@ -188,13 +191,34 @@ def row(t: Tokenizer, text: str, want: tuple[str, ...]) -> list:
             text_sha.update(sep + plain.encode())
             sep = b" "
             if "ids" in want:
-                ids += map(int, line.split(" "))
+                ids.append(np.fromstring(line, np.int32, sep=" "))
             if "decoded" in want:
                 decoded.append(plain)
-    made = {"n_tokens": n, "ids": ids, "decoded": " ".join(decoded), "ids_sha256": ids_sha.hexdigest(), "decoded_sha256": text_sha.hexdigest()}
+    made = {"n_tokens": n, "ids": np.concatenate(ids) if ids else np.empty(0, np.int32), "decoded": " ".join(decoded), "ids_sha256": ids_sha.hexdigest(), "decoded_sha256": text_sha.hexdigest()}
     return [made[w] for w in want]
 
 
+#: Texts whose results are held at once, in bytes of text.
+HELD = 4 << 20
+
+
+def portions(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most about HELD bytes of text (column 1), or one row."""
+    at, size = 0, 0
+    for i, length in enumerate(pc.binary_length(b.column(1)).to_pylist()):
+        if size and size + length > HELD:
+            yield b.slice(at, i - at)
+            at, size = i, 0
+        size += length
+    if at < b.num_rows:
+        yield b.slice(at)
+
+
+def id_lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
+
+
 TYPES = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
 
@@ -212,11 +236,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(spec.value)
-        names, types = ["id", *want], [TYPES[w][1] for w in want]
         for b in batches:
-            rows = [row(t, text, want) for text in b.column(1).to_pylist()]
-            cols = list(zip(*rows)) if rows else [[] for _ in want]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, types))], names)
+            for part in portions(b):
+                cols = zip(*[row(t, text, want) for text in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(id_lists(c) if w == "ids" else pa.array(c, TYPES[w][1]) for w, c in zip(want, cols))], ["id", *want])
 
     schema = f"id {kind}, " + ", ".join(f"{w} {TYPES[w][0]}" for w in want)
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
