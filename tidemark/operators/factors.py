@@ -1,0 +1,193 @@
+"""Factor research on the dense (session x code) grid: every lag counts sessions, every window must be full."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from math import sqrt
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.market import ratio
+from .asof import point_in_time
+from .bars import dense_grid, forward_return, tradable, usable_history
+from .indicators import YEAR, before, full, sma
+from .rank import average_rank, rank_ic
+
+# The reports that factors read.
+FIELDS = {"roe": "f_roe", "gross_margin": "f_gm", "profit_yoy": "f_pyoy", "revenue_yoy": "f_ryoy", "bps": "f_bps", "eps": "f_eps", "ocfps": "f_ocfps"}
+
+
+@dataclass(frozen=True)
+class Factor:
+    name: str
+    direction: int
+    build: Callable[[], Column]
+    note: str = ""
+
+
+REGISTRY: dict[str, Factor] = {}
+
+
+def factor(name: str, direction: int = 1, note: str = ""):
+    """Register a function that returns the factor's column over the panel."""
+
+    def add(build: Callable[[], Column]) -> Callable[[], Column]:
+        REGISTRY[name] = Factor(name, direction, build, note)
+        return build
+
+    return add
+
+
+def _past(n: int, m: int = 0) -> Column:
+    c = F.col("close")
+    return ratio(before(c, m) if m else c, before(c, n)) - 1
+
+
+factor("mom_20")(lambda: _past(20))
+factor("mom_60")(lambda: _past(60))
+factor("mom_120_20", note="skips the latest month")(lambda: _past(140, 20))
+factor("reversal_5", -1)(lambda: _past(5))
+factor("vol_20", -1, "sample deviation, unlike the indicator")(lambda: full(F.stddev_samp("ret"), F.col("ret"), 20) * sqrt(YEAR))
+factor("max_ret_20", -1)(lambda: full(F.max("pct_chg"), F.col("pct_chg"), 20))
+factor("amihud", -1)(lambda: sma(F.abs("ret") / F.nullif("amount", F.lit(0.0)), 20) * 1e9)
+factor("turnover_20", -1)(lambda: F.ln(F.nullif(sma(F.col("amount"), 20), F.lit(0.0))))
+factor("ma60_dist")(lambda: ratio(F.col("close"), sma(F.col("close"), 60)) - 1)
+factor("vol_ratio")(lambda: ratio(F.col("volume"), sma(F.col("volume"), 20)))
+factor("rsi_14", -1, "null without losses")(lambda: F.col("rsi_14"))
+factor("mom_vol")(lambda: ratio(_past(140, 20), full(F.stddev_samp("ret"), F.col("ret"), 20) * sqrt(YEAR)))
+factor("roe")(lambda: F.col("f_roe"))
+factor("gross_margin")(lambda: F.col("f_gm"))
+factor("profit_yoy")(lambda: F.col("f_pyoy"))
+factor("revenue_yoy")(lambda: F.col("f_ryoy"))
+factor("pb", -1)(lambda: F.col("close") / F.when(F.col("f_bps") > 0, F.col("f_bps")))
+factor("ep")(lambda: ratio(F.col("f_eps"), F.col("close")))
+factor("ocf_quality")(lambda: F.col("f_ocfps") / F.when(F.abs("f_eps") > 1e-6, F.col("f_eps")))
+
+
+def build_panel(bars: DataFrame, facts: DataFrame | None = None, fill: str = "pad", max_bars: int = 2500) -> DataFrame:
+    """The grid of these codes' usable bars, with one-session returns, RSI and the reports known on each session.
+
+    ``fill='pad'``: across holes, returns are taken on the last close carried forward; ``'none'``: they are null there.
+    """
+    grid = dense_grid(usable_history(bars))
+    ever = Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.last("close", ignorenulls=True).over(ever) if fill == "pad" else F.col("close")
+    grid = grid.withColumn("_held", held).withColumn("ret", ratio(F.col("_held"), before(F.col("_held"))) - 1).drop("_held")
+    grid = grid.join(_grid_rsi(grid, 14), ["code", "date"], "left")
+    return point_in_time(grid, facts, FIELDS) if facts is not None else grid
+
+
+def _grid_rsi(grid: DataFrame, n: int) -> DataFrame:
+    """RSI on a grid with holes: the averages decay over holes and changes next to a hole are unknown.
+
+    Holes break the plain recursion, so a grouped pandas function does it exactly, one code's sessions at a time.
+    """
+
+    def run(g):
+        g = g.sort_values("date")
+        change = g["close"].astype(float).diff()
+        gain, loss = change.clip(lower=0), (-change).clip(lower=0)
+        g_avg = gain.ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
+        l_avg = loss.ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
+        strength = 100 - 100 / (1 + g_avg / l_avg.where(l_avg != 0))
+        return g[["code", "date"]].assign(rsi_14=strength)
+
+    out = grid.select("code", "date", "close").groupBy("code").applyInPandas(run, "code string, date date, rsi_14 double")
+    return out.withColumn("rsi_14", F.nanvl("rsi_14", F.lit(None).cast("double")))
+
+
+def evaluate_columns(panel: DataFrame, names: list[str]) -> DataFrame:
+    """code, date and one column a factor, all from one partitioning."""
+    return panel.select("code", "date", *[REGISTRY[n].build().alias(n) for n in names])
+
+
+def long_values(panel: DataFrame, names: list[str], horizons: tuple[int, ...]) -> DataFrame:
+    """(factor, code, date, f, mask, r_h...): factor values times direction, stacked."""
+    wide = panel.select("code", "date", tradable().alias("mask"), *[forward_return(h).alias(f"r_{h}") for h in horizons], *[(REGISTRY[n].build() * REGISTRY[n].direction).alias(n) for n in names])
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(n).alias("f")) for n in names]))
+    return wide.withColumn("_p", pairs).select("_p.factor", "code", "date", "_p.f", "mask", *[f"r_{h}" for h in horizons])
+
+
+def daily_ic(values: DataFrame, horizons: tuple[int, ...], least: int = 30) -> DataFrame:
+    """(factor, horizon, date, n, ic)."""
+    parts = [rank_ic(values, "f", f"r_{h}", F.col("mask"), ("factor", "date"), least).withColumn("horizon", F.lit(h)) for h in horizons]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ic_summary(ic: DataFrame, least_days: int = 30) -> DataFrame:
+    """Mean, deviation, information ratio, t value and share of positive days per factor and horizon."""
+    sums = ic.groupBy("factor", "horizon").agg(F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), F.avg((F.col("ic") > 0).cast("double")).alias("pos_ratio"), F.count(F.lit(1)).alias("n"))
+    ir = F.when(F.col("std") > 0, F.col("mean") / F.col("std")).otherwise(F.lit(0.0))
+    return sums.where(F.col("n") >= least_days).select("factor", "horizon", "mean", "std", ir.alias("ir"), (ir * F.sqrt("n")).alias("t"), "pos_ratio", "n")
+
+
+def quantile_rank(values: DataFrame, by: tuple = ("factor", "date")) -> DataFrame:
+    """q: the factor's average rank among tradable rows as a share, r: the return there."""
+    y = F.when(F.col("mask"), F.col("f"))
+    step = values.withColumn("_y", y)
+    return step.withColumn("q", average_rank(F.col("_y"), *by) / F.count("_y").over(Window.partitionBy(*by))).drop("_y")
+
+
+def layers(values: DataFrame, r: str, quantiles: int = 5) -> DataFrame:
+    """(factor, layer, ret): mean over days of each bucket's mean return; bucket i holds (i/n, (i+1)/n]."""
+    ranked = quantile_rank(values).where(F.col("mask") & F.col("q").isNotNull())
+    bucket = F.least(F.greatest(F.ceil(F.col("q") * quantiles - 1e-12), F.lit(1)), F.lit(quantiles)).cast("int") - 1
+    day = ranked.groupBy("factor", "date", bucket.alias("layer")).agg(F.avg(r).alias("ret")).where("ret IS NOT NULL")
+    return day.groupBy("factor", "layer").agg(F.avg("ret").alias("ret"))
+
+
+def spread(layer_returns: DataFrame, quantiles: int = 5) -> DataFrame:
+    """(factor, spread, monotonic): top minus bottom layer, and the share of rising steps."""
+    w = Window.partitionBy("factor").orderBy("layer")
+    rise = layer_returns.withColumn("up", (F.col("ret") > F.lag("ret").over(w)).cast("double"))
+    return rise.groupBy("factor").agg((F.max_by("ret", "layer") - F.min_by("ret", "layer")).alias("spread"), (F.coalesce(F.sum("up"), F.lit(0.0)) / max(quantiles - 1, 1)).alias("monotonic"))
+
+
+def top_excess(values: DataFrame, r: str, quantiles: int = 5) -> DataFrame:
+    """(factor, date, excess): the top bucket's mean return over that of all tradable rows."""
+    ranked = quantile_rank(values).where("mask")
+    top = F.when(F.col("q") > 1 - 1 / quantiles, F.col(r))
+    return ranked.groupBy("factor", "date").agg((F.avg(top) - F.avg(r)).alias("excess")).where("excess IS NOT NULL")
+
+
+def top_excess_summary(excess: DataFrame) -> DataFrame:
+    """(factor, top_excess, top_win_years, top_years)."""
+    years = excess.groupBy("factor", F.year("date").alias("year")).agg(F.avg("excess").alias("y"))
+    years = years.groupBy("factor").agg(F.count_if(F.col("y") > 0).alias("top_win_years"), F.count(F.lit(1)).alias("top_years"))
+    return excess.groupBy("factor").agg(F.avg("excess").alias("top_excess")).join(years, "factor")
+
+
+def turnover(values: DataFrame, quantiles: int = 5) -> DataFrame:
+    """(factor, turnover): one minus the mean share of the top bucket that stood in it the session before; the first session is all new."""
+    ranked = quantile_rank(values).withColumn("top", F.coalesce(F.col("mask") & (F.col("q") > 1 - 1 / quantiles), F.lit(False)))
+    stayed = F.col("top") & F.coalesce(F.lag("top").over(Window.partitionBy("factor", "code").orderBy("date")), F.lit(False))
+    day = ranked.withColumn("stayed", stayed).groupBy("factor", "date").agg(F.sum(F.col("stayed").cast("int")).alias("s"), F.sum(F.col("top").cast("int")).alias("t"))
+    return day.where("t > 0").groupBy("factor").agg((1 - F.avg(F.col("s") / F.col("t"))).alias("turnover"))
+
+
+def evaluate_all(panel: DataFrame, names: list[str] | None = None, main: int = 20, quantiles: int = 5) -> DataFrame:
+    """One row a factor, best top excess first: IC at the main horizon, spread, monotonic, top excess, winning years, turnover."""
+    names = names or list(REGISTRY)
+    values = long_values(panel, names, (main,))
+    r = f"r_{main}"
+    ic = ic_summary(daily_ic(values, (main,))).select("factor", F.col("mean").alias("ic"), F.col("ir"), "t", "pos_ratio")
+    out = spread(layers(values, r, quantiles), quantiles).join(top_excess_summary(top_excess(values, r, quantiles)), "factor", "full").join(turnover(values, quantiles), "factor", "full").join(ic, "factor", "left")
+    return out.orderBy(F.col("top_excess").desc_nulls_last(), "factor")
+
+
+def correlation(panel: DataFrame, names: list[str]) -> DataFrame:
+    """(a, b, corr): mean over days of the rank correlation of each pair of factors, a <= b."""
+    wide = panel.select("date", tradable().alias("mask"), *[REGISTRY[n].build().alias(n) for n in names])
+    w = Window.partitionBy("date")
+    kept = wide.select("date", *[F.when(F.col("mask"), F.col(n) * REGISTRY[n].direction).alias(n) for n in names])
+    ranks = kept.select("date", *[average_rank(F.col(n), "date").alias(n) for n in names])
+    centred = ranks.select("date", *[(F.col(n) - F.avg(n).over(w)).alias(n) for n in names])
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    den = lambda a: F.sum(F.col(a) * F.col(a))
+    day = centred.groupBy("date").agg(*[(F.sum(F.col(a) * F.col(b)) / F.nullif(F.sqrt(den(a) * den(b)), F.lit(0.0))).alias(f"{a}|{b}") for a, b in pairs])
+    means = day.agg(*[F.avg(f"`{a}|{b}`").alias(f"{a}|{b}") for a, b in pairs])
+    return means.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs])).alias("p")).select("p.*")
+

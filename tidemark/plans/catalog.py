@@ -1,11 +1,648 @@
-"""Every registered query with its DuckDB twin."""
+"""Every registered query over the test tables. Doubles are rounded to six digits, so that sums in another order compare equal."""
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+
+from pyspark.sql import functions as F
+
+from ..functions import market as rules
+from ..operators import asof, backtest, bars, factors, indicators, metrics, quality, rank, regime, signals, strategies
+from ..sources import ingest, market, store
+from ..streaming import upserts
+from . import oracles
+
+QUERIES: dict[str, Callable] = {}
+AS_OF = dt.date(1999, 1, 4)
+START, END = dt.date(1999, 1, 4), dt.date(2001, 6, 25)
+CASH = 200_000.0
+FLT = bars.UniverseFilter(min_amount=150_000)
+
+
+def query(f: Callable) -> Callable:
+    def run(spark, sf_dir):
+        df = f(spark, sf_dir)
+        return df.select(*[F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+    QUERIES[f.__name__] = run
+    return f
+
+
+# ---- bars and rules -------------------------------------------------------------------------------------------------
+
+
+@query
+def bars_ohlcv(s, d):
+    return market.bars(s, d).drop("n")
+
+
+@query
+def index_ohlcv(s, d):
+    return market.index_bars(s, d).drop("n", "amount")
+
+
+@query
+def instruments(s, d):
+    return market.instruments(s, d)
+
+
+@query
+def fundamentals(s, d):
+    return market.fundamentals(s, d)
+
+
+@query
+def calendar_sessions(s, d):
+    return bars.sessions(market.bars(s, d))
+
+
+@query
+def load_daily(s, d):
+    return bars.load_daily(market.bars(s, d), ["600000", "000000", "300000"], dt.date(1997, 1, 1), dt.date(1998, 12, 31)).drop("n")
+
+
+@query
+def dense_grid(s, d):
+    return bars.dense_grid(market.bars(s, d)).select("code", "date", "close")
+
+
+def _damaged(s, d):
+    """Bars with a non-positive prefix in every seventh name."""
+    b = market.bars(s, d)
+    return b.withColumn("low", F.when((F.col("n") % 7 == 3) & (F.col("date") < F.lit(dt.date(1996, 1, 1))), -1.0).otherwise(F.col("low")))
+
+
+@query
+def usable_history(s, d):
+    return bars.usable_history(_damaged(s, d)).groupBy("code").agg(F.count(F.lit(1)).alias("bars"), F.min("date").alias("first_date"))
+
+
+@query
+def universe_asof(s, d):
+    return bars.universe(market.instruments(s, d), market.bars(s, d), AS_OF, FLT)
+
+
+@query
+def universe_by_board(s, d):
+    return universe_asof(s, d).groupBy("board").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def price_limits(s, d):
+    i = market.instruments(s, d)
+    return i.select("code", rules.classify_board(F.col("code")).alias("board"), rules.price_limit(F.col("code"), F.col("name")).alias("price_limit"), rules.prefix_limit(F.col("code")).alias("prefix_limit"))
+
+
+@query
+def trade_costs(s, d):
+    o = market.read(s, d, "orders")
+    return o.select("o_orderkey", rules.buy_cost(F.col("o_totalprice")).alias("buy_cost"), rules.sell_cost(F.col("o_totalprice") / 100).alias("sell_cost"))
+
+
+@query
+def last_complete_day(s, d):
+    return bars.last_complete_day(market.bars(s, d))
+
+
+@query
+def instruments_search(s, d):
+    return quality.search(market.instruments(s, d), market.bars(s, d), "00", 20).select("code", "name")
+
+
+# ---- quality and statistics -----------------------------------------------------------------------------------------
+
+
+@query
+def last_dates(s, d):
+    return quality.last_dates(market.daily(s, d))
+
+
+@query
+def coverage(s, d):
+    return quality.coverage(market.daily(s, d))
+
+
+@query
+def fundamentals_coverage(s, d):
+    return quality.fundamentals_coverage(market.fundamentals(s, d))
+
+
+@query
+def boards(s, d):
+    return quality.boards(market.instruments(s, d))
+
+
+@query
+def listings_by_year(s, d):
+    return quality.listings_by_year(market.instruments(s, d))
+
+
+@query
+def bars_by_year(s, d):
+    return quality.bars_by_year(market.daily(s, d))
+
+
+@query
+def limit_counts_by_year(s, d):
+    return quality.limit_counts_by_year(market.daily(s, d))
+
+
+@query
+def index_yearly(s, d):
+    return quality.index_yearly(market.index_bars(s, d))
+
+
+@query
+def yearly_return_dist(s, d):
+    return quality.yearly_return_distribution(market.daily(s, d), 40)
+
+
+@query
+def liquidity_quantiles(s, d):
+    return quality.quantiles_of(quality.recent_profile(market.daily(s, d)), ["amount", "volatility", "price"])
+
+
+@query
+def suspension(s, d):
+    return quality.suspension(market.daily(s, d))
+
+
+@query
+def stale_codes(s, d):
+    return quality.stale_codes(_thinned(s, d), 5)
+
+
+def _thinned(s, d):
+    """Bars of which every ninth name stops early."""
+    return market.bars(s, d).where(~((F.col("n") % 9 == 4) & (F.col("date") > F.lit(dt.date(2001, 1, 1)))))
+
+
+@query
+def find_gaps(s, d):
+    known = _thinned(s, d).where("n % 11 <> 7")
+    return quality.find_gaps(market.instruments(s, d), known)
+
+
+@query
+def no_data_anti(s, d):
+    return quality.without_bars(market.instruments(s, d), market.bars(s, d).where("n % 11 <> 7")).select("code", "name")
+
+
+@query
+def dup_keys(s, d):
+    li = market.read(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("code"), F.col("l_linenumber").alias("date"))
+    return quality.duplicate_keys(li)
+
+
+@query
+def ohlc_sanity(s, d):
+    return quality.ohlc_problems(_damaged(s, d))
+
+
+@query
+def amount_missing_by_month(s, d):
+    b = market.bars(s, d)
+    return quality.amount_missing_by_month(b.withColumn("amount", F.when(F.col("n") % 5 != 2, F.col("amount"))))
+
+
+@query
+def unit_ratio(s, d):
+    return quality.unit_ratio(market.daily(s, d))
+
+
+@query
+def source_compatibility(s, d):
+    b = market.bars(s, d)
+    return quality.source_compatibility(b, b.withColumn("close", F.round("close", 1)))
+
+
+# ---- indicators -----------------------------------------------------------------------------------------------------
+
+
+def _ind(df, *names):
+    return df.select("code", "date", *names)
+
+
+@query
+def ind_sma(s, d):
+    return _ind(market.bars(s, d).withColumns({f"sma{n}": indicators.sma(F.col("close"), n) for n in (5, 10, 30)}), "sma5", "sma10", "sma30")
+
+
+@query
+def ind_ema(s, d):
+    return _ind(indicators.with_ema(market.bars(s, d), "close", 12, "ema12"), "ema12")
+
+
+@query
+def ind_rsi(s, d):
+    return _ind(indicators.with_rsi(market.bars(s, d), "close", 14, "rsi14"), "rsi14")
+
+
+@query
+def ind_macd(s, d):
+    return _ind(indicators.with_macd(market.bars(s, d), "close"), "dif", "dea", "macd_hist")
+
+
+@query
+def ind_atr(s, d):
+    return _ind(indicators.with_atr(market.bars(s, d), 14, "atr14"), "atr14")
+
+
+@query
+def ind_bollinger(s, d):
+    return _ind(indicators.with_bollinger(market.bars(s, d), "close"), "boll_low", "boll_mid", "boll_up")
+
+
+@query
+def ind_channel(s, d):
+    return _ind(market.bars(s, d).withColumns({"high20": indicators.highest(F.col("high"), 20), "low10": indicators.lowest(F.col("low"), 10)}), "high20", "low10")
+
+
+@query
+def ind_drawdown(s, d):
+    return _ind(market.bars(s, d).withColumn("dd", indicators.drawdown(F.col("close"))), "dd")
+
+
+@query
+def ind_momentum(s, d):
+    return _ind(market.bars(s, d).withColumns({f"mom{n}": indicators.momentum(F.col("close"), n) for n in (20, 60, 120)}), "mom20", "mom60", "mom120")
+
+
+@query
+def ind_volatility(s, d):
+    return _ind(indicators.with_volatility(market.bars(s, d), 20, "vol20"), "vol20")
+
+
+@query
+def ind_slope(s, d):
+    return _ind(indicators.with_slope(market.bars(s, d), "close", 20, "slope20"), "slope20")
+
+
+@query
+def ind_common(s, d):
+    names = ["ma5", "ma10", "ma20", "ma60", "ma120", "vol_ma20", "vol_ratio", "rsi14", "atr14", "atr_pct", "high20", "low20", "dd", "mom20", "mom60", "mom120", "vol20"]
+    return _ind(indicators.add_common(market.bars(s, d)), *names)
+
+
+@query
+def ind_extended(s, d):
+    return _ind(indicators.add_extended(market.bars(s, d)), "ma250", "vol_ma5", "dif", "dea", "macd_hist", "boll_low", "boll_mid", "boll_up", "high60")
+
+
+@query
+def cross_above_below(s, d):
+    b = market.bars(s, d).withColumns({"a": indicators.sma(F.col("close"), 10), "b": indicators.sma(F.col("close"), 30)})
+    b = b.withColumns({"up": indicators.cross_above(F.col("a"), F.col("b")), "down": indicators.cross_below(F.col("a"), F.col("b"))})
+    return b.where("up OR down").select("code", "date", "up", "down")
+
+
+@query
+def regime_index_ma(s, d):
+    return regime.index_above_ma(market.bars(s, d).select("date").distinct(), market.index_bars(s, d), 40)
+
+
+@query
+def regime_hysteresis(s, d):
+    return regime.regime(market.bars(s, d).select("date").distinct(), market.index_bars(s, d), 40, 3)
+
+
+# ---- point in time, ingest ------------------------------------------------------------------------------------------
+
+
+@query
+def fundamentals_pit(s, d):
+    return asof.point_in_time(market.bars(s, d).select("code", "date"), market.fundamentals(s, d), factors.FIELDS)
+
+
+@query
+def avail_dates(s, d):
+    return ingest.periods(s, 1995, dt.date(1999, 9, 1))
+
+
+@query
+def source_pick(s, d):
+    b = market.bars(s, d).select("code", "n", "date", "close")
+    a = b.where("n % 3 = 0").withColumn("source", F.lit("first"))
+    c = b.where("n % 2 = 0").withColumns({"source": F.lit("second"), "close": F.col("close") + 1})
+    e = b.withColumns({"source": F.lit("third"), "close": F.col("close") + 2})
+    return ingest.pick_source(a.unionByName(c).unionByName(e), ["first", "second", "third"]).groupBy("code", "source").agg(F.count(F.lit(1)).alias("bars"), F.sum("close").alias("total"))
+
+
+@query
+def upsert_latest(s, d):
+    b = market.bars(s, d).select("code", "date", "close", "n")
+    new = b.where("n % 4 = 1").withColumn("close", F.col("close") * 2)
+    return store.latest(b.where("n % 3 <> 2"), new, ["code", "date"]).drop("n")
+
+
+@query
+def adjust_factor(s, d):
+    b = market.bars(s, d)
+    f = b.where("month(date) IN (3, 9)").select("code", "date", (1 + (F.year("date") - 1990) / 10).alias("adj_factor"))
+    return ingest.forward_adjust(b, f).select("code", "date", "open", "high", "low", "close")
+
+
+@query
+def stitched_spans(s, d):
+    b = market.bars(s, d)
+    cut = F.lit(dt.date(1998, 6, 1))
+    return ingest.stitch(b.where(F.col("date") <= F.date_add(cut, 30)), b.where(F.col("date") >= cut)).select("code", "date", "close", "pct_chg", "amount")
+
+
+@query
+def sync_plan(s, d):
+    return ingest.sync_plan(market.instruments(s, d), _thinned(s, d).where("n % 11 <> 7"), dt.date(2002, 1, 1), history_start=dt.date(1995, 1, 1))
+
+
+@query
+def spot_prices(s, d):
+    return ingest.spot(market.bars(s, d))
+
+
+@query
+def stream_dedup_latest(s, d):
+    e = market.read(s, d, "events").withColumn("day", F.to_date("ts"))
+    return upserts.dedup_latest(e.select("user_id", "day", "ts", "event_id", "event_type", "value"), ["user_id", "day"], ["ts", "event_id"]).select("user_id", "day", "event_id", "event_type", "value")
+
+
+@query
+def complete_sessions(s, d):
+    b = market.bars(s, d)
+    return upserts.complete_sessions(b.where(~((F.col("date") > F.lit(dt.date(2001, 6, 1))) & (F.col("n") % 3 != 0))))
+
+
+# ---- cross sections and factors -------------------------------------------------------------------------------------
+
+
+@query
+def cross_rank_ordinal(s, d):
+    b = market.bars(s, d)
+    return b.select("code", "date", rank.cross_rank(F.col("volume"), F.col("volume") > 20, "ordinal", 0.5).alias("r"))
+
+
+@query
+def cross_rank_average(s, d):
+    b = market.bars(s, d)
+    return b.select("code", "date", rank.cross_rank(F.col("volume"), F.col("volume") > 20).alias("r"))
+
+
+@query
+def score_blend(s, d):
+    b = market.bars(s, d)
+    return rank.blend(b, [("volume", 2.0), ("close", 1.0)], F.col("volume") > 20, missing=-9.9).select("code", "date", "score")
+
+
+def _panel(s, d):
+    return factors.build_panel(market.bars(s, d), market.fundamentals(s, d))
+
+
+def _price_panel(s, d):
+    return factors.build_panel(market.bars(s, d))
+
+
+@query
+def fwd_return(s, d):
+    return bars.dense_grid(market.bars(s, d)).select("code", "date", bars.forward_return(5).alias("r5"), bars.forward_return(20).alias("r20"))
+
+
+@query
+def tradable_mask(s, d):
+    return bars.dense_grid(market.bars(s, d)).select("code", "date", bars.tradable().alias("tradable"))
+
+
+def _factor_query(name: str) -> None:
+    report = name in ("roe", "gross_margin", "profit_yoy", "revenue_yoy", "pb", "ep", "ocf_quality")
+
+    def f(s, d):
+        return factors.evaluate_columns(_panel(s, d) if report else _price_panel(s, d), [name]).withColumnRenamed(name, "value")
+
+    f.__name__ = f"factor_{name}"
+    query(f)
+
+
+for _name in factors.REGISTRY:
+    _factor_query(_name)
+
+SOME = ["mom_20", "reversal_5", "ma60_dist"]
+
+
+def _values(s, d, horizons=(5,)):
+    return factors.long_values(_price_panel(s, d), SOME, horizons)
+
+
+@query
+def factor_ic(s, d):
+    return factors.daily_ic(_values(s, d), (5,)).select("factor", "date", "n", "ic")
+
+
+@query
+def factor_ic_decay(s, d):
+    return factors.ic_summary(factors.daily_ic(_values(s, d, (1, 5, 20)), (1, 5, 20)))
+
+
+@query
+def factor_layers(s, d):
+    return factors.layers(_values(s, d), "r_5")
+
+
+@query
+def factor_spread(s, d):
+    return factors.spread(factors.layers(_values(s, d), "r_5"))
+
+
+@query
+def factor_top_excess(s, d):
+    return factors.top_excess_summary(factors.top_excess(_values(s, d), "r_5"))
+
+
+@query
+def factor_turnover(s, d):
+    return factors.turnover(_values(s, d))
+
+
+@query
+def factor_correlation(s, d):
+    return factors.correlation(_price_panel(s, d), SOME)
+
+
+@query
+def factor_evaluate_all(s, d):
+    return factors.evaluate_all(_panel(s, d))
+
+
+# ---- strategies, signals --------------------------------------------------------------------------------------------
+
+
+def _strategy_query(name: str, **params) -> None:
+    def f(s, d):
+        st = strategies.get_strategy(name, **params)
+        return st.signals(market.bars(s, d), market.fundamentals(s, d)).select("code", "date", "entry", "exit", "score")
+
+    f.__name__ = f"strategy_{name}"
+    query(f)
+
+
+_strategy_query("ma_trend")
+_strategy_query("ma_cross")
+_strategy_query("rsi_reversal")
+_strategy_query("momentum_rotation")
+_strategy_query("regime_momentum")
+_strategy_query("defensive")
+_strategy_query("growth_value", max_pb=10.0)
+_strategy_query("turtle_breakout")
+
+
+@query
+def strategy_score_fields(s, d):
+    st = strategies.get_strategy("growth_value")
+    sig = st.signals(market.bars(s, d), market.fundamentals(s, d)).where("entry")
+    return rank.blend(sig, st.score_fields, F.lit(True)).select("code", "date", "score")
+
+
+@query
+def signals_today(s, d):
+    b = market.bars(s, d)
+    last = b.agg(F.max("date").alias("d")).first()["d"]
+    st = strategies.get_strategy("ma_cross", fast=3, slow=8)
+    held = market.instruments(s, d).where("is_st = 1").select("code")
+    return signals.generate(st, b, market.index_bars(s, d), last, b.select("code").distinct(), held).select("date", "strategy", "code", "action", "price", "score", "shares")
+
+
+@query
+def signal_sizing(s, d):
+    b = ingest.spot(market.bars(s, d))
+    return signals.with_sizing(b, 60_000.0, 5)
+
+
+@query
+def position_pnl(s, d):
+    return _positions(s, d).drop("id")
+
+
+def _positions(s, d):
+    b = market.bars(s, d)
+    first = b.groupBy("code", "n").agg(F.min_by("close", "date").alias("cost"))
+    p = first.select(F.col("n").alias("id"), "code", (F.col("n") % 5 * 100 + 100).alias("shares"), "cost")
+    return signals.position_pnl(p, ingest.spot(b.where("n % 3 = 0")), ingest.spot(b.where("n % 3 <> 1")))
+
+
+@query
+def position_totals(s, d):
+    return signals.position_totals(_positions(s, d))
+
+
+# ---- portfolio and metrics ------------------------------------------------------------------------------------------
+
+
+def _curve(s, d):
+    """An equity curve made from the index: its shape is known to SQL."""
+    i = market.index_bars(s, d)
+    base = i.agg(F.min_by("close", "date").alias("b"))
+    e = F.lit(CASH) * F.col("close") / F.col("b")
+    return i.crossJoin(F.broadcast(base)).select(F.lit("curve").alias("run_id"), "date", e.alias("equity"), (e * 0.3).alias("cash"), F.lit(3).alias("positions"), F.col("close").alias("benchmark"))
+
+
+def _year_trades(s, d):
+    """One trade a code and year, from the first to the last close."""
+    b = market.bars(s, d).groupBy("code", F.year("date").alias("y")).agg(F.min_by("close", "date").alias("a"), F.max_by("close", "date").alias("z"), F.count(F.lit(1)).alias("hold_days"))
+    return b.select(F.lit("years").alias("run_id"), (100 * (F.col("z") - F.col("a"))).alias("pnl"), (F.col("z") / F.col("a") - 1).alias("pnl_pct"), "hold_days")
+
+
+@query
+def metrics_equity(s, d):
+    return metrics.equity_metrics(_curve(s, d), CASH)
+
+
+@query
+def metrics_trades(s, d):
+    return metrics.trade_metrics(_year_trades(s, d))
+
+
+@query
+def metrics_benchmark(s, d):
+    return metrics.benchmark_metrics(_curve(s, d), CASH)
+
+
+@query
+def monthly_returns(s, d):
+    return metrics.monthly_returns(_curve(s, d), CASH)
+
+
+@query
+def yearly_vs_benchmark(s, d):
+    return metrics.yearly_returns(_curve(s, d), CASH)
+
+
+@query
+def trade_histogram(s, d):
+    return metrics.trade_histogram(_year_trades(s, d))
+
+
+@query
+def underwater(s, d):
+    return metrics.underwater(_curve(s, d))
+
+
+@query
+def drawdown_curve(s, d):
+    return metrics.drawdowns(_curve(s, d))
+
+
+@query
+def exposure_curve(s, d):
+    return metrics.exposure(_curve(s, d))
+
+
+def _runs(s, d):
+    """Three strategies, each with two configurations: six folds in parallel."""
+    b, f = market.bars(s, d), market.fundamentals(s, d)
+    days = backtest.calendar(b, START, END)
+    configs = {"plain": backtest.Config(initial_cash=2e6), "stops": backtest.Config(initial_cash=2e6, stop_loss=0.1, take_profit=0.25, trail_stop_atr=2.5, max_hold_days=20)}
+    rows, by_run = None, {}
+    for name in ("ma_cross", "turtle_breakout", "growth_value"):
+        part = backtest.prepare(strategies.get_strategy(name), b, days, name, START, END, f, names=market.instruments(s, d))
+        rows = part if rows is None else rows.unionByName(part)
+        by_run |= {f"{name}/{k}": c for k, c in configs.items()}
+    rows = rows.withColumn("run_id", F.explode(F.array(*[F.concat("run_id", F.lit(f"/{k}")) for k in configs])))
+    return backtest.run(rows, days, by_run)
+
+
+@query
+def backtest_equity(s, d):
+    return backtest.with_benchmark(_runs(s, d)[0], market.index_bars(s, d))
+
+
+@query
+def backtest_trades(s, d):
+    return _runs(s, d)[1]
+
+
+@query
+def backtest_stats(s, d):
+    return _runs(s, d)[2]
+
+
+@query
+def backtest_metrics(s, d):
+    return metrics.equity_metrics(_runs(s, d)[0], 2e6)
+
+
+@query
+def paper_advance(s, d):
+    """The forward account's fold over the same sessions and signals as a plain run."""
+    b = market.bars(s, d)
+    days = backtest.calendar(b, START, END)
+    rows = backtest.prepare(strategies.get_strategy("ma_cross"), b, days, "paper", START, END, names=market.instruments(s, d), min_bars=130)
+    return backtest.run(rows, days, {"paper": backtest.Config(initial_cash=2e6, sizing="account")})[0]
+
+
+def queries() -> dict[str, Callable]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.sql().items() if k in QUERIES}
+
+
