@@ -94,17 +94,18 @@ def universe(instruments: DataFrame, daily: DataFrame, as_of: dt.date, flt: Univ
     )
 
 
-GRID = Window.partitionBy("code").orderBy("date")
+def own() -> Window:
+    return Window.partitionBy("code").orderBy("date")
 
 
 def forward_return(h: int) -> Column:
     """Bought at the next session's open, sold h sessions later; for a dense grid."""
-    return F.lead("open", 1 + h).over(GRID) / F.nullif(F.lead("open", 1).over(GRID), F.lit(0.0)) - 1
+    return F.lead("open", 1 + h).over(own()) / F.nullif(F.lead("open", 1).over(own()), F.lit(0.0)) - 1
 
 
 def tradable() -> Column:
     """Closed today and opens tomorrow below the limit; for a dense grid."""
-    ahead = F.lead("open", 1).over(GRID)
+    ahead = F.lead("open", 1).over(own())
     return F.coalesce(F.col("close").isNotNull() & (ahead < F.col("close") * (1 + prefix_limit(F.col("code"))) - 1e-6), F.lit(False))
 
 

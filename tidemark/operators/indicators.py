@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 from ..functions.market import ratio
 
 YEAR = 252
-BY = Window.partitionBy("code").orderBy("date")
+
+
+def own() -> Window:
+    return Window.partitionBy("code").orderBy("date")
 
 
 def last(n: int) -> Window:
-    return BY.rowsBetween(-(n - 1), 0)
+    return own().rowsBetween(-(n - 1), 0)
 
 
-EVER = BY.rowsBetween(Window.unboundedPreceding, 0)
+def ever() -> Window:
+    return own().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def full(aggregate: Column, x: Column, n: int) -> Column:
@@ -48,7 +52,7 @@ def deviation(x: Column, n: int) -> Column:
 
 
 def before(x: Column, n: int = 1) -> Column:
-    return F.lag(x, n).over(BY)
+    return F.lag(x, n).over(own())
 
 
 def momentum(x: Column, n: int) -> Column:
@@ -56,7 +60,7 @@ def momentum(x: Column, n: int) -> Column:
 
 
 def drawdown(x: Column) -> Column:
-    return ratio(x, F.max(x).over(EVER)) - 1
+    return ratio(x, F.max(x).over(ever())) - 1
 
 
 def slope(x: Column, n: int) -> Column:
@@ -66,7 +70,7 @@ def slope(x: Column, n: int) -> Column:
 
 
 def with_slope(df: DataFrame, source: str, n: int, out: str) -> DataFrame:
-    numbered = df.withColumn("_i", F.row_number().over(BY).cast("double"))
+    numbered = df.withColumn("_i", F.row_number().over(own()).cast("double"))
     return numbered.withColumn(out, slope(F.col(source), n)).drop("_i")
 
 
@@ -92,11 +96,11 @@ def with_ewm(df: DataFrame, source: str, alpha: float, min_periods: int, out: st
     decay = 1.0 - alpha
     if decay <= 0 or max_bars * -log(decay) < RANGE:
         x = F.col(source)
-        k = F.count(x).over(EVER) - 1
+        k = F.count(x).over(ever()) - 1
         step = df.withColumn("_k", k)
         base = F.lit(decay)
         term = F.when(x.isNotNull(), F.when(F.col("_k") == 0, x).otherwise(x * alpha * F.pow(base, -F.col("_k"))))
-        step = step.withColumn("_s", F.sum(term).over(EVER))
+        step = step.withColumn("_s", F.sum(term).over(ever()))
         value = F.when(x.isNotNull() & (F.col("_k") >= min_periods - 1), F.pow(base, F.col("_k")) * F.col("_s"))
         return step.withColumn(out, value).drop("_k", "_s")
 

@@ -9,14 +9,20 @@ from pyspark.sql import functions as F
 
 from .indicators import YEAR
 
-RUN = Window.partitionBy("run_id").orderBy("date")
-EVER = RUN.rowsBetween(Window.unboundedPreceding, 0)
 # Edges of the histogram of trade returns.
 EDGES = [-1.0, -0.30, -0.20, -0.15, -0.10, -0.05, 0.0, 0.05, 0.10, 0.15, 0.20, 0.30, 0.50, 10.0]
 
 
+def curve() -> Window:
+    return Window.partitionBy("run_id").orderBy("date")
+
+
+def ever() -> Window:
+    return curve().rowsBetween(Window.unboundedPreceding, 0)
+
+
 def drawdowns(equity: DataFrame, digits: int = 5) -> DataFrame:
-    return equity.select("run_id", "date", F.round(F.col("equity") / F.max("equity").over(EVER) - 1, digits).alias("drawdown"))
+    return equity.select("run_id", "date", F.round(F.col("equity") / F.max("equity").over(ever()) - 1, digits).alias("drawdown"))
 
 
 def exposure(equity: DataFrame) -> DataFrame:
@@ -30,14 +36,14 @@ def _last_of(equity: DataFrame, unit: str) -> DataFrame:
 
 def monthly_returns(equity: DataFrame, initial_cash: float) -> DataFrame:
     """(run_id, year, month, ret); the first month is measured against the initial cash."""
-    last = F.lag("equity", 1).over(RUN)
+    last = F.lag("equity", 1).over(curve())
     months = _last_of(equity, "month").withColumn("ret", F.round(F.col("equity") / F.coalesce(last, F.lit(initial_cash)) - 1, 4))
     return months.select("run_id", F.year("date").alias("year"), F.month("date").alias("month"), "ret")
 
 
 def yearly_returns(equity: DataFrame, initial_cash: float) -> DataFrame:
     """(run_id, year, ret, bench): chained on year ends; the benchmark starts from its first value."""
-    held = equity.withColumn("b", F.last("benchmark", ignorenulls=True).over(EVER))
+    held = equity.withColumn("b", F.last("benchmark", ignorenulls=True).over(ever()))
     years = held.groupBy("run_id", F.year("date").alias("year")).agg(F.max_by("equity", "date").alias("e"), F.max_by("b", "date").alias("b"), F.min_by("b", F.when(F.col("b").isNotNull(), F.col("date"))).alias("first"))
     w = Window.partitionBy("run_id").orderBy("year")
     base = F.coalesce(F.lag("b").over(w), F.first("first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -46,15 +52,15 @@ def yearly_returns(equity: DataFrame, initial_cash: float) -> DataFrame:
 
 def underwater(equity: DataFrame) -> DataFrame:
     """(run_id, longest_underwater): the longest run of sessions below the running peak."""
-    step = equity.withColumn("under", F.col("equity") < F.max("equity").over(EVER))
-    step = step.withColumn("island", F.sum((~F.col("under")).cast("int")).over(EVER))
+    step = equity.withColumn("under", F.col("equity") < F.max("equity").over(ever()))
+    step = step.withColumn("island", F.sum((~F.col("under")).cast("int")).over(ever()))
     runs = step.where("under").groupBy("run_id", "island").agg(F.count(F.lit(1)).alias("n"))
     return step.select("run_id").distinct().join(runs.groupBy("run_id").agg(F.max("n").alias("m")), "run_id", "left").select("run_id", F.coalesce("m", F.lit(0).cast("long")).alias("longest_underwater"))
 
 
 def equity_metrics(equity: DataFrame, initial_cash: float) -> DataFrame:
     """One row a run. Returns start at the second point; volatility is a population deviation; the risk-free rate is 0."""
-    step = equity.withColumns({"r": F.col("equity") / F.lag("equity").over(RUN) - 1, "dd": F.col("equity") / F.max("equity").over(EVER) - 1})
+    step = equity.withColumns({"r": F.col("equity") / F.lag("equity").over(curve()) - 1, "dd": F.col("equity") / F.max("equity").over(ever()) - 1})
     agg = step.groupBy("run_id").agg(
         F.max_by("equity", "date").alias("final_equity"), F.count(F.lit(1)).alias("days"), F.avg("r").alias("m"), (F.stddev_pop("r") * sqrt(YEAR)).alias("volatility"),
         (F.stddev_pop(F.when(F.col("r") < 0, F.col("r"))) * sqrt(YEAR)).alias("down"), F.min("dd").alias("max_drawdown"),
@@ -79,8 +85,8 @@ def trade_metrics(trades: DataFrame) -> DataFrame:
 
 
 def benchmark_metrics(equity: DataFrame, initial_cash: float) -> DataFrame:
-    held = equity.withColumn("b", F.last("benchmark", ignorenulls=True).over(EVER)).where("b IS NOT NULL")
-    step = held.withColumn("dd", F.col("b") / F.max("b").over(EVER) - 1)
+    held = equity.withColumn("b", F.last("benchmark", ignorenulls=True).over(ever())).where("b IS NOT NULL")
+    step = held.withColumn("dd", F.col("b") / F.max("b").over(ever()) - 1)
     agg = step.groupBy("run_id").agg((F.max_by("b", "date") / F.min_by("b", "date") - 1).alias("r"), F.min("dd").alias("dd"), (F.max_by("equity", "date") / initial_cash - 1).alias("own"))
     return agg.select("run_id", F.round("r", 4).alias("benchmark_return"), F.round("dd", 4).alias("benchmark_drawdown"), F.round(F.col("own") - F.col("r"), 4).alias("excess"))
 

@@ -183,7 +183,7 @@ def _thinned(s, d):
 @query
 def find_gaps(s, d):
     known = _thinned(s, d).where("n % 11 <> 7")
-    return quality.find_gaps(market.instruments(s, d), known)
+    return quality.find_gaps(market.instruments(s, d), known).withColumn("days_behind", F.col("days_behind").cast("double"))
 
 
 @query
@@ -508,7 +508,7 @@ def signals_today(s, d):
     last = b.agg(F.max("date").alias("d")).first()["d"]
     st = strategies.get_strategy("ma_cross", fast=3, slow=8)
     held = market.instruments(s, d).where("is_st = 1").select("code")
-    return signals.generate(st, b, market.index_bars(s, d), last, b.select("code").distinct(), held).select("date", "strategy", "code", "action", "price", "score", "shares")
+    return signals.generate(st, b, market.index_bars(s, d), last, b.select("code").distinct(), held).select("date", "strategy", "code", "action", "price", "score", F.col("shares").cast("double").alias("shares"))
 
 
 @query

@@ -211,7 +211,7 @@ SELECT year, count(*) AS codes, {r('avg(r)', 'mean')}, {r('quantile_cont(r, 0.5)
     q["liquidity_quantiles"] = p + " " + " UNION ALL ".join(f"SELECT '{c}' AS measure, {x} AS quantile, {r(f'quantile_cont({c}, {x})', 'value')} FROM pr" for c in ("amount", "volatility", "price") for x in ("0.1::DOUBLE", "0.25::DOUBLE", "0.5::DOUBLE", "0.75::DOUBLE", "0.9::DOUBLE"))
     q["suspension"] = f", sp AS (SELECT count(DISTINCT date) AS s, min(date) AS d0, max(date) AS d1 FROM bars), g AS (SELECT 1 - count(*) / (SELECT s FROM sp) AS r FROM bars GROUP BY code HAVING min(date) = (SELECT d0 FROM sp) AND max(date) = (SELECT d1 FROM sp)) SELECT count(*) AS codes, {r('avg(r)', 'mean')}, {r('quantile_cont(r, 0.5)', 'median')}, {r('quantile_cont(r, 0.9)', 'p90')}, count(*) FILTER (r > 0.1) AS over_10pct FROM g"
     q["stale_codes"] = f", {THINNED} SELECT code, max(date) AS last_date FROM thin GROUP BY code HAVING max(date) < (SELECT min(date) FROM (SELECT DISTINCT date FROM thin ORDER BY date DESC LIMIT 5))"
-    q["find_gaps"] = f", {THINNED}, kn AS (SELECT * FROM thin WHERE n % 11 <> 7), ld AS (SELECT code, max(date) AS last_date FROM kn GROUP BY code) SELECT code, 'lagging' AS kind, last_date, date_diff('day', last_date, (SELECT max(date) FROM kn)) AS days_behind FROM ld WHERE date_diff('day', last_date, (SELECT max(date) FROM kn)) > 3 UNION ALL SELECT code, 'no_data', NULL, NULL FROM inst WHERE code NOT IN (SELECT code FROM kn)"
+    q["find_gaps"] = f", {THINNED}, kn AS (SELECT * FROM thin WHERE n % 11 <> 7), ld AS (SELECT code, max(date) AS last_date FROM kn GROUP BY code) SELECT code, 'lagging' AS kind, last_date, date_diff('day', last_date, (SELECT max(date) FROM kn))::DOUBLE AS days_behind FROM ld WHERE date_diff('day', last_date, (SELECT max(date) FROM kn)) > 3 UNION ALL SELECT code, 'no_data', NULL, NULL FROM inst WHERE code NOT IN (SELECT code FROM kn)"
     q["no_data_anti"] = " SELECT code, name FROM inst WHERE code NOT IN (SELECT code FROM bars WHERE n % 11 <> 7)"
     q["dup_keys"] = " SELECT CAST(l_orderkey AS VARCHAR) AS code, CAST(l_linenumber AS BIGINT) AS date, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"
     q["ohlc_sanity"] = f", {DAMAGED} SELECT count(*) FILTER (low > high) AS low_over_high, count(*) FILTER (low > open) AS low_over_open, count(*) FILTER (low > close) AS low_over_close, count(*) FILTER (high < open) AS high_under_open, count(*) FILTER (high < close) AS high_under_close, count(*) FILTER (close <= 0 OR open <= 0 OR low <= 0) AS non_positive FROM dmg"
@@ -300,7 +300,7 @@ SELECT year, count(*) AS codes, {r('avg(r)', 'mean')}, {r('quantile_cont(r, 0.5)
     q["signals_today"] = f""", el AS (SELECT code FROM bars GROUP BY code HAVING count(*) >= 135 AND max(date) = {lastd}), p0 AS (SELECT *, {sma(3)} AS f, {sma(8)} AS s, {mom(60)} AS mom60 FROM bars WHERE code IN (SELECT code FROM el)),
 p1 AS (SELECT *, {ABOVE('f', 's')} AS up, {BELOW('f', 's')} AS dn FROM p0), now AS (SELECT p1.*, is_st = 1 AS held, coalesce(mom60, -9.9) AS sc FROM p1 JOIN inst USING (code) WHERE date = {lastd}),
 buys AS (SELECT * FROM now WHERE up AND NOT held ORDER BY sc DESC, code LIMIT 10)
-SELECT date, 'ma_cross' AS strategy, code, 'BUY' AS action, {r('close', 'price')}, {r('sc', 'score')}, CAST(floor(40000 / round(close, 2) / 100) * 100 AS BIGINT) AS shares FROM buys
+SELECT date, 'ma_cross' AS strategy, code, 'BUY' AS action, {r('close', 'price')}, {r('sc', 'score')}, CAST(floor(40000 / round(close, 2) / 100) * 100 AS DOUBLE) AS shares FROM buys
 UNION ALL SELECT date, 'ma_cross', code, 'SELL', round(close + 3e-10, 6), round(sc + 3e-10, 6), NULL FROM now WHERE held AND dn"""
     q["signal_sizing"] = f", s AS (SELECT code, arg_max(close, date) AS price FROM bars GROUP BY code) SELECT code, {r('price', 'price')}, 12000.0::DOUBLE AS budget, CAST(floor(12000 / round(price, 2) / 100) * 100 AS BIGINT) AS shares, floor(12000 / round(price, 2) / 100) > 0 AS affordable, round(round(price, 2) * 100, 2) AS min_amount FROM s"
     q["position_pnl"] = f", {POSITIONS} SELECT code, shares, {r('cost', 'cost')}, {r('price', 'price')}, price_source, {r('shares * cost', 'paid')}, {r('shares * price', 'value')}, {r('shares * price - shares * cost', 'pnl')}, {r('(shares * price - shares * cost) / (shares * cost)', 'pnl_pct')} FROM pos"

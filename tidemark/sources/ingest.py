@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.market import avail_date, classify_board, is_st, to_number
 
-BY = Window.partitionBy("code").orderBy("date")
-WHOLE = Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def own() -> Window:
+    return Window.partitionBy("code").orderBy("date")
+
+
+def whole() -> Window:
+    return own().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def pick(df: DataFrame, *candidates: str) -> Column:
@@ -43,7 +48,7 @@ def bars_from_json(lines: DataFrame) -> DataFrame:
 
 def impute(bars: DataFrame) -> DataFrame:
     """pct_chg from the previous bar, amount from lots times the close."""
-    return bars.withColumns({"pct_chg": 100 * (F.col("close") / F.nullif(F.lag("close").over(BY), F.lit(0.0)) - 1), "amount": F.col("volume") * 100 * F.col("close")})
+    return bars.withColumns({"pct_chg": 100 * (F.col("close") / F.nullif(F.lag("close").over(own()), F.lit(0.0)) - 1), "amount": F.col("volume") * 100 * F.col("close")})
 
 
 def stitch(*spans: DataFrame) -> DataFrame:
@@ -66,10 +71,10 @@ def pick_source(candidates: DataFrame, priority: list[str]) -> DataFrame:
 def forward_adjust(bars: DataFrame, factors: DataFrame) -> DataFrame:
     """Prices times the day's adjustment factor over the last one; missing factors are carried forward, then backward."""
     joined = bars.join(factors.select("code", "date", "adj_factor"), ["code", "date"], "left")
-    ahead = F.last("adj_factor", ignorenulls=True).over(BY.rowsBetween(Window.unboundedPreceding, 0))
-    back = F.first("adj_factor", ignorenulls=True).over(BY.rowsBetween(0, Window.unboundedFollowing))
+    ahead = F.last("adj_factor", ignorenulls=True).over(own().rowsBetween(Window.unboundedPreceding, 0))
+    back = F.first("adj_factor", ignorenulls=True).over(own().rowsBetween(0, Window.unboundedFollowing))
     step = joined.withColumn("_f", F.coalesce(ahead, back))
-    ratio = F.coalesce(F.col("_f") / F.nullif(F.last("_f").over(WHOLE), F.lit(0.0)), F.lit(1.0))
+    ratio = F.coalesce(F.col("_f") / F.nullif(F.last("_f").over(whole()), F.lit(0.0)), F.lit(1.0))
     out = step.withColumn("_r", ratio)
     return out.withColumns({c: F.col(c) * F.col("_r") for c in ("open", "high", "low", "close")}).drop("_f", "_r", "adj_factor")
 
