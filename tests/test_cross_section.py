@@ -90,7 +90,7 @@ def test_factor_research_matches_wide_frames(spark, daily, pdf):
     limit = pd.Series({k: 0.2 if k[:3] in ("300", "301", "688", "689") else 0.1 for k in c.columns})
     mask = c.notna() & o.shift(-1).notna() & (o.shift(-1) < c * (1 + limit) - 1e-6)
     f, r = c / c.shift(20) - 1, o.shift(-6) / o.shift(-1) - 1
-    panel = factors.build_panel(daily)
+    panel = factors.build_panel(daily, rsi=True)
     values = factors.long_values(panel, ["mom_20", "reversal_5"], (5,)).cache()
     ic = {x.date: x.ic for x in factors.daily_ic(values, (5,), 10).where("factor = 'mom_20'").collect()}
     want = brute_ic(f, r, mask, 10)

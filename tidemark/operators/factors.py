@@ -67,8 +67,8 @@ factor("ep")(lambda: ratio(F.col("f_eps"), F.col("close")))
 factor("ocf_quality")(lambda: F.col("f_ocfps") / F.when(F.abs("f_eps") > 1e-6, F.col("f_eps")))
 
 
-def build_panel(bars: DataFrame, facts: DataFrame | None = None, fill: str = "pad", max_bars: int = 2500) -> DataFrame:
-    """The grid of these codes' usable bars, with one-session returns, RSI and the reports known on each session.
+def build_panel(bars: DataFrame, facts: DataFrame | None = None, fill: str = "pad", rsi: bool = False) -> DataFrame:
+    """The grid of these codes' usable bars, with one-session returns, on request RSI, and the reports known on each session.
 
     ``fill='pad'``: across holes, returns are taken on the last close carried forward; ``'none'``: they are null there.
     """
@@ -76,7 +76,8 @@ def build_panel(bars: DataFrame, facts: DataFrame | None = None, fill: str = "pa
     ever = Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     held = F.last("close", ignorenulls=True).over(ever) if fill == "pad" else F.col("close")
     grid = grid.withColumn("_held", held).withColumn("ret", ratio(F.col("_held"), before(F.col("_held"))) - 1).drop("_held")
-    grid = grid.join(_grid_rsi(grid, 14), ["code", "date"], "left")
+    if rsi:
+        grid = grid.join(_grid_rsi(grid, 14), ["code", "date"], "left")
     return point_in_time(grid, facts, FIELDS) if facts is not None else grid
 
 

@@ -395,12 +395,12 @@ def score_blend(s, d):
     return rank.blend(b, [("volume", 2.0), ("close", 1.0)], F.col("volume") > 20, missing=-9.9).select("code", "date", "score")
 
 
-def _panel(s, d):
-    return factors.build_panel(market.bars(s, d), market.fundamentals(s, d))
+def _panel(s, d, rsi=False):
+    return factors.build_panel(market.bars(s, d), market.fundamentals(s, d), rsi=rsi)
 
 
-def _price_panel(s, d):
-    return factors.build_panel(market.bars(s, d))
+def _price_panel(s, d, rsi=False):
+    return factors.build_panel(market.bars(s, d), rsi=rsi)
 
 
 @query
@@ -417,7 +417,7 @@ def _factor_query(name: str) -> None:
     report = name in ("roe", "gross_margin", "profit_yoy", "revenue_yoy", "pb", "ep", "ocf_quality")
 
     def f(s, d):
-        return factors.evaluate_columns(_panel(s, d) if report else _price_panel(s, d), [name]).withColumnRenamed(name, "value")
+        return factors.evaluate_columns(_panel(s, d) if report else _price_panel(s, d, name == "rsi_14"), [name]).withColumnRenamed(name, "value")
 
     f.__name__ = f"factor_{name}"
     query(f)
@@ -470,7 +470,7 @@ def factor_correlation(s, d):
 
 @query
 def factor_evaluate_all(s, d):
-    return factors.evaluate_all(_panel(s, d))
+    return factors.evaluate_all(_panel(s, d, rsi=True))
 
 
 # ---- strategies, signals --------------------------------------------------------------------------------------------
