@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
+__all__ = ["ascii_lower", "broadcast_if_small", "durable", "shared_folder", "ship", "table", "text_of"]
+
 #: ASCII capitals and their small letters (fixed values).
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -45,26 +47,6 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application (as ``--py-files`` would)."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join("tidemark", os.path.relpath(full, top)))
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
-
-
 def broadcast_if_small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
     """``df``, a table of keys that was written before, to be broadcast if its counted rows are few enough."""
     return F.broadcast(df) if df.count() <= rows else df
