@@ -49,6 +49,19 @@ def test_near_copies_brute(spark, lanes):
     assert sorted(groups[i] for i in got) == sorted(set(groups.values()))  # one document of each group
 
 
+@pytest.mark.parametrize("copies", [7, 12, 30])
+def test_copies_in_a_crowded_key(spark, copies):
+    """They differ in one fixed word, so that all keys have the same documents, in several slices."""
+    rng = random.Random(copies)
+    rows = []
+    for g in range(3):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for k in range(copies):
+            rows.append((len(rows), " ".join(base[:-1] + [f"g{g}no{k}"]), "s", "l"))
+    got = [r.doc_id for r in simhash.drop_near_copies(docs(spark, rows), lanes=4).collect()]
+    assert sorted(i // copies for i in got) == [0, 1, 2]
+
+
 def test_drop_copies(spark):
     rows = DOCS + [DOCS[0], DOCS[7], DOCS[7]]
     kept = [r.doc_id for r in exact_dedup.drop_copies(docs(spark, rows)).collect()]

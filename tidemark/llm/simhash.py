@@ -302,23 +302,33 @@ def shingle_sets(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     return docs.select("node", F.col(text_col).alias("text")).mapInArrow(run, "node long, set array<int>")
 
 
-def nearest_pairs(rows: DataFrame, lanes: int) -> DataFrame:
-    """(a, b), a > b: of rows (block, node, f0, f1), each node's NEAREST smaller nodes of its block within the radius."""
+def nearest_pairs(rows: DataFrame, lanes: int, low: int = 0, high: int = NEAREST) -> DataFrame:
+    """(a, b, block), a > b: of rows (block, side, node, root, f0, f1), each node's smaller nodes of its block within the radius,
+    from the ``low``-th nearest up to before the ``high``-th, that have another root.
+
+    A block of two sides compares one with the other. A row without a and b names a block that has pairs of unequal roots
+    from the ``high``-th on. Ranks do not depend on roots, so ranges that follow one another meet all pairs of a block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, node, f0, f1 in blocks_of(batches, lanes):
+        for block, node, root, side, f0, f1 in blocks_of(batches, lanes):
             fps = np.stack([f0, f1], axis=1).view(np.uint64)
             i, j = near_pairs(fps, block, WIDE_RADIUS)
+            some = (node[i] != node[j]) & ((side[i] != side[j]) | (side[i] < 0))
+            i, j = i[some], j[some]
             far = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1)
             order = np.lexsort((far, j))
             i, j = i[order], j[order]
             start = np.concatenate([[True], j[1:] != j[:-1]]) if len(j) else np.zeros(0, bool)
             rank = np.arange(len(j)) - np.maximum.accumulate(np.where(start, np.arange(len(j)), 0)) if len(j) else np.arange(0)
-            i, j = i[rank < NEAREST], j[rank < NEAREST]
-            some = node[i] != node[j]
-            yield pa.RecordBatch.from_arrays([pa.array(node[j][some]), pa.array(node[i][some])], ["a", "b"])
+            apart = root[i] != root[j]
+            now = apart & (rank >= low) & (rank < high)
+            more = np.unique(block[i[apart & (rank >= high)]])
+            none = pa.nulls(len(more), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(node[j][now]), pa.array(node[i][now]), pa.array(block[i][now])], ["a", "b", "block"])
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(more)], ["a", "b", "block"])
 
-    return rows.select("block", "node", "f0", "f1").repartition("block").sortWithinPartitions("block", "node").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("block", "node", "root", "side", "f0", "f1").repartition("block").sortWithinPartitions("block", "node").mapInArrow(run, "a long, b long, block long")
 
 
 def similar_links(docs: DataFrame, pairs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
@@ -331,41 +341,65 @@ def similar_links(docs: DataFrame, pairs: DataFrame, text_col: str, width: int,
     return both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def across(rows: DataFrame) -> DataFrame:
+    """Rows (key, slot, node, root, f0, f1) in blocks of two slots of a key each, but for those whose nodes all have one root."""
+    slots = durable(rows.groupBy("key", "slot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "slots")
+    other = slots.select("key", F.col("slot").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    two = slots.join(other, "key").where("slot != other AND least(lo, lo2) < greatest(hi, hi2)").select("key", "slot", "other")
+    block = F.xxhash64("key", F.least("slot", "other"), F.greatest("slot", "other"))
+    return rows.join(two, ["key", "slot"]).withColumn("block", block).withColumn("side", F.col("slot"))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = LANES) -> DataFrame:
     """The documents, all columns, with one document of each group of near duplicates.
 
     Groups are components over pairs of Jaccard similarity ``similarity`` or more on sets of ``width`` words. Pairs come from
     blocks of a shared key; in a block, distances of 128-bit fingerprints are compared bit-sliced, and each document proposes
     its nearest smaller ones, so a group of any size gives links in proportion to its documents. Proposed links are verified
-    on the whole texts. A crowded key is first worked through in slices, each of which collapses to few documents; what stays
-    crowded after that is compared slice by slice, every slice with every other. Null and empty texts always stay; equal rows
-    (id and text) stay or go together.
+    on the whole texts, and groups are the components of all links that were ever verified.
+
+    A crowded key is worked through in slices. Then one document of each group that the key has is compared, again and again
+    while that joins groups; this only saves work. Last, in keys that still have several groups, all documents of every
+    slice are compared with those of every other, but for two slices of one and the same group. Null and empty texts always
+    stay; equal rows (id and text) stay or go together.
     """
     ship(docs.sparkSession)
     node = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_of(text_col))
     own = docs.select(node.alias("node"), text_of(text_col).alias("text"))
     signed = durable(signatures(own, "text", width), "signatures").dropDuplicates(["node"])
-    gone, last = None, False
-    while True:
-        alive = signed if gone is None else signed.join(broadcast_if_small(gone), "node", "left_anti")
-        rows = alive.select("node", "f0", "f1", F.explode("keys").alias("key"))
-        crowd = durable(rows.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1"), "crowds")
-        crowded = crowd.where(F.col("crowd") > lanes)
-        hot = not crowded.isEmpty()
-        if gone is not None and not hot:
-            break
-        rows = rows.join(crowd, "key").withColumn("slices", F.ceil(F.col("crowd") / lanes).cast("int"))
-        slot = F.pmod(F.hash("node"), F.col("slices"))
-        if last:  # every slice with every other
-            rows = rows.withColumn("mine", slot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-            block = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-        else:
-            block = F.xxhash64("key", slot)
-        found = similar_links(own, nearest_pairs(rows.withColumn("block", block), lanes), "text", width, similarity)
-        new = components(found).where("node != root").select("node")
-        before = 0 if gone is None else gone.count()
-        gone = durable(new if gone is None else gone.unionAll(new).distinct(), "near")
-        if last or not hot:
-            break
-        last = gone.count() == before
+    keyed = signed.select("node", "f0", "f1", F.explode("keys").alias("key"))
+    crowd = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    # Slices of a crowded key are so small that two of them fit the lanes.
+    slices = F.when(F.col("crowd") > lanes, F.ceil(2 * F.col("crowd") / lanes)).otherwise(1).cast("int")
+    rows = durable(keyed.join(durable(crowd, "crowds"), "key").withColumn("slices", slices).withColumn("slot", F.pmod(F.hash("node"), F.col("slices"))).drop("crowd"), "keyed")
+    crowded = durable(rows.where("slices > 1"), "crowded")
+    group: DataFrame | None = None
+
+    def labelled(part: DataFrame) -> DataFrame:
+        """With the root of each node's group as known so far."""
+        if group is None:
+            return part.withColumn("root", F.col("node"))
+        return part.join(broadcast_if_small(group), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def join_groups(part: DataFrame, low: int = 0, high: int = NEAREST) -> tuple[int, DataFrame]:
+        """Verify pairs and join their groups; how many links were new, and the blocks that have pairs from ``high`` on."""
+        nonlocal group
+        found = durable(nearest_pairs(part, lanes, low, high), "found")
+        new = durable(similar_links(own, found.where("a IS NOT NULL").select("a", "b").distinct(), "text", width, similarity), "links")
+        n = new.count()
+        if n or group is None:
+            group = durable(components(new if group is None else new.unionAll(group.select(F.col("node").alias("a"), F.col("root").alias("b")))), "groups")
+        return n, found.where("a IS NULL").select("block").distinct()
+
+    one_side = F.lit(-1)
+    join_groups(labelled(rows).withColumn("block", F.xxhash64("key", "slot", "slot")).withColumn("side", one_side))
+    if not crowded.isEmpty():
+        while True:  # one document of each group of a key
+            first = labelled(crowded).groupBy("key", "root").agg(F.min_by(F.struct("node", "f0", "f1"), "node").alias("d")).select("key", "root", "d.*")
+            count = first.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+            first = first.join(durable(count, "crowds"), "key").withColumn("slot", F.pmod(F.hash("node"), F.ceil(F.col("crowd") / lanes).cast("int")))
+            if not join_groups(first.withColumn("block", F.xxhash64("key", "slot")).withColumn("side", one_side))[0]:
+                break
+        join_groups(across(labelled(crowded)))
+    gone = group.where("node != root").select("node")
     return docs.join(broadcast_if_small(gone), node == F.col("node"), "left_anti") if "node" not in docs.columns else docs.withColumnRenamed("node", "_node").join(broadcast_if_small(gone), node == F.col("node"), "left_anti").withColumnRenamed("_node", "node")
