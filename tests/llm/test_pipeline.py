@@ -62,6 +62,24 @@ def test_copies_in_a_crowded_key(spark, copies):
     assert sorted(i // copies for i in got) == [0, 1, 2]
 
 
+@pytest.mark.parametrize("lanes", [2048, 16])
+def test_true_pair_among_many_less_similar(spark, lanes):
+    """Texts that share a passage, at about 0.75 to one another, and one pair at 0.82 that is seldom among the nearest."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for _ in range(40):
+            rows.append((len(rows), " ".join(base[:345] + [f"x{rng.randrange(10**6)}" for _ in range(55)]), "s", "l"))
+        w = rows[-1][1].split()
+        rows.append((len(rows), " ".join(w[:362] + [f"x{rng.randrange(10**6)}" for _ in range(38)]), "s", "l"))
+    rng.shuffle(rows)
+    groups = brute_groups([r[:2] for r in rows])
+    assert len(set(groups.values())) == len(rows) - 8
+    got = [r.doc_id for r in simhash.drop_near_copies(docs(spark, rows), lanes=lanes).collect()]
+    assert sorted(groups[i] for i in got) == sorted(set(groups.values()))
+
+
 def test_drop_copies(spark):
     rows = DOCS + [DOCS[0], DOCS[7], DOCS[7]]
     kept = [r.doc_id for r in exact_dedup.drop_copies(docs(spark, rows)).collect()]

@@ -354,9 +354,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The documents, all columns, with one document of each group of near duplicates.
 
     Groups are components over pairs of Jaccard similarity ``similarity`` or more on sets of ``width`` words. Pairs come from
-    blocks of a shared key; in a block, distances of 128-bit fingerprints are compared bit-sliced, and each document proposes
-    its nearest smaller ones, so a group of any size gives links in proportion to its documents. Proposed links are verified
-    on the whole texts, and groups are the components of all links that were ever verified.
+    blocks of a shared key; in a block, distances of 128-bit fingerprints are compared bit-sliced. Each document first proposes
+    its nearest smaller ones, which joins a group of any size by links in proportion to its documents; then the next nearest
+    ones in other groups, in ever wider ranges, until no pair within the radius is left that could join two groups. Proposed
+    links are verified on the whole texts, and groups are the components of all links that were ever verified.
 
     A crowded key is worked through in slices. Then one document of each group that the key has is compared, again and again
     while that joins groups; this only saves work. Last, in keys that still have several groups, all documents of every
@@ -392,7 +393,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return n, found.where("a IS NULL").select("block").distinct()
 
     one_side = F.lit(-1)
-    join_groups(labelled(rows).withColumn("block", F.xxhash64("key", "slot", "slot")).withColumn("side", one_side))
+    placed = rows.withColumn("block", F.xxhash64("key", "slot", "slot")).withColumn("side", one_side)
+    left = durable(join_groups(labelled(placed))[1], "left")
+    placed = placed.join(broadcast_if_small(left), "block", "left_semi").select("block", "side", "node", "f0", "f1")
     if not crowded.isEmpty():
         while True:  # one document of each group of a key
             first = labelled(crowded).groupBy("key", "root").agg(F.min_by(F.struct("node", "f0", "f1"), "node").alias("d")).select("key", "root", "d.*")
@@ -400,6 +403,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             first = first.join(durable(count, "crowds"), "key").withColumn("slot", F.pmod(F.hash("node"), F.ceil(F.col("crowd") / lanes).cast("int")))
             if not join_groups(first.withColumn("block", F.xxhash64("key", "slot")).withColumn("side", one_side))[0]:
                 break
-        join_groups(across(labelled(crowded)))
+        cross = across(labelled(crowded))
+        more = durable(join_groups(cross)[1], "left")
+        placed = placed.unionAll(cross.join(broadcast_if_small(more), "block", "left_semi").select("block", "side", "node", "f0", "f1"))
+        left = left.unionAll(more)
+    placed, low = durable(placed, "placed"), NEAREST
+    while not left.isEmpty():
+        part = labelled(placed.join(broadcast_if_small(left), "block", "left_semi"))
+        mixed = durable(part.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("block"), "mixed")
+        left = durable(join_groups(part.join(broadcast_if_small(mixed), "block", "left_semi"), low, 4 * low)[1], "left")
+        low *= 4
     gone = group.where("node != root").select("node")
     return docs.join(broadcast_if_small(gone), node == F.col("node"), "left_anti") if "node" not in docs.columns else docs.withColumnRenamed("node", "_node").join(broadcast_if_small(gone), node == F.col("node"), "left_anti").withColumnRenamed("_node", "node")
