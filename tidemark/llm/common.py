@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..deploy import ship
 
-__all__ = ["ascii_lower", "broadcast_if_small", "durable", "shared_folder", "ship", "table", "text_of"]
+__all__ = ["ascii_lower", "broadcast_if_small", "durable", "shared_folder", "ship", "table", "text_of", "weight"]
 
 #: ASCII capitals and their small letters (fixed values).
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,11 +33,30 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (tests only, where it is unset) a temporary one."""
+    """This application's folder in the place that all executors share; it goes when the application ends.
+
+    The place is spark.checkpoint.dir. Only a local master may do without that setting: its executors share the machine.
+    """
     sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return sc.getCheckpointDir()
+        sc.setCheckpointDir(root)
+    folder = f"{root}/tidemark-{sc.applicationId}"
+    if folder not in _made:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _made.add(folder)
+    return folder
+
+
+#: Folders of this process's applications that exist already.
+_made: set[str] = set()
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -47,6 +67,17 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
-    """``df``, a table of keys that was written before, to be broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: Most bytes of a table that is broadcast.
+SMALL = 96 << 20
+
+
+def weight(df: DataFrame) -> int:
+    """Bytes that the rows of ``df``, a table of plain columns, take in a hash table: counted, not estimated."""
+    wide = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    found = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.octet_length(F.col(c))).alias(f"b{i}") for i, c in enumerate(wide)]).first()
+    return found["n"] * (48 + 8 * len(df.columns)) + sum(found[f"b{i}"] or 0 for i in range(len(wide)))
+
+
+def broadcast_if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df``, a table that was written before, to be broadcast if its counted bytes are at most ``most``."""
+    return F.broadcast(df) if weight(df) <= most else df

@@ -1,9 +1,9 @@
 """Benchmark decontamination with a broadcast hash set of test n-grams.
 
 The windows of the benchmark (n consecutive words; a shorter item is one window) are hashed and broadcast. Every
-document's words are scanned once: the hash of each position's window probes the set, and a hit counts only after the
-words themselves were compared. The benchmark goes out in blocks of a bounded number of bytes, so a broadcast never
-exceeds ``block_bytes``; a larger benchmark takes more scans.
+document's words are scanned: the hash of each position's window probes the set, and a hit counts only after the words
+themselves were compared. The distinct windows go out in blocks whose counted bytes stay within ``block_bytes`` (one
+window's list of items may exceed it alone); a larger benchmark takes more scans.
 """
 
 from __future__ import annotations
@@ -31,33 +31,46 @@ def window_hashes(words: Column, n: int) -> Column:
 
 
 def benchmark_windows(bench: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(item, size, window, h): the windows of each item."""
+    """(h, size, window, items): each distinct window once, with the sorted ids of the items that hold it."""
     items = bench.select(F.col(id_col).cast("string").alias("item"), words_of(text_of(text_col)).alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
-    return (
-        items.select("item", F.least(F.size("w"), F.lit(n)).alias("size"), "w", F.explode(starts).alias("i"))
-        .select("item", "size", F.slice("w", F.col("i"), F.col("size")).alias("window"))
-        .distinct()
-        .withColumn("h", F.xxhash64("window"))
-    )
+    cut = items.select("item", F.least(F.size("w"), F.lit(n)).alias("size"), F.explode(F.transform(starts, lambda i: F.slice("w", i, F.least(F.size("w"), F.lit(n))))).alias("window"))
+    return cut.groupBy("size", "window").agg(F.array_sort(F.collect_set("item")).alias("items")).select(F.xxhash64("window").alias("h"), "size", "window", "items")
 
 
 def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", n: int = 10, block_bytes: int = 64 << 20) -> DataFrame:
-    """One row per distinct (id, text) that has a hit: id, digest, spans (sorted [start, end) in words), items (sorted)."""
-    size = bench.agg(F.coalesce(F.sum(F.octet_length(text_of(bench_text_col))), F.lit(0)).alias("b")).first()["b"]
-    blocks = max(1, -(-size * n // block_bytes))  # each word stands in n windows at most
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", F.xxhash64("text").alias("digest"), words_of(F.col("text")).alias("words"))
-    found = []
-    for block in range(blocks):
-        part = bench.where(F.pmod(F.hash(item_col), F.lit(blocks)) == block) if blocks > 1 else bench
-        windows = benchmark_windows(part, item_col, bench_text_col, n)
-        for k in sorted(r["size"] for r in windows.select("size").distinct().collect()):  # n sizes at most
-            probe = rows.select("id", "digest", "words", F.posexplode(window_hashes(F.col("words"), k)).alias("pos", "h"))
-            hit = probe.join(F.broadcast(windows.where(F.col("size") == k)), "h").where(F.slice("words", F.col("pos") + 1, F.lit(k)) == F.col("window"))
-            found.append(hit.select("id", "digest", "pos", (F.col("pos") + k).alias("end"), "item"))
+    """One row per distinct (id, text) that has a hit: id, digest, spans (sorted [start, end) in words), items (sorted).
+
+    First the hashes of all positions probe the broadcast set; only a position and its hash leave that scan, so the work is
+    linear in a text's length. Then the few texts with candidate positions are read again, each candidate window is cut out
+    once, and counts where its words equal those of the benchmark.
+    """
+    windows = durable(benchmark_windows(bench, item_col, bench_text_col, n), "windows")
+    size = F.octet_length(F.array_join("window", " ")) + F.octet_length(F.array_join("items", " ")) + 96
+    blocks = max(1, -(-(windows.agg(F.sum(size.cast("long")).alias("b")).first()["b"] or 0) // block_bytes))
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # n sizes at most
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", F.xxhash64("text").alias("digest"), "text")
+    block = F.pmod(F.col("h"), F.lit(blocks))
+    parts = [windows.where(block == b) if blocks > 1 else windows for b in range(blocks)]
+    words = rows.select("id", "digest", words_of(F.col("text")).alias("words"))
+    found = [
+        words.select("id", "digest", F.posexplode(window_hashes(F.col("words"), k)).alias("pos", "h")).join(F.broadcast(part.where(F.col("size") == k).select("h").distinct()), "h", "left_semi").select("id", "digest", "pos", F.lit(k).alias("size"))
+        for part in parts for k in sizes
+    ]
     if not found:
-        return rows.where("false").select("id", "digest", F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("end"))).alias("spans"), F.array(F.lit("")).alias("items"))
-    return reduce(DataFrame.unionAll, found).groupBy("id", "digest").agg(F.array_sort(F.collect_set(F.struct("pos", "end"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+        return rows.select("id", "digest", F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("end"))).alias("spans"), F.array(F.lit("")).alias("items")).where("false")
+    at = durable(reduce(DataFrame.unionAll, found).groupBy("id", "digest").agg(F.collect_set(F.struct("pos", "size")).alias("at")).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "at"), "candidates")
+    texts = rows.join(F.broadcast(at) if at.count() * 128 + _positions(at) * 16 <= block_bytes else at, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+    held = texts.select("id", "digest", "at", words_of(F.col("text")).alias("words"))
+    cut = held.select("id", "digest", F.explode(F.transform("at", lambda a: F.struct(a["pos"].alias("pos"), (a["pos"] + a["size"]).alias("end"), F.slice("words", a["pos"] + 1, a["size"]).alias("window")))).alias("c"))
+    cut = cut.select("id", "digest", "c.pos", "c.end", "c.window", F.xxhash64("c.window").alias("h"))
+    cut = durable(cut, "cut") if blocks > 1 else cut
+    true = [cut.join(F.broadcast(part.select("h", "window", "items")), ["h", "window"]).select("id", "digest", "pos", "end", "items") for part in parts]
+    return reduce(DataFrame.unionAll, true).groupBy("id", "digest").agg(F.array_sort(F.collect_set(F.struct("pos", "end"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+
+def _positions(at: DataFrame) -> int:
+    return at.agg(F.sum(F.size("at").cast("long")).alias("n")).first()["n"] or 0
 
 
 def covered(spans: Column) -> Column:
