@@ -28,7 +28,7 @@ def test_exact_dedup_brute(spark):
     for ids in groups.values():
         best = max((i for i in ids if i is not None), default=None)
         assert sum(r.kept for r in got if r.keep_id == best and groups[r.text_sha256] is ids) == 1
-    low = {r.keep_id for r in exact_dedup.exact_dedup(docs(spark), largest=False, leaves=5, fan_in=2).collect()}
+    low = {r.keep_id for r in exact_dedup.exact_dedup(docs(spark), largest=False, fan_in=2).collect()}
     assert 1 in low and 8 not in low
 
 

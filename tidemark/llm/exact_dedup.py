@@ -58,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small = broadcast_if_small(copies)
     if small is copies:  # beyond that the way back goes root -> leaf -> rows, so that a huge group stays spread over the leaves
         on = ["leaf", *ENTRY]
-        small = leaf_runs.where("n > 0").select(*on).join(copies, ENTRY)
+        small = leaf_runs.select(*on).join(copies, ENTRY)
     else:
         on = ENTRY
     return rows.join(small, on, "left").select(
