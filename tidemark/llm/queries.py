@@ -31,6 +31,11 @@ def op5_secrets(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def secrets_base(spark, sf_dir):
+    """The known shapes of op5_secrets alone: what SQL can express of it."""
+    return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -57,7 +62,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = [op1_bpe, op2_exact_dedup, op3_html, op4_decontaminate, op5_secrets, op6_toxicity, op7_sharding, op8_chat, op9_simhash, op10_lm, pipeline]
+    named = [op1_bpe, op2_exact_dedup, op3_html, op4_decontaminate, op5_secrets, secrets_base, op6_toxicity, op7_sharding, op8_chat, op9_simhash, op10_lm, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -85,5 +90,21 @@ FROM docs LEFT JOIN n_hit USING (doc_id) LEFT JOIN n_items USING (doc_id)
 """
 
 
+SECRETS_BASE = r"""
+WITH shapes(k, kind, least) AS (VALUES (0, 'assign', 6), (1, 'access', 20), (2, 'hex', 24)),
+found AS (
+  SELECT doc_id, k, kind, least, CASE k WHEN 0 THEN regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) WHEN 1 THEN regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0) ELSE regexp_extract_all(t, '[0-9a-f]+', 0) END AS whole,
+    CASE k WHEN 0 THEN regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) WHEN 1 THEN regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0) ELSE regexp_extract_all(t, '[0-9a-f]+', 0) END AS value,
+    CASE k WHEN 0 THEN string_split_regex(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') WHEN 1 THEN string_split_regex(t, 'AKIA[A-Z0-9]+') ELSE string_split_regex(t, '[0-9a-f]+') END AS gap
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), shapes),
+each AS (SELECT doc_id, k, kind, least, unnest(range(1, len(whole) + 1)) AS i, whole, value, gap FROM found),
+spans AS (
+  SELECT doc_id, k, kind, list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS s, length(whole[i]) AS n FROM each WHERE length(value[i]) >= least),
+sums AS (
+  SELECT doc_id, count_if(k = 0) AS a, count_if(k = 1) AS b, count_if(k = 2) AS h, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, k) AS line FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(line, '')) AS base_sha256 FROM documents LEFT JOIN sums USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op4_decontaminate": OP4}
+    return {"op2_exact_dedup": OP2, "op4_decontaminate": OP4, "secrets_base": SECRETS_BASE}

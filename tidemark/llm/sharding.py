@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import durable, text_of
 
 #: Multiplier of the generator (fixed value).
 MULTIPLIER = 2862933555777941757
@@ -29,35 +29,54 @@ def _step(hi: Column, lo: Column) -> tuple[Column, Column]:
     return (carry + cross).bitwiseAND(mask), low.bitwiseAND(mask)
 
 
-def jump_hash(key: Column, shards: int) -> Column:
-    """Shard 0 to shards-1 of a long key; a null key hashes like any other value upstream, so it never arrives here."""
+def jump_hashes(key: Column, shards: int) -> Column:
+    """Struct of ``now``, the shard of a long key among ``shards``, and ``grown``, the one among ``shards`` + 1.
+
+    One fold gives both: the jumps are the same, ``now`` is the last one below ``shards``. A null key hashes like any other
+    value upstream, so it never arrives here.
+    """
     if shards < 1:
         raise ValueError("shards must be 1 or more")
 
     def jump(s: Column, _: Column) -> Column:
         hi, lo = _step(s["hi"], s["lo"])
         to = F.floor((s["j"] + 1) * (F.lit(2.0**31) / (F.shiftright(hi, 1) + 1))).cast("long")
-        return F.when(s["j"] < shards, F.struct(hi.alias("hi"), lo.alias("lo"), s["j"].alias("b"), to.alias("j"))).otherwise(s)
+        now = F.when(s["j"] < shards, s["j"]).otherwise(s["now"])
+        return F.when(s["j"] <= shards, F.struct(hi.alias("hi"), lo.alias("lo"), now.alias("now"), s["j"].alias("grown"), to.alias("j"))).otherwise(s)
+
+    none = F.lit(-1).cast("long")
+    start = F.struct(F.shiftrightunsigned(key, 32).alias("hi"), key.bitwiseAND(F.lit(MASK)).alias("lo"), none.alias("now"), none.alias("grown"), F.lit(0).cast("long").alias("j"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(shards + 1)), start, jump, lambda s: F.struct(s["now"].cast("int").alias("now"), s["grown"].cast("int").alias("grown")))
+
+
+def jump_hash(key: Column, shards: int) -> Column:
+    """Shard 0 to shards-1 of a long key."""
+    return jump_hashes(key, shards)["now"]
+
 
-    start = F.struct(F.shiftrightunsigned(key, 32).alias("hi"), key.bitwiseAND(F.lit(MASK)).alias("lo"), F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("j"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, jump, lambda s: s["b"]).cast("int")
+#: Rows that are numbered in one task.
+NUMBERED = 1_000_000
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", blocks: int = 256) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", numbered: int = NUMBERED) -> DataFrame:
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard.
 
-    The law is ``key``: the id and the number of shards decide alone. Null ids share one key. Slots count from 0 in each
-    shard without gaps: rows are numbered inside (shard, block) and the blocks' offsets are added, so no task holds a whole
-    shard. The offsets are shards x blocks rows whatever the input, which bounds their broadcast. Null text has size 1.
+    The law is ``key``: the id and the number of shards decide alone. Null ids share one key; rows that repeat an id share its
+    shard. Slots count from 0 in each shard without gaps: rows get a number when they are written, are dealt by it to blocks of
+    about ``numbered`` rows, numbered inside (shard, block), and the blocks' offsets are added. So no task holds a whole shard,
+    nor all rows of one id. The offsets are a row for each ``numbered`` input rows. Null and empty texts have size 1; texts of any length count
+    whole; an empty table gives an empty result; columns other than id and text are not read.
     """
     text = text_of(text_col)
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), jump_hash(key, shards).alias("shard"), jump_hash(key, shards + 1).alias("grown_shard"))
-    rows = rows.withColumn("block", F.pmod(F.hash("id", "text_crc32", "size"), F.lit(blocks)))
+    to = jump_hashes(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), shards)
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), to.alias("to"), F.monotonically_increasing_id().alias("seq"))
+    rows = durable(rows.select("id", "size", "text_crc32", F.col("to.now").alias("shard"), F.col("to.grown").alias("grown_shard"), "seq"), "shards")
+    blocks = max(1, -(-rows.count() // (numbered * shards)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("seq"), F.lit(blocks)))
     counts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "block").orderBy("id", "text_crc32", "size")
+    inside = Window.partitionBy("shard", "block").orderBy("seq")
     return rows.withColumn("r", F.row_number().over(inside) - 1).join(F.broadcast(offsets), ["shard", "block"]).select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("r") + F.col("offset")).cast("long").alias("slot"), "grown_shard",
     )
