@@ -3,7 +3,9 @@
 Counts of unigrams and bigrams over all training documents are quantised to log_base(count) and stored in a Bloom filter:
 an n-gram of level q is entered with the marks 1..q. Its count is read back by probing mark after mark until one misses.
 Nothing but bits is kept, so millions of n-grams fit in a broadcast. Probabilities are interpolated from the read counts.
-Each n-gram's bits lie in one segment of the filter, so tasks build whole segments and nobody holds all n-grams.
+Each n-gram's bits lie in one segment of the filter, so tasks build whole segments and nobody holds all n-grams. The filter
+grows with the n-grams without bound: up to ``max_filter_mb`` it is broadcast; a larger one stays a table, of which each
+task loads one shelf (a range of segments) and answers the probes that were sent to it. Both ways read the same counts.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +30,14 @@ PROBES = 4
 #: Bits for an entry; with 4 probes about 2.4 % of absent marks are found by chance.
 BITS_PER_ENTRY = 8
 LEVELS = 40
-BUCKET_BITS = 10
+#: Training text, in bytes, whose n-grams make up one bucket, the unit in which n-grams are dealt out to tasks.
+BUCKET_BYTES = 1 << 20
 #: Segments that a task builds before it hands them on (256 kB each).
 BUILT = 320
 #: Weight of the bigram against the unigram.
 LAMBDA = 0.6
 END = b"\n"  # no word holds white space, so this is no word
+#: Tokens looked up at once.
 PIECE = 200_000
 REMEMBERED = 150_000
 
@@ -79,8 +84,11 @@ def ngram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(n, key, c): counts of all unigram and bigram keys of all documents, added up in the task before the one shuffle.
 
     They are dealt out by the first bits of the key's hash, so that a partition holds a few whole stretches of the filter.
+    The number of stretches grows with the text.
     """
     ship(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(text_of(text_col)).cast("long")).alias("b")).first()["b"] or 0
+    bits = max(10, (size // BUCKET_BYTES).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -94,7 +102,7 @@ def ngram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     parts.clear()
                     for at in range(0, len(key), 1 << 18):
                         k = key[at : at + (1 << 18)]
-                        bucket = (mix(k) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+                        bucket = (mix(k) >> np.uint64(64 - bits)).astype(np.int32)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n, np.int32)), pa.array(k.view(np.int64)), pa.array(c[at : at + (1 << 18)]), pa.array(bucket)], ["n", "key", "c", "bucket"])
 
         for b in batches:
@@ -119,62 +127,93 @@ def level(c: Column) -> Column:
     return F.least(F.floor(F.log2(c.cast("double")) / F.lit(log(BASE, 2)) + 1e-9).cast("int") + 1, F.lit(LEVELS))
 
 
+def segment_of(key: np.ndarray, segments: int) -> np.ndarray:
+    """By the first 32 bits of the spread key, so that keys of a bucket lie in neighbouring segments."""
+    return ((mix(key) >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+
+
 def places(key: np.ndarray, mark: int | np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """Segment of each key and its PROBES bit places in it for a mark."""
-    segment = ((mix(key) >> np.uint64(40)) * np.uint64(segments)) >> np.uint64(24)
+    segment = segment_of(key, segments)
     h = mix(key + np.asarray(mark, np.uint64) * np.uint64(0x9FB21C651E98DF25))
     step = (h >> np.uint64(32)) | np.uint64(1)
     return segment, (h[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) & np.uint64(SEGMENT_BITS - 1)
 
 
 @dataclass
-class Model:
-    filter: np.ndarray  # (segments, SEGMENT_BITS / 8) bytes
-    tokens: int
-    vocabulary: int
-    least: int  # the smallest bigram count that is stored
+class Filter:
+    """The segments from ``first`` on of a filter of ``segments`` segments."""
 
-    def count(self, key: np.ndarray) -> np.ndarray:
-        """Read counts: the middle of the highest level whose marks are all found, else 0."""
-        found = np.zeros(len(key))
+    bits: np.ndarray  # (segments held, SEGMENT_BITS / 8) bytes
+    first: int
+    segments: int
+
+    def levels(self, key: np.ndarray) -> np.ndarray:
+        """Highest level of each key, whose segment must be held, up to which all marks are found; 0 if none is."""
+        found = np.zeros(len(key), np.uint8)
         open_ = np.arange(len(key))
         for mark in range(1, LEVELS + 1):
-            segment, bit = places(key[open_], mark, len(self.filter))
-            hit = ((self.filter[segment[:, None], bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+            segment, bit = places(key[open_], mark, self.segments)
+            hit = ((self.bits[(segment - np.uint64(self.first))[:, None], bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
             open_ = open_[hit]
             if not len(open_):
                 break
-            found[open_] = 1 if mark == 1 else (BASE ** (mark - 1) + BASE**mark - 1) / 2
+            found[open_] = mark
         return found
 
-    def log10_probability(self, h: np.ndarray, before_first: np.uint64 = END_HASH) -> np.ndarray:
-        """Of each token after the one before it."""
-        first = np.array([before_first], np.uint64)
-        one, at1 = np.unique(np.concatenate([first, h]), return_inverse=True)
-        c1 = self.count(one)[at1]
-        unigram = (c1[1:] + 1) / (self.tokens + self.vocabulary + 1)
-        two, at2 = np.unique(bigrams(h, before_first), return_inverse=True)
-        ratio = np.minimum(self.count(two)[at2] / np.maximum(c1[:-1], 1), 1.0)
-        return np.log10(LAMBDA * ratio + (1 - LAMBDA) * unigram)
+
+#: The count that a level stands for: the middle of its range.
+MIDDLE = np.array([0.0, 1.0] + [(BASE ** (q - 1) + BASE**q - 1) / 2 for q in range(2, LEVELS + 1)])
+
+
+@dataclass
+class Model:
+    table: DataFrame  # (segment, bits), possibly several rows a segment, to be or-ed
+    segments: int
+    tokens: int
+    vocabulary: int
+
+    def load(self) -> Filter:
+        """The whole filter, for a broadcast; callers check its size first."""
+        bits = np.zeros((self.segments, SEGMENT_BITS // 8), np.uint8)
+        for r in self.table.toLocalIterator():
+            bits[r["segment"]] |= np.frombuffer(r["bits"], np.uint8)
+        return Filter(bits, 0, self.segments)
+
+
+@dataclass
+class Question:
+    """The n-grams that a stretch of tokens needs, each once, and the probabilities once their levels are known."""
+
+    keys: np.ndarray  # unigrams, then bigrams
+    unigrams: int
+    token: np.ndarray  # of the token before the stretch and of each token: place of its unigram
+    pair: np.ndarray  # of each token: place of its bigram
+
+    @staticmethod
+    def of(h: np.ndarray, before_first: np.uint64) -> Question:
+        one, token = np.unique(np.concatenate([np.array([before_first], np.uint64), h]), return_inverse=True)
+        two, pair = np.unique(bigrams(h, before_first), return_inverse=True)
+        return Question(np.concatenate([one, two]), len(one), token, pair)
+
+    def log10(self, levels: np.ndarray, tokens: int, vocabulary: int) -> np.ndarray:
+        """Of each token after the one before it: the bigram's share, smoothed by the unigram's."""
+        c = MIDDLE[levels]
+        one, two = c[: self.unigrams][self.token], c[self.unigrams :][self.pair]
+        unigram = (one[1:] + 1) / (tokens + vocabulary + 1)
+        return np.log10(LAMBDA * np.minimum(two / np.maximum(one[:-1], 1), 1.0) + (1 - LAMBDA) * unigram)
 
 
-def train(docs: DataFrame, text_col: str = "text", max_filter_mb: int = 256) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, text_col: str = "text", bits_per_entry: int = BITS_PER_ENTRY) -> tuple[Model, DataFrame]:
     """The model of all documents, and the exact unigram counts (key, c) it was read from.
 
-    The filter grows with the number of n-grams up to ``max_filter_mb``, its proven bound. Where all bigrams would need
-    more, the rarest levels are left out, as few as make the rest fit; the histogram of levels over all data decides.
+    Every n-gram enters the filter, whose segments grow with their number. An empty table gives an empty model.
     """
-    spark = docs.sparkSession
     counts = durable(ngram_counts(docs, text_col), "ngrams")
     levels = counts.groupBy("n", level(F.col("c")).alias("q")).agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c")).collect()  # LEVELS * 2 rows
     tokens = sum(r["c"] for r in levels if r["n"] == 1)
     vocabulary = sum(r["k"] for r in levels if r["n"] == 1)
-    budget = max_filter_mb * 8_000_000 // BITS_PER_ENTRY
-    lowest = 1
-    entries = lambda low: sum(r["k"] * r["q"] for r in levels if r["n"] == 1 or r["q"] >= low)
-    while lowest < LEVELS and entries(lowest) > budget:
-        lowest += 1
-    segments = max(1, ceil(min(entries(lowest), budget) * BITS_PER_ENTRY / SEGMENT_BITS))
+    segments = max(1, ceil(sum(r["k"] * r["q"] for r in levels) * bits_per_entry / SEGMENT_BITS))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments as far as this task's keys set their bits; a segment that several tasks touch is or-ed together later."""
@@ -182,7 +221,7 @@ def train(docs: DataFrame, text_col: str = "text", max_filter_mb: int = 256) ->
 
         def out() -> Iterator[pa.RecordBatch]:
             for at, bits in open_.items():
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
             open_.clear()
 
         for b in batches:
@@ -199,11 +238,9 @@ def train(docs: DataFrame, text_col: str = "text", max_filter_mb: int = 256) ->
                         open_.setdefault(int(segment[lo]), np.zeros(SEGMENT_BITS, np.uint8))[bit[lo:hi].ravel()] = 1
         yield from out()
 
-    stored = counts.where((F.col("n") == 1) | (level(F.col("c")) >= lowest)).select("key", level(F.col("c")).alias("q"))
-    table = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for r in durable(stored.mapInArrow(build, "segment int, bits binary"), "filter").toLocalIterator():
-        table[r["segment"]] |= np.frombuffer(r["bits"], np.uint8)
-    return Model(table, tokens, vocabulary, int(BASE ** (lowest - 1))), counts.where("n = 1").select("key", "c")
+    stored = counts.select("key", level(F.col("c")).alias("q"))
+    table = durable(stored.mapInArrow(build, "segment long, bits binary"), "filter")
+    return Model(table, segments, tokens, vocabulary), counts.where("n = 1").select("key", "c")
 
 
 # ---- scores ---------------------------------------------------------------------------------------------------------
@@ -237,58 +274,148 @@ def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def score(docs: DataFrame, model: Model, unigrams: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_words: int = 2_000_000) -> DataFrame:
+#: Bytes of filter that a task loads to answer probes, and of probes that it gets, when the filter is no broadcast.
+SHELF, PROBED = 64 << 20, 64 << 20
+
+
+def score(docs: DataFrame, model: Model, unigrams: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_words: int = 2_000_000, max_filter_mb: float = 256, stretch: int = PIECE) -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score is exact, so it needs exact counts: those of the ``head_words`` most frequent words are broadcast (16 bytes a
     word, at most that many); the words of a document that are not among them are joined with the tail's counts. So hot words
-    never meet in a join, and the tail may have any size. Null texts count as empty: one token, the end. Rows are
-    independent; repeated rows give equal results.
+    never meet in a join, and the tail may have any size. A filter of up to ``max_filter_mb`` is broadcast; of a larger one,
+    tasks load a shelf each (``probe``). ``stretch`` tokens are
+    looked up at once. Null texts count as empty: one token, the end. Rows are independent; repeated rows
+    give equal results; columns other than id and text are not read.
     """
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(model)
     least = head_of(unigrams, head_words)
     parts = list(_arrow_blocks(unigrams.where(F.col("c") >= least)))  # head_words rows at most
     key = np.concatenate([k for k, _ in parts] or [np.zeros(0, np.int64)]).view(np.uint64)
     order = np.argsort(key)
     head = spark.sparkContext.broadcast((key[order], np.concatenate([c for _, c in parts] or [np.zeros(0, np.int64)])[order]))
     has_tail = least > 1
-    whole = float(model.tokens + model.vocabulary + 1)
-    del parts, key, order
+    tokens, vocabulary, segments = model.tokens, model.vocabulary, model.segments
+    whole = float(tokens + vocabulary + 1)
+    small = segments * (SEGMENT_BITS // 8) <= max_filter_mb * 1e6
+    shared = spark.sparkContext.broadcast(model.load()) if small else None
+    per_shelf = max(1, min(SHELF, int(max_filter_mb * 1e6)) // (SEGMENT_BITS // 8))
+    schema = f"id {kind}, row long, n_tokens long, score double, n_known long, log_c double, rest array<long>, piece long, shelf long, data binary, rows array<long>, sizes array<long>"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, m = Hashes(), shared.value
+        hashes, task, row, piece = Hashes(), TaskContext.get().partitionId() << 33, 0, 0
         for b in batches:
+            types = [b.schema.field(0).type, *[pa.int64()] * 2, pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), *[pa.int64()] * 2, pa.binary(), *[pa.list_(pa.int64())] * 2]
+
+            def out(n: int, **cols: pa.Array) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(n, t)) for c, t in zip(names, types)], names)
+
             for lo, hi in portions(b.column(1)):
                 docs_tokens = [tokens_of(t) for t in b.column(1).slice(lo, hi - lo).to_pylist()]
                 sizes = np.array([len(t) for t in docs_tokens])
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                ends = np.cumsum(sizes)
+                starts = ends - sizes
                 h = hashes.of([w for t in docs_tokens for w in t])
                 del docs_tokens
-                p, c = np.empty(len(h)), np.empty(len(h), np.int64)
-                for at in range(0, len(h), PIECE):
-                    part = h[at : at + PIECE]
-                    p[at : at + PIECE] = m.log10_probability(part, h[at - 1] if at else END_HASH)
-                    c[at : at + PIECE] = _lookup(head.value, part)
-                cols = [b.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(np.add.reduceat(p, starts)), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(np.log10(c + 1.0), starts))]
-                names = ["id", "n_tokens", "score", "n_known", "log_c"]
+                p, c = np.zeros(len(h)), np.empty(len(h), np.int64)
+                for at in range(0, len(h), stretch):
+                    part, before = h[at : at + stretch], h[at - 1] if at else END_HASH
+                    c[at : at + stretch] = _lookup(head.value, part)
+                    q = Question.of(part, before)
+                    if shared is not None:
+                        p[at : at + stretch] = q.log10(shared.value.levels(q.keys), tokens, vocabulary)
+                        continue
+                    held = np.flatnonzero((starts < at + len(part)) & (ends > at))  # the documents of these tokens
+                    lengths = np.minimum(ends[held], at + len(part)) - np.maximum(starts[held], at)
+                    shelf = (segment_of(q.keys, segments) // np.uint64(per_shelf)).astype(np.int64)
+                    some = np.unique(shelf)
+                    ids = pa.array(np.full(len(some) + 1, task + piece))
+                    data = [np.append(before, part).tobytes()] + [q.keys[shelf == k].tobytes() for k in some]
+                    yield out(len(data), piece=ids, shelf=pa.array(np.append(-1, some)), data=pa.array(data, pa.binary()), rows=pa.array([(task + row + held).tolist()] + [[]] * len(some), pa.list_(pa.int64())), sizes=pa.array([lengths.tolist()] + [[]] * len(some), pa.list_(pa.int64())))
+                    piece += 1
+                cols = {"id": b.column(0).slice(lo, hi - lo), "row": pa.array(task + row + np.arange(hi - lo)), "n_tokens": pa.array(sizes), "score": pa.array(np.add.reduceat(p, starts)), "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), "log_c": pa.array(np.add.reduceat(np.log10(c + 1.0), starts))}
                 if has_tail:
-                    cols.append(_lists(np.repeat(np.arange(len(sizes)), sizes)[c == 0], h[c == 0], len(sizes)))
-                    names.append("rest")
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    schema = f"id {kind}, n_tokens long, score double, n_known long, log_c double"
-    done = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, schema + (", rest array<long>" if has_tail else ""))
-    if has_tail:
-        each = durable(done.withColumn("row", F.monotonically_increasing_id()), "scored")  # written, so the numbers stay
-        words = each.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("tf"))
-        tail = unigrams.where(F.col("c") < least)
-        sums = words.join(tail, "key").groupBy("row").agg(F.sum("tf").alias("k"), F.sum(F.col("tf") * F.log10(F.col("c") + F.lit(1.0))).alias("l"))
-        done = each.drop("rest").join(sums, "row", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("k", F.lit(0)), "log_c": F.col("log_c") + F.coalesce("l", F.lit(0.0))})
+                    cols["rest"] = _lists(np.repeat(np.arange(len(sizes)), sizes)[c == 0], h[c == 0], len(sizes))
+                yield out(hi - lo, **cols)
+                row += hi - lo
+
+    done = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    if has_tail or not small:
+        written = durable(done, "scored")
+        done = written.where("row IS NOT NULL")
+        if has_tail:
+            words = done.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("tf"))
+            tail = unigrams.where(F.col("c") < least)
+            sums = words.join(tail, "key").groupBy("row").agg(F.sum("tf").alias("k"), F.sum(F.col("tf") * F.log10(F.col("c") + F.lit(1.0))).alias("l"))
+            done = done.join(sums, "row", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("k", F.lit(0)), "log_c": F.col("log_c") + F.coalesce("l", F.lit(0.0))})
+        if not small:
+            done = done.drop("score").join(probe(written.where("piece IS NOT NULL").select("piece", "shelf", "data", "rows", "sizes"), model, per_shelf), "row")
     base = F.col("log_c") - F.col("n_tokens") * F.lit(log(whole) / log(10))
-    return done.select(F.col("id").alias(id_col), "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return done.select(F.col("id").alias(id_col), "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+
+
+def probe(pieces: DataFrame, model: Model, per_shelf: int) -> DataFrame:
+    """(row, score) from a filter of any size, by sending the probes to its shelves.
+
+    ``pieces`` has for each piece of text its tokens (shelf -1: data, with the documents' rows and sizes) and, for each shelf,
+    the keys to look up. A shelf is sent to as many tasks as its probes need; a task loads it and streams its probes past it.
+    The levels go back to the piece, which then has its probabilities.
+    """
+    segments, tokens, vocabulary = model.segments, model.tokens, model.vocabulary
+    shelves = -(-segments // per_shelf)
+    asked = pieces.where("shelf >= 0").select("piece", "shelf", "data")
+    size = asked.agg(F.sum(F.octet_length("data").cast("long")).alias("b")).first()["b"] or 0
+    salts = max(1, -(-size // (shelves * PROBED)))
+    of = F.floor(F.col("segment") / per_shelf).cast("long")
+    bits = model.table.select(of.alias("shelf"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(None).cast("long").alias("piece"), "segment", F.col("bits").alias("data"))
+    keys = asked.select("shelf", F.pmod(F.xxhash64("piece"), F.lit(salts)).alias("salt"), "piece", F.lit(None).cast("long").alias("segment"), "data")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, filter_ = None, None
+        for b in batches:
+            shelf, salt, piece, segment, data = (b.column(i).to_pylist() for i in range(5))
+            found = []
+            for i in range(b.num_rows):
+                if here != (shelf[i], salt[i]):
+                    here, filter_ = (shelf[i], salt[i]), Filter(np.zeros((per_shelf, SEGMENT_BITS // 8), np.uint8), shelf[i] * per_shelf, segments)
+                if piece[i] is None:
+                    filter_.bits[segment[i] - filter_.first] |= np.frombuffer(data[i], np.uint8)
+                else:
+                    found.append((piece[i], shelf[i], filter_.levels(np.frombuffer(data[i], np.uint64)).tobytes()))
+            p, k, d = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(k, pa.int64()), pa.array(d, pa.binary())], ["piece", "shelf", "data"])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, None
+
+        def result() -> pa.RecordBatch:
+            q, rows, sizes, levels, _ = held
+            p = q.log10(levels, tokens, vocabulary)
+            starts = np.cumsum(sizes) - sizes
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.add.reduceat(p, starts))], ["row", "part"])
+
+        for b in batches:
+            for piece, shelf, data, rows, sizes in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if piece != here:
+                    if held is not None:
+                        yield result()
+                    h = np.frombuffer(data, np.uint64)  # shelf -1 comes first
+                    q = Question.of(h[1:], h[0])
+                    here, held = piece, (q, rows, np.array(sizes), np.zeros(len(q.keys), np.uint8), segment_of(q.keys, segments) // np.uint64(per_shelf))
+                else:
+                    held[3][held[4] == shelf] = np.frombuffer(data, np.uint8)
+        if held is not None:
+            yield result()
+
+    none = F.lit(None).cast("array<long>")
+    # Nulls sort first: a shelf's segments stand before its probes.
+    sent = bits.unionAll(keys).repartition("shelf", "salt").sortWithinPartitions("shelf", "salt", "piece").mapInArrow(answer, "piece long, shelf long, data binary")
+    back = pieces.where("shelf < 0").select("piece", "shelf", "data", "rows", "sizes").unionAll(sent.select("piece", "shelf", "data", none.alias("rows"), none.alias("sizes")))
+    parts = back.repartition("piece").sortWithinPartitions("piece", "shelf").mapInArrow(combine, "row long, part double")
+    return parts.groupBy("row").agg(F.sum("part").alias("score"))
 
 
 def _lookup(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
@@ -320,8 +447,11 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 7 == 2
 
 
-def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_mb: int = 256, head_words: int = 2_000_000) -> DataFrame:
-    """Learn from the documents that are not held out and score all of them; adds held_out to the columns of ``score``."""
-    model, unigrams = train(docs.where(~held_out(F.col(id_col))), text_col, max_filter_mb)
-    scored = score(docs, model, unigrams, id_col, text_col, head_words)
+def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_mb: float = 256, head_words: int = 2_000_000) -> DataFrame:
+    """Learn from the documents that are not held out and score all of them; adds held_out to the columns of ``score``.
+
+    Null texts count as empty, null ids as an empty id; repeated rows count and are scored each; an empty table gives an empty result.
+    """
+    model, unigrams = train(docs.where(~held_out(F.col(id_col))), text_col)
+    scored = score(docs, model, unigrams, id_col, text_col, head_words, max_filter_mb)
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
