@@ -65,6 +65,22 @@ def test_odd_pages(model, page):
     assert "\n\n" not in text and "<b>" not in text
 
 
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ("<p>One.</p><svg/><p>Two is here.</p>", "One.\nTwo is here."),
+        ("<p>One.</p><iframe src=x><p>Two is here.</p>", "One.\nTwo is here."),
+        ("<p>One.</p><script>var a = '<b>'; <p>Two is here.</p>", "One.\nTwo is here."),
+        ("<p>One is here.</p><div>Two</div>", "One is here.\nTwo"),
+        ('<p>See this code:</p><div class="highlight"><pre>x = 1</pre></div><p>Done.</p>', "See this code:\nx = 1\nDone."),
+        ("<section><h2>S</h2><div><p>Deep.</p></div></section><figure><figcaption>A cap.</figcaption></figure>", "S\nDeep.\nA cap."),
+        ('<p>Text.</p><div class="ad">Buy now, this is a long advert of many words.</div><p>More.</p>', "Text.\nMore."),
+    ],
+)
+def test_article_holds_all_of_its_text(model, inner, want):
+    assert model.text(f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article>{inner}</article><footer>x</footer></body></html>") == want
+
+
 def test_blocks_and_references():
     texts = [n.text for n in html_text.parse('<div>a <b>b</b>&amp;<br>c<p>d  e<p title="x>y">f</div><td>g<script>no</script>') if n.tag == "#text"]
     assert texts == ["a b& c", "d e", "f", "g"]

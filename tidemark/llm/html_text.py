@@ -55,15 +55,15 @@ class Node:
 def parse(page: str) -> list[Node]:
     """The page's block elements and blocks of text; parents stand before children. Unclosed and stray tags are tolerated."""
     nodes = [Node("#root", -1)]
-    stack, names = [0], ["#root"]
+    open_nodes, names = [0], ["#root"]
     buffer: list[str] = []
     state = {"link": 0, "linked": 0, "space": False}
 
     def flush() -> None:
         text = SPACE.sub(" ", html.unescape("".join(buffer))).strip()
         if text:
-            nodes[stack[-1]].children.append(len(nodes))
-            nodes.append(Node("#text", stack[-1], text=text, linked=min(state["linked"], len(text))))
+            nodes[open_nodes[-1]].children.append(len(nodes))
+            nodes.append(Node("#text", open_nodes[-1], text=text, linked=min(state["linked"], len(text))))
         buffer.clear()
         state["linked"] = 0
 
@@ -71,8 +71,8 @@ def parse(page: str) -> list[Node]:
         if tag in names:
             flush()
             while names.pop() != tag:
-                stack.pop()
-            stack.pop()
+                open_nodes.pop()
+            open_nodes.pop()
 
     at = 0
     while (m := TOKEN.match(page, at)) is not None:
@@ -81,9 +81,7 @@ def parse(page: str) -> list[Node]:
             buffer.append(m["text"])
             state["linked"] += len(m["text"]) if state["link"] else 0
         elif m["raw"]:
-            tag = m["raw"].lower()
-            end = _end_of(tag).search(page, at)
-            at = end.end() if end else len(page) if tag != "head" else at
+            at = _behind(page, m["raw"].lower(), at, m.group().endswith("/>"))
         elif m["tag"]:
             tag = m["tag"].lower()
             if tag == "a":
@@ -103,19 +101,40 @@ def parse(page: str) -> list[Node]:
                         break
                 if tag not in VOID:
                     found = " ".join(a or b or c for a, b, c in NAME.findall(m["attrs"] or "")).lower()
-                    nodes[stack[-1]].children.append(len(nodes))
-                    nodes.append(Node(tag, stack[-1], frozenset(re.findall(r"[a-z]+", found)), label=int("data-main" in (m["attrs"] or ""))))
-                    stack.append(len(nodes) - 1)
+                    nodes[open_nodes[-1]].children.append(len(nodes))
+                    nodes.append(Node(tag, open_nodes[-1], frozenset(re.findall(r"[a-z]+", found)), label=int("data-main" in (m["attrs"] or ""))))
+                    open_nodes.append(len(nodes) - 1)
                     names.append(tag)
     flush()
     return nodes
 
 
+#: What ends a script or style that is never closed: the next tag of a block.
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})\b", re.I)
+#: Elements without markup inside; in the others an own closing slash ends the element.
+PLAIN = frozenset("script style textarea title".split())
+
+
 @lru_cache(maxsize=64)
 def _end_of(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}\s*>|(?=<body\b)" if tag == "head" else rf"</{tag}\b[^>]*>", re.I)
 
 
+def _behind(page: str, tag: str, at: int, slash: bool) -> int:
+    """Where the page goes on behind an element that is skipped and whose opening tag ends at ``at``.
+
+    An element that closes itself, or is never closed, ends with its tag; a script or style that is never closed goes up to the
+    next tag of a block. So no element swallows the rest of the page.
+    """
+    if slash and tag not in PLAIN:
+        return at
+    end = _end_of(tag).search(page, at)
+    if end is None and tag in PLAIN:
+        end = BLOCK_TAG.search(page, at)
+        return end.start() if end else at
+    return end.end() if end else at
+
+
 def looks(n: Node) -> list[str]:
     """What a node shows of itself."""
     if n.tag != "#text":
@@ -197,6 +216,8 @@ def fit(pages: list[str], smooth: float = 0.5) -> Model:
 
 # How sites name the parts of a page.
 MAIN = ['article', 'main', 'div class="content"', 'div id="main-content"', 'div class="post-body"', 'section class="article entry"', 'div class="story text"', 'article class="post"']
+#: How articles name the containers inside.
+INSIDE = ["div", "div", "div", "section", "section", 'div class="highlight"', 'div class="section"', 'div class="body"', 'div class="paragraph"', 'div class="row"', 'div class="table-wrapper"', 'div class="code"', 'section id="introduction"', 'div class="text"', "article"]
 REST = [
     ("nav", "links"), ('nav class="menu"', "links"), ('ul class="menu navigation"', "links"), ('div class="breadcrumb"', "links"), ("header", "short"), ('div class="header top"', "short"), ("footer", "short"), ('div id="footer"', "short"),
     ("aside", "mixed"), ('div class="sidebar"', "mixed"), ('div class="related widget"', "links"), ('div class="ad"', "prose"), ('div class="ads banner sponsored"', "prose"), ('div class="advert promo"', "prose"), ('div class="cookie notice"', "prose"),
@@ -208,7 +229,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
     """Training pages with known main text, made from page parts in many orders and with texts of any length.
 
     Each also shows what misleads: one-word paragraphs in the article, long prose in adverts and comments, advert and
-    related boxes inside the article, unclosed paragraphs.
+    related boxes inside the article, unclosed paragraphs, main text in plain or named containers, code and figures.
     """
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("aeiounrstlmdé") for _ in range(rng.randint(1, 9)))
@@ -233,19 +254,29 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
     def marked(opening: str, inner: str) -> str:
         return f"<{opening} data-main>{inner}</{opening.split()[0]}>"
 
+    def nested() -> str:
+        """Main text inside containers of its own."""
+        inside = [marked("p", prose()), marked("p", prose()), prose(), marked("h3", some(1, 5)), marked("pre", marked("code", some(1, 30))), marked("ul", marked("li", prose()) + marked("li", some(1, 5)))]
+        inner = "".join(rng.choice(inside) for _ in range(rng.choice([1, 1, 2, 4])))
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            inner = marked(rng.choice(INSIDE), inner)
+        return inner
+
     pages = []
     for _ in range(n):
         body = []
         for _ in range(rng.choice([1, 2, 5, 12])):
             kind = rng.random()
-            if kind < 0.7:
+            if kind < 0.14:
+                body.append(nested())
+            elif kind < 0.7:
                 body.append(f"<p data-main>{prose()}" + rng.choice(["</p>", "</p>", ""]))
             elif kind < 0.8:
                 body.append(marked(f"h{rng.randint(2, 4)}", some(1, 6)))
             elif kind < 0.88:
                 body.append("<ul data-main>" + "".join(marked("li", rng.choice([prose(), some(1, 4), f'<a href="/x">{some(1, 4)}</a>'])) for _ in range(3)) + "</ul>")
             elif kind < 0.92:
-                body.append(marked("blockquote", marked("p", prose())))
+                body.append(rng.choice([lambda: marked("blockquote", marked("p", prose())), lambda: marked("figure", marked("figcaption", some(2, 12))), lambda: marked("dl", marked("dt", some(1, 3)) + marked("dd", prose()))])())
             elif kind < 0.96:
                 body.append(rest(rng.choice([p for p in REST if "ad" in p[0] or "related" in p[0] or "share" in p[0]])))
             else:
@@ -267,7 +298,9 @@ def default_model() -> Model:
 def extract(pages: DataFrame, model: Model | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text (empty if none), n_chars (code points).
 
-    Null html counts as empty. Rows are independent; repeated rows give equal results, an empty table an empty one.
+    Null html counts as empty. Rows are independent; repeated rows give equal results, an empty table an empty one. Pages of
+    any length are parsed whole; columns other than id, url and html are not read, so their names cannot clash. A block as
+    likely content as not counts as content.
     """
     spark = pages.sparkSession
     ship(spark)
