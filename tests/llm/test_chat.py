@@ -41,7 +41,8 @@ def test_segments_equal_the_whole_path(spark, model, monkeypatch):
     texts = ["a?", "b " * 40, "c", "User: d", "e " * 99 + "\nf", "g", "AI: h", "i?"]
     df = spark.createDataFrame([(c, i, t) for c in (1, None) for i, t in enumerate(texts)] + [(1, 0, "a?")], "conv_id long, turn int, text string")
     whole = {(r.conv_id, r.turn): r.role for r in chat.format_turns(df, model).collect()}
-    monkeypatch.setattr(chat, "SEGMENT", 3)
+    monkeypatch.setattr(chat, "SEGMENT", 1)
+    monkeypatch.setattr(chat, "CHAIN", 3)  # eight segments: two levels
     cut = {(r.conv_id, r.turn): r.role for r in chat.format_turns(df, model).collect()}
     assert whole == cut and len(whole) == 16
     shown = df.where("conv_id = 1").distinct().orderBy("turn").select(*[c.alias(f) for f, c in chat.features(F.col("text")).items()]).toPandas()
@@ -52,7 +53,16 @@ def test_segments_equal_the_whole_path(spark, model, monkeypatch):
 def test_odd_rows(spark, model):
     df = spark.createDataFrame([(1, None, None, None), (2, 0, "user", None), (2, 0, "user", None), (3, 5, "x", " Bot: hi ")], "conv_id long, turn int, role string, text string").selectExpr("*", "1 AS c", "2 AS p", "3 AS s", "4 AS opens")
     got = {r.conv_id: r for r in chat.format_report(df).collect()}
-    assert len(got) == 3 and got[2].n_chars == len(f"<|{got[2].role}|>\n\n<|end|>\n")
-    rendered = f"<|{got[3].role}|>\nhi\n<|end|>\n"
+    assert len(got) == 3 and got[2].n_chars == len(f"<|{got[2].role}|>\n\n<|end|>\n") and got[2].n_rows == 2
+    rendered = f"<|{got[3].role}|>\nhi \n<|end|>\n"
     assert got[3].rendered_sha256 == hashlib.sha256(rendered.encode()).hexdigest()
     assert chat.format_report(df.limit(0)).count() == 0
+
+
+def test_turns_with_several_speakers(spark, model):
+    texts = ["Hello, is anybody there?", "User: what is this?\nsecond line\nAssistant: an answer\nHuman: thanks", "You are welcome.\n\nBye."]
+    df = spark.createDataFrame([("x", i, t) for i, t in enumerate(texts)], "conv_id string, turn int, text string")
+    got = {r.turn: r for r in chat.format_conversations(df, model).collect()}
+    assert [got[i].n_messages for i in range(3)] == [1, 3, 1]
+    assert got[1].rendered == "<|user|>\nwhat is this?\nsecond line\n<|end|>\n<|assistant|>\nan answer\n<|end|>\n<|user|>\nthanks\n<|end|>\n"
+    assert got[2].rendered == f"<|{got[2].role}|>\nYou are welcome.\n\nBye.\n<|end|>\n"

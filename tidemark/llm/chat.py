@@ -3,8 +3,10 @@
 A transcript is a sequence of units, whole messages or single lines. Each unit shows a speaker marker, a length, whether
 it asks, whether it has several lines; the hidden state is the role. Units that open a message pass roles by learned
 transitions, other units keep the role. Viterbi's best path is exact for any length: transcripts are cut into segments, each
-gives a small matrix of best scores from entry to exit role, the matrices of a transcript are chained, and every segment then
-traces its own part of the best path. So no task ever holds a whole long transcript.
+gives a small matrix of best scores from entry to exit role. Neighbouring matrices are multiplied (best score for sum, sum
+for product) in groups of ``CHAIN``, level by level, until one is left; on the way back each group tells its members the
+roles at their ends, and every segment traces its own part of the best path. No task ever holds a whole long transcript, nor
+all its matrices.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ SPEAKERS = {"system": "system|instructions?|context", "user": "user|human|q|ques
 MARKER = r"^\s*(?:[#>*\[(<|_-]{0,4}\s*)(?i:(%s))\s*(?:[*_\])>|]{0,3}\s*)[:>]\s*(?:\*\*)?\s*"
 ANY = MARKER % "|".join(SPEAKERS.values())
 FEATURES = {"marker": 4, "size": 12, "asks": 2, "lines": 2}
-SEGMENT = 128
+#: Units in a segment, and matrices that are multiplied at once.
+SEGMENT, CHAIN = 128, 1024
 
 
 def features(text: Column) -> dict[str, Column]:
@@ -56,6 +59,7 @@ def train(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", rol
     huge conversation is no hot key. ``marker_trust`` counts as many examples that a marker names its role.
     """
     rows = turns.select(F.col(id_col).alias("c"), F.col(turn_col).cast("long").alias("t"), F.lower(role_col).alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("x")).where(F.col("r").isin(ROLES))
+    order = durable(rows.select("c", "t", "r").distinct(), "order")  # repeated rows would meet one another in the join
     place = {r: i for i, r in enumerate(ROLES)}
     show = {f: np.full((3, n), smooth) for f, n in FEATURES.items()}
     for i in range(3):
@@ -64,8 +68,8 @@ def train(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", rol
         for f in FEATURES:
             show[f][place[row["r"]], row[f]] += row["count"]
     start, move = np.full(3, smooth), np.full((3, 3), smooth)
-    after = rows.select("c", F.col("t").alias("t0"), F.col("r").alias("r0")).withColumn("t", F.col("t0") + 1)
-    for row in rows.select("c", "t", "r").join(after.select("c", "t", "r0"), ["c", "t"], "left").groupBy("r0", "r").count().collect():
+    after = order.select("c", F.col("r").alias("r0"), (F.col("t") + 1).alias("t"))
+    for row in order.join(after, ["c", "t"], "left").groupBy("r0", "r").count().collect():
         if row["r0"] is None:
             start[place[row["r"]]] += row["count"]
         else:
@@ -86,15 +90,17 @@ def _steps(model: Model, opens: np.ndarray, first: bool) -> list[np.ndarray]:
     return steps
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    """Whole segments from sorted rows."""
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole groups of equal values in the columns ``names``, from sorted rows."""
     held = None
     for b in batches:
         new = b.to_pandas()
         held = new if held is None else pd.concat([held, new], ignore_index=True)
-        change = np.flatnonzero((held["k"].to_numpy()[1:] != held["k"].to_numpy()[:-1]) | (held["s"].to_numpy()[1:] != held["s"].to_numpy()[:-1])) + 1
+        change = np.zeros(max(len(held) - 1, 0), bool)
+        for c in names:
+            change |= held[c].to_numpy()[1:] != held[c].to_numpy()[:-1]
         at = 0
-        for end in change:
+        for end in np.flatnonzero(change) + 1:
             yield held.iloc[at:end]
             at = end
         held = held.iloc[at:]
@@ -102,8 +108,76 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         yield held
 
 
+def _product(mats: list[np.ndarray]) -> np.ndarray:
+    """(2, 3, 3): best scores through all of them, for a start inside a transcript and at its begin."""
+    out = mats[0]
+    for m in mats[1:]:
+        out = (out[:, :, :, None] + m[0][None, None]).max(axis=2)
+    return out
+
+
+def _ends(mats: list[np.ndarray], first: bool, enter: int, leave: int) -> tuple[list[int], list[int]]:
+    """Roles before and at the end of each member of a group, on the best path from ``enter`` to ``leave``."""
+    own = [m[int(first and i == 0)] for i, m in enumerate(mats)]
+    ahead = [np.where(np.arange(3) == enter, 0.0, -np.inf)]
+    for m in own:
+        ahead.append((ahead[-1][:, None] + m).max(axis=0))
+    before, behind, at = [], [], leave
+    for i in range(len(own) - 1, -1, -1):
+        behind.append(at)
+        at = int(np.argmax(ahead[i] + own[i][:, at]))
+        before.append(at)
+    return before[::-1], behind[::-1]
+
+
+MATRIX = "k string, s long, m array<double>"
+ENDS = "k string, s long, enter int, leave int, first boolean"
+
+
+def _levels(spread: int) -> list[int]:
+    """Segments that a member of each level spans; the last level has one member a transcript."""
+    widths = [1]
+    while widths[-1] < spread:
+        widths.append(widths[-1] * CHAIN)
+    return widths
+
+
+def segment_ends(matrices: DataFrame) -> DataFrame:
+    """(k, s, enter, leave, first) of every segment from the matrices (k, s, m) of all: up the levels, then down."""
+    low, high = matrices.agg(F.min("s").alias("low"), F.max("s").alias("high")).first()
+    if low is None:
+        return matrices.select("k", "s", F.lit(0).alias("enter"), F.lit(0).alias("leave"), F.lit(True).alias("first"))
+    widths = _levels(high - low + 1)
+    place = F.col("s") - F.lit(low)
+    mats = [durable(matrices.select("k", place.alias("s"), "m"), "level")]
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["k", "g"]):
+            m = _product([np.array(x).reshape(2, 3, 3) for x in g["m"]])
+            yield pa.RecordBatch.from_pydict({"k": [g["k"].iloc[0]], "s": [int(g["g"].iloc[0])], "m": [m.ravel().tolist()]}, pa.schema([("k", pa.string()), ("s", pa.int64()), ("m", pa.list_(pa.float64()))]))
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["k", "g"]):
+            begin = bool(g["first"].iloc[0])
+            enter, leave = _ends([np.array(x).reshape(2, 3, 3) for x in g["m"]], begin, int(g["enter"].iloc[0]), int(g["leave"].iloc[0]))
+            n = len(enter)
+            yield pa.RecordBatch.from_arrays([pa.array(g["k"], pa.string()), pa.array(g["s"], pa.int64()), pa.array(enter, pa.int32()), pa.array(leave, pa.int32()), pa.array([begin and i == 0 for i in range(n)])], ["k", "s", "enter", "leave", "first"])
+
+    group = F.floor(F.col("s") / CHAIN).cast("long")
+    for _ in widths[1:]:
+        grouped = mats[-1].select("k", group.alias("g"), "s", "m").repartition("k", "g").sortWithinPartitions("k", "g", "s")
+        mats.append(durable(grouped.mapInArrow(up, MATRIX), "level"))
+    # The last level's only member starts at the transcript's begin, whose row of scores is the same for any role before.
+    best = F.slice("m", 10, 3)
+    ends = mats[-1].select("k", "s", F.lit(0).alias("enter"), (F.array_position(best, F.array_max(best)) - 1).cast("int").alias("leave"), F.lit(True).alias("first"))
+    for m in reversed(mats[:-1]):
+        told = m.select("k", group.alias("g"), "s", "m").join(ends.withColumnRenamed("s", "g"), ["k", "g"])
+        ends = durable(told.repartition("k", "g").sortWithinPartitions("k", "g", "s").mapInArrow(down, ENDS), "ends")
+    return ends.withColumn("s", F.col("s") + F.lit(low))
+
+
 def recover(units: DataFrame, model: Model) -> DataFrame:
-    """(c, p, text, role) for units (c, p, opens, text): key, position (long), whether a message opens, text.
+    """(c, p, opens, text, role) for units (c, p, opens, text): key, position (long), whether a message opens, text.
 
     Repeated rows count once. Positions need not be dense; units of equal position are ordered by their text. Null texts
     count as empty. A null key is a transcript like any other.
@@ -114,15 +188,13 @@ def recover(units: DataFrame, model: Model) -> DataFrame:
     names = list(FEATURES)
     key = F.coalesce(F.col("c").cast("string"), F.lit("\0"))
     rows = units.select("c", key.alias("k"), "p", "opens", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    low = rows.groupBy("k").agg(F.min("p").alias("low"))
     rows = durable(rows.withColumn("s", F.floor(F.col("p") / SEGMENT)), "units")
     looks = rows.select("k", "s", "p", "opens", F.xxhash64("text").alias("d"), *[x.alias(f) for f, x in features(F.col("text")).items()])
     sorted_looks = looks.repartition("k", "s").sortWithinPartitions("k", "s", "p", "d")
-    first = low.select("k", F.floor(F.col("low") / SEGMENT).alias("s0"))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for g in _segments(batches):
+        for g in _groups(batches, ["k", "s"]):
             e = m.emissions({f: g[f].to_numpy() for f in names})
             both = []
             for is_first in (False, True):
@@ -132,23 +204,9 @@ def recover(units: DataFrame, model: Model) -> DataFrame:
                 both += best.ravel().tolist()
             yield pa.RecordBatch.from_pydict({"k": [g["k"].iloc[0]], "s": [int(g["s"].iloc[0])], "m": [both]}, pa.schema([("k", pa.string()), ("s", pa.int64()), ("m", pa.list_(pa.float64()))]))
 
-    def chain(g: pd.DataFrame) -> pd.DataFrame:
-        """Roles before and at the end of each segment of one transcript, from the segments' matrices."""
-        g = g.sort_values("s")
-        mats = [np.array(x).reshape(2, 3, 3)[int(i == 0)] for i, x in enumerate(g["m"])]
-        ahead = [np.zeros(3)]
-        for m in mats:
-            ahead.append((ahead[-1][:, None] + m).max(axis=0))
-        leave, enter, at = [], [], int(np.argmax(ahead[-1]))
-        for i in range(len(mats) - 1, -1, -1):
-            leave.append(at)
-            at = int(np.argmax(ahead[i] + mats[i][:, at]))
-            enter.append(at)
-        return pd.DataFrame({"k": g["k"], "s": g["s"], "enter": enter[::-1], "leave": leave[::-1]})
-
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for g in _segments(batches):
+        for g in _groups(batches, ["k", "s"]):
             e = m.emissions({f: g[f].to_numpy() for f in names})
             steps = _steps(m, g["opens"].to_numpy(), bool(g["first"].iloc[0]))
             best, back = steps[0][int(g["enter"].iloc[0])] + e[0], []
@@ -161,9 +219,7 @@ def recover(units: DataFrame, model: Model) -> DataFrame:
                 path.append(int(b[path[-1]]))
             yield pa.RecordBatch.from_pydict({"k": g["k"].tolist(), "p": g["p"].tolist(), "d": g["d"].tolist(), "role": [ROLES[r] for r in path[::-1]]}, pa.schema([("k", pa.string()), ("p", pa.int64()), ("d", pa.int64()), ("role", pa.string())]))
 
-    matrices = sorted_looks.mapInArrow(scores, "k string, s long, m array<double>")
-    ends = durable(matrices.groupBy("k").applyInPandas(chain, "k string, s long, enter int, leave int"), "ends")
-    ends = ends.join(first, "k").select("k", "s", "enter", "leave", (F.col("s") == F.col("s0")).alias("first"))
+    ends = segment_ends(sorted_looks.mapInArrow(scores, MATRIX))
     known = looks.join(ends, ["k", "s"])
     roles = known.repartition("k", "s").sortWithinPartitions("k", "s", "p", "d").mapInArrow(trace, "k string, p long, d long, role string")
     return rows.withColumn("d", F.xxhash64("text")).join(roles, ["k", "p", "d"]).select("c", "p", "opens", "text", "role")
@@ -188,12 +244,49 @@ def format_transcripts(docs: DataFrame, model: Model, id_col: str = "doc_id", te
     return recover(units, model).select(F.col("c").alias(id_col), F.col("p").alias("line"), "role", "opens", F.regexp_replace("text", ANY, "").alias("body"))
 
 
+def format_conversations(turns: DataFrame, model: Model, id_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
+    """One row per (id, turn): id, turn, n_rows, n_messages, role, rendered. Turns are read line by line, as a raw transcript.
+
+    A turn's first line opens a message, and so does every line with a speaker marker, so one turn may hold messages of
+    several speakers; role is that of its first line. Lines of a turn are gathered for rendering, never those of a
+    conversation. n_rows counts the rows of a turn; rows that repeat one another are read once, the lines of different texts
+    under one turn stand side by side. A null turn comes first. Turn numbers are within 2**31 of zero.
+    """
+    rows = turns.select(F.col(id_col).alias("c"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("t"), F.col(turn_col).alias("turn"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    longest = rows.agg(F.max(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n")).first()["n"] or 0
+    width = 1 << int(longest + 1).bit_length()  # positions of one turn
+    lines = rows.select("c", "t", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    units = lines.select("c", (F.col("t") * width + F.col("line")).alias("p"), ((F.col("line") == 0) | F.col("text").rlike(ANY)).alias("opens"), "text")
+    found = recover(units, model).withColumn("t", F.floor(F.col("p") / width).cast("long"))
+    each = F.array_sort(F.collect_list(F.struct("p", "text", "opens", "role")))
+    done = found.groupBy("c", "t").agg(each.alias("lines")).select("c", "t", F.element_at("lines", 1)["role"].alias("role"), F.size(F.filter("lines", lambda x: x["opens"])).alias("n_messages"), render_lines(F.col("lines")).alias("rendered"))
+    counts = rows.groupBy("c", "t", "turn").agg(F.count(F.lit(1)).alias("n_rows"))
+    on = counts["c"].eqNullSafe(done["c"]) & (counts["t"] == done["t"])
+    return counts.join(done, on).select(counts["c"].alias(id_col), F.col("turn").alias(turn_col), "n_rows", F.col("n_messages").cast("long").alias("n_messages"), "role", "rendered")
+
+
+def render_lines(lines: Column) -> Column:
+    """Messages in canonical form from the sorted lines (opens, role, text) of a turn."""
+
+    def step(a: Column, x: Column) -> Column:
+        body = F.regexp_replace(x["text"], ANY, "")
+        opened = F.concat(F.when(a == "", "").otherwise("\n<|end|>\n"), F.lit("<|"), x["role"], F.lit("|>\n"), body)
+        return F.when(x["opens"], opened).otherwise(F.concat(F.lit("\n"), x["text"]))
+
+    parts = F.transform(lines, lambda x, i: step(F.when(i == 0, "").otherwise("more"), x))
+    return F.concat(F.array_join(parts, ""), F.lit("\n<|end|>\n"))
+
+
 def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 3 == 1
 
 
 def format_report(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Train on the conversations that are not held out, format all; the rendered text is returned as SHA-256 and length."""
+    """Train on the conversations that are not held out, read all as raw transcripts; the rendered text comes as SHA-256 and length.
+
+    One row per (id, turn). Null ids and turns have rows of their own, null texts count as empty, repeated rows are counted
+    in n_rows; an empty table gives an empty result; other columns are not read.
+    """
     model = train(turns.where(~held_out(F.col(id_col))), id_col, turn_col, role_col, text_col)
-    done = format_turns(turns, model, id_col, turn_col, text_col)
-    return done.select(id_col, turn_col, held_out(F.col(id_col)).alias("held_out"), "role", F.char_length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+    done = format_conversations(turns, model, id_col, turn_col, text_col)
+    return done.select(id_col, turn_col, held_out(F.col(id_col)).alias("held_out"), "n_rows", "n_messages", "role", F.char_length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))

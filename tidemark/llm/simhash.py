@@ -22,6 +22,8 @@ from .common import broadcast_if_small, durable, ship, text_of
 SEED = 42
 #: Lanes that are compared at once; a key with more fingerprints goes the way of ``flip_stars``.
 LANES = 2048
+#: Bound of the fingerprints that are broadcast because many documents have them.
+FEW = 10_000
 #: Shingles hashed at once, so that long texts stay in bounded memory.
 PIECE = 200_000
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -212,7 +214,7 @@ def links(fps: DataFrame, radius: int = 2, lanes: int = LANES) -> DataFrame:
 # ---- groups ---------------------------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of every component, for nodes that have an edge (a, b).
 
     Alternates large-star and small-star: every node links its larger neighbours, then its smaller ones, to the smallest
@@ -221,7 +223,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     edges = durable(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:  # each round shortens all paths; the last one changes nothing
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -232,7 +234,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if mark == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, lanes: int = LANES) -> DataFrame:
@@ -243,13 +244,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     give equal results. Links are all pairs of fingerprints that differ in at most ``radius`` bits.
     """
     rows = durable(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    first = rows.groupBy("fp").agg(F.min("id").alias("first"))
+    first = rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     group = durable(components(links(first.select("fp"), radius, lanes)), "groups")
     root = F.coalesce("root", "fp")
-    of = first.join(group, first["fp"] == group["node"], "left").select("fp", root.alias("root"), "first")
+    of = first.join(group, first["fp"] == group["node"], "left").select("fp", root.alias("root"), "first", "n")
     named = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = of.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = durable(of.select("fp", "root", "n").join(named, "root").select("fp", "component_id", "n"), "components")
+    # Fingerprints that many documents have, such as that of empty texts, are broadcast, so that no join has a hot key.
+    most = max(FEW, rows.count() // FEW)  # at most FEW fingerprints reach this
+    hot, rest = F.broadcast(of.where(F.col("n") >= most)), of.where(F.col("n") < most)
+    known = rows.join(hot, "fp").unionByName(rows.join(hot, "fp", "left_anti").join(rest, "fp"))
+    return known.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # ---- near duplicates by similarity ----------------------------------------------------------------------------------
@@ -271,8 +276,8 @@ def signature(text: str, width: int) -> tuple[int, int, list[int]]:
     for at in range(0, len(h), 4096):
         x = h[at : at + 4096]
         y = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        both = np.stack([x, y ^ (y >> np.uint64(32))], axis=1)
-        ones += np.unpackbits(both.view(np.uint8).reshape(len(x), 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        both = np.array([x, y ^ (y >> np.uint64(32))]).T
+        ones += np.unpackbits(np.ascontiguousarray(both).view(np.uint8).reshape(len(x), 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     fp = np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)
     low = np.array([((h ^ (h >> np.uint64(32))) * m).min() for m in SPREAD], np.uint64)
     keys = (low[::2] ^ (low[1::2] >> np.uint64(1))) * np.uint64(0xFF51AFD7ED558CCD) + np.arange(KEYS, dtype=np.uint64)
@@ -312,7 +317,7 @@ def nearest_pairs(rows: DataFrame, lanes: int, low: int = 0, high: int = NEAREST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, node, root, side, f0, f1 in blocks_of(batches, lanes):
-            fps = np.stack([f0, f1], axis=1).view(np.uint64)
+            fps = np.ascontiguousarray(np.array([f0, f1]).T).view(np.uint64)
             i, j = near_pairs(fps, block, WIDE_RADIUS)
             some = (node[i] != node[j]) & ((side[i] != side[j]) | (side[i] < 0))
             i, j = i[some], j[some]
@@ -413,5 +418,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         mixed = durable(part.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("block"), "mixed")
         left = durable(join_groups(part.join(broadcast_if_small(mixed), "block", "left_semi"), low, 4 * low)[1], "left")
         low *= 4
-    gone = group.where("node != root").select("node")
-    return docs.join(broadcast_if_small(gone), node == F.col("node"), "left_anti") if "node" not in docs.columns else docs.withColumnRenamed("node", "_node").join(broadcast_if_small(gone), node == F.col("node"), "left_anti").withColumnRenamed("_node", "node")
+    gone = broadcast_if_small(durable(group.where("node != root").select(F.col("node").alias("_gone_node")), "gone"))
+    return docs.join(gone, node == F.col("_gone_node"), "left_anti")

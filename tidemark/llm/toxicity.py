@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log2
 from zlib import crc32
 
 import numpy as np
@@ -18,23 +19,63 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, ship, text_of
+from .common import broadcast_if_small, durable, ship, text_of
 
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 20
-LONGEST = 40
-REMEMBERED = 150_000
+#: Tokens, and words, whose pieces are remembered, and the longest that is; what is not remembered is worked out anew.
+REMEMBERED, LONGEST_REMEMBERED = 150_000, 64
 
 
 def pieces(word: str) -> set[int]:
-    """Buckets of a lower-case word, its pieces of 4 and 5 letters and its longer beginnings, with its ends marked."""
-    marked = f"^{word[:LONGEST]}$"
-    found = {marked} | {marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)} | {marked[:n] for n in range(6, min(10, len(marked)))}
-    return {crc32(p.encode()) % BUCKETS for p in found}
+    """Buckets of a lower-case word, its pieces of 4 and 5 letters from end to end and its longer beginnings, ends marked.
 
+    A word may be a whole text, as in scripts without spaces: its pieces slide over all of it.
+    """
+    marked = f"^{word}$"
+    found = {crc32(marked.encode()) % BUCKETS}
+    for n in (4, 5):
+        found.update(crc32(marked[i : i + n].encode()) % BUCKETS for i in range(len(marked) - n + 1))
+    found.update(crc32(marked[:n].encode()) % BUCKETS for n in range(6, min(10, len(marked))))
+    return found
+
+
+class Pieces:
+    """The pieces of texts, of those in ``keep`` if it is given. Tokens between white space are looked up whole."""
+
+    def __init__(self, keep: frozenset[int] | dict | None = None) -> None:
+        self.keep, self.tokens, self.words = keep, {}, {}
+
+    def _word(self, word: str) -> tuple:
+        own = self.words.get(word)
+        if own is None:
+            found = pieces(word)
+            own = tuple(sorted(found if self.keep is None else found & self.keep))
+            _remember(self.words, word, own)
+        return own
+
+    def _token(self, token: str) -> tuple:
+        own = tuple({p for w in WORDS.findall(token) for p in self._word(w)})
+        _remember(self.tokens, token, own)
+        return own
+
+    def of(self, text: str) -> set[int]:
+        found: set[int] = set()
+        known = self.tokens
+        for t in set(text.lower().split()):
+            own = known.get(t)
+            if own is None:
+                own = self._token(t)
+            if own:
+                found.update(own)
+        return found
 
-def words_of(text: str) -> set[str]:
-    return set(WORDS.findall(text.lower()))
+
+def _remember(cache: dict[str, tuple], key: str, own: tuple) -> None:
+    if len(key) <= LONGEST_REMEMBERED:
+        if len(cache) >= REMEMBERED:
+            cache.clear()
+        cache[key] = own
 
 
 @dataclass
@@ -43,18 +84,12 @@ class Model:
     bias: float
     prior: float
 
-    def score(self, text: str, cache: dict[str, tuple]) -> float:
+    def pieces(self) -> Pieces:
+        return Pieces(frozenset(self.weights))
+
+    def score(self, text: str, known: Pieces) -> float:
         """Probability of toxic; a text without words gets that of no evidence."""
-        found: set[int] = set()
-        for w in words_of(text):
-            own = cache.get(w)
-            if own is None:
-                if len(cache) >= REMEMBERED:
-                    cache.clear()
-                own = cache[w] = tuple(p for p in pieces(w) if p in self.weights)
-            if own:
-                found.update(own)
-        z = self.bias + sum(self.weights[p] for p in sorted(found))
+        z = self.bias + sum(self.weights[p] for p in sorted(known.of(text)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -84,77 +119,85 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 3 == 1
 
 
-def _own(word: str, cache: dict[str, tuple], keep: frozenset[int] | None) -> tuple:
-    own = cache.get(word)
-    if own is None:
-        if len(cache) >= REMEMBERED // 3:
-            cache.clear()
-        own = cache[word] = tuple(p for p in pieces(word) if keep is None or p in keep)
-    return own
-
-
-def _piece_counts(sample: DataFrame) -> DataFrame:
-    """(piece, p, u): confirmed and unlabelled texts that have a piece; tasks add up before anything is shuffled."""
+def piece_counts(texts: DataFrame, keep: frozenset[int] | None = None) -> DataFrame:
+    """(piece, n): how many of the texts (column text) have each piece; tasks add up before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple] = {}
-        counts = np.zeros((2, BUCKETS), np.int64)
+        known, counts = Pieces(keep), np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for positive, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = {p for w in words_of(t) for p in _own(w, cache, None)}
-                counts[int(positive), list(found)] += 1
-        some = np.nonzero(counts.any(axis=0))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[1, some]), pa.array(counts[0, some])], ["piece", "p", "u"])
+            for t in b.column(0).to_pylist():
+                found = known.of(t)
+                if found:
+                    counts[np.fromiter(found, np.int64, len(found))] += 1
+        some = np.nonzero(counts)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["piece", "n"])
 
-    rows = sample.select("positive", "text").mapInArrow(run, "piece int, p long, u long")
-    return rows.groupBy("piece").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    return texts.select("text").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def _piece_rows(sample: DataFrame, keep: frozenset[int]) -> DataFrame:
+def piece_rows(sample: DataFrame, keep: frozenset[int]) -> DataFrame:
     """(positive, those of the kept pieces that the text has)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple] = {}
+        known = Pieces(keep)
         for b in batches:
-            rows = [sorted({p for w in words_of(t) for p in _own(w, cache, keep)}) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], ["positive", "pieces"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(known.of(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["positive", "pieces"])
 
     return sample.select("positive", "text").mapInArrow(run, "positive boolean, pieces array<int>")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 2000, max_unlabelled: int = 4000, max_pieces: int = 1000, min_share: float = 0.02, prior: float | None = None) -> Model:
-    """Fit on a bounded sample: at most ``max_positive`` confirmed toxic rows and ``max_unlabelled`` rows of any other kind.
+def chosen_pieces(docs: DataFrame, confirmed: DataFrame, n_u: int, n_p: int, prior: float, max_pieces: int, min_confirmed: int) -> list[int]:
+    """The pieces that tell most: counted in all confirmed rows and, those that may qualify, in all training rows.
 
-    Both are taken by the hash of the id, so a sample is the same however the tables are partitioned. Held-out rows give
-    neither labels nor text. Without ``prior`` it is the share of toxic rows among the labelled ones. Null ids are skipped.
-    Without a single toxic row the model knows nothing and scores every text with the prior.
+    A piece qualifies where at least ``min_confirmed`` confirmed rows have it and it makes a text likelier toxic than not: the
+    prior times its rate among confirmed rows, lowered by one standard error, is over half its rate among all training
+    rows, raised by one. (Weaker pieces would add up in long clean texts.) The best ``max_pieces`` by rate times log ratio
+    stay, so that the classifier is bounded whatever the corpus.
+    """
+    p = durable(piece_counts(confirmed).where(F.col("n") >= min_confirmed), "pieces")
+    keep = frozenset(r["piece"] for r in p.select("piece").toLocalIterator())  # BUCKETS at most
+    if not keep:
+        return []
+    u = piece_counts(docs, keep)
+    rate = (F.col("p.n") - F.sqrt(F.col("p.n"))) / n_p
+    common = F.coalesce(F.col("u.n"), F.lit(0))
+    lift = F.log2(F.greatest(rate, F.lit(1e-9)) / ((common + F.sqrt(common) + 1) / n_u))
+    best = p.alias("p").join(u.alias("u"), F.col("p.piece") == F.col("u.piece"), "left").where(lift > log2(0.5 / prior)).select("p.piece", (lift * rate).alias("gain"))
+    return [r["piece"] for r in best.orderBy(F.desc("gain"), "piece").limit(max_pieces).collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 2000, max_unlabelled: int = 4000, max_pieces: int = 2000, min_confirmed: int = 5, prior: float | None = None) -> Model:
+    """Fit on a bounded sample: at most ``max_positive`` confirmed toxic rows and ``max_unlabelled`` rows of any kind.
+
+    Which pieces are features is decided by counts over all rows. The sample is taken by the hash of id and text, so it is the
+    same however the tables are partitioned; repeated rows count once in it. Held-out rows give neither labels nor text.
+    Without ``prior`` it is the share of toxic rows among the labelled ones. Null ids are skipped, null texts count as empty,
+    texts of any length are read whole; extra columns are not read. Without a single toxic row, or with empty tables, the
+    model knows nothing and scores every text with the prior.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
     share = known.agg(F.avg((F.col("y") == 1).cast("double")).alias("p")).first()["p"]
     prior = min(max(prior or share or 0.01, 0.001), 0.5)
-    toxic = known.where("y = 1").select("id").distinct()
-    ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
-    p_ids = toxic.orderBy(F.xxhash64("id"), "id").limit(max_positive)
-    u_ids = ids.orderBy(F.xxhash64("id"), "id").limit(max_unlabelled)
-    chosen = p_ids.withColumn("positive", F.lit(True)).unionAll(u_ids.withColumn("positive", F.lit(False)))
-    sample = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    sample = durable(sample, "sample")
-    n = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_p, n_u = n.get(True, 0), n.get(False, 0)
-    if not n_p or not n_u:
-        return Model({}, float(np.log(prior / (1 - prior))), prior)
-    counts = _piece_counts(sample)
-    # Pieces that min_share of the confirmed rows have, beyond chance: rate lowered by two standard errors against the
-    # unlabelled rate. A group of near copies among few confirmed rows must not make its own words look toxic.
-    rate = (F.col("p") - 2 * F.sqrt("p")) / n_p
-    lift = F.log2(F.greatest(rate, F.lit(1e-9)) / ((F.col("u") + 2) / n_u))
-    best = counts.where((F.col("p") >= max(5.0, min_share * n_p)) & (lift > 1.0)).select("piece", (lift * rate).alias("gain")).orderBy(F.desc("gain"), "piece").limit(max_pieces)
-    keep = [r["piece"] for r in best.collect()]
+    toxic = durable(known.where("y = 1").select("id").distinct(), "toxic")
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    confirmed = durable(rows.join(broadcast_if_small(toxic), "id", "left_semi"), "confirmed")
+    n_p, n_u = confirmed.count(), rows.count()
+    unknowing = Model({}, float(np.log(prior / (1 - prior))), prior)
+    keep = chosen_pieces(rows, confirmed, n_u, n_p, prior, max_pieces, min_confirmed) if n_p else []
+    if not keep:
+        return unknowing
+
+    def some(of: DataFrame, most: int, positive: bool) -> DataFrame:
+        h = F.xxhash64("id", "text")
+        key = F.broadcast(of.select("id", h.alias("h")).distinct().orderBy("h", "id").limit(most))  # ``most`` short rows
+        return of.withColumn("h", h).join(key, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select(F.lit(positive).alias("positive"), "text")
+
     place = {k: i for i, k in enumerate(keep)}
-    x = {True: np.zeros((n_p, len(keep)), np.float32), False: np.zeros((n_u, len(keep)), np.float32)}
+    sample = piece_rows(some(confirmed, max_positive, True).unionAll(some(rows, max_unlabelled, False)), frozenset(keep)).collect()  # the sample's bound
+    x = {k: np.zeros((sum(r["positive"] == k for r in sample), len(keep)), np.float32) for k in (True, False)}
     at = {True: 0, False: 0}
-    for r in _piece_rows(sample, frozenset(keep)).toLocalIterator():
+    for r in sample:
         x[r["positive"]][at[r["positive"]], [place[k] for k in r["pieces"]]] = 1
         at[r["positive"]] += 1
     w, b = fit_pu(x[True], x[False], prior)
@@ -169,24 +212,25 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple] = {}
+        known = shared.value.pieces()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.score(t, cache) for t in b.column(1).to_pylist()], pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.score(t, known) for t in b.column(1).to_pylist()], pa.float64())], ["id", "score"])
 
     scored = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The documents, all columns, that score below the threshold; null texts stay."""
+    """The documents, all columns, that score below the threshold. Null and empty texts have the score of no evidence; rows
+    are independent, so repeated rows stay or go together; an empty table gives an empty one."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple] = {}
+        known = shared.value.pieces()
         for b in batches:
             texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            yield b.filter(pa.array([shared.value.score(t or "", cache) < threshold for t in texts], pa.bool_()))
+            yield b.filter(pa.array([shared.value.score(t or "", known) < threshold for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
