@@ -40,19 +40,21 @@ def test_windows_match_pandas(bars, pdf):
     same(out.slope, c.rolling(20).apply(lambda w: np.polyfit(np.arange(20), w, 1)[0] / w.mean()), 1e-6)
 
 
-@pytest.mark.parametrize("max_bars", [2500, 10**9])
-def test_ewm_both_ways(bars, pdf, max_bars):
+@pytest.mark.parametrize("n", [400, 20_000])
+def test_ewm_of_any_length(spark, n):
+    pdf = walk(n)
+    bars = frame(spark, pdf).cache()
     c = pdf.close
-    same(column(ind.with_ema(bars, "close", 12, "e", max_bars), "e"), c.ewm(span=12, adjust=False, min_periods=12).mean())
+    same(column(ind.with_ema(bars, "close", 12, "e"), "e"), c.ewm(span=12, adjust=False, min_periods=12).mean())
     d = c.diff()
     gain, loss = (x.ewm(alpha=1 / 14, adjust=False, min_periods=14).mean() for x in (d.clip(lower=0), (-d).clip(lower=0)))
     want = (100 - 100 / (1 + gain / loss.where(loss != 0))).fillna(100.0 * (gain > 0))
-    same(column(ind.with_rsi(bars, "close", 14, "r", max_bars), "r"), want)
+    same(column(ind.with_rsi(bars, "close", 14, "r"), "r"), want)
     pc = c.shift(1)
     tr = pd.concat([pdf.high - pdf.low, (pdf.high - pc).abs(), (pdf.low - pc).abs()], axis=1).max(axis=1)
-    same(column(ind.with_atr(bars, 14, "a", max_bars), "a"), tr.ewm(alpha=1 / 14, adjust=False, min_periods=14).mean())
+    same(column(ind.with_atr(bars, 14, "a"), "a"), tr.ewm(alpha=1 / 14, adjust=False, min_periods=14).mean())
     dif = c.ewm(span=12, adjust=False, min_periods=12).mean() - c.ewm(span=26, adjust=False, min_periods=26).mean()
-    same(column(ind.with_macd(bars, "close", max_bars=max_bars), "dea"), dif.ewm(span=9, adjust=False, min_periods=9).mean())
+    same(column(ind.with_macd(bars, "close"), "dea"), dif.ewm(span=9, adjust=False, min_periods=9).mean())
 
 
 def test_no_look_ahead(spark, pdf):

@@ -82,62 +82,59 @@ def cross_below(a: Column, b: Column) -> Column:
     return F.coalesce((a < b) & (before(a) >= before(b)), F.lit(False))
 
 
-#: exp of this is near the largest double.
-RANGE = 600.0
+#: exp of this is far within the doubles, and a weight of its inverse is nothing beside one.
+RANGE = 500.0
 
 
-def with_ewm(df: DataFrame, source: str, alpha: float, min_periods: int, out: str, max_bars: int = 2500) -> DataFrame:
+def with_ewm(df: DataFrame, source: str, alpha: float, min_periods: int, out: str) -> DataFrame:
     """y0 = x0, yt = (1 - alpha) * y(t-1) + alpha * xt from the first value on; null before min_periods values.
 
-    The recursion is a running sum of values scaled by (1-alpha)**-k, so it stays one window function. Where a history of
-    ``max_bars`` would leave the range of doubles, each code's series is computed by a grouped pandas function instead.
-    Inner nulls are not expected (ingest drops them) and are read as rows without weight.
+    The recursion is a running sum of values scaled by (1-alpha)**-k. The exponent starts anew every block of rows, before it
+    leaves the range of doubles; what the block before left behind comes in as one more sum, and what lies further back
+    weighs less than exp(-500). So it stays window functions for histories of any length. Inner nulls are not expected (ingest drops them) and are read as
+    rows without weight.
     """
-    decay = 1.0 - alpha
-    if decay <= 0 or max_bars * -log(decay) < RANGE:
-        x = F.col(source)
-        k = F.count(x).over(ever()) - 1
-        step = df.withColumn("_k", k)
-        base = F.lit(decay)
-        term = F.when(x.isNotNull(), F.when(F.col("_k") == 0, x).otherwise(x * alpha * F.pow(base, -F.col("_k"))))
-        step = step.withColumn("_s", F.sum(term).over(ever()))
-        value = F.when(x.isNotNull() & (F.col("_k") >= min_periods - 1), F.pow(base, F.col("_k")) * F.col("_s"))
-        return step.withColumn(out, value).drop("_k", "_s")
-
-    def run(g):
-        g = g.sort_values("date")
-        y = g[source].astype(float).ewm(alpha=alpha, adjust=False, min_periods=min_periods).mean()
-        return g.assign(**{out: y.where(y.notna(), None)})
-
-    return df.groupBy("code").applyInPandas(run, df.schema.simpleString()[7:-1] + f",{out}:double").replace(float("nan"), None, [out])
-
-
-def with_ema(df: DataFrame, source: str, n: int, out: str, max_bars: int = 2500) -> DataFrame:
-    return with_ewm(df, source, 2.0 / (n + 1), n, out, max_bars)
-
-
-def with_rsi(df: DataFrame, source: str, n: int, out: str, max_bars: int = 2500, warm: bool = True) -> DataFrame:
+    x, decay = F.col(source), 1.0 - alpha
+    step = df.withColumn("_k", F.count(x).over(ever()) - 1)
+    enough = x.isNotNull() & (F.col("_k") >= min_periods - 1)
+    if decay <= 0:
+        return step.withColumn(out, F.when(enough, x)).drop("_k")
+    size = max(1, int(RANGE / -log(decay)))
+    base = F.lit(decay)
+    step = step.withColumns({"_b": F.floor(F.greatest(F.col("_k"), F.lit(0)) / size), "_r": F.greatest(F.col("_k"), F.lit(0)) % size})
+    step = step.withColumn("_t", F.when(x.isNotNull(), x * F.when(F.col("_k") == 0, 1.0).otherwise(alpha) * F.pow(base, -F.col("_r"))))
+    here = F.sum("_t").over(Window.partitionBy("code", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    behind = F.sum("_t").over(Window.partitionBy("code").orderBy("_b").rangeBetween(-1, -1))
+    value = F.pow(base, F.col("_r")) * (here + F.coalesce(behind, F.lit(0.0)) * F.pow(base, F.lit(float(size))))
+    return step.withColumn(out, F.when(enough, value)).drop("_k", "_b", "_r", "_t")
+
+
+def with_ema(df: DataFrame, source: str, n: int, out: str) -> DataFrame:
+    return with_ewm(df, source, 2.0 / (n + 1), n, out)
+
+
+def with_rsi(df: DataFrame, source: str, n: int, out: str, warm: bool = True) -> DataFrame:
     """Wilder's RSI. With ``warm`` it is 0 while it warms up and on flat series, 100 where there was no loss; else null there."""
     x = F.col(source)
     step = df.withColumn("_d", x - before(x))
     step = step.withColumn("_up", F.greatest(F.col("_d"), F.when(F.col("_d").isNotNull(), 0.0))).withColumn("_down", F.when(F.col("_d").isNotNull(), F.greatest(-F.col("_d"), F.lit(0.0))))
-    step = with_ewm(with_ewm(step, "_up", 1.0 / n, n, "_g", max_bars), "_down", 1.0 / n, n, "_l", max_bars)
+    step = with_ewm(with_ewm(step, "_up", 1.0 / n, n, "_g"), "_down", 1.0 / n, n, "_l")
     strength = F.lit(100.0) - F.lit(100.0) / (1 + ratio(F.col("_g"), F.col("_l")))
     if warm:
         strength = F.coalesce(strength, F.when(F.col("_g") > 0, 100.0).otherwise(0.0))
     return step.withColumn(out, strength).drop("_d", "_up", "_down", "_g", "_l")
 
 
-def with_macd(df: DataFrame, source: str, fast: int = 12, slow: int = 26, signal: int = 9, max_bars: int = 2500) -> DataFrame:
-    step = with_ema(with_ema(df, source, fast, "_fast", max_bars), source, slow, "_slow", max_bars)
-    step = with_ema(step.withColumn("dif", F.col("_fast") - F.col("_slow")), "dif", signal, "dea", max_bars)
+def with_macd(df: DataFrame, source: str, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    step = with_ema(with_ema(df, source, fast, "_fast"), source, slow, "_slow")
+    step = with_ema(step.withColumn("dif", F.col("_fast") - F.col("_slow")), "dif", signal, "dea")
     return step.withColumn("macd_hist", 2 * (F.col("dif") - F.col("dea"))).drop("_fast", "_slow")
 
 
-def with_atr(df: DataFrame, n: int, out: str, max_bars: int = 2500) -> DataFrame:
+def with_atr(df: DataFrame, n: int, out: str) -> DataFrame:
     close = before(F.col("close"))
     step = df.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - close), F.abs(F.col("low") - close)))
-    return with_ewm(step, "_tr", 1.0 / n, n, out, max_bars).drop("_tr")
+    return with_ewm(step, "_tr", 1.0 / n, n, out).drop("_tr")
 
 
 def with_bollinger(df: DataFrame, source: str, n: int = 20, k: float = 2.0) -> DataFrame:
@@ -154,9 +151,9 @@ def with_volatility(df: DataFrame, n: int, out: str) -> DataFrame:
     return with_returns(df).withColumn(out, deviation(F.col("_ret"), n) * sqrt(YEAR)).drop("_ret")
 
 
-def add_common(df: DataFrame, max_bars: int = 2500) -> DataFrame:
+def add_common(df: DataFrame) -> DataFrame:
     c, v = F.col("close"), F.col("volume")
-    out = with_atr(with_rsi(with_returns(df), "close", 14, "rsi14", max_bars), 14, "atr14", max_bars)
+    out = with_atr(with_rsi(with_returns(df), "close", 14, "rsi14"), 14, "atr14")
     return out.withColumns(
         {f"ma{n}": sma(c, n) for n in (5, 10, 20, 60, 120)}
         | {"vol_ma20": sma(v, 20), "vol_ratio": ratio(v, sma(v, 20)), "atr_pct": ratio(F.col("atr14"), c), "high20": highest(F.col("high"), 20), "low20": lowest(F.col("low"), 20), "dd": drawdown(c)}
@@ -165,6 +162,6 @@ def add_common(df: DataFrame, max_bars: int = 2500) -> DataFrame:
     ).drop("_ret")
 
 
-def add_extended(df: DataFrame, max_bars: int = 2500) -> DataFrame:
-    out = with_bollinger(with_macd(df, "close", max_bars=max_bars), "close")
+def add_extended(df: DataFrame) -> DataFrame:
+    out = with_bollinger(with_macd(df, "close"), "close")
     return out.withColumns({"ma250": sma(F.col("close"), 250), "vol_ma5": sma(F.col("volume"), 5), "dea": F.col("dea"), "high60": highest(F.col("high"), 60)})
