@@ -41,6 +41,27 @@ class State:
     blocked: dict[str, int] = field(default_factory=lambda: {"suspended": 0, "limit_up": 0, "limit_down": 0, "insufficient": 0})
 
 
+FIELDS = ["open", "close", "atr14", "entry", "exit", "score", "limit"]
+
+
+class Session:
+    """The codes of one session; values stay in the columns of all sessions and are read on demand."""
+
+    def __init__(self, columns: dict[str, np.ndarray], places: dict[str, int]) -> None:
+        self.columns, self.places = columns, places
+
+    def __contains__(self, code: str) -> bool:
+        return code in self.places
+
+    def __getitem__(self, code: str) -> dict:
+        i = self.places[code]
+        return {f: c[i] for f, c in self.columns.items()}
+
+    def entries(self) -> list[str]:
+        entry = self.columns["entry"]
+        return [c for c, i in self.places.items() if entry[i]]
+
+
 def buy_fee(amount: float) -> float:
     return max(amount * COMMISSION, COMMISSION_MIN) + amount * TRANSFER
 
@@ -62,7 +83,7 @@ def why_leave(p: Position, prev: dict, cfg: Config) -> str | None:
     return next((name for name, hit in rules if hit), None) if p.held >= cfg.min_hold_days else None
 
 
-def sell(state: State, day: object, prev: dict, now: dict, cfg: Config) -> list[tuple]:
+def sell(state: State, day: object, prev: Session, now: Session, cfg: Config) -> list[tuple]:
     trades = []
     for code, p in list(state.positions.items()):
         p.held += 1
@@ -87,9 +108,9 @@ def sell(state: State, day: object, prev: dict, now: dict, cfg: Config) -> list[
     return trades
 
 
-def buy(state: State, day: object, prev: dict, now: dict, cfg: Config) -> None:
+def buy(state: State, day: object, prev: Session, now: Session, cfg: Config) -> None:
     free = cfg.max_positions - len(state.positions)
-    wanted = [c for c, x in prev.items() if x["entry"] and c in now and c not in state.positions]
+    wanted = [c for c in prev.entries() if c in now and c not in state.positions]
     wanted.sort(key=lambda c: (-prev[c]["score"] if prev[c]["score"] == prev[c]["score"] and prev[c]["score"] is not None else np.inf, c))
 
     def worth(code: str, p: Position) -> float:
@@ -118,7 +139,7 @@ def buy(state: State, day: object, prev: dict, now: dict, cfg: Config) -> None:
         free -= 1
 
 
-def mark(state: State, now: dict) -> float:
+def mark(state: State, now: Session) -> float:
     total = state.cash
     for code, p in state.positions.items():
         if code in now:
@@ -132,13 +153,13 @@ def mark(state: State, now: dict) -> float:
 def fold(rows: pd.DataFrame, days: list, gate: dict, cfg: Config, state: State | None = None) -> tuple[list, list, State]:
     """Equity rows and trades from the second session on. rows: session (index into days), code, open, close, atr14, entry, exit, score, limit."""
     state = state or State(cfg.initial_cash)
-    fields = ["open", "close", "atr14", "entry", "exit", "score", "limit"]
-    by_day: dict[int, dict] = {}
-    for s, code, *values in zip(rows["session"], rows["code"], *(rows[f] for f in fields)):
-        by_day.setdefault(int(s), {})[code] = dict(zip(fields, values))
+    columns = {f: rows[f].to_numpy() for f in FIELDS}
+    places: dict[int, dict[str, int]] = {}
+    for i, (at, code) in enumerate(zip(rows["session"].to_numpy(), rows["code"].to_numpy())):
+        places.setdefault(int(at), {})[code] = i
     equity, trades = [], []
     for j in range(1, len(days)):
-        prev, now = by_day.get(j - 1, {}), by_day.get(j, {})
+        prev, now = Session(columns, places.get(j - 1, {})), Session(columns, places.get(j, {}))
         trades += sell(state, days[j], prev, now, cfg)
         if gate.get(days[j - 1], True):
             buy(state, days[j], prev, now, cfg)

@@ -13,6 +13,14 @@ def intervals(facts: DataFrame, field: str) -> DataFrame:
     return known.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("code").orderBy("valid_from")))
 
 
+def load_reports(facts: DataFrame, codes: list[str] | DataFrame | None = None, start=None) -> DataFrame:
+    """Reports of the codes (None or an empty list: all) that became known on ``start`` or later."""
+    out = facts if start is None else facts.where(F.col("avail_date") >= F.lit(start))
+    if isinstance(codes, DataFrame):
+        return out.join(codes.select("code").distinct(), "code", "left_semi")
+    return out.where(F.col("code").isin(*codes)) if codes else out
+
+
 def point_in_time(rows: DataFrame, facts: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Add to rows (code, date) the latest known value of each field; ``fields`` maps fields to new names.
 

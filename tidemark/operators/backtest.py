@@ -1,7 +1,8 @@
 """Portfolio simulation: signals are prepared by Spark for all runs at once, each run's session loop is one grouped fold.
 
 A fold is sequential by nature (cash and positions of one session decide the next), so runs, i.e. combinations of strategy,
-parameters and configuration, are what is parallel. Before the fold, rows are cut to the few columns it reads.
+parameters and configuration, are what is parallel. Before the fold, rows are cut to the few columns it reads; one fold
+gives equity, trades and counts.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..deploy import ship
 from ..functions.market import price_limit
 from ..functions.portfolio import Config, fold
+from ..shared import durable
 from .bars import sessions, usable_history
 from .rank import blend
 from .strategies import Strategy
@@ -37,7 +39,7 @@ def prepare(strategy: Strategy, daily: DataFrame, days: DataFrame, run_id: str,
         for f, _ in strategy.score_fields:
             present = present & F.col(f).isNotNull()
         sig = blend(sig, strategy.score_fields, present, "score", ties="ordinal", single=0.5, missing=-9.9)
-    sig = sig.join(F.broadcast(names.select("code", "name")), "code", "left") if names is not None else sig.withColumn("name", F.lit(""))
+    sig = sig.join(names.select("code", "name"), "code", "left") if names is not None else sig.withColumn("name", F.lit(""))
     limit = price_limit(F.col("code"), F.coalesce("name", F.lit("")))
     return sig.select(F.lit(run_id).alias("run_id"), "session", "code", "open", "close", "atr14", "entry", "exit", "score", limit.alias("limit"))
 
@@ -47,27 +49,33 @@ def calendar(daily: DataFrame, start, end) -> DataFrame:
 
 
 def run(rows: DataFrame, days: DataFrame, configs: dict[str, Config], gates: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(equity, trades, stats) of all runs. The calendar and the gates are a few thousand rows and travel with the function."""
-    ship(rows.sparkSession)
+    """(equity, trades, stats) of all runs, folded once and written. The calendar and the gates are a few thousand rows and travel
+    with the function. A run without sessions or bars has no equity and says so in its stats.
+    """
+    spark = rows.sparkSession
+    ship(spark)
     dates = [r["date"] for r in days.orderBy("session").collect()]
     open_days = {k: {r["date"]: r["regime"] for r in g.collect()} for k, g in (gates or {}).items()}
-
-    def each(kind: str):
-        def go(g: pd.DataFrame) -> pd.DataFrame:
-            run_id = g["run_id"].iloc[0]
-            equity, trades, state = fold(g, dates, open_days.get(run_id, {}), configs[run_id])
-            if kind == "equity":
-                return pd.DataFrame([(run_id, *e) for e in equity], columns=[c.split()[0] for c in EQUITY.split(", ")])
-            if kind == "trades":
-                return pd.DataFrame([(run_id, *t) for t in trades], columns=[c.split()[0] for c in TRADES.split(", ")])
-            b = state.blocked
-            error = "fewer than two sessions" if len(dates) < 2 else None
-            return pd.DataFrame([(run_id, b["suspended"], b["limit_up"], b["limit_down"], b["insufficient"], error)], columns=[c.split()[0] for c in STATS.split(", ")])
-
-        return go
-
-    by = rows.groupBy("run_id")
-    return by.applyInPandas(each("equity"), EQUITY), by.applyInPandas(each("trades"), TRADES), by.applyInPandas(each("stats"), STATS)
+    kinds = {"equity": EQUITY, "trades": TRADES, "stats": STATS}
+    columns = {k: [c.split()[0] for c in schema.split(", ")][1:] for k, schema in kinds.items()}
+    tagged = ", ".join(["run_id string", "kind string", *dict.fromkeys(c for schema in kinds.values() for c in schema.split(", ")[1:])])
+
+    def go(g: pd.DataFrame) -> pd.DataFrame:
+        run_id = g["run_id"].iloc[0]
+        equity, trades, state = fold(g, dates, open_days.get(run_id, {}), configs[run_id])
+        b = state.blocked
+        stats = [(b["suspended"], b["limit_up"], b["limit_down"], b["insufficient"], "fewer than two sessions" if len(dates) < 2 else None)]
+        parts = [pd.DataFrame(found, columns=columns[k]).astype(object).assign(run_id=run_id, kind=k) for k, found in (("equity", equity), ("trades", trades), ("stats", stats))]
+        out = pd.concat(parts).reindex(columns=[c.split()[0] for c in tagged.split(", ")])
+        return out.astype(object).where(out.notna(), None)
+
+    done = durable(rows.groupBy("run_id").applyInPandas(go, tagged), "fold")
+    of = {k: done.where(F.col("kind") == k).select("run_id", *columns[k]) for k in kinds}
+    runs = spark.createDataFrame([(r,) for r in configs], "run_id string")
+    stats = runs.join(of["stats"], "run_id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    missing = F.lit("fewer than two sessions") if len(dates) < 2 else F.when(F.col("suspended").isNull(), F.lit("no bars in this span"))
+    return of["equity"], of["trades"], stats.select("run_id", *[count(c) for c in columns["stats"][:-1]], F.coalesce("error", missing).alias("error"))
 
 
 def backtest(strategy: Strategy, daily: DataFrame, index: DataFrame, start, end, cfg: Config = Config(), facts: DataFrame | None = None, codes: DataFrame | None = None, names: DataFrame | None = None, run_id: str = "run") -> tuple[DataFrame, DataFrame, DataFrame]:

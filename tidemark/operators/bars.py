@@ -94,6 +94,24 @@ def universe(instruments: DataFrame, daily: DataFrame, as_of: dt.date, flt: Univ
     )
 
 
+def members(instruments: DataFrame, daily: DataFrame, flt: UniverseFilter = UniverseFilter(), top: int | None = None) -> DataFrame:
+    """(date, code): the universe of every session at once, as ``universe`` would give it on that date; with ``top``, only the most
+    liquid names. A name without a bar on a session is not listed there: nothing can be entered on it anyway.
+    """
+    numbered = daily.join(F.broadcast(sessions(daily)), "date")
+    last = Window.partitionBy("code").orderBy("session").rangeBetween(-(flt.window - 1), 0)
+    seen = numbered.select("code", "date", F.avg("amount").over(last).alias("avg_amount"), F.last("close", ignorenulls=True).over(last).alias("last_close"), F.count(F.lit(1)).over(last).alias("bars"))
+    names = instruments.where(~F.col("board").isin(*flt.exclude_boards, *flt.blacklist))
+    names = names if flt.include_st else names.where("is_st = 0")
+    good = seen.join(names.select("code", "listed_date", "delisted_date"), "code").where(
+        (F.col("delisted_date").isNull() | (F.col("delisted_date") > F.col("date"))) & (F.datediff("date", "listed_date") >= flt.min_listed_days)
+        & (F.col("avg_amount") >= flt.min_amount) & F.col("last_close").between(flt.min_price, flt.max_price) & (F.col("bars") >= flt.min_bars)
+    )
+    if top is not None:
+        good = good.withColumn("_r", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("avg_amount"), "code"))).where(F.col("_r") <= top)
+    return good.select("date", "code")
+
+
 def own() -> Window:
     return Window.partitionBy("code").orderBy("date")
 

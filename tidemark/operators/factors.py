@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.market import ratio
 from .asof import point_in_time
-from .bars import dense_grid, forward_return, tradable, usable_history
+from .bars import UniverseFilter, dense_grid, forward_return, load_daily, tradable, universe, usable_history
 from .indicators import YEAR, before, full, sma
 from .rank import average_rank, rank_ic
 
@@ -81,6 +80,12 @@ def build_panel(bars: DataFrame, facts: DataFrame | None = None, fill: str = "pa
     return point_in_time(grid, facts, FIELDS) if facts is not None else grid
 
 
+def universe_panel(instruments: DataFrame, daily: DataFrame, start, end, facts: DataFrame | None = None, top: int = 1200, flt: UniverseFilter = UniverseFilter(), **how) -> DataFrame:
+    """The panel of the ``top`` most liquid names that may be traded on ``start``, over [start, end]."""
+    codes = universe(instruments, daily, start, flt).limit(top).select("code")
+    return build_panel(load_daily(daily, codes, start, end), facts, **how)
+
+
 def _grid_rsi(grid: DataFrame, n: int) -> DataFrame:
     """RSI on a grid with holes: the averages decay over holes and changes next to a hole are unknown.
 
@@ -112,10 +117,15 @@ def long_values(panel: DataFrame, names: list[str], horizons: tuple[int, ...]) -
     return wide.withColumn("_p", pairs).select("_p.factor", "code", "date", "_p.f", "mask", *[f"r_{h}" for h in horizons])
 
 
+def by_horizon(values: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """(factor, horizon, code, date, f, mask, r): the returns stacked as the factors are."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"r_{h}").alias("r")) for h in horizons]))
+    return values.withColumn("_h", pairs).select("factor", "_h.horizon", "code", "date", "f", "mask", "_h.r")
+
+
 def daily_ic(values: DataFrame, horizons: tuple[int, ...], least: int = 30) -> DataFrame:
-    """(factor, horizon, date, n, ic)."""
-    parts = [rank_ic(values, "f", f"r_{h}", F.col("mask"), ("factor", "date"), least).withColumn("horizon", F.lit(h)) for h in horizons]
-    return reduce(DataFrame.unionByName, parts)
+    """(factor, horizon, date, n, ic), all horizons in one pass."""
+    return rank_ic(by_horizon(values, horizons), "f", "r", F.col("mask"), ("factor", "horizon", "date"), least)
 
 
 def ic_summary(ic: DataFrame, least_days: int = 30) -> DataFrame:
@@ -169,14 +179,64 @@ def turnover(values: DataFrame, quantiles: int = 5) -> DataFrame:
     return day.where("t > 0").groupBy("factor").agg((1 - F.avg(F.col("s") / F.col("t"))).alias("turnover"))
 
 
-def evaluate_all(panel: DataFrame, names: list[str] | None = None, main: int = 20, quantiles: int = 5) -> DataFrame:
-    """One row a factor, best top excess first: IC at the main horizon, spread, monotonic, top excess, winning years, turnover."""
+#: Horizons that an evaluation reports, in sessions.
+HORIZONS = (1, 5, 10, 20, 60)
+
+
+def ranked_days(values: DataFrame, horizons: tuple[int, ...], main: int, quantiles: int, least: int) -> DataFrame:
+    """One row per (factor, date): n, ic_h of each horizon, mean returns l_0.. of the layers, excess, top and stayed.
+
+    Everything that needs a cross section comes from one partitioning by factor and date: ranks of the factor and of all
+    returns, the layer of each row, then sums. Only ``stayed`` needs the session before, which the code's own order gives first.
+    """
+    by = ("factor", "date")
+    day = Window.partitionBy(*by)
+    step = values.select(*by, "code", "mask", F.when(F.col("mask"), F.col("f")).alias("y"), *[F.when(F.col("mask"), F.col(f"r_{h}")).alias(f"r_{h}") for h in horizons])
+    step = step.withColumns({"a": average_rank(F.col("y"), *by)} | {f"a_{h}": average_rank(F.col(f"r_{h}"), *by) for h in horizons})
+    step = step.withColumns({"k": F.count("y").over(day)} | {f"k_{h}": F.count(f"r_{h}").over(day) for h in horizons})
+    q = F.col("a") / F.col("k")
+    bucket = F.least(F.greatest(F.ceil(q * quantiles - 1e-12), F.lit(1)), F.lit(quantiles)) - 1
+    step = step.withColumns({"layer": bucket, "top": F.coalesce(q > 1 - 1 / quantiles, F.lit(False))})
+    step = step.withColumn("stayed", F.col("top") & F.coalesce(F.lag("top").over(Window.partitionBy("factor", "code").orderBy("date")), F.lit(False)))
+    own = F.col("a") - (F.col("k") + 1) / 2
+    sums = [F.count("y").alias("n"), F.sum(own * own).alias("ff"), F.count_if("top").alias("top"), F.count_if("stayed").alias("stayed")]
+    for h in horizons:
+        other = F.col(f"a_{h}") - (F.col(f"k_{h}") + 1) / 2
+        sums += [F.sum(own * other).alias(f"fr_{h}"), F.sum(other * other).alias(f"rr_{h}")]
+    r = F.col(f"r_{main}")
+    sums += [F.avg(F.when(F.col("layer") == i, r)).alias(f"l_{i}") for i in range(quantiles)]
+    sums.append((F.avg(F.when(F.col("top"), r)) - F.avg(r)).alias("excess"))
+    days = step.groupBy(*by).agg(*sums)
+    ic = lambda h: F.when(F.col("n") >= least, F.col(f"fr_{h}") / F.nullif(F.sqrt(F.col("ff") * F.col(f"rr_{h}")), F.lit(0.0)))
+    return days.select(*by, "n", "top", "stayed", "excess", *[f"l_{i}" for i in range(quantiles)], *[ic(h).alias(f"ic_{h}") for h in horizons])
+
+
+def evaluate_all(panel: DataFrame, names: list[str] | None = None, main: int = 20, quantiles: int = 5, horizons: tuple[int, ...] = HORIZONS, least: int = 30, least_days: int = 30) -> DataFrame:
+    """One row a factor, best top excess first: name, IC with its ratio and t value at the main horizon, IC at every horizon, spread
+    of the layers, monotonic, top excess, winning years, excess by year, turnover, and an error where it could not be measured.
+    """
     names = names or list(REGISTRY)
-    values = long_values(panel, names, (main,))
-    r = f"r_{main}"
-    ic = ic_summary(daily_ic(values, (main,))).select("factor", F.col("mean").alias("ic"), F.col("ir"), "t", "pos_ratio")
-    out = spread(layers(values, r, quantiles), quantiles).join(top_excess_summary(top_excess(values, r, quantiles)), "factor", "full").join(turnover(values, quantiles), "factor", "full").join(ic, "factor", "left")
-    return out.orderBy(F.col("top_excess").desc_nulls_last(), "factor")
+    horizons = tuple(sorted({*horizons, main}))
+    days = ranked_days(long_values(panel, names, horizons), horizons, main, quantiles, least)
+    ic = F.col(f"ic_{main}")
+    layer = [F.avg(f"l_{i}").alias(f"l_{i}") for i in range(quantiles)]
+    decay = [F.when(F.count(f"ic_{h}") >= least_days, F.avg(f"ic_{h}")).alias(f"ic_{h}") for h in horizons]
+    sums = days.groupBy("factor").agg(
+        *decay, *layer, F.stddev_samp(ic).alias("std"), F.avg(F.when(ic.isNotNull(), (ic > 0).cast("double"))).alias("pos_ratio"), F.count(ic).alias("ic_days"),
+        F.avg("excess").alias("top_excess"), (1 - F.avg(F.when(F.col("top") > 0, F.col("stayed") / F.col("top")))).alias("turnover"),
+    )
+    years = days.where("excess IS NOT NULL").groupBy("factor", F.year("date").alias("year")).agg(F.avg("excess").alias("y"))
+    years = years.groupBy("factor").agg(F.count_if(F.col("y") > 0).alias("top_win_years"), F.count(F.lit(1)).alias("top_years"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("year", "y")))).alias("excess_by_year"))
+    rises = sum((F.coalesce((F.col(f"l_{i + 1}") > F.col(f"l_{i}")).cast("double"), F.lit(0.0)) for i in range(quantiles - 1)), F.lit(0.0))
+    known = F.col("ic_days") >= least_days
+    ir = F.when(known, F.when(F.col("std") > 0, F.col(f"ic_{main}") / F.col("std")).otherwise(F.lit(0.0)))
+    asked = panel.sparkSession.createDataFrame([(n,) for n in names], "factor string")
+    out = asked.join(F.broadcast(sums), "factor", "left").join(F.broadcast(years), "factor", "left")  # a row a factor
+    error = F.when(F.coalesce("ic_days", F.lit(0)) < least_days, F.concat(F.lit("fewer than "), F.lit(least_days), F.lit(" sessions with "), F.lit(least), F.lit(" values")))
+    return out.select(
+        "factor", F.col(f"ic_{main}").alias("ic"), ir.alias("ir"), (ir * F.sqrt("ic_days")).alias("t"), F.when(known, F.col("pos_ratio")).alias("pos_ratio"), *[f"ic_{h}" for h in horizons],
+        (F.col(f"l_{quantiles - 1}") - F.col("l_0")).alias("spread"), (rises / max(quantiles - 1, 1)).alias("monotonic"), "top_excess", "top_win_years", "top_years", "excess_by_year", "turnover", error.alias("error"),
+    ).orderBy(F.col("top_excess").desc_nulls_last(), "factor")
 
 
 def correlation(panel: DataFrame, names: list[str]) -> DataFrame:

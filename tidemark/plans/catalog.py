@@ -36,12 +36,12 @@ def query(f: Callable) -> Callable:
 
 @query
 def bars_ohlcv(s, d):
-    return market.bars(s, d).drop("n")
+    return market.derive_bars(s, d).drop("n")
 
 
 @query
 def index_ohlcv(s, d):
-    return market.index_bars(s, d).drop("n", "amount")
+    return market.derive_index(s, d).drop("n", "amount")
 
 
 @query
@@ -51,7 +51,7 @@ def instruments(s, d):
 
 @query
 def fundamentals(s, d):
-    return market.fundamentals(s, d)
+    return market.derive_fundamentals(s, d)
 
 
 @query

@@ -80,10 +80,12 @@ def forward_adjust(bars: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def fundamentals_from(rows: DataFrame) -> DataFrame:
-    """Reports with texts turned into numbers, one row a (code, period), and the date from which each is known."""
+    """Reports with texts turned into numbers, and the date from which each is known. Of several reports of a (code, period) one
+    stays whole: the one with the most values, then the greatest ones."""
     values = ["eps", "bps", "roe", "gross_margin", "ocfps", "revenue", "revenue_yoy", "profit", "profit_yoy"]
     out = rows.select(F.lpad(F.col("code").cast("string"), 6, "0").alias("code"), "period", *[to_number(F.col(v).cast("string")).alias(v) for v in values])
-    one = out.groupBy("code", "period").agg(*[F.max(v).alias(v) for v in values])
+    full = sum(F.col(v).isNotNull().cast("int") for v in values)
+    one = out.groupBy("code", "period").agg(F.max(F.struct(full.alias("full"), *values)).alias("x")).select("code", "period", *[f"x.{v}" for v in values])
     return one.withColumn("avail_date", avail_date(F.col("period")))
 
 

@@ -1,4 +1,7 @@
-"""The market tables that the test tables stand for: weekly bars per pair of suppliers, instruments, index, fundamentals."""
+"""The market tables that the test tables stand for: weekly bars per pair of suppliers, instruments, index, fundamentals.
+
+Bars are derived from line items once an application and then read from a stored table, as from any store of daily bars.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.market import avail_date, classify_board
+from ..shared import kept
 
 INDEX = "IDX000300"
 KEY = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
@@ -38,12 +42,20 @@ def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, n, date, open, high, low, close, volume, amount, pct_chg."""
+    return kept(spark, f"bars of {sf_dir}", lambda: derive_bars(spark, sf_dir))
+
+
+def derive_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _ohlcv(_priced(spark, sf_dir), "n").withColumn("code", code_of(F.col("n")))
     own = Window.partitionBy("code").orderBy("date")
     return out.withColumn("pct_chg", 100 * (F.col("close") / F.lag("close").over(own) - 1)).select("code", "n", "date", "open", "high", "low", "close", "volume", "amount", "pct_chg")
 
 
 def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, f"index of {sf_dir}", lambda: derive_index(spark, sf_dir))
+
+
+def derive_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ohlcv(_priced(spark, sf_dir).withColumn("code", F.lit(INDEX)), "code")
     own = Window.partitionBy("code").orderBy("date")
     return rows.withColumn("pct_chg", 100 * (F.col("close") / F.lag("close").over(own) - 1)).select("code", F.lit(None).cast("long").alias("n"), "date", "open", "high", "low", "close", "volume", F.lit(None).cast("double").alias("amount"), "pct_chg")
@@ -66,6 +78,10 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly reports with the date from which they are known; gross_margin is missing in one quarter a year."""
+    return kept(spark, f"reports of {sf_dir}", lambda: derive_fundamentals(spark, sf_dir))
+
+
+def derive_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").withColumns({"n": F.floor(F.col("l_suppkey") / 2), "q": F.date_trunc("quarter", "l_shipdate").cast("date")})
     sums = rows.groupBy("n", "q").agg(
         F.sum("l_extendedprice").alias("revenue"), F.sum(F.col("l_extendedprice") * (F.lit(0.05) - F.col("l_discount"))).alias("profit"), F.avg("l_tax").alias("tax"), F.avg("l_discount").alias("discount"),

@@ -1,8 +1,8 @@
 """Tables of the store as Parquet folders with keyed upserts.
 
-Plain Parquet has no MERGE, so an upsert is union, newest row per key, rewrite. Big tables are partitioned by month and only
-the months that the new rows touch are rewritten. A new version is written next to the old one and a small pointer names
-the current one, so readers never see a half-written table.
+Plain Parquet has no MERGE, so an upsert is union, newest row per key, rewrite. A new version is written next to the old one
+and counts once its marker stands, so readers never see a half-written table. The bars are kept by month: each month has
+versions of its own, and only the months that the new rows touch are read and written.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept
+
 # Columns and keys of the tables.
 SCHEMAS = {
     "instruments": ("code string, name string, board string, is_st int, listed_date date, delisted_date date, status string, industry string, float_share double, updated_at timestamp", ["code"]),
@@ -26,6 +28,10 @@ SCHEMAS = {
 }
 
 
+#: Tables kept by month of this column.
+BY_MONTH = {"daily": "date"}
+
+
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """The schema's columns in order and type; absent ones are null, NaN becomes null."""
     spark = df.sparkSession
@@ -50,30 +56,56 @@ class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str) -> str | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return None
-        done = [str(s.getPath().getName()) for s in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return f"{self.root}/{name}/{max(done)}" if done else None
+    def _names(self, path: str, marker: str = "") -> list[str]:
+        """What lies in a folder, with ``marker`` only subfolders that hold such a file."""
+        of = self.spark._jvm.org.apache.hadoop.fs.Path
+        at = of(path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        return sorted(str(x.getPath().getName()) for x in fs.listStatus(at) if not marker or fs.exists(of(x.getPath(), marker)))
 
-    def read(self, name: str) -> DataFrame:
-        schema, _ = SCHEMAS[name]
-        at = self._pointer(name)
-        return self.spark.createDataFrame([], schema) if at is None else self.spark.read.schema(schema).parquet(at)
+    def _current(self, path: str) -> str | None:
+        done = self._names(path, "_SUCCESS")
+        return f"{path}/{done[-1]}" if done else None
 
-    def write(self, name: str, df: DataFrame) -> None:
+    def _months(self, name: str) -> list[str]:
+        return [m for m in self._names(f"{self.root}/{name}") if m.startswith("month=")]
+
+    def read(self, name: str, months: list[str] | None = None) -> DataFrame:
+        """The current version; of a table kept by month, of all months or of those named."""
+        schema, _ = SCHEMAS[name]
+        if name in BY_MONTH:
+            found = [self._current(f"{self.root}/{name}/{m}") for m in self._months(name) if months is None or m in months]
+        else:
+            found = [self._current(f"{self.root}/{name}")]
+        found = [f for f in found if f is not None]
+        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
+
+    def _put(self, path: str, df: DataFrame) -> None:
         """A version's name sorts after those before it; it counts once its _SUCCESS marker stands."""
-        last = self._pointer(name)
+        last = self._current(path)
         number = int(last.rsplit("/", 1)[1].split("-")[0][1:]) + 1 if last else 0
-        conform(df, SCHEMAS[name][0]).write.parquet(f"{self.root}/{name}/v{number:09d}-{uuid.uuid4().hex[:8]}")
+        df.write.parquet(f"{path}/v{number:09d}-{uuid.uuid4().hex[:8]}")
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """Replace the table, or, if it is kept by month, the months that the rows fall into."""
+        rows = conform(df, SCHEMAS[name][0])
+        if name not in BY_MONTH:
+            return self._put(f"{self.root}/{name}", rows)
+        month = F.date_format(BY_MONTH[name], "yyyy-MM")
+        rows = kept(self.spark, f"write of {name} {uuid.uuid4().hex}", lambda: rows.withColumn("_m", month))
+        for m in sorted(r["_m"] for r in rows.select("_m").distinct().collect()):  # the months of one load
+            self._put(f"{self.root}/{name}/month={m}", rows.where(F.col("_m") == m).drop("_m"))
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         schema, keys = SCHEMAS[name]
         order = [F.col("_order")] if "_order" in rows.columns else []
         new = conform(rows, schema) if not order else conform(rows, schema + ", _order long")
-        self.write(name, latest(self.read(name), new, keys))
+        months = None
+        if name in BY_MONTH:
+            months = [f"month={r['m']}" for r in new.select(F.date_format(BY_MONTH[name], "yyyy-MM").alias("m")).distinct().collect()]
+        self.write(name, latest(self.read(name, months), new, keys))
 
     # -- small tables --
 
@@ -90,7 +122,7 @@ class Store:
         return last + 1
 
     def delete_position(self, position: int) -> None:
-        self.write("positions", self.read("positions").where(F.col("id") != position))
+        self.write("positions", self.read("positions").where(~F.col("id").eqNullSafe(F.lit(position))))
 
     def list_positions(self) -> DataFrame:
         return self.read("positions").orderBy(F.desc("open_date"), F.desc("id"))
