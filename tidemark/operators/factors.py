@@ -196,7 +196,7 @@ def ranked_days(values: DataFrame, horizons: tuple[int, ...], main: int, quantil
     step = step.withColumns({"k": F.count("y").over(day)} | {f"k_{h}": F.count(f"r_{h}").over(day) for h in horizons})
     q = F.col("a") / F.col("k")
     bucket = F.least(F.greatest(F.ceil(q * quantiles - 1e-12), F.lit(1)), F.lit(quantiles)) - 1
-    step = step.withColumns({"layer": bucket, "top": F.coalesce(q > 1 - 1 / quantiles, F.lit(False))})
+    step = step.withColumns({"layer": F.when(q.isNotNull(), bucket), "top": F.coalesce(q > 1 - 1 / quantiles, F.lit(False))})
     step = step.withColumn("stayed", F.col("top") & F.coalesce(F.lag("top").over(Window.partitionBy("factor", "code").orderBy("date")), F.lit(False)))
     own = F.col("a") - (F.col("k") + 1) / 2
     sums = [F.count("y").alias("n"), F.sum(own * own).alias("ff"), F.count_if("top").alias("top"), F.count_if("stayed").alias("stayed")]

@@ -4,15 +4,17 @@ compare equal; a small shift keeps decimals that end in a 5 from falling either
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
-
 from pyspark.sql import functions as F
 
 from ..functions import market as rules
 from ..operators import asof, backtest, bars, factors, indicators, metrics, quality, rank, regime, signals, strategies
+from ..shared import shared_folder
 from ..sources import ingest, market, store
 from ..streaming import upserts
+from ..streaming.account import ForwardAccount
 from . import oracles
 
 QUERIES: dict[str, Callable] = {}
@@ -374,6 +376,111 @@ def complete_sessions(s, d):
     return upserts.complete_sessions(b.where(~((F.col("date") > F.lit(dt.date(2001, 6, 1))) & (F.col("n") % 3 != 0))))
 
 
+# ---- the store's tables and what is parsed on the way in ----------------------------------------------------------------
+
+
+def _store(s, name):
+    return store.Store(s, f"{shared_folder(s)}/store-{name}-{uuid.uuid4().hex}")
+
+
+@query
+def store_daily(s, d):
+    """Bars written, corrected by an upsert that touches some months only, and read back."""
+    b = market.bars(s, d)
+    to = _store(s, "daily")
+    to.upsert("daily", b)
+    to.upsert("daily", b.where((F.col("n") % 4 == 1) & (F.year("date") == 1997)).withColumn("close", F.col("close") * 2))
+    return to.read("daily").select("code", "date", "close", "volume")
+
+
+@query
+def store_positions(s, d):
+    to = _store(s, "positions")
+    i = market.instruments(s, d).withColumn("id", F.col("code").cast("long"))
+    to.upsert("positions", i.select("id", "code", "name", (F.col("id") % 1000 * 100).alias("shares"), F.lit(10.5).alias("cost"), F.col("listed_date").alias("open_date"), F.lit("").alias("note")))
+    to.delete_position(300000)
+    return to.list_positions().select("id", "code", "name", "shares", "cost", "open_date")
+
+
+@query
+def store_signal_log(s, d):
+    to = _store(s, "signals")
+    b = market.bars(s, d).where("pct_chg > 9")
+    rows = b.select("date", F.lit("jump").alias("strategy"), "code", F.lit("BUY").alias("action"), F.lit("").alias("name"), F.col("close").alias("price"), F.concat(F.lit("up "), F.round("pct_chg", 1).cast("string")).alias("reason"))
+    to.log_signals(rows)
+    to.log_signals(rows.where("code < '3'").withColumn("price", F.lit(1.0)))
+    return to.load_signal_log(10**6).select("date", "strategy", "code", "action", "price")
+
+
+@query
+def store_sync_errors(s, d):
+    to = _store(s, "errors")
+    i = market.instruments(s, d)
+    rows = i.select("code", F.lit(AS_OF).alias("date"), F.lit("timeout").alias("reason"), F.lit(dt.datetime(1999, 1, 4, 12)).alias("created_at"))
+    to.log_sync_errors(rows)
+    to.log_sync_errors(rows.where("code LIKE '6%'"))
+    to.clear_sync_errors(["000000", "300000"])
+    return to.load_sync_errors(10**6).select("code", "date", "reason", "attempt")
+
+
+@query
+def store_saves(s, d):
+    """Meta values and simulator saves: the last one of a key stays."""
+    to = _store(s, "saves")
+    for user, payload in (("a", "1"), ("b", "2"), ("a", "3")):
+        to.save_simulator(user, payload, dt.datetime(1999, 1, 4))
+        to.set_meta(f"of {user}", payload)
+    kept_meta = s.createDataFrame([(u, to.get_meta(f"of {u}"), to.load_simulator(u)) for u in ("a", "b", "c")], "user_name string, meta string, payload string")
+    return kept_meta.join(to.list_simulator_saves().select("user_name", F.lit(True).alias("listed")), "user_name", "left")
+
+
+@query
+def parsed_numbers(s, d):
+    o = market.read(s, d, "orders")
+    text = F.when(F.col("o_orderkey") % 7 == 0, "-").otherwise(F.format_number("o_totalprice", 2))
+    return o.select("o_orderkey", rules.to_number(text).alias("value"))
+
+
+@query
+def parsed_instruments(s, d):
+    n = market.bars(s, d).select("n").distinct()
+    first = n.where("n % 2 = 0").select(F.col("n").alias("code"), F.concat(F.lit("*S T "), "n").alias("name"), F.lit("19980105").alias("listed"))
+    return ingest.instruments_from(first, n.select(F.col("n").alias("code"), F.concat(F.lit("B "), "n").alias("name"), F.lit("1999-02-03").alias("listed")))
+
+
+@query
+def parsed_bars(s, d):
+    b = market.bars(s, d)
+    row = F.array(*[F.col(c).cast("string") for c in ("date", "open", "close", "high", "low", "volume")])
+    lines = b.groupBy("code", F.year("date")).agg(F.to_json(F.collect_list(row)).alias("json"))
+    return ingest.bars_from_json(lines).select("code", "date", "open", "high", "low", "close", "volume", "pct_chg", "amount")
+
+
+@query
+def parsed_reports(s, d):
+    """Reports as texts, every second one twice: the fuller one stays whole."""
+    f = market.fundamentals(s, d)
+    half = f.where("substr(period, 5, 2) IN ('03', '09')").withColumns({"eps": F.lit(None).cast("double"), "revenue": F.col("revenue") + 1})
+    return ingest.fundamentals_from(f.unionByName(half).withColumn("revenue", F.col("revenue").cast("string"))).select("code", "period", "avail_date", "eps", "revenue", "gross_margin")
+
+
+@query
+def reports_since(s, d):
+    return asof.load_reports(market.fundamentals(s, d), ["600000", "000000", "300000"], dt.date(1996, 1, 1)).select("code", "period", "avail_date", "eps", "roe")
+
+
+@query
+def delisted_missing(s, d):
+    gone = market.instruments(s, d).where("delisted_date IS NOT NULL").select("code", "name", "delisted_date")
+    return ingest.delisted_missing(gone, market.bars(s, d).where("n % 3 = 0"))
+
+
+@query
+def universe_members(s, d):
+    """The universe of every session, of at most 30 names."""
+    return bars.members(market.instruments(s, d), market.bars(s, d), FLT, 30)
+
+
 # ---- cross sections and factors -------------------------------------------------------------------------------------
 
 
@@ -470,7 +577,18 @@ def factor_correlation(s, d):
 
 @query
 def factor_evaluate_all(s, d):
-    return factors.evaluate_all(_panel(s, d, rsi=True))
+    return factors.evaluate_all(_panel(s, d, rsi=True)).drop("excess_by_year")
+
+
+@query
+def factor_evaluate_some(s, d):
+    return factors.evaluate_all(_price_panel(s, d), SOME, 5, horizons=(1, 5, 20)).drop("excess_by_year")
+
+
+@query
+def factor_excess_by_year(s, d):
+    found = factors.evaluate_all(_price_panel(s, d), SOME, 5, horizons=(5,))
+    return found.select("factor", F.explode("excess_by_year").alias("year", "excess"))
 
 
 # ---- strategies, signals --------------------------------------------------------------------------------------------
@@ -632,11 +750,13 @@ def backtest_metrics(s, d):
 
 @query
 def paper_advance(s, d):
-    """The forward account's fold over the same sessions and signals as a plain run."""
-    b = market.bars(s, d)
-    days = backtest.calendar(b, START, END)
-    rows = backtest.prepare(strategies.get_strategy("ma_cross"), b, days, "paper", START, END, names=market.instruments(s, d), min_bars=130)
-    return backtest.run(rows, days, {"paper": backtest.Config(initial_cash=2e6, sizing="account")})[0]
+    """The forward account, advanced twice over the sessions; only members of each session's universe are entered."""
+    b, i = market.bars(s, d), market.instruments(s, d)
+    account = ForwardAccount(s, f"{shared_folder(s)}/account-{uuid.uuid4().hex}")
+    account.reset("ma_cross", {}, START, cash=2e6)
+    for as_of in (dt.date(2000, 1, 3), END):
+        account.advance(b, market.index_bars(s, d), as_of, i.select("code"), names=i, members=bars.members(i, b, FLT))
+    return account.equity()
 
 
 def queries() -> dict[str, Callable]:

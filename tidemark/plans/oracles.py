@@ -263,6 +263,19 @@ SELECT year, count(*) AS codes, {r('avg(r)', 'mean')}, {r('quantile_cont(r, 0.5)
     q["cross_rank_average"] = f", t AS (SELECT code, date, {y.format('volume')} AS y FROM bars) SELECT code, date, {r(crank(), 'r')} FROM t"
     q["score_blend"] = f", t AS (SELECT code, date, {y.format('volume')} AS y, volume, close FROM bars), u AS (SELECT code, date, volume, {crank()} AS a, {y.format('close')} AS y FROM t), v AS (SELECT *, {crank()} AS b FROM u) SELECT code, date, {r('CASE WHEN volume > 20 THEN (2 * a + b) / 3 ELSE -9.9 END', 'score')} FROM v"
 
+    q["store_daily"] = f" SELECT code, date, {r('CASE WHEN n % 4 = 1 AND year(date) = 1997 THEN 2 * close ELSE close END', 'close')}, {r('volume', 'volume')} FROM bars"
+    q["store_positions"] = " SELECT CAST(code AS BIGINT) AS id, code, name, CAST(code AS BIGINT) % 1000 * 100 AS shares, 10.5::DOUBLE AS cost, listed_date AS open_date FROM inst WHERE code <> '300000'"
+    q["store_signal_log"] = f" SELECT date, 'jump' AS strategy, code, 'BUY' AS action, {r("CASE WHEN code < '3' THEN 1.0 ELSE close END", 'price')} FROM bars WHERE pct_chg > 9"
+    q["store_sync_errors"] = " SELECT code, DATE '1999-01-04' AS date, 'timeout' AS reason, CASE WHEN code LIKE '6%' THEN 2 ELSE 1 END AS attempt FROM inst WHERE code NOT IN ('000000', '300000')"
+    q["store_saves"] = " SELECT * FROM (VALUES ('a', '3', '3', true), ('b', '2', '2', true), ('c', NULL, NULL, NULL)) t(user_name, meta, payload, listed)"
+    q["parsed_numbers"] = f" SELECT o_orderkey, {r('CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice, 2) END', 'value')} FROM orders"
+    q["parsed_instruments"] = " SELECT lpad(CAST(n AS VARCHAR), 6, '0') AS code, CASE WHEN n % 2 = 0 THEN '*ST' ELSE 'B' END || n AS name, 'sz_main' AS board, CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS is_st, CASE WHEN n % 2 = 0 THEN DATE '1998-01-05' ELSE DATE '1999-02-03' END AS listed_date FROM (SELECT DISTINCT n FROM bars)"
+    q["parsed_bars"] = f" SELECT code, date, {', '.join(r(c, c) for c in ('open', 'high', 'low', 'close', 'volume'))}, {r(f'100 * (close / lag(close) OVER {OWN} - 1)', 'pct_chg')}, {r('volume * 100 * close', 'amount')} FROM bars"
+    q["parsed_reports"] = f" SELECT code, period, avail_date, {r('eps', 'eps')}, {r('revenue', 'revenue')}, {r('gross_margin', 'gross_margin')} FROM fund"
+    q["reports_since"] = f" SELECT code, period, avail_date, {r('eps', 'eps')}, {r('roe', 'roe')} FROM fund WHERE code IN ('600000', '000000', '300000') AND avail_date >= DATE '1996-01-01'"
+    q["delisted_missing"] = " SELECT code, name, delisted_date, 1 AS is_st FROM inst WHERE delisted_date IS NOT NULL AND code NOT IN (SELECT code FROM bars WHERE n % 3 = 0)"
+    q["universe_members"] = f""", ss AS (SELECT date, row_number() OVER (ORDER BY date) AS s FROM (SELECT DISTINCT date FROM bars)), mw AS (SELECT code, date, avg(amount) OVER w AS a, last_value(close) OVER w AS c, count(*) OVER w AS b FROM bars JOIN ss USING (date) WINDOW w AS (PARTITION BY code ORDER BY s RANGE BETWEEN 19 PRECEDING AND CURRENT ROW)),
+mg AS (SELECT mw.*, row_number() OVER (PARTITION BY date ORDER BY a DESC, code) AS k FROM mw JOIN inst USING (code) WHERE is_st = 0 AND (delisted_date IS NULL OR delisted_date > date) AND date_diff('day', listed_date, date) >= 250 AND a >= 150000 AND c BETWEEN 2 AND 1e9 AND b >= 15) SELECT date, code FROM mg WHERE k <= 30"""
     q["fwd_return"] = f", {GRID0} SELECT code, date, {r(fwd(5), 'r5')}, {r(fwd(20), 'r20')} FROM g0"
     q["tradable_mask"] = f", {GRID0} SELECT code, date, {TRADABLE} AS tradable FROM g0"
     for name, x in FACTORS.items():
@@ -278,6 +291,26 @@ SELECT year, count(*) AS codes, {r('avg(r)', 'mean')}, {r('quantile_cont(r, 0.5)
     q["factor_spread"] = f", {LAYERS}, up AS (SELECT *, CAST(ret > lag(ret) OVER (PARTITION BY factor ORDER BY layer) AS DOUBLE) AS up FROM lay) SELECT factor, {r('arg_max(ret, layer) - arg_min(ret, layer)', 'spread')}, {r('coalesce(sum(up), 0.0) / 4', 'monotonic')} FROM up GROUP BY factor"
     q["factor_top_excess"] = f", {values((5,))}, {QRANK}, ex AS (SELECT factor, date, avg(CASE WHEN q > 0.8 THEN r_5 END) - avg(r_5) AS x FROM qr WHERE mask GROUP BY ALL), yr AS (SELECT factor, year(date) AS y, avg(x) AS x FROM ex WHERE x IS NOT NULL GROUP BY ALL), yy AS (SELECT factor, count(*) FILTER (x > 0) AS top_win_years, count(*) AS top_years FROM yr GROUP BY factor) SELECT factor, {r('avg(x)', 'top_excess')}, any_value(top_win_years) AS top_win_years, any_value(top_years) AS top_years FROM ex JOIN yy USING (factor) GROUP BY factor"
     q["factor_turnover"] = f", {values((5,))}, {QRANK}, tp AS (SELECT factor, code, date, coalesce(mask AND q > 0.8, false) AS top FROM qr), tq AS (SELECT *, top AND coalesce(lag(top) OVER (PARTITION BY factor, code ORDER BY date), false) AS stayed FROM tp), td AS (SELECT factor, date, count(*) FILTER (stayed) AS s, count(*) FILTER (top) AS t FROM tq GROUP BY ALL) SELECT factor, {r('1 - avg(s / t)', 'turnover')} FROM td WHERE t > 0 GROUP BY factor"
+    year_excess = "ex AS (SELECT factor, date, avg(CASE WHEN q > 0.8 THEN r_5 END) - avg(r_5) AS x FROM qr WHERE mask GROUP BY ALL), yr AS (SELECT factor, year(date) AS year, avg(x) AS x FROM ex WHERE x IS NOT NULL GROUP BY ALL)"
+    q["factor_excess_by_year"] = f", {values((5,))}, {QRANK}, {year_excess} SELECT factor, year, {r('x', 'excess')} FROM yr"
+    three, means = (1, 5, 20), ", ".join(f"avg(ic) FILTER (h = {h}) AS ic_{h}" for h in (1, 5, 20))
+    q["factor_evaluate_some"] = (
+        f", {values(three)}, {', '.join(ic_of(h) for h in three)}, {QRANK}, {year_excess}, al AS (SELECT factor, horizon AS h, ic FROM i1 UNION ALL SELECT factor, horizon, ic FROM i5 UNION ALL SELECT factor, horizon, ic FROM i20),"
+        f" e1 AS (SELECT factor, {means}, stddev_samp(ic) FILTER (h = 5) AS sd, avg(CAST(ic > 0 AS DOUBLE)) FILTER (h = 5 AND ic IS NOT NULL) AS pos, count(ic) FILTER (h = 5) AS days FROM al GROUP BY factor),"
+        " ld AS (SELECT factor, date, CAST(least(greatest(ceil(q * 5 - 1e-12), 1), 5) AS INT) - 1 AS layer, avg(r_5) AS ret FROM qr WHERE mask AND q IS NOT NULL GROUP BY ALL), ly AS (SELECT factor, layer, avg(ret) AS ret FROM ld WHERE ret IS NOT NULL GROUP BY ALL),"
+        " lu AS (SELECT *, CAST(ret > lag(ret) OVER (PARTITION BY factor ORDER BY layer) AS DOUBLE) AS up FROM ly), e2 AS (SELECT factor, arg_max(ret, layer) - arg_min(ret, layer) AS spread, coalesce(sum(up), 0.0) / 4 AS mono FROM lu GROUP BY factor),"
+        " e3 AS (SELECT factor, avg(x) AS te FROM ex GROUP BY factor), e4 AS (SELECT factor, count(*) FILTER (x > 0) AS w, count(*) AS n FROM yr GROUP BY factor),"
+        " tp AS (SELECT factor, code, date, coalesce(mask AND q > 0.8, false) AS top FROM qr), tq AS (SELECT *, top AND coalesce(lag(top) OVER (PARTITION BY factor, code ORDER BY date), false) AS stayed FROM tp), td AS (SELECT factor, date, count(*) FILTER (stayed) AS s, count(*) FILTER (top) AS t FROM tq GROUP BY ALL), e5 AS (SELECT factor, 1 - avg(s / t) AS turn FROM td WHERE t > 0 GROUP BY factor)"
+        f" SELECT factor, {r('ic_5', 'ic')}, {r('ic_5 / sd', 'ir')}, {r('ic_5 / sd * sqrt(days)', 't')}, {r('pos', 'pos_ratio')}, {r('ic_1', 'ic_1')}, {r('ic_5', 'ic_5')}, {r('ic_20', 'ic_20')}, {r('spread', 'spread')}, {r('mono', 'monotonic')}, {r('te', 'top_excess')}, w AS top_win_years, n AS top_years, {r('turn', 'turnover')}, CASE WHEN coalesce(days, 0) < 30 THEN 'fewer than 30 sessions with 30 values' END AS error"
+        " FROM (SELECT DISTINCT factor FROM vals) LEFT JOIN e1 USING (factor) LEFT JOIN e2 USING (factor) LEFT JOIN e3 USING (factor) LEFT JOIN e4 USING (factor) LEFT JOIN e5 USING (factor)"
+    )
+    # The averages decay over sessions without a bar; a change next to one is unknown.
+    q["factor_rsi_14"] = f""", {GRID0}, ch AS (SELECT code, date, row_number() OVER {OWN} AS t, close - lag(close) OVER {OWN} AS d FROM g0),
+wr AS (SELECT code, date, t, NULL::DOUBLE AS u, NULL::DOUBLE AS l, 1.0::DOUBLE AS w, 0 AS n FROM ch WHERE t = 1 UNION ALL
+  SELECT ch.code, ch.date, ch.t, CASE WHEN d IS NULL THEN u WHEN n = 0 THEN greatest(d, 0) ELSE (u * w * 13 / 14.0 + greatest(d, 0) / 14.0) / (w * 13 / 14.0 + 1 / 14.0) END,
+    CASE WHEN d IS NULL THEN l WHEN n = 0 THEN greatest(-d, 0) ELSE (l * w * 13 / 14.0 + greatest(-d, 0) / 14.0) / (w * 13 / 14.0 + 1 / 14.0) END,
+    CASE WHEN d IS NOT NULL OR n = 0 THEN 1.0 ELSE w * 13 / 14.0 END, n + CASE WHEN d IS NULL THEN 0 ELSE 1 END FROM wr JOIN ch ON ch.code = wr.code AND ch.t = wr.t + 1)
+SELECT code, date, {r('CASE WHEN n >= 14 THEN 100 - 100 / (1 + u / nullif(l, 0)) END', 'value')} FROM wr"""
     names = list(DIRECTIONS)
     ranks = ", ".join(f"{avg_rank(n, 'date')} AS {n}" for n in names)
     masked = ", ".join(f"CASE WHEN mask THEN {n} END AS {n}" for n in names)
@@ -321,6 +354,6 @@ SELECT 'curve' AS run_id, round(fin / 200000 - 1, 4) AS total_return, round(pow(
 
 
 def sql() -> dict[str, str]:
-    return {name: f"WITH {MARKET.strip()}{body}" for name, body in _bodies().items()}
+    return {name: f"WITH RECURSIVE {MARKET.strip()}{body}" for name, body in _bodies().items()}
 
 

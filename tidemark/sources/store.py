@@ -1,8 +1,8 @@
 """Tables of the store as Parquet folders with keyed upserts.
 
 Plain Parquet has no MERGE, so an upsert is union, newest row per key, rewrite. A new version is written next to the old one
-and counts once its marker stands, so readers never see a half-written table. The bars are kept by month: each month has
-versions of its own, and only the months that the new rows touch are read and written.
+and counts once its marker stands, so readers never see a half-written table. The bars are kept by month: a version holds only
+the months that its rows touch, and a reader takes each month from the newest version that has it.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shared import kept
-
 # Columns and keys of the tables.
 SCHEMAS = {
     "instruments": ("code string, name string, board string, is_st int, listed_date date, delisted_date date, status string, industry string, float_share double, updated_at timestamp", ["code"]),
@@ -69,34 +67,33 @@ class Store:
         done = self._names(path, "_SUCCESS")
         return f"{path}/{done[-1]}" if done else None
 
-    def _months(self, name: str) -> list[str]:
-        return [m for m in self._names(f"{self.root}/{name}") if m.startswith("month=")]
+    def _months(self, name: str) -> dict[str, str]:
+        """Month -> folder of its newest rows."""
+        path, out = f"{self.root}/{name}", {}
+        for version in self._names(path, "_SUCCESS"):
+            out |= {m: f"{path}/{version}/{m}" for m in self._names(f"{path}/{version}") if m.startswith("month=")}
+        return out
 
     def read(self, name: str, months: list[str] | None = None) -> DataFrame:
         """The current version; of a table kept by month, of all months or of those named."""
         schema, _ = SCHEMAS[name]
         if name in BY_MONTH:
-            found = [self._current(f"{self.root}/{name}/{m}") for m in self._months(name) if months is None or m in months]
+            found = [at for m, at in self._months(name).items() if months is None or m in months]
         else:
-            found = [self._current(f"{self.root}/{name}")]
-        found = [f for f in found if f is not None]
+            found = [at for at in [self._current(f"{self.root}/{name}")] if at is not None]
         return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
 
-    def _put(self, path: str, df: DataFrame) -> None:
-        """A version's name sorts after those before it; it counts once its _SUCCESS marker stands."""
+    def write(self, name: str, df: DataFrame) -> None:
+        """Replace the table, or, if it is kept by month, the months that the rows fall into. A version's name sorts after those
+        before it."""
+        path, rows = f"{self.root}/{name}", conform(df, SCHEMAS[name][0])
         last = self._current(path)
         number = int(last.rsplit("/", 1)[1].split("-")[0][1:]) + 1 if last else 0
-        df.write.parquet(f"{path}/v{number:09d}-{uuid.uuid4().hex[:8]}")
-
-    def write(self, name: str, df: DataFrame) -> None:
-        """Replace the table, or, if it is kept by month, the months that the rows fall into."""
-        rows = conform(df, SCHEMAS[name][0])
-        if name not in BY_MONTH:
-            return self._put(f"{self.root}/{name}", rows)
-        month = F.date_format(BY_MONTH[name], "yyyy-MM")
-        rows = kept(self.spark, f"write of {name} {uuid.uuid4().hex}", lambda: rows.withColumn("_m", month))
-        for m in sorted(r["_m"] for r in rows.select("_m").distinct().collect()):  # the months of one load
-            self._put(f"{self.root}/{name}/month={m}", rows.where(F.col("_m") == m).drop("_m"))
+        to = f"{path}/v{number:09d}-{uuid.uuid4().hex[:8]}"
+        if name in BY_MONTH:
+            rows.withColumn("month", F.date_format(BY_MONTH[name], "yyyy-MM")).repartition("month").write.partitionBy("month").parquet(to)
+        else:
+            rows.write.parquet(to)
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         schema, keys = SCHEMAS[name]
