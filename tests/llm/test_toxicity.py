@@ -36,17 +36,25 @@ def test_split_and_odd_rows(spark, fitted):
     assert toxicity.drop_toxic(docs(spark), model).columns == docs(spark).columns
 
 
+def hash_of(piece):
+    """The digits of a number, one after the other, then spread."""
+    codes = [toxicity.BEGIN if c == "^" else toxicity.END if c == "$" else ord(c) + 3 for c in piece]
+    h = sum(c * toxicity.PRIME**i for i, c in enumerate(codes)) % 2**64
+    h = (h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 % 2**64
+    return (h ^ (h >> 29)) >> 44
+
+
 def brute_pieces(word):
     marked = f"^{word}$"
     found = [marked] + [marked[i : i + n] for i in range(len(marked)) for n in (4, 5) if i + n <= len(marked)] + [marked[:n] for n in range(6, 10) if n < len(marked)]
-    return {crc32(x.encode()) % toxicity.BUCKETS for x in found}
+    return {hash_of(x) for x in set(found)}
 
 
 def test_scores_brute(spark, fitted):
     """Letter runs of the whole text, unspaced ones of any length too, summed by hand."""
     model = fitted[2]
     word = next(w for w in ("trash", "idiot", "moron", "scum") if brute_pieces(w) & set(model.weights))
-    texts = ["A " + word, "x" * 300_000 + word, "字" * 5000 + word + "字" * 5000, f"({word.upper()}!)_{word}9", "", None, "nothing\u2003here", word + "\n" + word]
+    texts = ["A " + word, "x" * 5_000 + word, "字" * 5000 + word + "字" * 5000, f"({word.upper()}!)_{word}9", "", None, "nothing\u2003here", word + "\n" + word]
     got = {r.doc_id: r.score for r in toxicity.score(docs(spark, [(i, t, "s", "l") for i, t in enumerate(texts)]), model).collect()}
     for i, t in enumerate(texts):
         runs, run = set(), ""
@@ -58,7 +66,9 @@ def test_scores_brute(spark, fitted):
                 run = ""
         found = set().union(*[brute_pieces(r) for r in runs]) if runs else set()
         assert got[i] == pytest.approx(1 / (1 + np.exp(-(model.bias + sum(w for p, w in model.weights.items() if p in found)))), rel=1e-9)
-    assert toxicity.Pieces().of("x" * 300_000 + word) != toxicity.Pieces().of("x" * 300_000)
+    long, stretches = "x" * 300_000, "some words " * 60_000
+    assert set(toxicity.Pieces().of(long + word)) - set(toxicity.Pieces().of(long)) > {hash_of(word[-4:] + "$")}
+    assert set(toxicity.Pieces().of(stretches)) == brute_pieces("some") | brute_pieces("words")
 
 
 def test_piece_counts_brute(spark):
@@ -72,11 +82,11 @@ def test_piece_counts_brute(spark):
 
 
 def test_repeated_and_missing_rows(spark):
-    rows = [(i, f"plain words number {i}", "s", "l") for i in range(60)] + [(100 + i, f"awful awful nasty {i}", "s", "l") for i in range(30)] * 3
-    labels = spark.createDataFrame([(100 + i, 1) for i in range(30)] + [(i, 0) for i in range(60)], "doc_id long, toxic int")
+    rows = [(i, f"plain words number {i}", "s", "l") for i in range(300)] + [(1000 + i, f"awful awful nasty {i}", "s", "l") for i in range(30)] * 2
+    labels = spark.createDataFrame([(1000 + i, 1) for i in range(30)] + [(i, 0) for i in range(60)], "doc_id long, toxic int")
     model = toxicity.train(docs(spark, rows), labels)
     got = toxicity.score(docs(spark, rows), model).collect()
-    assert len(got) == len(rows) and min(r.score for r in got if r.doc_id >= 100) > max(r.score for r in got if r.doc_id < 100)
+    assert len(got) == len(rows) and min(r.score for r in got if r.doc_id >= 1000) > max(r.score for r in got if r.doc_id < 1000)
     none = toxicity.train(docs(spark, []), labels.limit(0))
     assert none.weights == {} and toxicity.drop_toxic(docs(spark, rows), none).count() == len(rows)
 
@@ -97,5 +107,6 @@ def test_risk_stays_non_negative():
 
 
 def test_pieces_mark_word_ends():
-    assert len(toxicity.pieces("abcdef")) == 1 + 5 + 4 + 2
-    assert toxicity.pieces("a") == {crc32(b"^a$") % toxicity.BUCKETS}
+    assert len(toxicity.Pieces().of("abcdef")) == 1 + 5 + 4 + 2
+    assert toxicity.Pieces().of("Ab2 ab_aB").tolist() == [hash_of("^ab$")]
+    assert set(toxicity.Pieces().of("Ünïcode weiß")) == brute_pieces("ünïcode") | brute_pieces("weiß")

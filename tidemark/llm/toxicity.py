@@ -8,11 +8,10 @@ turning negative, where the fit would only be memorising (the step is then taken
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from math import log2
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,61 +20,89 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, durable, ship, text_of
 
-WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 20
-#: Tokens, and words, whose pieces are remembered, and the longest that is; what is not remembered is worked out anew.
-REMEMBERED, LONGEST_REMEMBERED = 150_000, 64
+#: Letters that are hashed at once, if a word ends there.
+STRETCH = 1 << 18
+#: Code points up to here may be letters.
+POINTS = 0x32400
+#: Base of the hash of a piece, an odd number, and its inverse modulo 2**64.
+PRIME = 0x9E3779B97F4A7C15
+INVERSE = pow(PRIME, -1, 1 << 64)
+BEGIN, END = 1, 2  # stand before and behind a word
 
 
-def pieces(word: str) -> set[int]:
-    """Buckets of a lower-case word, its pieces of 4 and 5 letters from end to end and its longer beginnings, ends marked.
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether a code point belongs to words: letters, and numbers that are no decimal digits."""
+    return np.array([c.isalnum() and not c.isdecimal() for c in map(chr, range(POINTS))] + [False])
 
-    A word may be a whole text, as in scripts without spaces: its pieces slide over all of it.
+
+@lru_cache(maxsize=4)
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def buckets(codes: np.ndarray) -> np.ndarray:
+    """Buckets, with repeats, of the pieces of the words in these code points.
+
+    A word's pieces are itself, its pieces of 4 and 5 letters from end to end and its longer beginnings, its ends marked. A
+    piece's hash is that of its letters as digits of a number, so differences of one running sum give all of them at once.
     """
-    marked = f"^{word}$"
-    found = {crc32(marked.encode()) % BUCKETS}
-    for n in (4, 5):
-        found.update(crc32(marked[i : i + n].encode()) % BUCKETS for i in range(len(marked) - n + 1))
-    found.update(crc32(marked[:n].encode()) % BUCKETS for n in range(6, min(10, len(marked))))
-    return found
+    letter = letters()[np.minimum(codes, POINTS)]
+    at = np.flatnonzero(letter)
+    if not len(at):
+        return np.zeros(0, np.int64)
+    begins = np.concatenate([[True], at[1:] != at[:-1] + 1])
+    first = np.flatnonzero(begins)
+    word = np.cumsum(begins)
+    place = np.arange(len(at)) + 2 * word - 1  # in the line of all marked words
+    n = len(at) + 2 * len(first)
+    start = place[first] - 1
+    end = np.append(start[1:], n) - 1
+    line = np.zeros(n, np.uint64)
+    line[place] = codes[at].astype(np.uint64) + np.uint64(3)
+    line[start], line[end] = BEGIN, END
+    size = 1 << int(n).bit_length()
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(line * powers(PRIME, size)[:n])])
+    back = powers(INVERSE, size)
+    last = np.repeat(end, end - start + 1)
+    found = [(total[end + 1] - total[start]) * back[start]]
+    for k in (4, 5):
+        i = np.flatnonzero(np.arange(n) + (k - 1) <= last)
+        found.append((total[i + k] - total[i]) * back[i])
+    for k in range(6, 10):
+        i = start[start + (k - 1) < end]
+        found.append((total[i + k] - total[i]) * back[i])
+    h = np.concatenate(found)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) >> np.uint64(44)).astype(np.int64)
 
 
 class Pieces:
-    """The pieces of texts, of those in ``keep`` if it is given. Tokens between white space are looked up whole."""
-
-    def __init__(self, keep: frozenset[int] | dict | None = None) -> None:
-        self.keep, self.tokens, self.words = keep, {}, {}
-
-    def _word(self, word: str) -> tuple:
-        own = self.words.get(word)
-        if own is None:
-            found = pieces(word)
-            own = tuple(sorted(found if self.keep is None else found & self.keep))
-            _remember(self.words, word, own)
-        return own
-
-    def _token(self, token: str) -> tuple:
-        own = tuple({p for w in WORDS.findall(token) for p in self._word(w)})
-        _remember(self.tokens, token, own)
-        return own
-
-    def of(self, text: str) -> set[int]:
-        found: set[int] = set()
-        known = self.tokens
-        for t in set(text.lower().split()):
-            own = known.get(t)
-            if own is None:
-                own = self._token(t)
-            if own:
-                found.update(own)
-        return found
-
-
-def _remember(cache: dict[str, tuple], key: str, own: tuple) -> None:
-    if len(key) <= LONGEST_REMEMBERED:
-        if len(cache) >= REMEMBERED:
-            cache.clear()
-        cache[key] = own
+    """The pieces of texts, of those in ``keep`` if it is given. A text is read to its end, in stretches that end with a word."""
+
+    def __init__(self, keep: Iterable[int] | None = None) -> None:
+        self.keep = None
+        if keep is not None:
+            self.keep = np.zeros(BUCKETS, bool)
+            self.keep[list(keep)] = True
+
+    def of(self, text: str) -> np.ndarray:
+        """Each piece once, in order."""
+        codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+        parts, at = [], 0
+        while at < len(codes):
+            end, step = at + STRETCH, STRETCH
+            while end < len(codes) and letters()[min(codes[end], POINTS)]:
+                gaps = np.flatnonzero(~letters()[np.minimum(codes[end : end + step], POINTS)])
+                end = end + (gaps[0] if len(gaps) else step)
+                step *= 2
+            found = buckets(codes[at:end])
+            parts.append(np.unique(found if self.keep is None else found[self.keep[found]]))
+            at = end
+        return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
 
 
 @dataclass
@@ -84,13 +111,11 @@ class Model:
     bias: float
     prior: float
 
-    def pieces(self) -> Pieces:
-        return Pieces(frozenset(self.weights))
-
-    def score(self, text: str, known: Pieces) -> float:
-        """Probability of toxic; a text without words gets that of no evidence."""
-        z = self.bias + sum(self.weights[p] for p in sorted(known.of(text)))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def scorer(self) -> Callable[[str], float]:
+        """text -> probability of toxic; a text without words gets that of no evidence."""
+        known, weight = Pieces(self.weights), np.zeros(BUCKETS)
+        weight[list(self.weights)] = list(self.weights.values())
+        return lambda text: float(1 / (1 + np.exp(-np.clip(self.bias + weight[known.of(text)].sum(), -30, 30))))
 
 
 def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -126,9 +151,7 @@ def piece_counts(texts: DataFrame, keep: frozenset[int] | None = None) -> DataFr
         known, counts = Pieces(keep), np.zeros(BUCKETS, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
-                found = known.of(t)
-                if found:
-                    counts[np.fromiter(found, np.int64, len(found))] += 1
+                counts[known.of(t)] += 1
         some = np.nonzero(counts)[0]
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["piece", "n"])
 
@@ -141,7 +164,7 @@ def piece_rows(sample: DataFrame, keep: frozenset[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Pieces(keep)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(known.of(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["positive", "pieces"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([known.of(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["positive", "pieces"])
 
     return sample.select("positive", "text").mapInArrow(run, "positive boolean, pieces array<int>")
 
@@ -212,9 +235,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.pieces()
+        score_of = shared.value.scorer()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.score(t, known) for t in b.column(1).to_pylist()], pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([score_of(t) for t in b.column(1).to_pylist()], pa.float64())], ["id", "score"])
 
     scored = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -228,9 +251,9 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.pieces()
+        score_of = shared.value.scorer()
         for b in batches:
             texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            yield b.filter(pa.array([shared.value.score(t or "", known) < threshold for t in texts], pa.bool_()))
+            yield b.filter(pa.array([score_of(t or "") < threshold for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
