@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ship
+from ..shared import durable, shared_folder
 
 __all__ = ["ascii_lower", "broadcast_if_small", "durable", "shared_folder", "ship", "table", "text_of", "weight"]
 
@@ -32,41 +29,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """This application's folder in the place that all executors share; it goes when the application ends.
-
-    The place is spark.checkpoint.dir. Only a local master may do without that setting: its executors share the machine.
-    """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if root is None:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
-    folder = f"{root}/tidemark-{sc.applicationId}"
-    if folder not in _made:
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-        _made.add(folder)
-    return folder
-
-
-#: Folders of this process's applications that exist already.
-_made: set[str] = set()
-
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Most bytes of a table that is broadcast.
 SMALL = 96 << 20
 
