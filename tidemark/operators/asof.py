@@ -1,4 +1,4 @@
-"""Backward as-of joins in interval form: an equi-join on the code with a residual date range, never a product."""
+"""Backward as-of joins: values are carried along a line per code, or spans of a short series are looked up."""
 
 from __future__ import annotations
 
@@ -6,13 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def intervals(facts: DataFrame, field: str) -> DataFrame:
-    """(code, valid_from, valid_to, value): each non-null report of a field until the next one; of reports that become known
-    on one day the later period counts."""
-    known = facts.where(F.col(field).isNotNull()).groupBy("code", F.col("avail_date").alias("valid_from")).agg(F.max_by(field, "period").alias("value"))
-    return known.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("code").orderBy("valid_from")))
-
-
 def load_reports(facts: DataFrame, codes: list[str] | DataFrame | None = None, start=None) -> DataFrame:
     """Reports of the codes (None or an empty list: all) that became known on ``start`` or later."""
     out = facts if start is None else facts.where(F.col("avail_date") >= F.lit(start))
@@ -22,17 +15,17 @@ def load_reports(facts: DataFrame, codes: list[str] | DataFrame | None = None, s
 
 
 def point_in_time(rows: DataFrame, facts: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Add to rows (code, date) the latest known value of each field; ``fields`` maps fields to new names.
+    """Add to rows (code, date, ...) the latest known value of each field; ``fields`` maps fields to new names.
 
-    Each field carries its own last non-null report. All fields travel in one long table and one join, then come back as
-    columns, so the number of shuffles does not depend on the number of fields.
+    Each field carries its own last non-null report; of reports that become known on one day the later period counts. Rows
+    and reports stand in one line per code and day, reports first, and the last value so far is carried along: one shuffle by
+    code and one pass whatever the number of fields, rows or reports.
     """
-    long = facts.select("code", "avail_date", "period", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields])).alias("x")).select("code", "avail_date", "period", "x.field", F.col("x.v").alias("v")).where("v IS NOT NULL")
-    known = long.groupBy("code", "field", F.col("avail_date").alias("valid_from")).agg(F.max_by("v", "period").alias("v"))
-    known = known.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("code", "field").orderBy("valid_from")))
-    hit = rows.select("code", "date").distinct().join(known, "code").where((F.col("date") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("date") < F.col("valid_to"))))
-    wide = hit.groupBy("code", "date").agg(*[F.max(F.when(F.col("field") == f, F.col("v"))).alias(out) for f, out in fields.items()])
-    return rows.join(wide, ["code", "date"], "left")
+    known = facts.groupBy("code", F.col("avail_date").alias("date")).agg(*[F.max_by(F.col(f).cast("double"), F.when(F.col(f).isNotNull(), F.col("period"))).alias(f"_v_{f}") for f in fields])
+    line = rows.withColumn("_row", F.lit(1)).unionByName(known.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy("code").orderBy("date", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    carried = line.select(*rows.columns, "_row", *[F.last(f"_v_{f}", ignorenulls=True).over(so_far).alias(out) for f, out in fields.items()])
+    return carried.where("_row = 1").drop("_row")
 
 
 def carry_forward(rows: DataFrame, series: DataFrame, value: str, out: str) -> DataFrame:
