@@ -211,3 +211,26 @@ def test_quality(spark, daily, pdf):
     inst = spark.createDataFrame([("600000",), ("999999",)], "code string")
     gaps = {r.code: r.kind for r in quality.find_gaps(inst, daily).collect()}
     assert gaps["999999"] == "no_data" and gaps["000005"] == "lagging"
+
+
+def test_members_are_the_universe_of_each_day(spark, daily, pdf):
+    codes = sorted(set(pdf.code))
+    rows = [(c, f"N{c}", "sh_main", int(i == 2), dt.date(2019, 1, 1) if i != 4 else dt.date(2020, 5, 1), dt.date(2020, 4, 1) if i == 6 else None, "x") for i, c in enumerate(codes)]
+    names = spark.createDataFrame(rows, "code string, name string, board string, is_st int, listed_date date, delisted_date date, industry string")
+    flt = bars.UniverseFilter(min_amount=float(pdf.amount.median()), min_listed_days=30)
+    got = {}
+    for r in bars.members(names, daily, flt, 5).collect():
+        got.setdefault(r.date, set()).add(r.code)
+    days = sorted(set(pdf.date))
+    have = {(c, d) for c, d in zip(pdf.code, pdf.date)}
+    for t in (30, 60, 90, len(days) - 1):
+        top = [r.code for r in bars.universe(names, daily, days[t], flt).collect()]
+        own = [c for c in top if (c, days[t]) in have]  # a name without a bar is not listed
+        assert got.get(days[t], set()) == set(own[:5]) or len(own) != len(top)
+
+
+def test_evaluation_says_what_it_could_not_measure(spark, daily):
+    panel = factors.build_panel(daily)
+    few = {r.factor: r for r in factors.evaluate_all(panel, ["mom_20", "mom_120_20"], 5, horizons=(1, 5), least=10, least_days=30).collect()}
+    assert few["mom_20"].error is None and few["mom_20"].ic is not None and sum(few["mom_20"].excess_by_year.values()) == pytest.approx(few["mom_20"].top_excess)
+    assert few["mom_120_20"].error.startswith("fewer than") and few["mom_120_20"].ic is None

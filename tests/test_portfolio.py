@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -195,3 +197,28 @@ def test_metrics(data, turtle):
     assert counts == np.histogram(t.pnl_pct, metrics.EDGES)[0].tolist()
     months = metrics.monthly_returns(eq, 1e6).count()
     assert months == len(set(pd.to_datetime(e.date).dt.to_period("M")))
+
+
+def test_a_run_without_bars_says_so(spark):
+    from tidemark.operators import backtest
+    from tidemark.operators.strategies import get_strategy
+
+    daily, ix = frame(spark, market(4, 80)), frame(spark, index(80))
+    codes = spark.createDataFrame([("999999",)], "code string")
+    equity, trades, stats = backtest.backtest(get_strategy("ma_cross"), daily, ix, dt.date(2020, 1, 1), dt.date(2020, 12, 31), codes=codes)
+    assert equity.count() == trades.count() == 0
+    assert [(r.run_id, r.suspended, r.error) for r in stats.collect()] == [("run", 0, "no bars in this span")]
+
+
+def test_account_counts_sessions_without_any_ready_code(spark, tmp_path):
+    from tidemark.streaming.account import ForwardAccount
+
+    daily, ix = frame(spark, market(4, 40)), frame(spark, index(40))
+    days = sorted({r.date for r in daily.select("date").distinct().collect()})
+    account = ForwardAccount(spark, str(tmp_path))
+    account.reset("ma_cross", {}, days[0])
+    codes = daily.select("code").distinct()
+    assert account.advance(daily, ix, days[20], codes) == 20 and account.advance(daily, ix, days[20], codes) == 0
+    s = account.status()
+    assert (s["sessions"], s["equity"], s["last_date"], s["max_drawdown"], s["idle_days"], s["holdings"]) == (20, 200_000.0, days[20], 0.0, 0, []) and s["benchmark_return"] is not None
+    assert account.advance(daily, ix, days[25], codes) == 5 and account.equity().count() == 25

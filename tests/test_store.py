@@ -113,3 +113,19 @@ def test_queries_equal_their_oracles(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["date", "strategy", "code", "action", "price", "score", "shares"]
+
+
+def test_bars_are_kept_by_month(spark, tmp_path):
+    import datetime as dt
+
+    from tidemark.sources.store import Store
+
+    d = lambda m, x: [(c, dt.date(2020, m, 3), float(x)) for c in ("a", "b")]
+    store = Store(spark, str(tmp_path))
+    frame_of = lambda rows: spark.createDataFrame(rows, "code string, date date, close double")
+    store.upsert("daily", frame_of(d(1, 1) + d(2, 2) + d(3, 3)))
+    store.upsert("daily", frame_of([("b", dt.date(2020, 2, 3), 9.0), ("c", dt.date(2020, 2, 4), 8.0)]))
+    got = sorted((r.code, r.date.month, r.close) for r in store.read("daily").collect())
+    assert got == [("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, 3.0), ("b", 1, 1.0), ("b", 2, 9.0), ("b", 3, 3.0), ("c", 2, 8.0)]
+    assert {m: at.rsplit("/", 2)[1][:10] for m, at in store._months("daily").items()} == {"month=2020-01": "v000000000", "month=2020-02": "v000000001", "month=2020-03": "v000000000"}
+    assert store.read("daily", ["month=2020-02"]).count() == 3
