@@ -40,6 +40,8 @@ END = b"\n"  # no word holds white space, so this is no word
 #: Tokens looked up at once.
 PIECE = 200_000
 REMEMBERED = 150_000
+#: Tokens that a task holds before it adds them up and hands them on.
+COUNTED = 1_500_000
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -111,7 +113,7 @@ def ngram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 held[1].append(h)
                 held[2].append(bigrams(h))
                 size += len(h)
-                if size > 2_500_000:
+                if size > COUNTED:
                     yield from out()
                     size = 0
         yield from out()
@@ -246,7 +248,7 @@ def train(docs: DataFrame, text_col: str = "text", bits_per_entry: int = BITS_PE
 # ---- scores ---------------------------------------------------------------------------------------------------------
 
 #: Text bytes whose tokens are held at once.
-HELD = 1 << 20
+HELD = 3 << 18
 
 
 def head_of(unigrams: DataFrame, words: int) -> int:
