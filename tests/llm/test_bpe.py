@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -69,3 +70,11 @@ def test_odd_rows_and_round_trip(spark, own):
 def test_pieces(own, library, monkeypatch):
     monkeypatch.setattr(bpe, "PIECE", 50)
     same(own, library, "some words, ÉCOLE é " * 40)
+
+
+@pytest.mark.parametrize("change", [("normalizer", {"normalizers": [{"type": "NFC"}, {"type": "Lowercase"}]}), ("decoder", {"type": "ByteLevel"}), ("added_tokens", [{"id": 1, "content": "<x>", "single_word": False, "lstrip": True, "rstrip": False, "normalized": False}])])
+def test_unknown_settings_are_refused(change):
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec[change[0]] = change[1]
+    with pytest.raises(ValueError):
+        bpe.Tokenizer(json.dumps(spec))

@@ -41,15 +41,30 @@ def byte_letters() -> list[str]:
     return [chr(b if b in visible else next(spare)) for b in range(256)]
 
 
+# The settings of a tokenizer file that this encoder implements.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def refuse_others(whole: dict) -> None:
+    """Raise for any setting that would give other ids than this encoder's."""
+    steps, model = whole["pre_tokenizer"]["pretokenizers"], whole["model"]
+    wrong = [
+        whole["normalizer"]["normalizers"] != NORMALIZERS, steps[0] != SPLIT, len(steps) != 2 or steps[1]["type"] != "ByteLevel" or steps[1]["add_prefix_space"] or steps[1].get("use_regex", True),
+        whole["decoder"] is not None, not model["end_of_word_suffix"], any(model.get(k) not in (v, None) for k, v in MODEL.items()), any(t[k] for t in whole["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    ]
+    if any(wrong):
+        raise ValueError("a word-level BPE file with an end-of-word suffix, no decoder and the settings above is needed")
+
+
 class Tokenizer:
     """A tokenizer of words with an end-of-word suffix, from the JSON of a tokenizer file."""
 
     def __init__(self, spec: str) -> None:
         whole = json.loads(spec)
         model = whole["model"]
-        kinds = [n["type"] for n in whole["normalizer"]["normalizers"]]
-        if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or not model["end_of_word_suffix"] or whole["decoder"] is not None:
-            raise ValueError("a word-level BPE file with an end-of-word suffix and no decoder is needed")
+        refuse_others(whole)
         suffix, vocab = model["end_of_word_suffix"], model["vocab"]
         self.name = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in whole["added_tokens"]}
         self.added = {t["content"]: t["id"] for t in whole["added_tokens"]}
