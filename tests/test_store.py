@@ -127,5 +127,36 @@ def test_bars_are_kept_by_month(spark, tmp_path):
     store.upsert("daily", frame_of([("b", dt.date(2020, 2, 3), 9.0), ("c", dt.date(2020, 2, 4), 8.0)]))
     got = sorted((r.code, r.date.month, r.close) for r in store.read("daily").collect())
     assert got == [("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, 3.0), ("b", 1, 1.0), ("b", 2, 9.0), ("b", 3, 3.0), ("c", 2, 8.0)]
-    assert {m: at.rsplit("/", 2)[1][:10] for m, at in store._months("daily").items()} == {"month=2020-01": "v000000000", "month=2020-02": "v000000001", "month=2020-03": "v000000000"}
-    assert store.read("daily", ["month=2020-02"]).count() == 3
+    assert store.read("daily", ["2020-02"]).count() == 3
+
+
+def scanned(df) -> tuple[int, int, str]:
+    """Rows, files that the scan read, and its plan."""
+    rows = len(df.collect())
+    plan = df._jdf.queryExecution().executedPlan()
+    return rows, plan.collectLeaves().head().metrics().apply("numFiles").value(), plan.toString()
+
+
+def test_load_daily_opens_only_the_months_of_its_dates(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    days = spark.range(24).selectExpr("add_months(date'2020-01-15', cast(id as int)) AS date").crossJoin(spark.range(40).selectExpr("lpad(cast(id as string), 6, '0') AS code"))
+    store.upsert("daily", days.withColumn("close", F.rand(1)))
+    everything, all_files, _ = scanned(store.read("daily"))
+    rows, files, plan = scanned(store.load_daily(["000007", "000009"], D(2020, 3, 1), D(2020, 5, 20)))
+    assert everything == 24 * 40 and rows == 6 and 0 < files <= all_files * 4 / 24
+    assert "PartitionFilters: [isnotnull(month" in plan and "code#" in plan.split("DataFilters: ")[1].split("Format")[0], plan
+    assert scanned(store.load_daily(None, D(2021, 12, 1)))[:2] == (40, scanned(store.read("daily", ["2021-12"]))[1])
+    assert store.load_daily([]).count() == 0 and store.load_daily().count() == everything
+    assert Store(spark, str(tmp_path / "none")).load_daily(["000007"], D(2020, 1, 1)).count() == 0
+
+
+def test_null_keys_are_refused_and_lose_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    frame_of = lambda rows: spark.createDataFrame(rows, "code string, date date, close double")
+    store.upsert("daily", frame_of([("a", D(2020, 1, 3), 1.0)]))
+    for bad in (("b", None, 2.0), (None, D(2020, 1, 4), 2.0)):
+        with pytest.raises(Exception, match="daily: null"):
+            store.upsert("daily", frame_of([bad, ("c", D(2020, 1, 3), 3.0)]))
+    with pytest.raises(Exception, match="meta: null key"):
+        store.upsert("meta", spark.createDataFrame([(None, "x")], "key string, value string"))
+    assert [(r.code, r.close) for r in store.read("daily").collect()] == [("a", 1.0)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.market import ratio
 from .asof import point_in_time
 from .bars import UniverseFilter, dense_grid, forward_return, load_daily, tradable, universe, usable_history
-from .indicators import YEAR, before, full, sma
+from .indicators import YEAR, before, full, sma, with_rsi_over_holes
 from .rank import average_rank, rank_ic
 
 # The reports that factors read.
@@ -76,7 +76,7 @@ def build_panel(bars: DataFrame, facts: DataFrame | None = None, fill: str = "pa
     held = F.last("close", ignorenulls=True).over(ever) if fill == "pad" else F.col("close")
     grid = grid.withColumn("_held", held).withColumn("ret", ratio(F.col("_held"), before(F.col("_held"))) - 1).drop("_held")
     if rsi:
-        grid = grid.join(_grid_rsi(grid, 14), ["code", "date"], "left")
+        grid = with_rsi_over_holes(grid, "close", 14, "rsi_14")
     return point_in_time(grid, facts, FIELDS) if facts is not None else grid
 
 
@@ -86,25 +86,6 @@ def universe_panel(instruments: DataFrame, daily: DataFrame, start, end, facts:
     return build_panel(load_daily(daily, codes, start, end), facts, **how)
 
 
-def _grid_rsi(grid: DataFrame, n: int) -> DataFrame:
-    """RSI on a grid with holes: the averages decay over holes and changes next to a hole are unknown.
-
-    Holes break the plain recursion, so a grouped pandas function does it exactly, one code's sessions at a time.
-    """
-
-    def run(g):
-        g = g.sort_values("date")
-        change = g["close"].astype(float).diff()
-        gain, loss = change.clip(lower=0), (-change).clip(lower=0)
-        g_avg = gain.ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
-        l_avg = loss.ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
-        strength = 100 - 100 / (1 + g_avg / l_avg.where(l_avg != 0))
-        return g[["code", "date"]].assign(rsi_14=strength)
-
-    out = grid.select("code", "date", "close").groupBy("code").applyInPandas(run, "code string, date date, rsi_14 double")
-    return out.withColumn("rsi_14", F.nanvl("rsi_14", F.lit(None).cast("double")))
-
-
 def evaluate_columns(panel: DataFrame, names: list[str]) -> DataFrame:
     """code, date and one column a factor, all from one partitioning."""
     return panel.select("code", "date", *[REGISTRY[n].build().alias(n) for n in names])

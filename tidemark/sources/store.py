@@ -1,8 +1,9 @@
 """Tables of the store as Parquet folders with keyed upserts.
 
-Plain Parquet has no MERGE, so an upsert is union, newest row per key, rewrite. A new version is written next to the old one
-and counts once its marker stands, so readers never see a half-written table. The bars are kept by month: a version holds only
-the months that its rows touch, and a reader takes each month from the newest version that has it.
+Plain Parquet has no MERGE, so an upsert is union, newest row per key, rewrite. A small table's new version is written next to
+the old one and counts once its marker stands, so readers never see a half-written table. The bars are one Parquet table
+partitioned by month and sorted by code in each file: an upsert replaces the months that its rows touch, and ``load_daily``
+opens the months of its dates only and, in them, the pages of its codes.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import bars
+from ..shared import durable
+
 # Columns and keys of the tables.
 SCHEMAS = {
     "instruments": ("code string, name string, board string, is_st int, listed_date date, delisted_date date, status string, industry string, float_share double, updated_at timestamp", ["code"]),
@@ -67,41 +71,52 @@ class Store:
         done = self._names(path, "_SUCCESS")
         return f"{path}/{done[-1]}" if done else None
 
-    def _months(self, name: str) -> dict[str, str]:
-        """Month -> folder of its newest rows."""
-        path, out = f"{self.root}/{name}", {}
-        for version in self._names(path, "_SUCCESS"):
-            out |= {m: f"{path}/{version}/{m}" for m in self._names(f"{path}/{version}") if m.startswith("month=")}
-        return out
+    def _by_month(self, name: str) -> DataFrame:
+        """A table kept by month, with its month (yyyy-MM) as a column that prunes folders."""
+        path, schema = f"{self.root}/{name}", f"{SCHEMAS[name][0]}, month string"
+        return self.spark.read.schema(schema).parquet(path) if self._names(path) else self.spark.createDataFrame([], schema)
 
     def read(self, name: str, months: list[str] | None = None) -> DataFrame:
         """The current version; of a table kept by month, of all months or of those named."""
         schema, _ = SCHEMAS[name]
         if name in BY_MONTH:
-            found = [at for m, at in self._months(name).items() if months is None or m in months]
-        else:
-            found = [at for at in [self._current(f"{self.root}/{name}")] if at is not None]
-        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
+            rows = self._by_month(name)
+            return (rows if months is None else rows.where(F.col("month").isin(*months))).drop("month")
+        at = self._current(f"{self.root}/{name}")
+        return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
+
+    def load_daily(self, codes: list[str] | DataFrame | None = None, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
+        """Bars of the codes between two dates inclusive, as ``bars.load_daily``; months outside the dates are not opened."""
+        rows = self._by_month("daily")
+        if start is not None:
+            rows = rows.where(F.col("month") >= f"{start:%Y-%m}")
+        if end is not None:
+            rows = rows.where(F.col("month") <= f"{end:%Y-%m}")
+        return bars.load_daily(rows, codes, start, end).drop("month")
 
     def write(self, name: str, df: DataFrame) -> None:
         """Replace the table, or, if it is kept by month, the months that the rows fall into. A version's name sorts after those
-        before it."""
-        path, rows = f"{self.root}/{name}", conform(df, SCHEMAS[name][0])
+        before it. A row with a null key is refused."""
+        path, (schema, keys) = f"{self.root}/{name}", SCHEMAS[name]
+        rows = conform(df, schema)
+        rows = rows.withColumns({k: F.coalesce(k, F.raise_error(F.lit(f"{name}: null {k}")).cast(rows.schema[k].dataType)) for k in keys})
+        if name in BY_MONTH:
+            by = rows.withColumn("month", F.date_format(BY_MONTH[name], "yyyy-MM"))
+            laid = by.repartitionByRange("month", "code").sortWithinPartitions("month", *keys)
+            laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+            return
         last = self._current(path)
         number = int(last.rsplit("/", 1)[1].split("-")[0][1:]) + 1 if last else 0
-        to = f"{path}/v{number:09d}-{uuid.uuid4().hex[:8]}"
-        if name in BY_MONTH:
-            rows.withColumn("month", F.date_format(BY_MONTH[name], "yyyy-MM")).repartition("month").write.partitionBy("month").parquet(to)
-        else:
-            rows.write.parquet(to)
+        rows.write.parquet(f"{path}/v{number:09d}-{uuid.uuid4().hex[:8]}")
 
     def upsert(self, name: str, rows: DataFrame) -> None:
+        """Rows replace those of their key. Rows of a table kept by month are written aside first, so that they are made once."""
         schema, keys = SCHEMAS[name]
-        order = [F.col("_order")] if "_order" in rows.columns else []
-        new = conform(rows, schema) if not order else conform(rows, schema + ", _order long")
+        new = conform(rows, schema if "_order" not in rows.columns else schema + ", _order long")
         months = None
         if name in BY_MONTH:
-            months = [f"month={r['m']}" for r in new.select(F.date_format(BY_MONTH[name], "yyyy-MM").alias("m")).distinct().collect()]
+            new = durable(new, "upsert")
+            months = [r["m"] for r in new.select(F.date_format(BY_MONTH[name], "yyyy-MM").alias("m")).distinct().collect() if r["m"]]
         self.write(name, latest(self.read(name, months), new, keys))
 
     # -- small tables --
