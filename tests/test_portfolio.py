@@ -173,7 +173,8 @@ def test_signals(spark, data):
     assert (got[got.action == "SELL"].code.isin([r.code for r in held.collect()])).all()
     buys = got[got.action == "BUY"]
     assert len(buys) <= 3 and list(buys.score) == sorted(buys.score, reverse=True) and (buys.shares % 100 == 0).all()
-    assert signals.freshness(idx, last).first()["stale"] in (True, False)
+    assert signals.freshness(idx, last).first()["stale"] is False and signals.freshness(idx, last + dt.timedelta(days=1)).first()["stale"] is True
+    assert signals.freshness(idx.limit(0), last).first()["stale"] is True
 
 
 def test_metrics(data, turtle):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from ..functions.market import ratio
 from .asof import point_in_time
 from .bars import UniverseFilter, dense_grid, forward_return, load_daily, tradable, universe, usable_history
@@ -220,16 +223,49 @@ def evaluate_all(panel: DataFrame, names: list[str] | None = None, main: int = 2
     ).orderBy(F.col("top_excess").desc_nulls_last(), "factor")
 
 
-def correlation(panel: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, corr): mean over days of the rank correlation of each pair of factors, a <= b."""
-    wide = panel.select("date", tradable().alias("mask"), *[REGISTRY[n].build().alias(n) for n in names])
-    w = Window.partitionBy("date")
-    kept = wide.select("date", *[F.when(F.col("mask"), F.col(n) * REGISTRY[n].direction).alias(n) for n in names])
-    ranks = kept.select("date", *[average_rank(F.col(n), "date").alias(n) for n in names])
-    centred = ranks.select("date", *[(F.col(n) - F.avg(n).over(w)).alias(n) for n in names])
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    den = lambda a: F.sum(F.col(a) * F.col(a))
-    day = centred.groupBy("date").agg(*[(F.sum(F.col(a) * F.col(b)) / F.nullif(F.sqrt(den(a) * den(b)), F.lit(0.0))).alias(f"{a}|{b}") for a, b in pairs])
-    means = day.agg(*[F.avg(f"`{a}|{b}`").alias(f"{a}|{b}") for a, b in pairs])
-    return means.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs])).alias("p")).select("p.*")
+def gram(vectors: DataFrame, width: int) -> DataFrame:
+    """(date, pos, s): sums of products of each pair of components over a date's vectors (date, z array<struct<i, v>>).
 
+    Tasks add up whole batches of outer products, packed as upper triangles; only a triangle a date leaves a task. ``pos``
+    counts the pairs i <= j row by row; absent components count as zero.
+    """
+    i, j = np.triu_indices(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            flat = lists.flatten()
+            z = np.zeros((len(lists), width))
+            z[rows, flat.field("i").to_numpy()] = flat.field("v").to_numpy()
+            days, of = np.unique(b.column(0).cast(pa.int32()).to_numpy(), return_inverse=True)
+            order = np.argsort(of, kind="stable")
+            first = np.searchsorted(of[order], np.arange(len(days)))
+            sums = np.add.reduceat(z[order][:, i] * z[order][:, j], first, axis=0) if len(days) else np.zeros((0, len(i)))
+            yield pa.RecordBatch.from_arrays([pa.array(days, pa.int32()).cast(pa.date32()), pa.array(list(sums), pa.list_(pa.float64()))], ["date", "t"])
+
+    triangles = vectors.select("date", "z").mapInArrow(run, "date date, t array<double>")
+    return triangles.select("date", F.posexplode("t").alias("pos", "s")).groupBy("date", "pos").agg(F.sum("s").alias("s"))
+
+
+def correlation(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(a, b, corr): mean over days of the rank correlation of each pair of factors (None: all), a before b in the list or equal.
+
+    Values are stacked, so one order by (factor, date, value) ranks every factor; the centred ranks of a row then stand together
+    again, and one packed triangle of sums a date gives all pairs.
+    """
+    names = names or list(REGISTRY)
+    ship(panel.sparkSession)
+    wide = panel.select("code", "date", tradable().alias("mask"), *[(REGISTRY[n].build() * REGISTRY[n].direction).alias(n) for n in names])
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("i"), F.col(n).alias("f")) for k, n in enumerate(names)]))
+    values = wide.where("mask").select("code", "date", pairs.alias("p")).select("code", "date", "p.i", "p.f").where("f IS NOT NULL")
+    centre = (F.count("f").over(Window.partitionBy("i", "date")) + 1) / 2
+    ranks = values.select("code", "date", "i", (average_rank(F.col("f"), "i", "date") - centre).alias("v"))
+    vectors = ranks.groupBy("date", "code").agg(F.collect_list(F.struct("i", "v")).alias("z"))  # one entry a factor
+    k = len(names)
+    at = {(a, b): p for p, (a, b) in enumerate((a, b) for a in range(k) for b in range(a, k))}
+    day = gram(vectors, k).groupBy("date").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("g"))
+    asked = F.array(*[F.struct(F.lit(names[a]).alias("a"), F.lit(names[b]).alias("b"), F.lit(p).alias("p"), F.lit(at[a, a]).alias("x"), F.lit(at[b, b]).alias("y")) for (a, b), p in at.items()])
+    each = day.select("g", F.explode(asked).alias("q"))
+    corr = F.col("g")[F.col("q.p")] / F.nullif(F.sqrt(F.col("g")[F.col("q.x")] * F.col("g")[F.col("q.y")]), F.lit(0.0))
+    return each.select("q.a", "q.b", corr.alias("corr")).groupBy("a", "b").agg(F.avg("corr").alias("corr"))

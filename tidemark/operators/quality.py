@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.market import is_index
+from ..shared import durable
 from .bars import stocks
 from .indicators import YEAR
 
@@ -68,9 +70,15 @@ def recent_profile(daily: DataFrame, sessions: int = 90) -> DataFrame:
     return stocks(daily).join(F.broadcast(days), "date", "left_semi").groupBy("code").agg(F.avg("amount").alias("amount"), (F.stddev_samp("pct_chg") * sqrt(YEAR) / 100).alias("volatility"), F.max_by("close", "date").alias("price"))
 
 
-def quantiles_of(df: DataFrame, columns: list[str], at: list[float] = QUANTILES) -> DataFrame:
-    """(measure, quantile, value): exact, linearly interpolated."""
-    sums = df.agg(*[F.percentile(c, F.array(*[F.lit(q) for q in at])).alias(c) for c in columns])
+def quantiles_of(df: DataFrame, columns: list[str], at: list[float] = QUANTILES, error: float | None = None) -> DataFrame:
+    """(measure, quantile, value): exact and linearly interpolated, which holds a group's distinct values in one buffer.
+
+    With ``error``, a mergeable summary of some 1/error values instead: the value's rank is off by at most error times the
+    number of rows, whatever their number, and nothing is interpolated.
+    """
+    points = F.array(*[F.lit(q) for q in at])
+    one = (lambda c: F.percentile(c, points)) if error is None else (lambda c: F.percentile_approx(c, points, round(1 / error)))
+    sums = df.agg(*[one(c).alias(c) for c in columns])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.lit(q).alias("quantile"), F.col(c)[i].alias("value")) for c in columns for i, q in enumerate(at)]))
     return sums.select(rows.alias("x")).select("x.*")
 
@@ -149,10 +157,48 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def market_profile(instruments: DataFrame, daily: DataFrame, least_bars: int = 100, sessions: int = 90, stale: int = 20, newest: int = 8) -> DataFrame:
+    """The whole statistics report as one table (part, key, measure, value): boards, listings, years, limits, index, returns,
+    recent quantiles, suspension, stale codes.
 
-def market_profile(instruments: DataFrame, daily: DataFrame, index: DataFrame) -> dict[str, DataFrame]:
-    """The parts of the statistics report."""
-    return {
-        "boards": boards(instruments), "listings": listings_by_year(instruments), "years": bars_by_year(daily), "limits": limit_counts_by_year(daily), "index": index_yearly(index),
-        "returns": yearly_return_distribution(daily), "quantiles": quantiles_of(recent_profile(daily), ["amount", "volatility", "price"]), "suspension": suspension(daily), "stale": stale_codes(daily),
-    }
+    The bars are read once: one aggregation with two grouping sets gives a row per (code, year) and one per date, and all parts
+    come from those, but for the quantiles of the last sessions, which read the bars of their dates only.
+    """
+    index, year = is_index(F.col("code")), F.year("date")
+    near = F.when(F.substring("code", 1, 3).isin("300", "301", "688", "689"), F.lit(19.5)).otherwise(F.lit(9.8))
+    marked = daily.select("code", "date", year.alias("year"), "close", index.alias("index"), (F.col("pct_chg") >= near).alias("up"), (F.col("pct_chg") <= -near).alias("down"))
+    sets = marked.groupingSets([["code", "index", "year"], ["index", "date"]], "code", "index", "year", "date").agg(
+        F.grouping("date").alias("by_code"), F.count(F.lit(1)).alias("bars"), F.min_by("close", "date").alias("first"), F.max_by("close", "date").alias("last"), F.count_if("up").alias("up"), F.count_if("down").alias("down"), F.min("date").alias("d0"), F.max("date").alias("d1"),
+    )
+    sets = durable(sets, "profile")
+    codes, days = sets.where("by_code = 1"), sets.where("by_code = 0 AND NOT index").select(F.col("d0").alias("date"), F.year("d0").alias("year"))
+    stock = codes.where("NOT index")
+
+    def long(part: str, df: DataFrame, key: Column, *measures: str) -> DataFrame:
+        rows = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]))
+        return df.select(F.lit(part).alias("part"), key.cast("string").alias("key"), rows.alias("x")).select("part", "key", "x.measure", "x.value")
+
+    none, y = F.lit(""), F.col("year")
+    parts = [long("boards", boards(instruments), F.col("board"), "n"), long("listings", listings_by_year(instruments, newest), y, "n")]
+    years = stock.groupBy("year").agg(F.count_distinct("code").alias("codes"), F.sum("bars").alias("bars"), F.sum("up").alias("limit_up"), F.sum("down").alias("limit_down")).join(days.groupBy("year").agg(F.count_distinct("date").alias("sessions")), "year")
+    parts.append(long("years", years, y, "sessions", "codes", "bars", "limit_up", "limit_down"))
+    parts.append(long("index", codes.where("index").withColumn("ret", F.col("last") / F.col("first") - 1), F.concat_ws(" ", "code", "year"), "ret"))
+    returns = stock.where(F.col("bars") >= least_bars).withColumn("r", F.col("last") / F.col("first") - 1).groupBy("year").agg(
+        F.count(F.lit(1)).alias("codes"), F.avg("r").alias("mean"), F.percentile("r", F.lit(0.5)).alias("median"), F.percentile("r", F.lit(0.1)).alias("p10"), F.percentile("r", F.lit(0.9)).alias("p90"),
+        F.count_if(F.col("r") > 0).alias("up"), F.count_if(F.col("r") <= 0).alias("down"), F.count_if(F.col("r") > 1).alias("doubled"), F.count_if(F.col("r") < -0.5).alias("halved"), F.max("r").alias("best"),
+    )
+    parts.append(long("returns", returns, y, "codes", "mean", "median", "p10", "p90", "up", "down", "doubled", "halved", "best"))
+    recent = days.select("date").distinct().orderBy(F.desc("date")).limit(max(sessions, stale)).collect()  # at most that many dates
+    newest_first = [r["date"] for r in recent]
+    each = stock.groupBy("code").agg(F.sum("bars").alias("bars"), F.min("d0").alias("d0"), F.max("d1").alias("d1"))
+    span = days.agg(F.count_distinct("date").alias("sessions"), F.min("date").alias("m0"), F.max("date").alias("m1"))
+    gone = each.join(F.broadcast(span), (F.col("d0") == F.col("m0")) & (F.col("d1") == F.col("m1"))).select((1 - F.col("bars") / F.col("sessions")).alias("r"))
+    gone = gone.agg(F.count(F.lit(1)).alias("codes"), F.avg("r").alias("mean"), F.percentile("r", F.lit(0.5)).alias("median"), F.percentile("r", F.lit(0.9)).alias("p90"), F.count_if(F.col("r") > 0.1).alias("over_10pct"))
+    parts.append(long("suspension", gone, none, "codes", "mean", "median", "p90", "over_10pct"))
+    if newest_first:
+        cut = newest_first[: stale][-1]
+        parts.append(long("stale", each.where(F.col("d1") < F.lit(cut)).withColumn("days_behind", F.datediff(F.lit(newest_first[0]), "d1")), F.col("code"), "days_behind"))
+        last = stocks(daily).where(F.col("date") >= F.lit(newest_first[: sessions][-1])).groupBy("code").agg(F.avg("amount").alias("amount"), (F.stddev_samp("pct_chg") * sqrt(YEAR) / 100).alias("volatility"), F.max_by("close", "date").alias("price"))
+        q = quantiles_of(last, ["amount", "volatility", "price"])
+        parts.append(q.select(F.lit("recent").alias("part"), F.col("measure").alias("key"), F.format_string("p%02d", (F.col("quantile") * 100).cast("int")).alias("measure"), "value"))
+    return reduce(DataFrame.unionByName, parts)

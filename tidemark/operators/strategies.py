@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.market import ratio, safe
 from .asof import point_in_time
-from .indicators import YEAR, before, cross_above, cross_below, deviation, drawdown, full, highest, lowest, momentum, sma, with_atr, with_ema, with_returns, with_rsi
+from .indicators import YEAR, before, cross_above, cross_below, deviation, drawdown, extreme, full, highest, momentum, sma, with_atr, with_ema, with_returns, with_rsi
 from .regime import regime
 
 NO_SCORE = -9.9
@@ -162,6 +162,11 @@ class RsiReversal(Strategy):
     def score(self):
         return F.coalesce(100 - F.col("rsi14"), F.lit(0.0)) + F.coalesce("mom120", F.lit(0.0)) * 20
 
+    def reason(self, action):
+        if action == "BUY":
+            return F.format_string("RSI %.1f in an upward trend, %.1f%% below its high", "rsi14", F.col("dd") * -100)
+        return F.format_string(f"RSI %.1f, close %.2f against the average of {self['stop_ma']} (%.2f)", "rsi14", "close", "stop")
+
 
 @register
 class MomentumRotation(Strategy):
@@ -182,6 +187,11 @@ class MomentumRotation(Strategy):
     def score(self):
         return F.coalesce(ratio(F.col("mom"), F.col("vol20")), F.lit(NO_SCORE))
 
+    def reason(self, action):
+        if action == "BUY":
+            return F.format_string(f"gained %.1f%% in {self['lookback']} bars, volatility %.2f", F.col("mom") * 100, "vol20")
+        return F.format_string("close %.2f against its average %.2f, momentum %.1f%%", "close", "ma", F.col("mom") * 100)
+
 
 @register
 class RegimeMomentum(Strategy):
@@ -214,6 +224,11 @@ class RegimeMomentum(Strategy):
     def score(self):
         return F.coalesce(ratio(F.col("mom_sk"), F.col("vol20")), F.lit(NO_SCORE))
 
+    def reason(self, action):
+        if action == "BUY":
+            return F.format_string("skipped momentum %.1f%%, volatility %.2f", F.col("mom_sk") * 100, "vol20")
+        return F.format_string("close %.2f fell below its average %.2f", "close", "ma_exit")
+
 
 @register
 class Defensive(Strategy):
@@ -244,6 +259,9 @@ class Defensive(Strategy):
         s = -self["w_vol"] * F.col("vol20") / vol - self["w_lottery"] * F.col("max_ret20") / lottery - self["w_reversal"] * F.col("mom20") / back
         return F.coalesce(s, F.lit(NO_SCORE))
 
+    def reason(self, action):
+        return F.format_string("volatility %.2f, largest gain %.1f%%", "vol20", "max_ret20")
+
 
 @register
 class GrowthValue(Strategy):
@@ -276,6 +294,9 @@ class GrowthValue(Strategy):
     def score(self):
         return F.lit(0.0)
 
+    def reason(self, action):
+        return F.format_string("revenue growth %.1f%%, book to price %.2f", "f_rev_yoy", "f_bp")
+
 
 @register
 class TurtleBreakout(Strategy):
@@ -283,7 +304,7 @@ class TurtleBreakout(Strategy):
     defaults = {"entry_days": 20, "exit_days": 10}
 
     def prepare(self, df, facts=None):
-        out = super().prepare(df, facts).withColumns({"_up": highest(F.col("high"), self["entry_days"]), "_dn": lowest(F.col("low"), self["exit_days"])})
+        out = extreme(extreme(super().prepare(df, facts), "high", self["entry_days"], "_up"), "low", self["exit_days"], "_dn", False)
         return out.withColumns({"dc_up": before(F.col("_up")), "dc_dn": before(F.col("_dn"))}).drop("_up", "_dn")
 
     def entry(self):
@@ -292,6 +313,11 @@ class TurtleBreakout(Strategy):
     def exit(self):
         return F.col("close") < F.col("dc_dn")
 
+    def reason(self, action):
+        if action == "BUY":
+            return F.format_string(f"above the {self['entry_days']}-bar high %.2f", "dc_up")
+        return F.format_string(f"below the {self['exit_days']}-bar low %.2f", "dc_dn")
+
 
 def get_strategy(name: str, **params: Any) -> Strategy:
     if name not in REGISTRY:

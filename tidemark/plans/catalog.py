@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..functions import market as rules
-from ..operators import asof, backtest, bars, factors, indicators, metrics, quality, rank, regime, signals, strategies
+from ..operators import asof, backtest, bars, factors, indicators, metrics, quality, rank, reconcile, regime, signals, strategies
 from ..shared import shared_folder
 from ..sources import ingest, market, store
 from ..streaming import upserts
@@ -172,6 +172,12 @@ def suspension(s, d):
     return quality.suspension(market.daily(s, d))
 
 
+@query
+def market_report(s, d):
+    """The whole statistics report as one table."""
+    return quality.market_profile(market.instruments(s, d), market.daily(s, d), least_bars=40)
+
+
 @query
 def stale_codes(s, d):
     return quality.stale_codes(_thinned(s, d), 5)
@@ -319,9 +325,17 @@ def fundamentals_pit(s, d):
     return asof.point_in_time(market.bars(s, d).select("code", "date"), market.fundamentals(s, d), factors.FIELDS)
 
 
+@query
+def fundamentals_pit_buckets(s, d):
+    """The same, each code's line in pieces of a year, with what was known handed on from year to year."""
+    return asof.point_in_time(market.bars(s, d).select("code", "date"), market.fundamentals(s, d), factors.FIELDS, F.year("date"))
+
+
 @query
 def avail_dates(s, d):
-    return ingest.periods(s, 1995, dt.date(1999, 9, 1))
+    """Reports that are out by a day, by period, with the bars of the week they came out in."""
+    known = ingest.periods(s, 1995, dt.date(1999, 9, 1))
+    return market.fundamentals(s, d).join(known, "period", "left_semi").groupBy("period", "avail_date").agg(F.count(F.lit(1)).alias("reports"))
 
 
 @query
@@ -393,6 +407,14 @@ def store_daily(s, d):
     return to.read("daily").select("code", "date", "close", "volume")
 
 
+@query
+def store_load_daily(s, d):
+    """Two years of three codes from the stored bars: only the months of those years are opened."""
+    to = _store(s, "range")
+    to.upsert("daily", market.bars(s, d))
+    return to.load_daily(["600000", "000000", "300000"], dt.date(1997, 1, 1), dt.date(1998, 12, 31)).drop("turnover")
+
+
 @query
 def store_positions(s, d):
     to = _store(s, "positions")
@@ -423,15 +445,25 @@ def store_sync_errors(s, d):
     return to.load_sync_errors(10**6).select("code", "date", "reason", "attempt")
 
 
+@query
+def store_meta(s, d):
+    """A meta value a nation, of which every third is set anew: the last value of a key stays."""
+    to = _store(s, "meta")
+    n = market.read(s, d, "nation")
+    to.upsert("meta", n.select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value")))
+    to.upsert("meta", n.where("n_nationkey % 3 = 0").select(F.col("n_name").alias("key"), F.lit("set").alias("value")))
+    return to.read("meta")
+
+
 @query
 def store_saves(s, d):
-    """Meta values and simulator saves: the last one of a key stays."""
+    """Saves of the customers' balances, those above zero a second time: the last one of a user stays."""
     to = _store(s, "saves")
-    for user, payload in (("a", "1"), ("b", "2"), ("a", "3")):
-        to.save_simulator(user, payload, dt.datetime(1999, 1, 4))
-        to.set_meta(f"of {user}", payload)
-    kept_meta = s.createDataFrame([(u, to.get_meta(f"of {u}"), to.load_simulator(u)) for u in ("a", "b", "c")], "user_name string, meta string, payload string")
-    return kept_meta.join(to.list_simulator_saves().select("user_name", F.lit(True).alias("listed")), "user_name", "left")
+    c = market.read(s, d, "customer")
+    save = lambda rows, at: rows.select(F.col("c_name").alias("user_name"), F.round("c_acctbal", 2).cast("decimal(18,2)").cast("string").alias("payload"), F.lit(at).alias("updated_at"))
+    to.upsert("simulator_saves", save(c, dt.datetime(1999, 1, 4)))
+    to.upsert("simulator_saves", save(c.where("c_acctbal > 0").withColumn("c_acctbal", -F.col("c_acctbal")), dt.datetime(1999, 1, 5)))
+    return to.read("simulator_saves").select("user_name", "payload", F.col("updated_at").cast("date").alias("day"))
 
 
 @query
@@ -496,6 +528,19 @@ def cross_rank_average(s, d):
     return b.select("code", "date", rank.cross_rank(F.col("volume"), F.col("volume") > 20).alias("r"))
 
 
+@query
+def cross_rank_ranged(s, d):
+    """The same ranks from value ranges: no task holds a date."""
+    return rank.ranged_cross_rank(market.bars(s, d), F.col("volume"), F.col("volume") > 20, "r").select("code", "date", "r")
+
+
+@query
+def price_rank_ranged(s, d):
+    """One cross section of all line items: the average rank of each price among the items of its return flag."""
+    ranked = rank.ranged_rank(market.read(s, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", ("l_returnflag",))
+    return ranked.select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice", "rank", "total")
+
+
 @query
 def score_blend(s, d):
     b = market.bars(s, d)
@@ -575,6 +620,28 @@ def factor_correlation(s, d):
     return factors.correlation(_price_panel(s, d), SOME)
 
 
+PRICE = ["mom_20", "mom_60", "mom_120_20", "reversal_5", "vol_20", "max_ret_20", "amihud", "turnover_20", "ma60_dist", "vol_ratio", "mom_vol"]
+
+
+@query
+def factor_correlation_price(s, d):
+    """All 66 pairs of the eleven factors of prices and volumes."""
+    return factors.correlation(_price_panel(s, d), PRICE)
+
+
+@query
+def factor_correlation_all(s, d):
+    """All 190 pairs of the 19 factors."""
+    return factors.correlation(_panel(s, d, rsi=True))
+
+
+@query
+def universe_panel(s, d):
+    """The panel of the 20 most liquid names that may be traded at the start."""
+    panel = factors.universe_panel(market.instruments(s, d), market.bars(s, d), AS_OF, END, top=20, flt=FLT)
+    return panel.select("code", "date", "close", "ret")
+
+
 @query
 def factor_evaluate_all(s, d):
     return factors.evaluate_all(_panel(s, d, rsi=True)).drop("excess_by_year")
@@ -629,6 +696,56 @@ def signals_today(s, d):
     return signals.generate(st, b, market.index_bars(s, d), last, b.select("code").distinct(), held).select("date", "strategy", "code", "action", "price", "score", F.col("shares").cast("double").alias("shares"))
 
 
+GATED = (dt.date(1999, 6, 28), dt.date(2000, 6, 26), dt.date(2001, 3, 26))
+
+
+@query
+def signals_gated(s, d):
+    """Signals of a strategy under an index gate on three sessions, with reasons, whether the gate was open and whether the index
+    was behind."""
+    b, index = market.bars(s, d), market.index_bars(s, d).where(F.col("date") < F.lit(GATED[2]))
+    held = market.instruments(s, d).where("is_st = 1").select("code")
+    out = None
+    for as_of in GATED:
+        st = strategies.get_strategy("regime_momentum", index_ma=40)
+        now = signals.generate(st, b, index, as_of, b.select("code").distinct(), held)
+        gate = st.market_regime(b.select("date").distinct(), index).where(F.col("date") == F.lit(as_of)).select("date", "regime")
+        part = now.select("date", "strategy", "code", "action", "price", "score", "reason").join(F.broadcast(gate), "date").crossJoin(F.broadcast(signals.freshness(index, as_of)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def index_four(s, d):
+    """Four benchmarks from a feed of raw rows, one a ship mode, whose returns come from before the cut."""
+    symbols = list(ingest.BENCHMARKS) + ["sh000852"]
+    rows = market._priced(s, d).withColumn("code", F.element_at(F.array(*[F.lit(x) for x in symbols]), (F.col("l_orderkey") % 5 + 1).cast("int")))
+    raw = market._ohlcv(rows, "code").select(F.col("code").alias("symbol"), F.col("date").cast("string").alias("date"), *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close", "volume")])
+    return ingest.index_bars_from(raw, dt.date(1996, 1, 1)).drop("amount")
+
+
+def _trade_lists(s, d):
+    """A list of closes as trades, and one that differs in some runs: other prices, missing trades, a further one."""
+    b = market.bars(s, d).where("year(date) < 1998")
+    left = b.select(F.col("code").alias("run_id"), F.col("date").alias("open_date"), F.col("close").alias("price"), (F.col("n") % 7 * 100).cast("long").alias("shares"), "n")
+    right = left.where("NOT (n % 7 = 2 AND open_date BETWEEN DATE'1996-03-01' AND DATE'1996-06-01') AND n % 23 <> 4")
+    right = right.withColumn("price", F.when((F.col("n") % 5 == 1) & (F.year("open_date") == 1997), F.col("price") + 0.01).otherwise(F.col("price")))
+    right = right.withColumn("shares", F.when((F.col("n") % 11 == 3) & (F.month("open_date") == 7), 1).otherwise(F.col("shares")))
+    extra = left.where("n % 13 = 6").groupBy("run_id", "n").agg(F.max("open_date").alias("d")).select("run_id", F.date_add("d", 7).alias("open_date"), F.lit(1.0).alias("price"), F.lit(100).cast("long").alias("shares"), "n")
+    return left.drop("n"), right.unionByName(extra).drop("n")
+
+
+@query
+def reconcile_trades(s, d):
+    return reconcile.reconcile(*_trade_lists(s, d), ["open_date"], ["open_date", "price", "shares"])
+
+
+@query
+def reconcile_rows(s, d):
+    """The trades that do not agree, side by side."""
+    return reconcile.zipped(*_trade_lists(s, d), ["open_date"], ["open_date", "price", "shares"]).where("status <> 'same'")
+
+
 @query
 def signal_sizing(s, d):
     b = ingest.spot(market.bars(s, d))

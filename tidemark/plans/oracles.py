@@ -56,12 +56,12 @@ def r(x: str, name: str) -> str:
 
 
 def ewm(cte: str, source: str, x: str, alpha: float, least: int, out: str) -> str:
-    """CTEs that add the recursion's column ``out`` to ``source``: a running sum scaled by powers of the decay."""
-    b = 1 - alpha
+    """CTEs that add the recursion's column ``out`` to ``source``, row by row along each code's line."""
     return f"""
-{cte}_k AS (SELECT *, {x} AS x_, count({x}) OVER {EVER} - 1 AS k_ FROM {source}),
-{cte}_s AS (SELECT *, sum(CASE WHEN x_ IS NOT NULL THEN CASE WHEN k_ = 0 THEN x_ ELSE x_ * {alpha!r} * pow({b!r}, -k_) END END) OVER {EVER} AS s_ FROM {cte}_k),
-{cte} AS (SELECT * EXCLUDE (x_, k_, s_), CASE WHEN x_ IS NOT NULL AND k_ >= {least - 1} THEN pow({b!r}, k_) * s_ END AS {out} FROM {cte}_s)"""
+{cte}_k AS MATERIALIZED (SELECT *, {x} AS x_, count({x}) OVER {EVER} AS k_, row_number() OVER {OWN} AS t_ FROM {source}),
+{cte}_w AS (SELECT code, t_, x_ AS y_ FROM {cte}_k WHERE k_ = 1 AND x_ IS NOT NULL UNION ALL
+  SELECT s.code, s.t_, {1 - alpha!r} * w.y_ + {alpha!r} * s.x_ FROM {cte}_w w JOIN {cte}_k s ON s.code = w.code AND s.t_ = w.t_ + 1),
+{cte} AS (SELECT v.* EXCLUDE (x_, k_, t_), CASE WHEN v.x_ IS NOT NULL AND v.k_ >= {least} THEN w.y_ END AS {out} FROM {cte}_k v LEFT JOIN {cte}_w w ON w.code = v.code AND w.t_ = v.t_)"""
 
 
 def rsi(cte: str, source: str, n: int = 14, out: str = "rsi14") -> str:
@@ -189,6 +189,9 @@ def _bodies() -> dict[str, str]:
     q["load_daily"] = f" SELECT code, date, {ohlc}, {r('amount', 'amount')}, {r('pct_chg', 'pct_chg')} FROM bars WHERE code IN ('600000', '000000', '300000') AND date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'"
     q["dense_grid"] = f", {GRID0} SELECT code, date, {r('close', 'close')} FROM g0"
     q["usable_history"] = f", {DAMAGED}, bad AS (SELECT code, max(date) AS d FROM dmg WHERE close <= 0 OR low <= 0 OR open <= 0 GROUP BY code) SELECT code, count(*) AS bars, min(date) AS first_date FROM dmg LEFT JOIN bad USING (code) WHERE d IS NULL OR date > d GROUP BY code"
+    q["store_load_daily"] = q["load_daily"]
+    q["store_meta"] = " SELECT n_name AS key, CASE WHEN n_nationkey % 3 = 0 THEN 'set' ELSE CAST(n_regionkey AS VARCHAR) END AS value FROM nation"
+    q["store_saves"] = " SELECT c_name AS user_name, CAST(CAST(CASE WHEN c_acctbal > 0 THEN -c_acctbal ELSE c_acctbal END AS DECIMAL(18, 2)) AS VARCHAR) AS payload, CASE WHEN c_acctbal > 0 THEN DATE '1999-01-05' ELSE DATE '1999-01-04' END AS day FROM customer"
     q["universe_asof"] = f", {UNIVERSE} SELECT code, name, board, industry, {r('avg_amount', 'avg_amount')}, {r('last_close', 'last_close')}, bars FROM uni"
     q["universe_by_board"] = f", {UNIVERSE} SELECT board, count(*) AS n FROM uni GROUP BY board"
     q["price_limits"] = f" SELECT code, board, CASE WHEN board IN ('star', 'chinext') THEN 0.2 WHEN is_st = 1 THEN 0.05 ELSE 0.1 END::DOUBLE AS price_limit, {LIMIT}::DOUBLE AS prefix_limit FROM inst"
@@ -209,6 +212,19 @@ def _bodies() -> dict[str, str]:
 SELECT year, count(*) AS codes, {r('avg(r)', 'mean')}, {r('quantile_cont(r, 0.5)', 'median')}, {r('quantile_cont(r, 0.1)', 'p10')}, {r('quantile_cont(r, 0.9)', 'p90')}, count(*) FILTER (r > 0) AS up, count(*) FILTER (r <= 0) AS down, count(*) FILTER (r > 1) AS doubled, count(*) FILTER (r < -0.5) AS halved, {r('max(r)', 'best')} FROM e GROUP BY year"""
     p = f", pr AS (SELECT code, avg(amount) AS amount, stddev_samp(pct_chg) * {YEAR!r} / 100 AS volatility, arg_max(close, date) AS price FROM bars WHERE date IN (SELECT DISTINCT date FROM bars ORDER BY date DESC LIMIT 90) GROUP BY code)"
     q["liquidity_quantiles"] = p + " " + " UNION ALL ".join(f"SELECT '{c}' AS measure, {x} AS quantile, {r(f'quantile_cont({c}, {x})', 'value')} FROM pr" for c in ("amount", "volatility", "price") for x in ("0.1::DOUBLE", "0.25::DOUBLE", "0.5::DOUBLE", "0.75::DOUBLE", "0.9::DOUBLE"))
+    long = lambda part, key, source, *names: " UNION ALL ".join(f"SELECT '{part}' AS part, CAST({key} AS VARCHAR) AS key, '{m}' AS measure, {r(f'CAST({m} AS DOUBLE)', 'value')} FROM {source}" for m in names)
+    near_ = "(CASE WHEN left(code, 3) IN ('300', '301', '688', '689') THEN 19.5 ELSE 9.8 END)"
+    q["market_report"] = f"""{p}, rb AS (SELECT board, count(*) AS n FROM inst GROUP BY board), rl AS (SELECT year(listed_date) AS year, count(*) AS n FROM inst GROUP BY 1 ORDER BY 1 DESC LIMIT 8),
+ry AS (SELECT year(date) AS year, count(DISTINCT date) AS sessions, count(DISTINCT code) AS codes, count(*) AS bars, count(*) FILTER (pct_chg >= {near_}) AS limit_up, count(*) FILTER (pct_chg <= -{near_}) AS limit_down FROM bars GROUP BY 1),
+ri AS (SELECT code || ' ' || year(date) AS k, arg_max(close, date) / arg_min(close, date) - 1 AS ret FROM idx GROUP BY code, year(date)),
+re AS (SELECT year(date) AS year, code, arg_max(close, date) / arg_min(close, date) - 1 AS r FROM bars GROUP BY ALL HAVING count(*) >= 40),
+rr AS (SELECT year, count(*) AS codes, avg(r) AS mean, quantile_cont(r, 0.5) AS median, quantile_cont(r, 0.1) AS p10, quantile_cont(r, 0.9) AS p90, count(*) FILTER (r > 0) AS up, count(*) FILTER (r <= 0) AS down, count(*) FILTER (r > 1) AS doubled, count(*) FILTER (r < -0.5) AS halved, max(r) AS best FROM re GROUP BY year),
+rspan AS (SELECT count(DISTINCT date) AS s, min(date) AS d0, max(date) AS d1 FROM bars), rg AS (SELECT 1 - count(*) / (SELECT s FROM rspan) AS r FROM bars GROUP BY code HAVING min(date) = (SELECT d0 FROM rspan) AND max(date) = (SELECT d1 FROM rspan)),
+rs AS (SELECT count(*) AS codes, avg(r) AS mean, quantile_cont(r, 0.5) AS median, quantile_cont(r, 0.9) AS p90, count(*) FILTER (r > 0.1) AS over_10pct FROM rg),
+rt AS (SELECT code, date_diff('day', max(date), (SELECT d1 FROM rspan)) AS days_behind FROM bars GROUP BY code HAVING max(date) < (SELECT min(date) FROM (SELECT DISTINCT date FROM bars ORDER BY date DESC LIMIT 20)))
+{long('boards', 'board', 'rb', 'n')} UNION ALL {long('listings', 'year', 'rl', 'n')} UNION ALL {long('years', 'year', 'ry', 'sessions', 'codes', 'bars', 'limit_up', 'limit_down')} UNION ALL {long('index', 'k', 'ri', 'ret')}
+UNION ALL {long('returns', 'year', 'rr', 'codes', 'mean', 'median', 'p10', 'p90', 'up', 'down', 'doubled', 'halved', 'best')} UNION ALL {long('suspension', "''", 'rs', 'codes', 'mean', 'median', 'p90', 'over_10pct')} UNION ALL {long('stale', 'code', 'rt', 'days_behind')}
+UNION ALL """ + " UNION ALL ".join(f"SELECT 'recent', '{c}', 'p{x:02d}', {r(f'quantile_cont({c}, {x / 100})', 'value')} FROM pr" for c in ("amount", "volatility", "price") for x in (10, 25, 50, 75, 90))
     q["suspension"] = f", sp AS (SELECT count(DISTINCT date) AS s, min(date) AS d0, max(date) AS d1 FROM bars), g AS (SELECT 1 - count(*) / (SELECT s FROM sp) AS r FROM bars GROUP BY code HAVING min(date) = (SELECT d0 FROM sp) AND max(date) = (SELECT d1 FROM sp)) SELECT count(*) AS codes, {r('avg(r)', 'mean')}, {r('quantile_cont(r, 0.5)', 'median')}, {r('quantile_cont(r, 0.9)', 'p90')}, count(*) FILTER (r > 0.1) AS over_10pct FROM g"
     q["stale_codes"] = f", {THINNED} SELECT code, max(date) AS last_date FROM thin GROUP BY code HAVING max(date) < (SELECT min(date) FROM (SELECT DISTINCT date FROM thin ORDER BY date DESC LIMIT 5))"
     q["find_gaps"] = f", {THINNED}, kn AS (SELECT * FROM thin WHERE n % 11 <> 7), ld AS (SELECT code, max(date) AS last_date FROM kn GROUP BY code) SELECT code, 'lagging' AS kind, last_date, date_diff('day', last_date, (SELECT max(date) FROM kn))::DOUBLE AS days_behind FROM ld WHERE date_diff('day', last_date, (SELECT max(date) FROM kn)) > 3 UNION ALL SELECT code, 'no_data', NULL, NULL FROM inst WHERE code NOT IN (SELECT code FROM kn)"
@@ -246,7 +262,8 @@ SELECT year, count(*) AS codes, {r('avg(r)', 'mean')}, {r('quantile_cont(r, 0.5)
     q["regime_hysteresis"] = f", {FLAGS}, {hyst} SELECT date, {held(3)} AS regime FROM h3"
 
     q["fundamentals_pit"] = f", {pit('(SELECT code, date FROM bars)', ALL_REPORTS)} SELECT code, date, {', '.join(r(c, c) for c in ALL_REPORTS.values())} FROM pit"
-    q["avail_dates"] = ", y AS (SELECT unnest(range(1995, 2000)) AS y), z AS (SELECT y || '0331' AS period, make_date(y, 4, 30) AS avail_date FROM y UNION ALL SELECT y || '0630', make_date(y, 8, 31) FROM y UNION ALL SELECT y || '0930', make_date(y, 10, 31) FROM y UNION ALL SELECT y || '1231', make_date(y + 1, 4, 30) FROM y) SELECT * FROM z WHERE avail_date <= DATE '1999-09-01'"
+    q["fundamentals_pit_buckets"] = q["fundamentals_pit"]
+    q["avail_dates"] = " SELECT period, avail_date, count(*) AS reports FROM fund WHERE period >= '1995' AND avail_date <= DATE '1999-09-01' GROUP BY ALL"
     q["source_pick"] = f", s AS (SELECT code, date, CASE WHEN n % 3 = 0 THEN 'first' WHEN n % 2 = 0 THEN 'second' ELSE 'third' END AS source, close + CASE WHEN n % 3 = 0 THEN 0 WHEN n % 2 = 0 THEN 1 ELSE 2 END AS c FROM bars) SELECT code, source, count(*) AS bars, {r('sum(c)', 'total')} FROM s GROUP BY ALL"
     q["upsert_latest"] = f" SELECT code, date, {r('CASE WHEN n % 4 = 1 THEN 2 * close ELSE close END', 'close')} FROM bars WHERE n % 3 <> 2 OR n % 4 = 1"
     q["adjust_factor"] = f", a0 AS (SELECT *, CASE WHEN month(date) IN (3, 9) THEN 1 + (year(date) - 1990) / 10 END AS f FROM bars), a1 AS (SELECT *, coalesce(last_value(f IGNORE NULLS) OVER {EVER}, first_value(f IGNORE NULLS) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS ff FROM a0), a2 AS (SELECT *, ff / last_value(ff) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS rr FROM a1) SELECT code, date, {', '.join(r(f'{c} * rr', c) for c in ('open', 'high', 'low', 'close'))} FROM a2"
@@ -261,13 +278,14 @@ SELECT year, count(*) AS codes, {r('avg(r)', 'mean')}, {r('quantile_cont(r, 0.5)
     q["cross_rank_ordinal"] = f", t AS (SELECT code, date, {y.format('volume')} AS y FROM bars) SELECT code, date, round(CASE WHEN y IS NULL THEN 0.0 WHEN {cnt} <= 1 THEN 0.5 ELSE (row_number() OVER (PARTITION BY date ORDER BY y NULLS LAST, code) - 1) / ({cnt} - 1) END + 3e-10, 6) AS r FROM t"
     crank = lambda: f"CASE WHEN y IS NULL THEN 0.0 WHEN {cnt} <= 1 THEN 0.0 ELSE (({avg_rank('y', 'date')}) - 1) / ({cnt} - 1) END"
     q["cross_rank_average"] = f", t AS (SELECT code, date, {y.format('volume')} AS y FROM bars) SELECT code, date, {r(crank(), 'r')} FROM t"
+    q["cross_rank_ranged"] = q["cross_rank_average"]
+    q["price_rank_ranged"] = f" SELECT l_returnflag, l_orderkey, l_linenumber, {r('l_extendedprice', 'l_extendedprice')}, {avg_rank('l_extendedprice', 'l_returnflag')} AS rank, count(l_extendedprice) OVER (PARTITION BY l_returnflag) AS total FROM lineitem"
     q["score_blend"] = f", t AS (SELECT code, date, {y.format('volume')} AS y, volume, close FROM bars), u AS (SELECT code, date, volume, {crank()} AS a, {y.format('close')} AS y FROM t), v AS (SELECT *, {crank()} AS b FROM u) SELECT code, date, {r('CASE WHEN volume > 20 THEN (2 * a + b) / 3 ELSE -9.9 END', 'score')} FROM v"
 
     q["store_daily"] = f" SELECT code, date, {r('CASE WHEN n % 4 = 1 AND year(date) = 1997 THEN 2 * close ELSE close END', 'close')}, {r('volume', 'volume')} FROM bars"
     q["store_positions"] = " SELECT CAST(code AS BIGINT) AS id, code, name, CAST(code AS BIGINT) % 1000 * 100 AS shares, 10.5::DOUBLE AS cost, listed_date AS open_date FROM inst WHERE code <> '300000'"
     q["store_signal_log"] = f" SELECT date, 'jump' AS strategy, code, 'BUY' AS action, {r("CASE WHEN code < '3' THEN 1.0 ELSE close END", 'price')} FROM bars WHERE pct_chg > 9"
     q["store_sync_errors"] = " SELECT code, DATE '1999-01-04' AS date, 'timeout' AS reason, CASE WHEN code LIKE '6%' THEN 2 ELSE 1 END AS attempt FROM inst WHERE code NOT IN ('000000', '300000')"
-    q["store_saves"] = " SELECT * FROM (VALUES ('a', '3', '3', true), ('b', '2', '2', true), ('c', NULL, NULL, NULL)) t(user_name, meta, payload, listed)"
     q["parsed_numbers"] = f" SELECT o_orderkey, {r('CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice, 2) END', 'value')} FROM orders"
     q["parsed_instruments"] = " SELECT lpad(CAST(n AS VARCHAR), 6, '0') AS code, CASE WHEN n % 2 = 0 THEN '*ST' ELSE 'B' END || n AS name, 'sz_main' AS board, CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS is_st, CASE WHEN n % 2 = 0 THEN DATE '1998-01-05' ELSE DATE '1999-02-03' END AS listed_date FROM (SELECT DISTINCT n FROM bars)"
     q["parsed_bars"] = f" SELECT code, date, {', '.join(r(c, c) for c in ('open', 'high', 'low', 'close', 'volume'))}, {r(f'100 * (close / lag(close) OVER {OWN} - 1)', 'pct_chg')}, {r('volume * 100 * close', 'amount')} FROM bars"
@@ -311,6 +329,16 @@ wr AS (SELECT code, date, t, NULL::DOUBLE AS u, NULL::DOUBLE AS l, 1.0::DOUBLE A
     CASE WHEN d IS NULL THEN l WHEN n = 0 THEN greatest(-d, 0) ELSE (l * w * 13 / 14.0 + greatest(-d, 0) / 14.0) / (w * 13 / 14.0 + 1 / 14.0) END,
     CASE WHEN d IS NOT NULL OR n = 0 THEN 1.0 ELSE w * 13 / 14.0 END, n + CASE WHEN d IS NULL THEN 0 ELSE 1 END FROM wr JOIN ch ON ch.code = wr.code AND ch.t = wr.t + 1)
 SELECT code, date, {r('CASE WHEN n >= 14 THEN 100 - 100 / (1 + u / nullif(l, 0)) END', 'value')} FROM wr"""
+    signs = dict.fromkeys(FACTORS, 1) | {f: -1 for f in ("reversal_5", "vol_20", "max_ret_20", "amihud", "turnover_20")}
+    stacked = " UNION ALL ".join(f"SELECT {k} AS i, code, date, {f} AS f FROM wide WHERE mask AND {f} IS NOT NULL" for k, f in enumerate(signs))
+    q["factor_correlation_price"] = f""", {GRID}, wide AS (SELECT code, date, {TRADABLE} AS mask, {', '.join(f'({FACTORS[f]}) * {x} AS {f}' for f, x in signs.items())} FROM grid), k0 AS ({stacked}),
+k1 AS (SELECT i, code, date, ({avg_rank('f', 'i, date')}) - (count(*) OVER (PARTITION BY i, date) + 1) / 2.0 AS v FROM k0), k2 AS (SELECT i, date, sum(v * v) AS vv FROM k1 GROUP BY ALL),
+k3 AS (SELECT a.date, a.i, b.i AS j, sum(a.v * b.v) AS ab FROM k1 a JOIN k1 b ON b.date = a.date AND b.code = a.code AND b.i >= a.i GROUP BY ALL),
+k4 AS (SELECT x.i, x.j, x.date, y.vv AS ii, z.vv AS jj, coalesce(ab, 0) AS ab FROM (SELECT p.i, q.i AS j, p.date FROM k2 p JOIN k2 q ON q.date = p.date AND q.i >= p.i) x JOIN k2 y ON y.date = x.date AND y.i = x.i JOIN k2 z ON z.date = x.date AND z.i = x.j LEFT JOIN k3 ON k3.date = x.date AND k3.i = x.i AND k3.j = x.j)
+SELECT {list(signs)!r}[i + 1] AS a, {list(signs)!r}[j + 1] AS b, {r('avg(ab / nullif(sqrt(ii * jj), 0))', 'corr')} FROM k4 GROUP BY i, j"""
+    q["universe_panel"] = f""", {UNIVERSE}, top20 AS (SELECT code FROM uni ORDER BY avg_amount DESC, code LIMIT 20), pb AS (SELECT code, date, close FROM bars WHERE code IN (SELECT code FROM top20) AND date BETWEEN DATE '1999-01-04' AND DATE '2001-06-25'),
+pg AS (SELECT c.code, t.date, pb.close FROM top20 c CROSS JOIN (SELECT DISTINCT date FROM pb) t LEFT JOIN pb ON pb.code = c.code AND pb.date = t.date), ph AS (SELECT *, last_value(close IGNORE NULLS) OVER {EVER} AS held FROM pg)
+SELECT code, date, {r('close', 'close')}, {r(f"held / nullif({lag('held')}, 0) - 1", 'ret')} FROM ph"""
     names = list(DIRECTIONS)
     ranks = ", ".join(f"{avg_rank(n, 'date')} AS {n}" for n in names)
     masked = ", ".join(f"CASE WHEN mask THEN {n} END AS {n}" for n in names)
@@ -335,6 +363,27 @@ p1 AS (SELECT *, {ABOVE('f', 's')} AS up, {BELOW('f', 's')} AS dn FROM p0), now
 buys AS (SELECT * FROM now WHERE up AND NOT held ORDER BY sc DESC, code LIMIT 10)
 SELECT date, 'ma_cross' AS strategy, code, 'BUY' AS action, {r('close', 'price')}, {r('sc', 'score')}, CAST(floor(40000 / round(close, 2) / 100) * 100 AS DOUBLE) AS shares FROM buys
 UNION ALL SELECT date, 'ma_cross', code, 'SELL', round(close + 3e-10, 6), round(sc + 3e-10, 6), NULL FROM now WHERE held AND dn"""
+    day_list = "(SELECT unnest([DATE '1999-06-28', DATE '2000-06-26', DATE '2001-03-26']) AS date)"
+    q["signals_gated"] = f""", {RET}, p0 AS (SELECT *, {sma(60)} AS ma, {lag('close', 20)} / nullif({lag('close', 140)}, 0) - 1 AS mom, {VOL20} AS vol20, row_number() OVER {OWN} AS seen FROM ret), p1 AS (SELECT *, {lag('ma', 20)} AS ma20 FROM p0),
+ix AS (SELECT date, coalesce(close > CASE WHEN count(close) OVER w = 40 THEN avg(close) OVER w END, false) AS above FROM idx WHERE date < DATE '2001-03-26' WINDOW w AS (ORDER BY date ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)),
+gate AS (SELECT t.date, (SELECT arg_max(above, ix.date) FROM ix WHERE ix.date <= t.date) AS regime, (SELECT max(date) FROM ix) AS index_last FROM {day_list} t),
+now AS (SELECT p1.*, is_st = 1 AS held, coalesce(mom / nullif(vol20, 0), -9.9) AS sc, regime, index_last FROM p1 JOIN inst USING (code) JOIN gate USING (date) WHERE seen >= 216),
+buys AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY sc DESC, code) AS place FROM now WHERE close > ma AND ma > ma20 AND mom > 0 AND mom <= 1 AND vol20 <= 0.6 AND NOT held AND regime)
+SELECT date, 'regime_momentum' AS strategy, code, 'BUY' AS action, {r('close', 'price')}, {r('sc', 'score')}, printf('skipped momentum %.1f%%, volatility %.2f', mom * 100, vol20) AS reason, regime, index_last, index_last < date AS stale FROM buys WHERE place <= 10
+UNION ALL SELECT date, 'regime_momentum', code, 'SELL', round(close + 3e-10, 6), round(sc + 3e-10, 6), printf('close %.2f fell below its average %.2f', close, ma), regime, index_last, index_last < date FROM now WHERE held AND close < ma"""
+    q["index_four"] = f""", f0 AS (SELECT ['IDX000300', 'IDX000905', 'IDX000001', 'IDX399006', 'IDX000852'][l_orderkey % 5 + 1] AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, 100 + l_extendedprice / 10000 AS px, l_quantity AS q, row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS k FROM lineitem),
+f1 AS (SELECT code, date, arg_min(px, k) AS open, max(px) AS high, min(px) AS low, arg_max(px, k) AS close, sum(q) AS volume FROM f0 GROUP BY ALL), f2 AS (SELECT *, 100 * (close / {lag('close')} - 1) AS pct_chg FROM f1) SELECT code, date, {ohlc}, {r('pct_chg', 'pct_chg')} FROM f2 WHERE date >= DATE '1996-01-01'"""
+    zipped = """, tl AS (SELECT code AS run_id, date AS open_date, close AS price, n % 7 * 100 AS shares, n FROM bars WHERE year(date) < 1998),
+tr AS (SELECT run_id, open_date, CASE WHEN n % 5 = 1 AND year(open_date) = 1997 THEN price + 0.01 ELSE price END AS price, CASE WHEN n % 11 = 3 AND month(open_date) = 7 THEN 1 ELSE shares END AS shares FROM tl WHERE NOT (n % 7 = 2 AND open_date BETWEEN DATE '1996-03-01' AND DATE '1996-06-01') AND n % 23 <> 4
+  UNION ALL SELECT run_id, CAST(max(open_date) + INTERVAL 7 DAY AS DATE), 1.0, 100 FROM tl WHERE n % 13 = 6 GROUP BY run_id),
+ta AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY open_date, price, shares) AS k FROM tl), tb AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY open_date, price, shares) AS k FROM tr),
+z0 AS (SELECT coalesce(ta.run_id, tb.run_id) AS run_id, coalesce(ta.k, tb.k) AS k, ta.open_date AS left_open_date, ta.price AS left_price, ta.shares AS left_shares, tb.open_date AS right_open_date, tb.price AS right_price, tb.shares AS right_shares, ta.run_id IS NULL AS no_left, tb.run_id IS NULL AS no_right FROM ta FULL JOIN tb ON tb.run_id = ta.run_id AND tb.k = ta.k),
+z1 AS (SELECT *, CASE WHEN left_open_date <> right_open_date THEN 'open_date' WHEN abs(left_price - right_price) > 1e-9 * greatest(left_price, right_price, 1) THEN 'price' WHEN left_shares <> right_shares THEN 'shares' END AS f FROM z0),
+z AS (SELECT *, CASE WHEN no_right THEN 'left_only' WHEN no_left THEN 'right_only' WHEN f IS NOT NULL THEN 'different' ELSE 'same' END AS status FROM z1)"""
+    q["reconcile_rows"] = f"{zipped} SELECT run_id, k, status, f AS field, left_open_date, {r('left_price', 'left_price')}, left_shares, right_open_date, {r('right_price', 'right_price')}, right_shares FROM z WHERE status <> 'same'"
+    q["reconcile_trades"] = f"""{zipped} SELECT run_id, count(*) FILTER (status <> 'right_only') AS n_left, count(*) FILTER (status <> 'left_only') AS n_right, count(*) FILTER (status = 'same') AS same, count(*) FILTER (status = 'different') AS different,
+  count(*) FILTER (status = 'left_only') AS left_only, count(*) FILTER (status = 'right_only') AS right_only, min(k) FILTER (status <> 'same') AS first_k, arg_min(status, k) FILTER (status <> 'same') AS first_status, arg_min(f, k) FILTER (status <> 'same' AND k = k0) AS first_field, min(k) FILTER (status <> 'same') IS NULL AS equal
+  FROM (SELECT *, min(CASE WHEN status <> 'same' THEN k END) OVER (PARTITION BY run_id) AS k0 FROM z) GROUP BY run_id"""
     q["signal_sizing"] = f", s AS (SELECT code, arg_max(close, date) AS price FROM bars GROUP BY code) SELECT code, {r('price', 'price')}, 12000.0::DOUBLE AS budget, CAST(floor(12000 / round(price, 2) / 100) * 100 AS BIGINT) AS shares, floor(12000 / round(price, 2) / 100) > 0 AS affordable, round(round(price, 2) * 100, 2) AS min_amount FROM s"
     q["position_pnl"] = f", {POSITIONS} SELECT code, shares, {r('cost', 'cost')}, {r('price', 'price')}, price_source, {r('shares * cost', 'paid')}, {r('shares * price', 'value')}, {r('shares * price - shares * cost', 'pnl')}, {r('(shares * price - shares * cost) / (shares * cost)', 'pnl_pct')} FROM pos"
     q["position_totals"] = f", {POSITIONS} SELECT {r('sum(shares * cost)', 'paid')}, {r('sum(shares * price)', 'value')}, {r('sum(shares * (price - cost))', 'pnl')}, {r('sum(shares * (price - cost)) / sum(shares * cost)', 'pnl_pct')} FROM pos WHERE price IS NOT NULL"

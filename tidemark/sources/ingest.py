@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +115,27 @@ def spot(daily: DataFrame) -> DataFrame:
 
 def delisted_missing(delisted: DataFrame, daily: DataFrame) -> DataFrame:
     return delisted.join(daily.select("code"), "code", "left_anti").withColumn("is_st", F.lit(1))
+
+
+# Feed symbols of the benchmark indices, their names and codes in the store.
+BENCHMARKS = {
+    "sh000300": ("沪深300", "IDX000300"),
+    "sh000905": ("中证500", "IDX000905"),
+    "sh000001": ("上证指数", "IDX000001"),
+    "sz399006": ("创业板指", "IDX399006"),
+}
+
+
+def index_bars_from(raw: DataFrame, start: dt.date | None = None) -> DataFrame:
+    """Bars of indices from raw rows (symbol, date, open, high, low, close, volume), as the store's daily table has them.
+
+    Codes get the prefix that keeps them apart from stocks: those of the benchmarks, else the symbol's last six characters.
+    Returns are taken over the whole history and only then is it cut at ``start``; rows without a close go.
+    """
+    known = F.create_map(*[F.lit(x) for symbol, (_, code) in BENCHMARKS.items() for x in (symbol, code)])
+    code = F.coalesce(F.try_element_at(known, F.col("symbol")), F.concat(F.lit("IDX"), F.right("symbol", F.lit(6))))
+    number = lambda c: F.col(c).try_cast("double").alias(c)
+    rows = raw.select(code.alias("code"), F.col("date").try_cast("date").alias("date"), *[number(c) for c in ("open", "high", "low", "close", "volume")])
+    before = F.last("close", ignorenulls=True).over(Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"amount": F.lit(None).cast("double"), "pct_chg": 100 * (F.col("close") / F.nullif(before, F.lit(0.0)) - 1)})
+    return rows.where(F.col("close").isNotNull() & (F.lit(True) if start is None else F.col("date") >= F.lit(start)))
