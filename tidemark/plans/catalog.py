@@ -13,7 +13,7 @@ from ..functions import market as rules
 from ..operators import asof, backtest, bars, factors, indicators, metrics, quality, rank, reconcile, regime, signals, strategies
 from ..shared import shared_folder
 from ..sources import ingest, market, store
-from ..streaming import upserts
+from ..streaming import sessions, upserts
 from ..streaming.account import ForwardAccount
 from . import oracles
 
@@ -390,6 +390,22 @@ def complete_sessions(s, d):
     return upserts.complete_sessions(b.where(~((F.col("date") > F.lit(dt.date(2001, 6, 1))) & (F.col("n") % 3 != 0))))
 
 
+@query
+def stream_sessions(s, d):
+    """A stream of bar updates, a file a year: each bar first partial, then whole, then once more; late in 2001 two thirds stay
+    partial. Sessions that have closed, with whole bars and whether they are complete."""
+    b = market.bars(s, d)
+    late = (F.col("date") > F.lit(dt.date(2001, 6, 1))) & (F.col("n") % 3 != 0)
+    at = lambda hour: F.col("date").cast("timestamp") + F.expr(f"INTERVAL {hour} HOURS")
+    one = lambda rows, hour, seq, factor: rows.select("code", "date", at(hour).alias("ts"), F.lit(seq).cast("long").alias("seq"), (F.col("close") * factor).alias("close"))
+    updates = one(b, 10, 0, 0.9).unionByName(one(b.where(~late), 16, 1, 1.0)).unionByName(one(b.where(~late), 16, 1, 1.0))
+    root = f"{shared_folder(s)}/updates-{uuid.uuid4().hex}"
+    for year in range(1995, 2002):
+        updates.where(F.year("date") == year if year > 1995 else F.year("date") <= year).write.mode("append").parquet(f"{root}/in/{year}")
+    stream = s.readStream.schema(updates.schema).option("maxFilesPerTrigger", 64).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    return sessions.run_sessions(stream, f"{root}/out", f"{root}/check")
+
+
 # ---- the store's tables and what is parsed on the way in ----------------------------------------------------------------
 
 

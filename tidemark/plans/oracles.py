@@ -272,6 +272,7 @@ UNION ALL """ + " UNION ALL ".join(f"SELECT 'recent', '{c}', 'p{x:02d}', {r(f'qu
     q["spot_prices"] = f" SELECT code, {r('arg_max(close, date)', 'price')} FROM bars GROUP BY code"
     q["stream_dedup_latest"] = f" SELECT user_id, CAST(ts AS DATE) AS day, arg_max(event_id, row(ts, event_id)) AS event_id, arg_max(event_type, row(ts, event_id)) AS event_type, {r('arg_max(value, row(ts, event_id))', 'value')} FROM events GROUP BY ALL"
     q["complete_sessions"] = ", c AS (SELECT date, count(*) AS n FROM bars WHERE NOT (date > DATE '2001-06-01' AND n % 3 <> 0) GROUP BY date) SELECT date, n, coalesce(n >= 0.5 * quantile_cont(n, 0.5) OVER (ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), true) AS complete FROM c"
+    q["stream_sessions"] = ", c AS (SELECT date, count(*) FILTER (NOT (date > DATE '2001-06-01' AND n % 3 <> 0)) AS n FROM bars GROUP BY date HAVING date < (SELECT max(date) FROM bars)) SELECT date, n, coalesce(n >= 0.5 * quantile_cont(n, 0.5) OVER (ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), true) AS complete FROM c"
 
     y = "CASE WHEN volume > 20 THEN {} END"
     cnt = "count(y) OVER (PARTITION BY date)"
