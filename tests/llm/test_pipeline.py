@@ -123,3 +123,49 @@ def test_empty_documents(spark):
     d = docs(spark, [])
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, d, SF).count() == 0, name
+
+
+def text_sets(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    return simhash.shingle_sets(df, "text", 5)
+
+
+def test_pairs_just_above_the_similarity_are_found(spark):
+    rng = random.Random(21)
+    rows = []
+    for pair in range(2000):
+        n = rng.randrange(120, 200)
+        base = [f"w{rng.randrange(10**7)}" for _ in range(n)]
+        own = lambda: base[: n - round(n * rng.uniform(0.087, 0.107))]
+        rows += [(2 * pair + k, " ".join(w + [f"x{rng.randrange(10**7)}" for _ in range(n - len(w))]), "s", "l") for k, w in enumerate((own(), own()))]
+    like = [len(a & b) / len(a | b) for a, b in zip((shingles(r[1]) for r in rows[::2]), (shingles(r[1]) for r in rows[1::2]))]
+    near = [i for i, x in enumerate(like) if 0.8 <= x <= 0.84]
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs(spark, rows)).collect()}
+    found = sum(len({2 * i, 2 * i + 1} & kept) == 1 for i in near)
+    assert len(near) > 800 and found >= 0.99 * len(near)
+    assert all({2 * i, 2 * i + 1} <= kept for i, x in enumerate(like) if x < 0.8)
+
+
+def test_texts_that_share_too_little_are_not_compared(spark):
+    """2,000 texts at about 0.75 to one another: none is left to compare."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**7)}" for _ in range(200)]
+    sets = text_sets(spark, [" ".join(base[:172] + [f"x{rng.randrange(10**9)}" for _ in range(28)]) for _ in range(2000)])
+    bounds = simhash.matchable(sets, 0.8)
+    assert bounds.count() == 2000  # each might be similar to a shorter text
+    assert simhash.possible(bounds.withColumn("key", F.lit(1)), "key", 0.8).count() == 0
+
+
+def test_bounds_never_part_similar_sets(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(5, 60))]
+        texts += [" ".join(w if rng.random() > 0.02 else "y" for w in base[: rng.randrange(5, len(base) + 1)]) for _ in range(6)]
+    sets = {r["node"]: set(r["set"]) for r in text_sets(spark, texts).collect()}
+    room = {r["node"]: (r["n"], r["m"]) for r in simhash.matchable(text_sets(spark, texts), 0.8).collect()}
+    kept = {r["node"] for r in simhash.possible(simhash.matchable(text_sets(spark, texts), 0.8).withColumn("key", F.lit(1)), "key", 0.8).collect()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 50
+    for a, b in pairs:
+        assert {a, b} <= kept and min(room[a][1], room[b][1]) >= 0.8 / 1.8 * (room[a][0] + room[b][0]) - 1e-6

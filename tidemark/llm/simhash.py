@@ -307,19 +307,40 @@ def shingle_sets(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     return docs.select("node", F.col(text_col).alias("text")).mapInArrow(run, "node long, set array<int>")
 
 
-def nearest_pairs(rows: DataFrame, lanes: int, low: int = 0, high: int = NEAREST) -> DataFrame:
-    """(a, b, block), a > b: of rows (block, side, node, root, f0, f1), each node's smaller nodes of its block within the radius,
-    from the ``low``-th nearest up to before the ``high``-th, that have another root.
+def matchable(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, n, m): a set's size and how many of its shingles some other set has too, where a similar set is possible at all.
+
+    A shingle that one set alone has can't be common, so two sets have at most the lesser m in common: n of one and m of the
+    other bound their similarity, and a set with m below ``similarity`` times n has no similar one. Sole shingles are found by
+    aggregation, so one that all sets have costs no task more than others.
+    """
+    each = sets.select("node", F.explode("set").alias("h"))
+    sole = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("sole"))
+    sized = sets.select("node", F.size("set").cast("long").alias("n")).join(sole, "node", "left")
+    return sized.select("node", "n", (F.col("n") - F.coalesce("sole", F.lit(0))).alias("m")).where(F.col("m") >= F.lit(similarity) * F.col("n") - 1e-6)
+
+
+def possible(rows: DataFrame, by: str, similarity: float) -> DataFrame:
+    """Rows (by, n, m, ...) whose group may hold a similar set: sizes a, b and a similarity s need s / (1 + s) * (a + b) in common."""
+    c = similarity / (1 + similarity)
+    best = rows.groupBy(by).agg(F.min("n").alias("_least"), F.max(F.col("m") - c * F.col("n")).alias("_room"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    return rows.join(broadcast_if_small(durable(best, "room")), by).where((F.col("m") >= c * (F.col("n") + F.col("_least")) - 1e-6) & (F.col("_room") >= c * F.col("n") - 1e-6)).drop("_least", "_room", "_rows")
+
+
+def nearest_pairs(rows: DataFrame, lanes: int, similarity: float, low: int = 0, high: int = NEAREST) -> DataFrame:
+    """(a, b, block), a > b: of rows (block, side, node, root, f0, f1, n, m), each node's smaller nodes of its block within the
+    radius, from the ``low``-th nearest up to before the ``high``-th, that have another root and may be similar by n and m.
 
     A block of two sides compares one with the other. A row without a and b names a block that has pairs of unequal roots
     from the ``high``-th on. Ranks do not depend on roots, so ranges that follow one another meet all pairs of a block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, node, root, side, f0, f1 in blocks_of(batches, lanes):
+        c = similarity / (1 + similarity)
+        for block, node, root, side, f0, f1, n, m in blocks_of(batches, lanes):
             fps = np.ascontiguousarray(np.array([f0, f1]).T).view(np.uint64)
             i, j = near_pairs(fps, block, WIDE_RADIUS)
-            some = (node[i] != node[j]) & ((side[i] != side[j]) | (side[i] < 0))
+            some = (node[i] != node[j]) & ((side[i] != side[j]) | (side[i] < 0)) & (np.minimum(m[i], m[j]) >= c * (n[i] + n[j]) - 1e-6)
             i, j = i[some], j[some]
             far = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1)
             order = np.lexsort((far, j))
@@ -333,21 +354,19 @@ def nearest_pairs(rows: DataFrame, lanes: int, low: int = 0, high: int = NEAREST
             yield pa.RecordBatch.from_arrays([pa.array(node[j][now]), pa.array(node[i][now]), pa.array(block[i][now])], ["a", "b", "block"])
             yield pa.RecordBatch.from_arrays([none, none, pa.array(more)], ["a", "b", "block"])
 
-    return rows.select("block", "node", "root", "side", "f0", "f1").repartition("block").sortWithinPartitions("block", "node").mapInArrow(run, "a long, b long, block long")
+    return rows.select("block", "node", "root", "side", "f0", "f1", "n", "m").repartition("block").sortWithinPartitions("block", "node").mapInArrow(run, "a long, b long, block long")
 
 
-def similar_links(docs: DataFrame, pairs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets really have the Jaccard similarity; only texts that stand in a pair are read again."""
+def similar_links(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets (node, set) really have the Jaccard similarity."""
     pairs = durable(pairs, "pairs")
-    nodes = durable(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
-    sets = durable(shingle_sets(docs.join(broadcast_if_small(nodes), "node", "left_semi"), text_col, width).dropDuplicates(["node"]), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def across(rows: DataFrame) -> DataFrame:
-    """Rows (key, slot, node, root, f0, f1) in blocks of two slots of a key each, but for those whose nodes all have one root."""
+    """Rows (key, slot, node, root, ...) in blocks of two slots of a key each, but for those whose nodes all have one root."""
     slots = durable(rows.groupBy("key", "slot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "slots")
     other = slots.select("key", F.col("slot").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     two = slots.join(other, "key").where("slot != other AND least(lo, lo2) < greatest(hi, hi2)").select("key", "slot", "other")
@@ -364,6 +383,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ones in other groups, in ever wider ranges, until no pair within the radius is left that could join two groups. Proposed
     links are verified on the whole texts, and groups are the components of all links that were ever verified.
 
+    Only documents with a key that another one has too are looked at further: their shingles are counted, and what no other of
+    them has bounds how much two may have in common (``matchable``). Documents and pairs beyond that bound are never compared,
+    so many texts that share a passage, but not enough of it, cost time in proportion to their number.
+
     A crowded key is worked through in slices. Then one document of each group that the key has is compared, again and again
     while that joins groups; this only saves work. Last, in keys that still have several groups, all documents of every
     slice are compared with those of every other, but for two slices of one and the same group. Null and empty texts always
@@ -374,6 +397,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = docs.select(node.alias("node"), text_of(text_col).alias("text"))
     signed = durable(signatures(own, "text", width), "signatures").dropDuplicates(["node"])
     keyed = signed.select("node", "f0", "f1", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1").select("key")
+    keyed = durable(keyed.join(durable(shared, "shared"), "key"), "keyed")
+    nodes = durable(keyed.select("node").distinct(), "nodes")
+    sets = durable(shingle_sets(own.join(broadcast_if_small(nodes), "node", "left_semi"), "text", width).dropDuplicates(["node"]), "sets")
+    bounds = durable(matchable(sets, similarity), "bounds")
+    keyed = durable(possible(keyed.join(broadcast_if_small(bounds), "node"), "key", similarity), "possible")
     crowd = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     # Slices of a crowded key are so small that two of them fit the lanes.
     slices = F.when(F.col("crowd") > lanes, F.ceil(2 * F.col("crowd") / lanes)).otherwise(1).cast("int")
@@ -390,8 +419,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def join_groups(part: DataFrame, low: int = 0, high: int = NEAREST) -> tuple[int, DataFrame]:
         """Verify pairs and join their groups; how many links were new, and the blocks that have pairs from ``high`` on."""
         nonlocal group
-        found = durable(nearest_pairs(part, lanes, low, high), "found")
-        new = durable(similar_links(own, found.where("a IS NOT NULL").select("a", "b").distinct(), "text", width, similarity), "links")
+        found = durable(nearest_pairs(part, lanes, similarity, low, high), "found")
+        new = durable(similar_links(sets, found.where("a IS NOT NULL").select("a", "b").distinct(), similarity), "links")
         n = new.count()
         if n or group is None:
             group = durable(components(new if group is None else new.unionAll(group.select(F.col("node").alias("a"), F.col("root").alias("b")))), "groups")
@@ -400,17 +429,17 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one_side = F.lit(-1)
     placed = rows.withColumn("block", F.xxhash64("key", "slot", "slot")).withColumn("side", one_side)
     left = durable(join_groups(labelled(placed))[1], "left")
-    placed = placed.join(broadcast_if_small(left), "block", "left_semi").select("block", "side", "node", "f0", "f1")
+    placed = placed.join(broadcast_if_small(left), "block", "left_semi").select("block", "side", "node", "f0", "f1", "n", "m")
     if not crowded.isEmpty():
         while True:  # one document of each group of a key
-            first = labelled(crowded).groupBy("key", "root").agg(F.min_by(F.struct("node", "f0", "f1"), "node").alias("d")).select("key", "root", "d.*")
+            first = labelled(crowded).groupBy("key", "root").agg(F.min_by(F.struct("node", "f0", "f1", "n", "m"), "node").alias("d")).select("key", "root", "d.*")
             count = first.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
             first = first.join(durable(count, "crowds"), "key").withColumn("slot", F.pmod(F.hash("node"), F.ceil(F.col("crowd") / lanes).cast("int")))
             if not join_groups(first.withColumn("block", F.xxhash64("key", "slot")).withColumn("side", one_side))[0]:
                 break
         cross = across(labelled(crowded))
         more = durable(join_groups(cross)[1], "left")
-        placed = placed.unionAll(cross.join(broadcast_if_small(more), "block", "left_semi").select("block", "side", "node", "f0", "f1"))
+        placed = placed.unionAll(cross.join(broadcast_if_small(more), "block", "left_semi").select("block", "side", "node", "f0", "f1", "n", "m"))
         left = left.unionAll(more)
     placed, low = durable(placed, "placed"), NEAREST
     while not left.isEmpty():
