@@ -66,3 +66,26 @@ def test_turns_with_several_speakers(spark, model):
     assert [got[i].n_messages for i in range(3)] == [1, 3, 1]
     assert got[1].rendered == "<|user|>\nwhat is this?\nsecond line\n<|end|>\n<|assistant|>\nan answer\n<|end|>\n<|user|>\nthanks\n<|end|>\n"
     assert got[2].rendered == f"<|{got[2].role}|>\nYou are welcome.\n\nBye.\n<|end|>\n"
+
+
+def test_a_null_turn_stands_beside_any_number(spark, model):
+    rows = [("a", -1, "User: minus one"), ("a", None, "User: null"), ("a", 10**16 + 7, "AI: far\nsecond"), ("a", -(2**62), "AI: far back"), (None, None, "Human: alone")]
+    got = {(r.conv_id, r.turn): (r.role, r.n_messages, r.rendered) for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id string, turn long, text string"), model).collect()}
+    assert got == {
+        ("a", -1): ("user", 1, "<|user|>\nminus one\n<|end|>\n"), ("a", None): ("user", 1, "<|user|>\nnull\n<|end|>\n"), ("a", 10**16 + 7): ("assistant", 1, "<|assistant|>\nfar\nsecond\n<|end|>\n"),
+        ("a", -(2**62)): ("assistant", 1, "<|assistant|>\nfar back\n<|end|>\n"), (None, None): ("user", 1, "<|user|>\nalone\n<|end|>\n"),
+    }
+    turns = {r.turn for r in chat.format_turns(spark.createDataFrame(rows, "conv_id string, turn long, text string"), model).where("conv_id = 'a'").collect()}
+    assert turns == {-1, None, 10**16 + 7, -(2**62)}
+
+
+def test_one_long_turn_leaves_the_other_segments_alone(spark, model, monkeypatch):
+    """Segments follow the order of lines, so they number the lines over their size, whatever a turn's length or number."""
+    made = []
+    ends = chat.segment_ends
+    monkeypatch.setattr(chat, "segment_ends", lambda m: made.append(m.count()) or ends(m))
+    short = [(c, t, f"turn {t} of {c}") for c in range(300) for t in range(10)]
+    long = [(0, 10, "\n".join(f"line {i}" for i in range(3000)))]
+    for rows in (short, short + long):
+        chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, text string"), model).count()
+    assert made[0] <= 300 + 3000 / chat.SEGMENT + 8 and made[1] - made[0] <= 3000 / chat.SEGMENT + 8

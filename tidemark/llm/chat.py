@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, ship
+from .common import broadcast_if_small, durable, ship
 
 ROLES = ["system", "user", "assistant"]
 # How transcripts name their speakers, at the start of a line.
@@ -144,12 +144,14 @@ def _levels(spread: int) -> list[int]:
 
 def segment_ends(matrices: DataFrame) -> DataFrame:
     """(k, s, enter, leave, first) of every segment from the matrices (k, s, m) of all: up the levels, then down."""
-    low, high = matrices.agg(F.min("s").alias("low"), F.max("s").alias("high")).first()
-    if low is None:
+    matrices = durable(matrices, "matrices")
+    start = durable(matrices.groupBy("k").agg(F.min("s").alias("low"), F.max("s").alias("high")), "start")
+    spread = start.agg(F.max(F.col("high") - F.col("low"))).first()[0]
+    if spread is None:
         return matrices.select("k", "s", F.lit(0).alias("enter"), F.lit(0).alias("leave"), F.lit(True).alias("first"))
-    widths = _levels(high - low + 1)
-    place = F.col("s") - F.lit(low)
-    mats = [durable(matrices.select("k", place.alias("s"), "m"), "level")]
+    widths = _levels(spread + 1)
+    low = broadcast_if_small(start.select("k", "low"))
+    mats = [durable(matrices.join(low, "k").select("k", (F.col("s") - F.col("low")).alias("s"), "m"), "level")]
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["k", "g"]):
@@ -173,24 +175,31 @@ def segment_ends(matrices: DataFrame) -> DataFrame:
     for m in reversed(mats[:-1]):
         told = m.select("k", group.alias("g"), "s", "m").join(ends.withColumnRenamed("s", "g"), ["k", "g"])
         ends = durable(told.repartition("k", "g").sortWithinPartitions("k", "g", "s").mapInArrow(down, ENDS), "ends")
-    return ends.withColumn("s", F.col("s") + F.lit(low))
+    return ends.join(low, "k").withColumn("s", F.col("s") + F.col("low")).drop("low")
 
 
-def recover(units: DataFrame, model: Model) -> DataFrame:
-    """(c, p, opens, text, role) for units (c, p, opens, text): key, position (long), whether a message opens, text.
+def recover(units: DataFrame, model: Model, order: list[str]) -> DataFrame:
+    """(c, <order>, opens, text, at, role) for units (c, <order>, opens, text): key, places, whether a message opens, text.
 
-    Repeated rows count once. Positions need not be dense; units of equal position are ordered by their text. Null texts
-    count as empty. A null key is a transcript like any other.
+    Units of a transcript follow one another by the columns of ``order``, nulls first, then by text. They are laid out in one
+    order over all transcripts, ``at``, whose successive units of a transcript form its segments; so neither gaps nor sizes of
+    the places matter. Null texts count as empty. A null key is a transcript like any other.
     """
     spark = units.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     names = list(FEATURES)
-    key = F.coalesce(F.col("c").cast("string"), F.lit("\0"))
-    rows = units.select("c", key.alias("k"), "p", "opens", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    rows = durable(rows.withColumn("s", F.floor(F.col("p") / SEGMENT)), "units")
-    looks = rows.select("k", "s", "p", "opens", F.xxhash64("text").alias("d"), *[x.alias(f) for f, x in features(F.col("text")).items()])
-    sorted_looks = looks.repartition("k", "s").sortWithinPartitions("k", "s", "p", "d")
+    key = F.when(F.col("c").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("c").cast("string")))
+    rows = units.select("c", key.alias("k"), *order, "opens", F.coalesce("text", F.lit("")).alias("text"))
+    laid = rows.repartitionByRange("k", *order, F.substring("text", 1, 64)).sortWithinPartitions("k", *order, "text")
+    laid = durable(laid.withColumn("at", F.monotonically_increasing_id()), "units")
+    # Segments are numbered without gaps: those of a part of the layout follow those of the parts before it.
+    sizes = laid.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row a partition
+    begin = np.cumsum([0, *(-(-r["n"] // SEGMENT) for r in sizes)]).tolist()
+    parts = spark.createDataFrame([(r["part"], n) for r, n in zip(sizes, begin)], "part long, begin long")
+    looks = laid.select("k", "at", "opens", *[x.alias(f) for f, x in features(F.col("text")).items()], F.shiftright("at", 33).alias("part")).join(F.broadcast(parts), "part")
+    looks = looks.withColumn("s", F.col("begin") + F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / SEGMENT)).drop("part", "begin")
+    sorted_looks = looks.repartition("k", "s").sortWithinPartitions("k", "s", "at")
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -217,12 +226,12 @@ def recover(units: DataFrame, model: Model) -> DataFrame:
             path = [int(g["leave"].iloc[0])]
             for b in reversed(back):
                 path.append(int(b[path[-1]]))
-            yield pa.RecordBatch.from_pydict({"k": g["k"].tolist(), "p": g["p"].tolist(), "d": g["d"].tolist(), "role": [ROLES[r] for r in path[::-1]]}, pa.schema([("k", pa.string()), ("p", pa.int64()), ("d", pa.int64()), ("role", pa.string())]))
+            yield pa.RecordBatch.from_pydict({"at": g["at"].tolist(), "role": [ROLES[r] for r in path[::-1]]}, pa.schema([("at", pa.int64()), ("role", pa.string())]))
 
     ends = segment_ends(sorted_looks.mapInArrow(scores, MATRIX))
     known = looks.join(ends, ["k", "s"])
-    roles = known.repartition("k", "s").sortWithinPartitions("k", "s", "p", "d").mapInArrow(trace, "k string, p long, d long, role string")
-    return rows.withColumn("d", F.xxhash64("text")).join(roles, ["k", "p", "d"]).select("c", "p", "opens", "text", "role")
+    roles = known.repartition("k", "s").sortWithinPartitions("k", "s", "at").mapInArrow(trace, "at long, role string")
+    return laid.join(roles, "at").select("c", *order, "opens", "text", "at", "role")
 
 
 def render(role: Column, text: Column) -> Column:
@@ -232,16 +241,31 @@ def render(role: Column, text: Column) -> Column:
 
 
 def format_turns(turns: DataFrame, model: Model, id_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """One row per distinct turn: id, turn, role (recovered from text and order alone), rendered. Rows with a null turn come first."""
-    units = turns.select(F.col(id_col).alias("c"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("p"), F.lit(True).alias("opens"), F.col(text_col).alias("text"))
-    return recover(units, model).select(F.col("c").alias(id_col), F.col("p").alias(turn_col), "role", render(F.col("role"), F.col("text")).alias("rendered"))
+    """One row per distinct turn: id, turn, role (recovered from text and order alone), rendered.
+
+    Rows with a null turn come first. Rows that repeat one another are one; different texts under one turn are ordered by text.
+    Null ids are a conversation of their own, null texts are empty, an empty table gives an empty result, other columns are
+    not read.
+    """
+    units = turns.select(F.col(id_col).alias("c"), F.col(turn_col).cast("long").alias("t"), F.lit(True).alias("opens"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
+    return recover(units, model, ["t"]).select(F.col("c").alias(id_col), F.col("t").alias(turn_col), "role", render(F.col("role"), F.col("text")).alias("rendered"))
+
+
+def split_lines(rows: DataFrame) -> DataFrame:
+    """Units (c, t, d, line, opens, text): the lines of rows (c, t, text); d keeps the lines of a text together."""
+    lines = rows.select("c", "t", F.xxhash64("text").alias("d"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.select("c", "t", "d", "line", ((F.col("line") == 0) | F.col("text").rlike(ANY)).alias("opens"), "text")
 
 
 def format_transcripts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line of raw transcripts: id, line, role, opens, body. A line with a speaker marker opens a message."""
-    lines = docs.select(F.col(id_col).alias("c"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("p", "text"))
-    units = lines.select("c", F.col("p").cast("long").alias("p"), (F.col("text").rlike(ANY) | (F.col("p") == 0)).alias("opens"), "text")
-    return recover(units, model).select(F.col("c").alias(id_col), F.col("p").alias("line"), "role", "opens", F.regexp_replace("text", ANY, "").alias("body"))
+    """One row per line of raw transcripts: id, line, role, opens, body. A line with a speaker marker opens a message.
+
+    Documents that repeat one another are read once; different texts of one id are one transcript, text after text. Null ids
+    are a transcript of their own, null texts one empty line, an empty table gives an empty result, other columns are not read.
+    """
+    rows = docs.select(F.col(id_col).alias("c"), F.lit(0).cast("long").alias("t"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
+    found = recover(split_lines(rows), model, ["t", "d", "line"])
+    return found.select(F.col("c").alias(id_col), F.col("line").cast("long").alias("line"), "role", "opens", F.regexp_replace("text", ANY, "").alias("body"))
 
 
 def format_conversations(turns: DataFrame, model: Model, id_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
@@ -249,19 +273,16 @@ def format_conversations(turns: DataFrame, model: Model, id_col: str = "conv_id"
 
     A turn's first line opens a message, and so does every line with a speaker marker, so one turn may hold messages of
     several speakers; role is that of its first line. Lines of a turn are gathered for rendering, never those of a
-    conversation. n_rows counts the rows of a turn; rows that repeat one another are read once, the lines of different texts
-    under one turn stand side by side. A null turn comes first. Turn numbers are within 2**31 of zero.
+    conversation. n_rows counts the rows of a turn; rows that repeat one another are read once, different texts under one
+    turn text after text. A null turn is a turn of its own and comes first; turn numbers may be any. Null ids are a
+    conversation of their own, null texts are empty, an empty table gives an empty result, other columns are not read.
     """
-    rows = turns.select(F.col(id_col).alias("c"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("t"), F.col(turn_col).alias("turn"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    longest = rows.agg(F.max(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n")).first()["n"] or 0
-    width = 1 << int(longest + 1).bit_length()  # positions of one turn
-    lines = rows.select("c", "t", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    units = lines.select("c", (F.col("t") * width + F.col("line")).alias("p"), ((F.col("line") == 0) | F.col("text").rlike(ANY)).alias("opens"), "text")
-    found = recover(units, model).withColumn("t", F.floor(F.col("p") / width).cast("long"))
-    each = F.array_sort(F.collect_list(F.struct("p", "text", "opens", "role")))
+    rows = turns.select(F.col(id_col).alias("c"), F.col(turn_col).cast("long").alias("t"), F.col(turn_col).alias("turn"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = recover(split_lines(rows.select("c", "t", "text").distinct()), model, ["t", "d", "line"])
+    each = F.array_sort(F.collect_list(F.struct("at", "text", "opens", "role")))
     done = found.groupBy("c", "t").agg(each.alias("lines")).select("c", "t", F.element_at("lines", 1)["role"].alias("role"), F.size(F.filter("lines", lambda x: x["opens"])).alias("n_messages"), render_lines(F.col("lines")).alias("rendered"))
     counts = rows.groupBy("c", "t", "turn").agg(F.count(F.lit(1)).alias("n_rows"))
-    on = counts["c"].eqNullSafe(done["c"]) & (counts["t"] == done["t"])
+    on = counts["c"].eqNullSafe(done["c"]) & counts["t"].eqNullSafe(done["t"])
     return counts.join(done, on).select(counts["c"].alias(id_col), F.col("turn").alias(turn_col), "n_rows", F.col("n_messages").cast("long").alias("n_messages"), "role", "rendered")
 
 
