@@ -301,8 +301,10 @@ def shingle_sets(docs: DataFrame, text_col: str, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(np.concatenate([p.astype(np.uint32) for p in shingle_hashes(t, width)])).view(np.int32) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "set"])
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                sets = [np.unique(np.concatenate([p.astype(np.uint32) for p in shingle_hashes(t, width)])).view(np.int32) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "set"])
 
     return docs.select("node", F.col(text_col).alias("text")).mapInArrow(run, "node long, set array<int>")
 
@@ -314,7 +316,8 @@ def matchable(sets: DataFrame, similarity: float) -> DataFrame:
     other bound their similarity, and a set with m below ``similarity`` times n has no similar one. Sole shingles are found by
     aggregation, so one that all sets have costs no task more than others.
     """
-    each = sets.select("node", F.explode("set").alias("h"))
+    tasks = max(1, -(-sets.count() // 1000))  # a task's table of shingles stays small
+    each = sets.select("node", "set").repartition(tasks, "node").select("node", F.explode("set").alias("h"))
     sole = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("sole"))
     sized = sets.select("node", F.size("set").cast("long").alias("n")).join(sole, "node", "left")
     return sized.select("node", "n", (F.col("n") - F.coalesce("sole", F.lit(0))).alias("m")).where(F.col("m") >= F.lit(similarity) * F.col("n") - 1e-6)
