@@ -1,6 +1,8 @@
 import html
 import itertools
+import random
 import re
+import time
 from math import exp
 
 import pyarrow.parquet as pq
@@ -51,7 +53,7 @@ def test_marginals_brute(model):
         w = 1.0
         for i in range(1, n):
             p = model.edge[html_text.kind(nodes[i]), s[nodes[i].parent]]
-            w *= (p if s[i] else 1 - p) * (exp(sum(model.node.get(x, 0.0) for x in html_text.looks(nodes[i]))) if s[i] else 1)
+            w *= (p if s[i] else 1 - p) * (exp(html_text.SHARE.get(html_text.kind(nodes[i]), 1.0) * sum(model.node.get(x, 0.0) for x in html_text.looks(nodes[i]))) if s[i] else 1)
         whole += w
         for i in range(n):
             weight[i] += w * s[i]
@@ -74,6 +76,11 @@ def test_odd_pages(model, page):
         ("<p>One is here.</p><div>Two</div>", "One is here.\nTwo"),
         ('<p>See this code:</p><div class="highlight"><pre>x = 1</pre></div><p>Done.</p>', "See this code:\nx = 1\nDone."),
         ("<section><h2>S</h2><div><p>Deep.</p></div></section><figure><figcaption>A cap.</figcaption></figure>", "S\nDeep.\nA cap."),
+        ('<p>One</p><div class="comments-free zone"><p>This is body text.</p></div>', "One\nThis is body text."),
+        ('<p>Body of the page.</p><section class="comments"><p>User says something here.</p></section>', "Body of the page."),
+        ('<p>Body of the page.</p><div id="comments"><h3>Comments</h3><div class="comment"><p>I do not agree with a word of this, it is long enough.</p></div></div>', "Body of the page."),
+        ("<p>Body of the page.</p><form><p>Your name</p><input><button>Send</button></form>", "Body of the page."),
+        ("<p>Body of the page.</p><button>Read more</button><select><option>One<option>Two</select>", "Body of the page."),
         ('<p>Text.</p><div class="ad">Buy now, this is a long advert of many words.</div><p>More.</p>', "Text.\nMore."),
     ],
 )
@@ -92,3 +99,46 @@ def test_table(spark):
     got = html_text.extract(df).collect()
     assert [len(r.text) for r in got] == [r.n_chars for r in got] and got[0].n_chars == 379 and [r.n_chars for r in got[1:]] == [0, 0, 0]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+#: A second way to make pages: other names, other nesting, texts of real words.
+WORDS = "the of a in to and it was for on with as by at from that this river council old bridge night water people engine paper garden seven north early between open report".split()
+
+
+def second_generator(seed):
+    """(page, main text): main text in a part of its own among menus, notices, side boxes, comments and forms."""
+    rng = random.Random(seed)
+    some = lambda a, b: " ".join(rng.choice(WORDS) for _ in range(rng.randint(a, b)))
+    line = lambda: some(6, 40).capitalize() + "."
+    want, main = [], ""
+    for _ in range(rng.randint(2, 9)):
+        t = line()
+        want.append(t)
+        main += rng.choice([f"<p>{t}</p>", f"<p>{t}</p>", f"<div><p>{t}</p></div>", f"<ul><li>{t}</li></ul>", f'<div class="ad-free"><p>{t}</p></div>', f"<p>{t}"])
+    after = rng.choice(["", f'<section class="comments"><p>{line()}</p><p>{line()}</p></section>', f"<form><label>{some(1, 2)}</label><button>{some(1, 2)}</button></form>", f'<div class="comment-list"><div class="comment"><p>{line()}</p></div></div>'])
+    menu = "".join(f"<li><a href=/{i}>{some(1, 2)}</a></li>" for i in range(rng.randint(3, 8)))
+    box = rng.choice(["", f'<div class="sidebar"><h4>{some(1, 3)}</h4><ul>{menu}</ul></div>', f"<aside><p>{line()}</p></aside>", f'<div class="cookie-notice">{line()}</div>'])
+    holder = rng.choice([("<main>", "</main>"), ("<article>", "</article>"), ('<div class="post"><div class="content">', "</div></div>"), ("<main><article>", "</article></main>")])
+    return f"<html><body><header><h2>{some(1, 3)}</h2><nav><ul>{menu}</ul></nav></header>{box}{holder[0]}{main}{after}{holder[1]}<footer><p>&copy; {some(2, 6)}</p></footer></body></html>", "\n".join(want)
+
+
+def test_pages_of_a_second_generator(model):
+    lost = extra = total = 0
+    for seed in range(150):
+        page, want = second_generator(seed)
+        got, want = model.text(page).split("\n"), want.split("\n")
+        total += len(want)
+        lost += sum(t not in got for t in want)
+        extra += sum(t not in want for t in got if t)
+    assert lost / total < 0.05 and extra / total < 0.05, (lost, extra, total)
+
+
+@pytest.mark.parametrize("piece", ["<iframe src=x><p>hello there.</p>", "<svg><p>hello there.</p>", "<div></p>", "<h1></p>x", "<script ", "<!", "<div class='a", "<td>x", "<ul><li><h1>", "<a <a", "<title>x", "&amp", "<p>x</div>", '<script "<b> '])
+def test_long_pages_take_linear_time(piece):
+    times = []
+    for n in (60_000, 600_000):
+        page = piece * (n // len(piece))
+        begun = time.process_time()
+        html_text.parse(page)
+        times.append(time.process_time() - begun)
+    assert times[1] < 30 * times[0] + 2, times
