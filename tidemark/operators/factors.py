@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..deploy import ship
 from ..functions.market import ratio
+from ..shared import durable
 from .asof import point_in_time
 from .bars import UniverseFilter, dense_grid, forward_return, load_daily, tradable, universe, usable_history
 from .indicators import YEAR, before, full, sma, with_rsi_over_holes
@@ -201,7 +202,7 @@ def evaluate_all(panel: DataFrame, names: list[str] | None = None, main: int = 2
     """
     names = names or list(REGISTRY)
     horizons = tuple(sorted({*horizons, main}))
-    days = ranked_days(long_values(panel, names, horizons), horizons, main, quantiles, least)
+    days = durable(ranked_days(long_values(panel, names, horizons), horizons, main, quantiles, least), "days")  # a row a factor and date, read twice
     ic = F.col(f"ic_{main}")
     layer = [F.avg(f"l_{i}").alias(f"l_{i}") for i in range(quantiles)]
     decay = [F.when(F.count(f"ic_{h}") >= least_days, F.avg(f"ic_{h}")).alias(f"ic_{h}") for h in horizons]

@@ -19,7 +19,7 @@ def dedup_latest(events: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 def upsert_stream(stream: DataFrame, store: Store, table: str, checkpoint: str, keys: list[str], order: list[str], then: Callable[[DataFrame, int], None] | None = None, available_now: bool = True):
     """Start a query that upserts each micro-batch. The batch id is kept with the table, so a batch that is replayed after a
-    failure is skipped."""
+    failure is skipped; ``then`` runs before the id is kept, so at least once for each batch."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         done = store.get_meta(f"stream:{table}")
