@@ -360,6 +360,57 @@ def nearest_pairs(rows: DataFrame, lanes: int, similarity: float, low: int = 0,
     return rows.select("block", "node", "root", "side", "f0", "f1", "n", "m").repartition("block").sortWithinPartitions("block", "node").mapInArrow(run, "a long, b long, block long")
 
 
+def overlaps(sets: list[np.ndarray], of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, number of common elements with each set) for the sets numbered in ``of``, from the elements' postings."""
+    size = np.array([len(x) for x in sets])
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    holders = np.repeat(np.arange(len(sets)), size)[np.argsort(element, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(element))])
+    for i in of:
+        own = element[start[i] : start[i + 1]]
+        many = first[own + 1] - first[own]
+        at = np.arange(many.sum()) + np.repeat(first[own] - (np.cumsum(many) - many), many)
+        yield i, np.bincount(holders[at], minlength=len(sets))
+
+
+def verified_links(rows: DataFrame, sets: DataFrame, lanes: int, similarity: float) -> DataFrame:
+    """(a, b), a > b: of rows (block, side, node, root, f0, f1, n, m), links of similar sets that join roots, as a forest of each block.
+
+    All pairs of a block within the radius are verified where they stand, on the sets themselves, so what comes out is linear in
+    the rows, whatever the pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = similarity / (1 + similarity)
+        for block, node, root, side, f0, f1, n, m, own in blocks_of(batches, lanes):
+            i, j = near_pairs(np.ascontiguousarray(np.array([f0, f1]).T).view(np.uint64), block, WIDE_RADIUS)
+            some = (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] < 0)) & (np.minimum(m[i], m[j]) >= c * (n[i] + n[j]) - 1e-6)
+            i, j = i[some], j[some]
+            if not len(i):
+                continue
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            good = np.zeros(len(i), bool)
+            for k, common in overlaps(list(own), np.unique(i)):
+                lo, hi = np.searchsorted(i, [k, k + 1])
+                o = common[j[lo:hi]]
+                good[lo:hi] = o >= similarity * (n[k] + n[j[lo:hi]] - o)
+            i, j = i[good], j[good]
+            label = np.unique(root, return_inverse=True)[1]
+            a, b = [], []
+            for x, y in zip(i.tolist(), j.tolist()):
+                u, v = label[x], label[y]
+                if u != v:
+                    label[label == v] = u
+                    a.append(max(node[x], node[y]))
+                    b.append(min(node[x], node[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = rows.join(sets, "node").select("block", "node", "root", "side", "f0", "f1", "n", "m", "set")
+    return rows.repartition("block").sortWithinPartitions("block", "node").mapInArrow(run, "a long, b long")
+
+
 def similar_links(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets (node, set) really have the Jaccard similarity."""
     pairs = durable(pairs, "pairs")
@@ -382,9 +433,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Groups are components over pairs of Jaccard similarity ``similarity`` or more on sets of ``width`` words. Pairs come from
     blocks of a shared key; in a block, distances of 128-bit fingerprints are compared bit-sliced. Each document first proposes
-    its nearest smaller ones, which joins a group of any size by links in proportion to its documents; then the next nearest
-    ones in other groups, in ever wider ranges, until no pair within the radius is left that could join two groups. Proposed
-    links are verified on the whole texts, and groups are the components of all links that were ever verified.
+    its nearest smaller ones, which joins a group of any size by links in proportion to its documents. Blocks whose other pairs
+    within the radius could still join two groups are then verified whole, where they stand. Links are verified on the whole
+    texts' shingles, and groups are the components of all links that were ever verified.
 
     Only documents with a key that another one has too are looked at further: their shingles are counted, and what no other of
     them has bounds how much two may have in common (``matchable``). Documents and pairs beyond that bound are never compared,
@@ -444,11 +495,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         more = durable(join_groups(cross)[1], "left")
         placed = placed.unionAll(cross.join(broadcast_if_small(more), "block", "left_semi").select("block", "side", "node", "f0", "f1", "n", "m"))
         left = left.unionAll(more)
-    placed, low = durable(placed, "placed"), NEAREST
-    while not left.isEmpty():
+    if not left.isEmpty():  # blocks whose pairs beyond the nearest could still join groups
         part = labelled(placed.join(broadcast_if_small(left), "block", "left_semi"))
         mixed = durable(part.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("block"), "mixed")
-        left = durable(join_groups(part.join(broadcast_if_small(mixed), "block", "left_semi"), low, 4 * low)[1], "left")
-        low *= 4
+        more = durable(verified_links(part.join(broadcast_if_small(mixed), "block", "left_semi"), sets, lanes, similarity), "links")
+        if not more.isEmpty():
+            group = durable(components(more.unionAll(group.select(F.col("node").alias("a"), F.col("root").alias("b")))), "groups")
     gone = broadcast_if_small(durable(group.where("node != root").select(F.col("node").alias("_gone_node")), "gone"))
     return docs.join(gone, node == F.col("_gone_node"), "left_anti")
