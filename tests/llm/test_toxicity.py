@@ -91,6 +91,35 @@ def test_repeated_and_missing_rows(spark):
     assert none.weights == {} and toxicity.drop_toxic(docs(spark, rows), none).count() == len(rows)
 
 
+def test_patterns_brute(spark):
+    texts = [(True, "bad day"), (True, "bad bad"), (False, "good day"), (False, ""), (False, "day good"), (False, "else")]
+    keep = sorted(brute_pieces("bad") | brute_pieces("day"))
+    got = {(r.positive, tuple(r.features)): r.n for r in toxicity.piece_patterns(spark.createDataFrame(texts, "positive boolean, text string"), keep).collect()}
+    want = {}
+    for positive, t in texts:
+        found = set().union(set(), *[brute_pieces(w) for w in t.split()])
+        key = positive, tuple(i for i, k in enumerate(keep) if k in found)
+        want[key] = want.get(key, 0) + 1
+    assert got == want and want[False, ()] == 2
+
+
+def test_sums_where_the_rows_lie(spark):
+    """Sums of a table equal those of the rows by hand, and so does the fit that is made from them."""
+    rng = np.random.default_rng(1)
+    p, u = (rng.random((40, 12)) < 0.5).astype(float), (rng.random((160, 12)) < 0.3).astype(float)
+    u[:30] = 0
+    rows = [(k, 1, np.flatnonzero(r).tolist()) for k, x in ((True, p), (False, u)) for r in x]
+    table = spark.createDataFrame(rows, "positive boolean, n long, features array<int>").repartition(3)
+    w, b = rng.normal(size=12), -0.3
+    got = toxicity.spread_sums(table, 12)(w, b)
+    for line, x in zip(got, (u, p)):
+        z = x @ w + b
+        s = 1 / (1 + np.exp(-z))
+        assert line == pytest.approx(np.concatenate([s @ x, [s.sum(), np.logaddexp(0, z).sum()], x.sum(0), [len(x)]]))
+    near, far = toxicity.fit_pu(p, u, 0.2, steps=5), toxicity.descend(toxicity.spread_sums(table, 12), 12, 0.2, steps=5)
+    assert far[0] == pytest.approx(near[0], rel=1e-6) and far[1] == pytest.approx(near[1])
+
+
 def test_nothing_confirmed(spark):
     labels = spark.createDataFrame([(1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs(spark), labels)

@@ -118,28 +118,86 @@ class Model:
         return lambda text: float(1 / (1 + np.exp(-np.clip(self.bias + weight[known.of(text)].sum(), -30, 30))))
 
 
-def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear classifier that minimises the non-negative risk with the logistic loss (Adam, full batch)."""
-    w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+@dataclass
+class Examples:
+    """Patterns of features: how many rows have each, whether these are confirmed, and the features, one pattern after the other."""
+
+    positive: np.ndarray
+    n: np.ndarray
+    at: np.ndarray  # features of all patterns in one line
+    row: np.ndarray  # the pattern that each belongs to
+
+    @classmethod
+    def of(cls, positive: pa.Array, n: pa.Array, features: pa.ListArray) -> Examples:
+        sizes = np.diff(features.offsets.to_numpy())
+        return cls(positive.to_numpy(zero_copy_only=False).astype(bool), n.to_numpy().astype(float), features.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes))
+
+    @classmethod
+    def of_matrices(cls, p: np.ndarray, u: np.ndarray) -> Examples:
+        row, at = np.nonzero(np.concatenate([p, u]))
+        return cls(np.arange(len(p) + len(u)) < len(p), np.ones(len(p) + len(u)), at, row)
+
+    def sums(self, w: np.ndarray, b: float) -> np.ndarray:
+        """One line for unlabelled and one for confirmed rows, summed over them: how often each feature occurs, times the
+        probability of toxic; the probabilities; the loss of taking the rows for clean; and, without the probability, the
+        features and the rows."""
+        z = np.bincount(self.row, w[self.at], len(self.n)) + b
+        s = self.n / (1 + np.exp(-np.clip(z, -500, 500)))
+        loss = self.n * np.logaddexp(0, z)
+        out = []
+        for k in (False, True):
+            rows = self.positive == k
+            mine = rows[self.row]
+            at, row = self.at[mine], self.row[mine]
+            out.append(np.concatenate([np.bincount(at, s[row], len(w)), [s[rows].sum(), loss[rows].sum()], np.bincount(at, self.n[row], len(w)), [self.n[rows].sum()]]))
+        return np.stack(out)
+
+
+def descend(sums: Callable[[np.ndarray, float], np.ndarray], size: int, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of the linear classifier that minimises the non-negative risk with the logistic loss (Adam, full batch).
+
+    ``sums`` gives what ``Examples.sums`` says for all rows together, so the rows may lie anywhere.
+    """
+    w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        w32 = w.astype(p.dtype)
-        zp, zu = (p @ w32).astype(float) + b, (u @ w32).astype(float) + b
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp, gu = prior * (sp - 1) / len(p), np.zeros(len(u))  # of prior * R_p(+)
-        sign = 1.0 if clean >= 0 else -1.0
-        if clean < 0:
-            gp[:] = 0
-        gp += sign * -prior * sp / len(p)
-        gu += sign * su / len(u)
-        g = np.append(p.T @ gp.astype(p.dtype) + u.T @ gu.astype(p.dtype) + decay * w, gp.sum() + gu.sum())
+        u, p = (x / max(x[-1], 1) for x in sums(w, b))
+        clean = u[size + 1] - prior * p[size + 1]
+        g = u[: size + 1] - prior * p[: size + 1]  # of the risk on clean text
+        # it is left uphill where it is negative; else the risk of missing confirmed rows counts too
+        g = -g if clean < 0 else g + prior * (p[: size + 1] - p[size + 2 :])
+        g[:size] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     return w, float(b)
 
 
+def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, **how: float) -> tuple[np.ndarray, float]:
+    """``descend`` on matrices of 0 and 1: confirmed and unlabelled rows."""
+    return descend(Examples.of_matrices(p, u).sums, p.shape[1], prior, **how)
+
+
+def spread_sums(patterns: DataFrame, size: int) -> Callable[[np.ndarray, float], np.ndarray]:
+    """``Examples.sums`` of a table of patterns of any size: each task adds up its own, so that only sums are shuffled."""
+    width = 2 * size + 3
+
+    def sums(w: np.ndarray, b: float) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2 * width)
+            for x in batches:
+                total += Examples.of(*x.columns).sums(w, b).ravel()
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["place", "v"])
+
+        out = np.zeros(2 * width)
+        for r in patterns.mapInArrow(run, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).toLocalIterator():
+            out[r["place"]] = r["v"]
+        return out.reshape(2, width)
+
+    return sums
+
+
 def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 3 == 1
 
@@ -158,24 +216,26 @@ def piece_counts(texts: DataFrame, keep: frozenset[int] | None = None) -> DataFr
     return texts.select("text").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def piece_rows(sample: DataFrame, keep: frozenset[int]) -> DataFrame:
-    """(positive, those of the kept pieces that the text has)."""
+def piece_patterns(rows: DataFrame, keep: list[int]) -> DataFrame:
+    """(positive, n, features): how many of the rows (columns positive, text) have exactly these of the kept pieces, given by their
+    places in ``keep``, a sorted list. Rows with the same pieces are one pattern, most of all those that have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Pieces(keep)
+        known, places = Pieces(keep), np.array(keep)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([known.of(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["positive", "pieces"])
+            found = [np.searchsorted(places, known.of(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["positive", "features"])
 
-    return sample.select("positive", "text").mapInArrow(run, "positive boolean, pieces array<int>")
+    shown = rows.select("positive", "text").mapInArrow(run, "positive boolean, features array<int>")
+    return shown.groupBy("positive", "features").agg(F.count(F.lit(1)).alias("n")).select("positive", "n", "features")
 
 
-def chosen_pieces(docs: DataFrame, confirmed: DataFrame, n_u: int, n_p: int, prior: float, max_pieces: int, min_confirmed: int) -> list[int]:
+def chosen_pieces(docs: DataFrame, confirmed: DataFrame, n_u: int, n_p: int, prior: float, min_confirmed: int) -> list[int]:
     """The pieces that tell most: counted in all confirmed rows and, those that may qualify, in all training rows.
 
     A piece qualifies where at least ``min_confirmed`` confirmed rows have it and it makes a text likelier toxic than not: the
     prior times its rate among confirmed rows, lowered by one standard error, is over half its rate among all training
-    rows, raised by one. (Weaker pieces would add up in long clean texts.) The best ``max_pieces`` by rate times log ratio
-    stay, so that the classifier is bounded whatever the corpus.
+    rows, raised by one. (Weaker pieces would add up in long clean texts.) All that qualify stay, in order; there are ``BUCKETS`` at most.
     """
     p = durable(piece_counts(confirmed).where(F.col("n") >= min_confirmed), "pieces")
     keep = frozenset(r["piece"] for r in p.select("piece").toLocalIterator())  # BUCKETS at most
@@ -185,15 +245,19 @@ def chosen_pieces(docs: DataFrame, confirmed: DataFrame, n_u: int, n_p: int, pri
     rate = (F.col("p.n") - F.sqrt(F.col("p.n"))) / n_p
     common = F.coalesce(F.col("u.n"), F.lit(0))
     lift = F.log2(F.greatest(rate, F.lit(1e-9)) / ((common + F.sqrt(common) + 1) / n_u))
-    best = p.alias("p").join(u.alias("u"), F.col("p.piece") == F.col("u.piece"), "left").where(lift > log2(0.5 / prior)).select("p.piece", (lift * rate).alias("gain"))
-    return [r["piece"] for r in best.orderBy(F.desc("gain"), "piece").limit(max_pieces).collect()]
+    best = p.alias("p").join(u.alias("u"), F.col("p.piece") == F.col("u.piece"), "left").where(lift > log2(0.5 / prior))
+    return sorted(r["piece"] for r in best.select("p.piece").toLocalIterator())
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 2000, max_unlabelled: int = 4000, max_pieces: int = 2000, min_confirmed: int = 5, prior: float | None = None) -> Model:
-    """Fit on a bounded sample: at most ``max_positive`` confirmed toxic rows and ``max_unlabelled`` rows of any kind.
+#: Most bytes of patterns that are fitted in the driver; more stay where they are and are summed there at each step.
+PATTERNS = 64 << 20
 
-    Which pieces are features is decided by counts over all rows. The sample is taken by the hash of id and text, so it is the
-    same however the tables are partitioned; repeated rows count once in it. Held-out rows give neither labels nor text.
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", min_confirmed: int = 5, prior: float | None = None, most: int = PATTERNS) -> Model:
+    """Fit on all confirmed toxic rows and on all rows of any kind as unlabelled ones; held-out rows give neither labels nor text.
+
+    Rows are counted by their pattern of features, and the risk is that of all rows. Patterns of up to ``most`` bytes, as counted,
+    are fitted in the driver; more are summed where they lie, step by step, with the same result. Repeated rows count each.
     Without ``prior`` it is the share of toxic rows among the labelled ones. Null ids are skipped, null texts count as empty,
     texts of any length are read whole; extra columns are not read. Without a single toxic row, or with empty tables, the
     model knows nothing and scores every text with the prior.
@@ -207,31 +271,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     confirmed = durable(rows.join(broadcast_if_small(toxic), "id", "left_semi"), "confirmed")
     n_p, n_u = confirmed.count(), rows.count()
     unknowing = Model({}, float(np.log(prior / (1 - prior))), prior)
-    keep = chosen_pieces(rows, confirmed, n_u, n_p, prior, max_pieces, min_confirmed) if n_p else []
+    keep = chosen_pieces(rows, confirmed, n_u, n_p, prior, min_confirmed) if n_p else []
     if not keep:
         return unknowing
 
-    def some(of: DataFrame, most: int, positive: bool) -> DataFrame:
-        h = F.xxhash64("id", "text")
-        key = F.broadcast(of.select("id", h.alias("h")).distinct().orderBy("h", "id").limit(most))  # ``most`` short rows
-        return of.withColumn("h", h).join(key, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select(F.lit(positive).alias("positive"), "text")
-
-    place = {k: i for i, k in enumerate(keep)}
-    sample = piece_rows(some(confirmed, max_positive, True).unionAll(some(rows, max_unlabelled, False)), frozenset(keep)).collect()  # the sample's bound
-    x = {k: np.zeros((sum(r["positive"] == k for r in sample), len(keep)), np.float32) for k in (True, False)}
-    at = {True: 0, False: 0}
-    for r in sample:
-        x[r["positive"]][at[r["positive"]], [place[k] for k in r["pieces"]]] = 1
-        at[r["positive"]] += 1
-    w, b = fit_pu(x[True], x[False], prior)
-    return Model({k: float(w[i]) for k, i in place.items() if w[i] != 0}, b, prior)
+    shown = confirmed.select(F.lit(True).alias("positive"), "text").unionAll(rows.select(F.lit(False).alias("positive"), "text"))
+    patterns = durable(piece_patterns(shown, keep), "patterns")
+    if patterns.agg(F.sum(24 + 4 * F.size("features"))).first()[0] <= most:
+        held = patterns.orderBy("positive", "features").toArrow().combine_chunks()
+        sums = Examples.of(*[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in held.columns]).sums
+    else:
+        sums = spread_sums(patterns, len(keep))
+    w, b = descend(sums, len(keep), prior)
+    return Model({k: float(w[i]) for i, k in enumerate(keep) if w[i] != 0}, b, prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """One row per document: id, held_out, score (0 to 1), predicted (1 from ``threshold`` on). Only the text is an input."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # max_pieces weights at most
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS weights at most
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
