@@ -105,3 +105,18 @@ def test_pieces(spark):
     assert np.allclose(np.concatenate(parts), whole)
     alone = log10s(lm.Hashes().of(lm.tokens_of(DOCS[5][1])))
     assert np.allclose(alone, whole[-len(alone) :])
+
+
+def test_counts_travel_packed(spark):
+    """A row a bucket, however many n-grams; unpacked they are the brute-force counts' levels, also over several flushes."""
+    rows = some_texts(60)
+    got = lm.ngram_counts(docs(spark, rows)).collect()
+    one, two = Counter(), Counter()
+    for _, t, *_ in rows:
+        h = lm.Hashes().of(lm.tokens_of(t or ""))
+        one.update(h.tolist())
+        two.update(lm.bigrams(h).tolist())
+    assert len(two) > 2 * 1024 >= 2 * len(got)
+    assert {int(k): int(c) for r in got for k, c in zip(np.frombuffer(r.one, np.uint64), np.frombuffer(r.c, np.int64))} == one
+    assert {int(k): int(q) for r in got for k, q in zip(lm._unpack(r.two, r.top), r.q)} == {k: c.bit_length() for k, c in two.items()}
+    assert sum(len(r.two) for r in got) == 5 * len(two)

@@ -30,10 +30,12 @@ PROBES = 4
 #: Bits for an entry; with 4 probes about 2.4 % of absent marks are found by chance.
 BITS_PER_ENTRY = 8
 LEVELS = 40
+#: Buckets that a task sends in one batch, and keys in a row of a bucket's counts: values of some 50 kB are no burden to a JVM.
+SENT, STRETCH = 64, 8192
 #: Training text, in bytes, whose n-grams make up one bucket, the unit in which n-grams are dealt out to tasks.
 BUCKET_BYTES = 1 << 20
-#: Segments that a task builds before it hands them on (256 kB each).
-BUILT = 320
+#: Segments that a task builds before it hands them on (256 kB each). A bucket covers a few neighbouring ones.
+BUILT = 48
 #: Weight of the bigram against the unigram.
 LAMBDA = 0.6
 END = b"\n"  # no word holds white space, so this is no word
@@ -41,7 +43,7 @@ END = b"\n"  # no word holds white space, so this is no word
 PIECE = 200_000
 REMEMBERED = 150_000
 #: Tokens that a task holds before it adds them up and hands them on.
-COUNTED = 1_500_000
+COUNTED = 600_000
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -70,23 +72,57 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+#: Last bits of a bigram's key that are zero: 48 bits tell bigrams apart far better than the filter does. Bytes of it that are sent.
+UNUSED = 16
+PACKED = 7 - UNUSED // 8
 END_HASH = np.uint64(xxhash.xxh64_intdigest(END, 1))
 
 
 def bigrams(h: np.ndarray, before_first: np.uint64 = END_HASH) -> np.ndarray:
     """Keys of the pairs (previous token, token). Before a text's first token stands an end, as between texts that follow."""
     before = np.concatenate([[before_first], h[:-1]]).astype(np.uint64)
-    return mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + mix(h))
+    return mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + mix(h)) >> np.uint64(UNUSED) << np.uint64(UNUSED)
 
 
 # ---- counts ---------------------------------------------------------------------------------------------------------
 
 
+def _sums(key: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in rising order, with the sum of its counts (None: how often it stands there)."""
+    if c is None:
+        return np.unique(key, return_counts=True)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(c[order], first) if len(key) else np.zeros(0, np.int64)
+
+
+def _rows(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """One binary value for each stretch between two cuts of ``values``."""
+    values = np.ascontiguousarray(values)
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _pack(key: np.ndarray) -> np.ndarray:
+    """The bytes of bigram keys that are sent: those between the bucket's first byte and the bits that no bigram key has."""
+    return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, UNUSED // 8 : 7]
+
+
+def _unpack(data: bytes, top: int) -> np.ndarray:
+    out = np.zeros((len(data) // PACKED, 8), np.uint8)
+    out[:, UNUSED // 8 : 7] = np.frombuffer(data, np.uint8).reshape(-1, PACKED)
+    out[:, 7] = top
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def ngram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(n, key, c): counts of all unigram and bigram keys of all documents, added up in the task before the one shuffle.
+    """A row for each STRETCH keys of a bucket: its n-grams packed (one: unigram keys, c: their counts; two: bigram keys, q: their levels), and the sums that
+    size a model (tokens, vocabulary, entries).
 
-    They are dealt out by the first bits of the key's hash, so that a partition holds a few whole stretches of the filter.
-    The number of stretches grows with the text.
+    Counts are added up in the task before the one shuffle, which sends a row for each bucket that a task has seen: five bytes
+    a bigram and its count, no row for each n-gram. Buckets go by the first bits of the key, so that one holds a whole stretch
+    of the filter; their number grows with the text, so that one stays small.
     """
     ship(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text_of(text_col)).cast("long")).alias("b")).first()["b"] or 0
@@ -94,44 +130,61 @@ def ngram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        held: dict[int, list[np.ndarray]] = {1: [], 2: []}
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for n, parts in held.items():
-                if parts:
-                    key, c = np.unique(np.concatenate(parts), return_counts=True)
-                    parts.clear()
-                    for at in range(0, len(key), 1 << 18):
-                        k = key[at : at + (1 << 18)]
-                        bucket = (mix(k) >> np.uint64(64 - bits)).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n, np.int32)), pa.array(k.view(np.int64)), pa.array(c[at : at + (1 << 18)]), pa.array(bucket)], ["n", "key", "c", "bucket"])
+            if not held[0]:
+                return
+            found = []
+            for parts in held:
+                found.append(_sums(np.concatenate(parts)))
+                parts.clear()
+            (one, c), (two, d) = found
+            at, bt = one >> np.uint64(64 - bits), two >> np.uint64(64 - bits)
+            bucket = np.union1d(at, bt)
+            i, j = (np.append(np.searchsorted(x, bucket), len(x)) for x in (at, bt))
+            sent = pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), _rows(one, i), _rows(c.astype("<u4"), i), _rows(_pack(two), j), _rows(d.astype("<u4"), j)], ["bucket", "one", "c", "two", "d"])
+            for start in range(0, len(bucket), SENT):
+                yield sent.slice(start, SENT)
 
         for b in batches:
             for text in b.column(0).to_pylist():
                 h = hashes.of(tokens_of(text))
-                held[1].append(h)
-                held[2].append(bigrams(h))
+                held[0].append(h)
+                held[1].append(bigrams(h))
                 size += len(h)
                 if size > COUNTED:
                     yield from out()
                     size = 0
         yield from out()
 
-    return docs.select(text_of(text_col).alias("text")).mapInArrow(run, "n int, key long, c long, bucket int").repartition("bucket").groupBy("bucket", "n", "key").agg(F.sum("c").alias("c")).drop("bucket")
+    def add(group: pa.Table) -> pa.Table:
+        bucket, one, c, two, d = (group.column(i).to_pylist() for i in range(5))
+        top = bucket[0] >> (bits - 8)
+        key, count = _sums(np.frombuffer(b"".join(one), np.uint64), np.frombuffer(b"".join(c), "<u4").astype(np.int64))
+        pair, times = _sums(_unpack(b"".join(two), top), np.frombuffer(b"".join(d), "<u4").astype(np.int64))
+        q, rows = levels_of(times), []
+        for at in range(0, max(len(key), len(pair)), STRETCH):
+            k, n, p, m = (x[at : at + STRETCH] for x in (key, count, pair, q))
+            rows.append((top, k.tobytes(), n.tobytes(), _pack(p).tobytes(), m.tobytes(), int(n.sum()), len(k), int(levels_of(n).sum(dtype=np.int64) + m.sum(dtype=np.int64))))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 3])], ["top", "one", "c", "two", "q", "tokens", "vocabulary", "entries"])
+
+    seen = docs.select(text_of(text_col).alias("text")).mapInArrow(run, "bucket int, one binary, c binary, two binary, d binary")
+    return seen.groupBy("bucket").applyInArrow(add, "top int, one binary, c binary, two binary, q binary, tokens long, vocabulary long, entries long")
 
 
 # ---- the filter -----------------------------------------------------------------------------------------------------
 
 
-def level(c: Column) -> Column:
+def levels_of(c: np.ndarray) -> np.ndarray:
     """1 + floor(log_base(c)): how many marks a count enters."""
-    return F.least(F.floor(F.log2(c.cast("double")) / F.lit(log(BASE, 2)) + 1e-9).cast("int") + 1, F.lit(LEVELS))
+    return np.minimum(np.floor(np.log2(c) / np.log2(BASE) + 1e-9).astype(np.uint8) + 1, LEVELS).astype(np.uint8)
 
 
 def segment_of(key: np.ndarray, segments: int) -> np.ndarray:
-    """By the first 32 bits of the spread key, so that keys of a bucket lie in neighbouring segments."""
-    return ((mix(key) >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+    """By the first 32 bits of the key, which is a hash, so that keys of a bucket lie in neighbouring segments."""
+    return ((key >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
 
 
 def places(key: np.ndarray, mark: int | np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,11 +206,14 @@ class Filter:
     def levels(self, key: np.ndarray) -> np.ndarray:
         """Highest level of each key, whose segment must be held, up to which all marks are found; 0 if none is."""
         found = np.zeros(len(key), np.uint8)
-        open_ = np.arange(len(key))
+        open_, flat = np.arange(len(key)), self.bits.ravel()
         for mark in range(1, LEVELS + 1):
             segment, bit = places(key[open_], mark, self.segments)
-            hit = ((self.bits[(segment - np.uint64(self.first))[:, None], bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-            open_ = open_[hit]
+            start = (segment - np.uint64(self.first)) * np.uint64(SEGMENT_BITS // 8)
+            for probe in range(PROBES):  # those that miss are not asked again
+                b = bit[:, probe]
+                hit = (flat[(start + (b >> np.uint64(3))).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                open_, start, bit = open_[hit], start[hit], bit[hit]
             if not len(open_):
                 break
             found[open_] = mark
@@ -212,10 +268,8 @@ def train(docs: DataFrame, text_col: str = "text", bits_per_entry: int = BITS_PE
     Every n-gram enters the filter, whose segments grow with their number. An empty table gives an empty model.
     """
     counts = durable(ngram_counts(docs, text_col), "ngrams")
-    levels = counts.groupBy("n", level(F.col("c")).alias("q")).agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c")).collect()  # LEVELS * 2 rows
-    tokens = sum(r["c"] for r in levels if r["n"] == 1)
-    vocabulary = sum(r["k"] for r in levels if r["n"] == 1)
-    segments = max(1, ceil(sum(r["k"] * r["q"] for r in levels) * bits_per_entry / SEGMENT_BITS))
+    tokens, vocabulary, entries = (x or 0 for x in counts.agg(F.sum("tokens"), F.sum("vocabulary"), F.sum("entries")).first())
+    segments = max(1, ceil(entries * bits_per_entry / SEGMENT_BITS))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments as far as this task's keys set their bits; a segment that several tasks touch is or-ed together later."""
@@ -227,22 +281,28 @@ def train(docs: DataFrame, text_col: str = "text", bits_per_entry: int = BITS_PE
             open_.clear()
 
         for b in batches:
-            key, q = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            for mark in range(1, int(q.max()) + 1 if len(q) else 1):
-                segment, bit = places(key[q >= mark], mark, segments)
-                order = np.argsort(segment, kind="stable")
-                segment, bit = segment[order], bit[order]
-                cuts = np.flatnonzero(np.diff(segment)) + 1
-                for lo, hi in zip([0, *cuts], [*cuts, len(segment)]):
-                    if hi > lo:
-                        if len(open_) >= BUILT and int(segment[lo]) not in open_:
-                            yield from out()
-                        open_.setdefault(int(segment[lo]), np.zeros(SEGMENT_BITS, np.uint8))[bit[lo:hi].ravel()] = 1
+            for top, one, c, two, many in zip(*(b.column(i).to_pylist() for i in range(5))):
+                key = np.concatenate([np.frombuffer(one, np.uint64), _unpack(two, top)])
+                q = np.concatenate([levels_of(np.frombuffer(c, np.int64)), np.frombuffer(many, np.uint8)])
+                order = np.argsort(key)
+                key, q = key[order], q[order]
+                for mark in range(1, int(q.max()) + 1 if len(q) else 1):
+                    segment, bit = places(key[q >= mark], mark, segments)  # in rising order
+                    cuts = np.flatnonzero(np.diff(segment)) + 1
+                    for lo, hi in zip([0, *cuts], [*cuts, len(segment)]):
+                        if hi > lo:
+                            if len(open_) >= BUILT and int(segment[lo]) not in open_:
+                                yield from out()
+                            open_.setdefault(int(segment[lo]), np.zeros(SEGMENT_BITS, np.uint8))[bit[lo:hi].ravel()] = 1
         yield from out()
 
-    stored = counts.select("key", level(F.col("c")).alias("q"))
-    table = durable(stored.mapInArrow(build, "segment long, bits binary"), "filter")
-    return Model(table, segments, tokens, vocabulary), counts.where("n = 1").select("key", "c")
+    def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, c = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.int64) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], ["key", "c"])
+
+    table = durable(counts.select("top", "one", "c", "two", "q").mapInArrow(build, "segment long, bits binary"), "filter")
+    return Model(table, segments, tokens, vocabulary), counts.select("one", "c").mapInArrow(unigrams, "key long, c long")
 
 
 # ---- scores ---------------------------------------------------------------------------------------------------------
