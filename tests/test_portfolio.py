@@ -223,3 +223,18 @@ def test_account_counts_sessions_without_any_ready_code(spark, tmp_path):
     s = account.status()
     assert (s["sessions"], s["equity"], s["last_date"], s["max_drawdown"], s["idle_days"], s["holdings"]) == (20, 200_000.0, days[20], 0.0, 0, []) and s["benchmark_return"] is not None
     assert account.advance(daily, ix, days[25], codes) == 5 and account.equity().count() == 25
+
+
+def test_fold_holds_two_sessions_and_reads_pieces():
+    """Rows in pieces of any size give what the whole gives, and sessions are asked for one after the other."""
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame([(j, f"c{i}", 10 + rng.random(), 10 + rng.random(), 0.1, bool(rng.random() < 0.3), bool(rng.random() < 0.3), rng.random(), 0.1) for j in range(30) for i in range(8)], columns=["session", "code", *pf.FIELDS])
+    whole = pf.fold(rows, list(range(30)), {}, pf.Config(initial_cash=1e5, max_positions=3))
+    two = pd.concat([rows.assign(run_id="a"), rows.assign(run_id="b")])
+    pieces = [two.iloc[i : i + 7] for i in range(0, len(two), 7)]
+    got = list(pf.fold_runs(iter(pieces), list(range(30)), {}, {k: pf.Config(initial_cash=1e5, max_positions=3) for k in "ab"}))
+    assert [g[0] for g in got] == ["a", "b"] and whole[1] and all(g[1:3] == (whole[0], whole[1]) for g in got)
+    read = []
+    found = pf.sessions_of(read.append(i) or p for i, p in enumerate(pieces))
+    next(found)
+    assert len(read) <= 3

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -45,7 +47,7 @@ FIELDS = ["open", "close", "atr14", "entry", "exit", "score", "limit"]
 
 
 class Session:
-    """The codes of one session; values stay in the columns of all sessions and are read on demand."""
+    """The codes of one session; values stay in columns and are read on demand."""
 
     def __init__(self, columns: dict[str, np.ndarray], places: dict[str, int]) -> None:
         self.columns, self.places = columns, places
@@ -150,16 +152,58 @@ def mark(state: State, now: Session) -> float:
     return total
 
 
+NOTHING = Session({f: np.zeros(0) for f in FIELDS}, {})
+#: The order in which ``fold_runs`` gets its rows; of several rows of a code in a session the last one counts.
+ORDER = ["run_id", "session", "code", "open", "close"]
+
+
+def sessions_of(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, Session]]:
+    """(run, session, its codes) of rows that come in ``ORDER``, piece by piece; one session is held at a time."""
+
+    def session(parts: list[pd.DataFrame]) -> Session:
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        return Session({f: rows[f].to_numpy() for f in FIELDS}, {c: i for i, c in enumerate(rows["code"].to_numpy())})
+
+    at, parts = None, []
+    for frame in frames:
+        for here, part in frame.groupby(["run_id", "session"], sort=False):
+            if parts and here != at:
+                yield at[0], int(at[1]), session(parts)
+                parts = []
+            at = here
+            parts.append(part)
+    if parts:
+        yield at[0], int(at[1]), session(parts)
+
+
+def fold_runs(frames: Iterator[pd.DataFrame], days: list, gates: dict[str, dict], configs: dict[str, Config], state: State | None = None) -> Iterator[tuple[str, list, list, State]]:
+    """(run, equity, trades, state) of the runs whose rows (run_id and those of ``fold``) come in ``ORDER``.
+
+    Two sessions are held at a time, whatever the number of sessions; equity and trades are what a run gives.
+    """
+    for run_id, found in groupby(sessions_of(frames), lambda x: x[0]):
+        yield run_id, *_fold(((j, s) for _, j, s in found), days, gates.get(run_id, {}), configs[run_id], state)
+
+
 def fold(rows: pd.DataFrame, days: list, gate: dict, cfg: Config, state: State | None = None) -> tuple[list, list, State]:
     """Equity rows and trades from the second session on. rows: session (index into days), code, open, close, atr14, entry, exit, score, limit."""
+    ordered = rows.assign(run_id="").sort_values("session", kind="stable")
+    return _fold(((j, s) for _, j, s in sessions_of(iter([ordered]))), days, gate, cfg, state)
+
+
+def _fold(found: Iterator[tuple[int, Session]], days: list, gate: dict, cfg: Config, state: State | None) -> tuple[list, list, State]:
     state = state or State(cfg.initial_cash)
-    columns = {f: rows[f].to_numpy() for f in FIELDS}
-    places: dict[int, dict[str, int]] = {}
-    for i, (at, code) in enumerate(zip(rows["session"].to_numpy(), rows["code"].to_numpy())):
-        places.setdefault(int(at), {})[code] = i
-    equity, trades = [], []
+    ahead = next(found, None)
+
+    def at(j: int) -> Session:
+        nonlocal ahead
+        while ahead is not None and ahead[0] < j:
+            ahead = next(found, None)
+        return ahead[1] if ahead is not None and ahead[0] == j else NOTHING
+
+    equity, trades, now = [], [], at(0)
     for j in range(1, len(days)):
-        prev, now = Session(columns, places.get(j - 1, {})), Session(columns, places.get(j, {}))
+        prev, now = now, at(j)
         trades += sell(state, days[j], prev, now, cfg)
         if gate.get(days[j - 1], True):
             buy(state, days[j], prev, now, cfg)

@@ -1,19 +1,21 @@
 """Portfolio simulation: signals are prepared by Spark for all runs at once, each run's session loop is one grouped fold.
 
 A fold is sequential by nature (cash and positions of one session decide the next), so runs, i.e. combinations of strategy,
-parameters and configuration, are what is parallel. Before the fold, rows are cut to the few columns it reads; one fold
-gives equity, trades and counts.
+parameters and configuration, are what is parallel. Before the fold, rows are cut to the few columns it reads and sorted by
+session; a fold streams them, holds two sessions, and gives equity, trades and counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..deploy import ship
 from ..functions.market import price_limit
-from ..functions.portfolio import Config, fold
+from ..functions.portfolio import ORDER, Config, fold_runs
 from ..shared import durable
 from .bars import sessions, usable_history
 from .rank import blend
@@ -28,7 +30,8 @@ MIN_BARS = 60
 def prepare(strategy: Strategy, daily: DataFrame, days: DataFrame, run_id: str, start, end, facts: DataFrame | None = None, codes: DataFrame | None = None, names: DataFrame | None = None, min_bars: int = MIN_BARS) -> DataFrame:
     """The rows a fold reads: signals in own-bar time over the loaded history, put on the sessions of [start, end].
 
-    Score fields are blended across all codes of a session by ordinal rank.
+    Score fields are blended across all codes of a session by ordinal rank. Of several names of a code the greatest counts, so
+    that rows do not multiply.
     """
     bars = daily if codes is None else daily.join(codes.select("code").distinct(), "code", "left_semi")
     usable = usable_history(bars.where(F.col("date") <= F.lit(end)))
@@ -39,7 +42,7 @@ def prepare(strategy: Strategy, daily: DataFrame, days: DataFrame, run_id: str,
         for f, _ in strategy.score_fields:
             present = present & F.col(f).isNotNull()
         sig = blend(sig, strategy.score_fields, present, "score", ties="ordinal", single=0.5, missing=-9.9)
-    sig = sig.join(names.select("code", "name"), "code", "left") if names is not None else sig.withColumn("name", F.lit(""))
+    sig = sig.join(names.groupBy("code").agg(F.max("name").alias("name")), "code", "left") if names is not None else sig.withColumn("name", F.lit(""))
     limit = price_limit(F.col("code"), F.coalesce("name", F.lit("")))
     return sig.select(F.lit(run_id).alias("run_id"), "session", "code", "open", "close", "atr14", "entry", "exit", "score", limit.alias("limit"))
 
@@ -60,16 +63,15 @@ def run(rows: DataFrame, days: DataFrame, configs: dict[str, Config], gates: dic
     columns = {k: [c.split()[0] for c in schema.split(", ")][1:] for k, schema in kinds.items()}
     tagged = ", ".join(["run_id string", "kind string", *dict.fromkeys(c for schema in kinds.values() for c in schema.split(", ")[1:])])
 
-    def go(g: pd.DataFrame) -> pd.DataFrame:
-        run_id = g["run_id"].iloc[0]
-        equity, trades, state = fold(g, dates, open_days.get(run_id, {}), configs[run_id])
-        b = state.blocked
-        stats = [(b["suspended"], b["limit_up"], b["limit_down"], b["insufficient"], "fewer than two sessions" if len(dates) < 2 else None)]
-        parts = [pd.DataFrame(found, columns=columns[k]).astype(object).assign(run_id=run_id, kind=k) for k, found in (("equity", equity), ("trades", trades), ("stats", stats))]
-        out = pd.concat(parts).reindex(columns=[c.split()[0] for c in tagged.split(", ")])
-        return out.astype(object).where(out.notna(), None)
+    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for run_id, equity, trades, state in fold_runs(frames, dates, open_days, configs):
+            b = state.blocked
+            stats = [(b["suspended"], b["limit_up"], b["limit_down"], b["insufficient"], "fewer than two sessions" if len(dates) < 2 else None)]
+            parts = [pd.DataFrame(found, columns=columns[k]).astype(object).assign(run_id=run_id, kind=k) for k, found in (("equity", equity), ("trades", trades), ("stats", stats))]
+            out = pd.concat(parts).reindex(columns=[c.split()[0] for c in tagged.split(", ")])
+            yield out.astype(object).where(out.notna(), None)
 
-    done = durable(rows.groupBy("run_id").applyInPandas(go, tagged), "fold")
+    done = durable(rows.repartition("run_id").sortWithinPartitions(*ORDER).mapInPandas(go, tagged), "fold")
     of = {k: done.where(F.col("kind") == k).select("run_id", *columns[k]) for k in kinds}
     runs = spark.createDataFrame([(r,) for r in configs], "run_id string")
     stats = runs.join(of["stats"], "run_id", "left")
