@@ -160,3 +160,11 @@ def test_null_keys_are_refused_and_lose_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="meta: null key"):
         store.upsert("meta", spark.createDataFrame([(None, "x")], "key string, value string"))
     assert [(r.code, r.close) for r in store.read("daily").collect()] == [("a", 1.0)]
+
+
+def test_forward_adjust_keeps_a_row_a_bar(spark):
+    """Two bars and two factors of a code and day, as of names that share a code, stay two rows."""
+    b = spark.createDataFrame([("a", dt.date(2020, 1, d), 1.0, 1.0, 1.0, 1.0) for d in (1, 2, 2, 3)], "code string, date date, open double, high double, low double, close double")
+    f = spark.createDataFrame([("a", dt.date(2020, 1, 2), 2.0), ("a", dt.date(2020, 1, 2), 2.0), ("a", dt.date(2020, 1, 3), 4.0)], "code string, date date, adj_factor double")
+    adjusted = ingest.forward_adjust(b, f)
+    assert [r.close for r in adjusted.orderBy("date").collect()] == [0.5, 0.5, 0.5, 1.0]

@@ -71,10 +71,14 @@ def pick_source(candidates: DataFrame, priority: list[str]) -> DataFrame:
 
 
 def forward_adjust(bars: DataFrame, factors: DataFrame) -> DataFrame:
-    """Prices times the day's adjustment factor over the last one; missing factors are carried forward, then backward."""
-    joined = bars.join(factors.select("code", "date", "adj_factor"), ["code", "date"], "left")
+    """Prices times the day's adjustment factor over the last one; missing factors are carried forward, then backward.
+
+    Of several factors of a code and day the greatest counts, so that each bar stays one row. Both ways of carrying are running
+    values, backward along the line turned round: the work grows with the rows of a code, not with their square.
+    """
+    joined = bars.join(factors.groupBy("code", "date").agg(F.max("adj_factor").alias("adj_factor")), ["code", "date"], "left")
     ahead = F.last("adj_factor", ignorenulls=True).over(own().rowsBetween(Window.unboundedPreceding, 0))
-    back = F.first("adj_factor", ignorenulls=True).over(own().rowsBetween(0, Window.unboundedFollowing))
+    back = F.last("adj_factor", ignorenulls=True).over(Window.partitionBy("code").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0))
     step = joined.withColumn("_f", F.coalesce(ahead, back))
     ratio = F.coalesce(F.col("_f") / F.nullif(F.last("_f").over(whole()), F.lit(0.0)), F.lit(1.0))
     out = step.withColumn("_r", ratio)
@@ -114,7 +118,7 @@ def spot(daily: DataFrame) -> DataFrame:
 
 
 def delisted_missing(delisted: DataFrame, daily: DataFrame) -> DataFrame:
-    return delisted.join(daily.select("code"), "code", "left_anti").withColumn("is_st", F.lit(1))
+    return delisted.join(daily.select("code").distinct(), "code", "left_anti").withColumn("is_st", F.lit(1))
 
 
 # Feed symbols of the benchmark indices, their names and codes in the store.
