@@ -103,13 +103,15 @@ def members(instruments: DataFrame, daily: DataFrame, flt: UniverseFilter = Univ
     seen = numbered.select("code", "date", F.avg("amount").over(last).alias("avg_amount"), F.last("close", ignorenulls=True).over(last).alias("last_close"), F.count(F.lit(1)).over(last).alias("bars"))
     names = instruments.where(~F.col("board").isin(*flt.exclude_boards, *flt.blacklist))
     names = names if flt.include_st else names.where("is_st = 0")
-    good = seen.join(names.select("code", "listed_date", "delisted_date"), "code").where(
-        (F.col("delisted_date").isNull() | (F.col("delisted_date") > F.col("date"))) & (F.datediff("date", "listed_date") >= flt.min_listed_days)
-        & (F.col("avg_amount") >= flt.min_amount) & F.col("last_close").between(flt.min_price, flt.max_price) & (F.col("bars") >= flt.min_bars)
-    )
-    if top is not None:
-        good = good.withColumn("_r", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("avg_amount"), "code"))).where(F.col("_r") <= top)
-    return good.select("date", "code")
+    liquid = seen.where((F.col("avg_amount") >= flt.min_amount) & F.col("last_close").between(flt.min_price, flt.max_price) & (F.col("bars") >= flt.min_bars)).select("date", "code", "avg_amount")
+    terms = names.select(F.col("code").alias("_code"), "listed_date", "delisted_date").distinct()
+    may = (F.col("code") == F.col("_code")) & (F.col("delisted_date").isNull() | (F.col("delisted_date") > F.col("date"))) & (F.datediff("date", "listed_date") >= flt.min_listed_days)
+    if top is None:
+        return liquid.join(terms, may, "left_semi").select("date", "code")
+    # Names that share a code multiply rows, so the most liquid rows are taken before they meet, and once more after.
+    first = lambda df: df.withColumn("_r", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("avg_amount"), "code"))).where(F.col("_r") <= top).drop("_r")
+    each = first(liquid.join(terms, may, "left_semi")).join(names.select(F.col("code").alias("_code"), "listed_date", "delisted_date"), may)
+    return first(each.select("date", "code", "avg_amount")).select("date", "code")
 
 
 def own() -> Window:

@@ -8,13 +8,14 @@ session: what was written after the last state is ignored and made again. Advanc
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from ..functions.portfolio import Config, Position, State, dump, fold, load
+from ..functions.portfolio import ORDER, Config, Position, State, dump, fold, fold_runs, load
 from ..operators.backtest import calendar, prepare
 from ..operators.strategies import get_strategy
 
@@ -74,27 +75,30 @@ class ForwardAccount:
         open_days = {} if gate is None else {r["date"]: r["regime"] for r in gate.collect()}
         rows = prepare(strategy, daily, days, self.account, dates[0], as_of, facts, codes, names, min_bars=MIN_BARS)
         if members is not None:
-            allowed = members.join(F.broadcast(days), "date").select("session", "code", F.lit(True).alias("_member"))
+            allowed = members.join(F.broadcast(days), "date").select("session", "code").distinct().withColumn("_member", F.lit(True))
             rows = rows.join(allowed, ["session", "code"], "left").withColumn("entry", F.col("entry") & F.coalesce("_member", F.lit(False))).drop("_member")
         ship(self.spark)
         state_text, account, config, since, seq = now["state"], self.account, c, now["since"], now["seq"] + 1
         last = dates[-1]
         bench = index.where(F.col("date").isin(dates)).select("date", "close").collect()  # a row a session
 
-        def go(g: pd.DataFrame) -> pd.DataFrame:
-            equity, trades, state = fold(g, dates, open_days, cfg, load(state_text))
+        def result(equity: list, trades: list, state: State) -> pd.DataFrame:
             close = {r["date"]: r["close"] for r in bench}
             out = [(account, "equity", d, json.dumps({"equity": round(e, 2), "cash": round(cash, 2), "positions": n, "benchmark": close.get(d), "idle": not open_days.get(before, True)})) for before, (d, e, cash, n) in zip(dates, equity)]
             out += [(account, "trade", t[2], json.dumps({"code": t[0], "opened": str(t[1]), "shares": t[3], "open_price": t[4], "close_price": t[5], "pnl": t[6], "pnl_pct": t[7], "hold_days": t[8], "reason": t[9]})) for t in trades]
             out.append((account, "state", last, json.dumps({"config": config, "state": dump(state), "since": since})))
             return pd.DataFrame(out, columns=["account", "kind", "date", "payload"])
 
+        def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for _, *found in fold_runs(frames, dates, {account: open_days}, {account: cfg}, load(state_text)):
+                yield result(*found)
+
         if rows.isEmpty():  # no code has enough bars: the sessions count all the same
-            done = self.spark.createDataFrame(go(rows.limit(0).toPandas()).values.tolist(), ADVANCED)
-        else:
-            done = rows.groupBy("run_id").applyInPandas(go, ADVANCED)
+            done = self.spark.createDataFrame(result(*fold(rows.limit(0).toPandas(), dates, open_days, cfg, load(state_text))).values.tolist(), ADVANCED).coalesce(1)
+        else:  # one task folds and writes one file: all of it or nothing
+            done = rows.repartition(1).sortWithinPartitions(*ORDER).mapInPandas(go, ADVANCED)
         done = done.select(F.lit(seq).cast("long").alias("seq"), "*")
-        done.coalesce(1).write.mode("append").parquet(f"{self.root}/log")  # one file: all of it or nothing
+        done.write.mode("append").parquet(f"{self.root}/log")
         return len(dates) - 1
 
     def _rows(self, kind: str) -> DataFrame:
