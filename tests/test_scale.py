@@ -152,3 +152,11 @@ def test_benchmark_returns_come_from_before_the_cut(spark):
     assert got.keys() == {("IDX000300", D(2020, 1, 3)), ("IDX399006", D(2020, 1, 3)), ("IDX000852", D(2020, 1, 3))}
     assert got["IDX000300", D(2020, 1, 3)] == pytest.approx(10) and got["IDX399006", D(2020, 1, 3)] is None
     assert len(ingest.BENCHMARKS) == 4 and all(re.fullmatch(r"IDX\d{6}", code) for _, code in ingest.BENCHMARKS.values())
+
+
+def test_bars_take_one_shuffle(spark):
+    """Line items go to their code once; bars and the returns along a code need no second shuffle."""
+    from tidemark.sources import market
+
+    plan = market.derive_bars(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

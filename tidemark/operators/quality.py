@@ -108,7 +108,7 @@ def find_gaps(instruments: DataFrame, daily: DataFrame, lag_days: int = 3) -> Da
 
 
 def without_bars(instruments: DataFrame, daily: DataFrame) -> DataFrame:
-    return instruments.join(daily.select("code"), "code", "left_anti")
+    return instruments.join(daily.select("code").distinct(), "code", "left_anti")
 
 
 def search(instruments: DataFrame, daily: DataFrame, query: str = "", limit: int = 50) -> DataFrame:
