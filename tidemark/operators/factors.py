@@ -15,7 +15,7 @@ from ..deploy import ship
 from ..functions.market import ratio
 from ..shared import durable
 from .asof import point_in_time
-from .bars import UniverseFilter, dense_grid, forward_return, load_daily, tradable, universe, usable_history
+from .bars import UniverseFilter, dense_grid, forward_return, load_daily, own, tradable, universe, usable_history
 from .indicators import YEAR, before, full, sma, with_rsi_over_holes
 from .rank import average_rank, rank_ic
 
@@ -168,32 +168,77 @@ def turnover(values: DataFrame, quantiles: int = 5) -> DataFrame:
 HORIZONS = (1, 5, 10, 20, 60)
 
 
-def ranked_days(values: DataFrame, horizons: tuple[int, ...], main: int, quantiles: int, least: int) -> DataFrame:
+def average_ranks(x: pa.ChunkedArray) -> np.ndarray:
+    """``rank.average_rank`` of one cross section inside a task: ranks from 1 among known values, NaN where there is none.
+
+    As in SQL, a value that is NaN ranks last and ties with its like.
+    """
+    at = np.flatnonzero(x.is_valid().to_numpy())
+    v = x.to_numpy()[at]
+    order = np.argsort(v)
+    v = v[order]
+    first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1])))) if len(v) else at
+    size = np.diff(np.append(first, len(v)))
+    out = np.full(len(x), np.nan)
+    out[at[order]] = np.repeat(first + (size + 1) / 2, size)
+    return out
+
+
+def centred(ranks: np.ndarray) -> np.ndarray:
+    """Ranks less their mean, zero where there is none."""
+    return np.nan_to_num(ranks - (np.count_nonzero(~np.isnan(ranks)) + 1) / 2)
+
+
+#: Factors whose marks share one long.
+MARKS = 62
+
+
+def ranked_days(panel: DataFrame, names: list[str], horizons: tuple[int, ...], main: int, quantiles: int, least: int) -> DataFrame:
     """One row per (factor, date): n, ic_h of each horizon, mean returns l_0.. of the layers, excess, top and stayed.
 
-    Everything that needs a cross section comes from one partitioning by factor and date: ranks of the factor and of all
-    returns, the layer of each row, then sums. Only ``stayed`` needs the session before, which the code's own order gives first.
+    Tradable rows go to their date once, with all factors side by side: a task ranks each return and each factor of a date once and
+    adds up what the day gives. Back come a row a factor and, for ``stayed``, the place in its code's line of each row that stands in
+    a top bucket, with one mark a factor.
     """
-    by = ("factor", "date")
-    day = Window.partitionBy(*by)
-    step = values.select(*by, "code", "mask", F.when(F.col("mask"), F.col("f")).alias("y"), *[F.when(F.col("mask"), F.col(f"r_{h}")).alias(f"r_{h}") for h in horizons])
-    step = step.withColumns({"a": average_rank(F.col("y"), *by)} | {f"a_{h}": average_rank(F.col(f"r_{h}"), *by) for h in horizons})
-    step = step.withColumns({"k": F.count("y").over(day)} | {f"k_{h}": F.count(f"r_{h}").over(day) for h in horizons})
-    q = F.col("a") / F.col("k")
-    bucket = F.least(F.greatest(F.ceil(q * quantiles - 1e-12), F.lit(1)), F.lit(quantiles)) - 1
-    step = step.withColumns({"layer": F.when(q.isNotNull(), bucket), "top": F.coalesce(q > 1 - 1 / quantiles, F.lit(False))})
-    step = step.withColumn("stayed", F.col("top") & F.coalesce(F.lag("top").over(Window.partitionBy("factor", "code").orderBy("date")), F.lit(False)))
-    own = F.col("a") - (F.col("k") + 1) / 2
-    sums = [F.count("y").alias("n"), F.sum(own * own).alias("ff"), F.count_if("top").alias("top"), F.count_if("stayed").alias("stayed")]
-    for h in horizons:
-        other = F.col(f"a_{h}") - (F.col(f"k_{h}") + 1) / 2
-        sums += [F.sum(own * other).alias(f"fr_{h}"), F.sum(other * other).alias(f"rr_{h}")]
-    r = F.col(f"r_{main}")
-    sums += [F.avg(F.when(F.col("layer") == i, r)).alias(f"l_{i}") for i in range(quantiles)]
-    sums.append((F.avg(F.when(F.col("top"), r)) - F.avg(r)).alias("excess"))
-    days = step.groupBy(*by).agg(*sums)
-    ic = lambda h: F.when(F.col("n") >= least, F.col(f"fr_{h}") / F.nullif(F.sqrt(F.col("ff") * F.col(f"rr_{h}")), F.lit(0.0)))
-    return days.select(*by, "n", "top", "stayed", "excess", *[f"l_{i}" for i in range(quantiles)], *[ic(h).alias(f"ic_{h}") for h in horizons])
+    ship(panel.sparkSession)
+    longs = [f"top_{j}" for j in range(-(-len(names) // MARKS))]
+    measures = ["excess", *[f"l_{i}" for i in range(quantiles)], *[f"ic_{h}" for h in horizons]]
+    wide = panel.select("code", "date", F.row_number().over(own()).alias("at"), tradable().alias("mask"), *[forward_return(h).alias(f"r_{h}") for h in horizons], *[(REGISTRY[n].build() * REGISTRY[n].direction).alias(f"f_{k}") for k, n in enumerate(names)])
+    schema = pa.schema([("date", pa.date32()), ("factor", pa.string()), ("n", pa.int64()), ("top", pa.int64()), *[(m, pa.float64()) for m in measures], ("code", pa.string()), ("at", pa.int32()), *[(c, pa.int64()) for c in longs]])
+
+    def run(t: pa.Table) -> pa.Table:
+        back = {h: centred(average_ranks(t[f"r_{h}"])) for h in horizons}
+        under = {h: x @ x for h, x in back.items()}
+        known, r = t[f"r_{main}"].is_valid().to_numpy(), t[f"r_{main}"].to_numpy()
+        mean = lambda rows: r[rows].mean() if rows.any() else None
+        marks, days = np.zeros((len(longs), len(r)), np.int64), []
+        for k, name in enumerate(names):
+            ranks = average_ranks(t[f"f_{k}"])
+            n = np.count_nonzero(~np.isnan(ranks))
+            q = ranks / max(n, 1)
+            layer = np.clip(np.ceil(q * quantiles - 1e-12), 1, quantiles) - 1
+            top = q > 1 - 1 / quantiles
+            marks[k // MARKS] |= top.astype(np.int64) << k % MARKS
+            best, x = mean(top & known), centred(ranks)
+            spans = {h: np.sqrt((x @ x) * under[h]) for h in horizons}
+            day = {"factor": name, "n": n, "top": np.count_nonzero(top), "excess": None if best is None else best - mean(known)}
+            day |= {f"l_{i}": mean((layer == i) & known) for i in range(quantiles)}
+            day |= {f"ic_{h}": (x @ back[h]) / s if n >= least and s else None for h, s in spans.items()}
+            days.append(day | {"date": t["date"][0].as_py()})
+        held = np.flatnonzero(marks.any(axis=0))
+        lines = t.select(["date", "code", "at"]).take(held)
+        for c, m in zip(longs, marks):
+            lines = lines.append_column(c, pa.array(m[held]))
+        return pa.concat_tables([pa.Table.from_pylist(days, schema), lines], promote_options="default").select(schema.names).cast(schema)
+
+    kinds = {pa.date32(): "date", pa.string(): "string", pa.int64(): "long", pa.int32(): "int", pa.float64(): "double"}
+    both = durable(wide.where("mask").drop("mask").groupBy("date").applyInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)), "ranked")
+    line = Window.partitionBy("code").orderBy("at")
+    again = [F.when(F.lag("at").over(line) == F.col("at") - 1, F.col(c).bitwiseAND(F.lag(c).over(line))).alias(c) for c in longs]
+    bit = lambda k: F.coalesce(F.sum(F.shiftrightunsigned(longs[k // MARKS], k % MARKS).bitwiseAND(F.lit(1))), F.lit(0))
+    stayed = both.where("factor IS NULL").select("date", *again).groupBy("date").agg(F.array(*[F.struct(F.lit(n).alias("factor"), bit(k).alias("stayed")) for k, n in enumerate(names)]).alias("s"))
+    stayed = stayed.select("date", F.explode("s").alias("s")).select("s.factor", "date", "s.stayed")
+    return both.where("factor IS NOT NULL").join(stayed, ["factor", "date"], "left").select("factor", "date", "n", "top", F.coalesce("stayed", F.lit(0)).alias("stayed"), *measures)
 
 
 def evaluate_all(panel: DataFrame, names: list[str] | None = None, main: int = 20, quantiles: int = 5, horizons: tuple[int, ...] = HORIZONS, least: int = 30, least_days: int = 30) -> DataFrame:
@@ -202,7 +247,7 @@ def evaluate_all(panel: DataFrame, names: list[str] | None = None, main: int = 2
     """
     names = names or list(REGISTRY)
     horizons = tuple(sorted({*horizons, main}))
-    days = durable(ranked_days(long_values(panel, names, horizons), horizons, main, quantiles, least), "days")  # a row a factor and date, read twice
+    days = durable(ranked_days(panel, names, horizons, main, quantiles, least), "days")  # a row a factor and date, read twice
     ic = F.col(f"ic_{main}")
     layer = [F.avg(f"l_{i}").alias(f"l_{i}") for i in range(quantiles)]
     decay = [F.when(F.count(f"ic_{h}") >= least_days, F.avg(f"ic_{h}")).alias(f"ic_{h}") for h in horizons]
