@@ -294,24 +294,29 @@ def gram(vectors: DataFrame, width: int) -> DataFrame:
     return triangles.select("date", F.posexplode("t").alias("pos", "s")).groupBy("date", "pos").agg(F.sum("s").alias("s"))
 
 
-def correlation(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
+def correlation(panel: DataFrame, names: list[str] | None = None, joined: bool = False) -> DataFrame:
     """(a, b, corr): mean over days of the rank correlation of each pair of factors (None: all), a before b in the list or equal.
 
-    Values are stacked, so one order by (factor, date, value) ranks every factor; the centred ranks of a row then stand together
-    again, and one packed triangle of sums a date gives all pairs.
+    Tradable rows go to their date once, with all factors side by side; the task ranks each factor and hands on one packed triangle
+    of sums of products. Rows that share code and date stand for themselves. ``joined`` adds up products of each of them with
+    each, as a join by code and date does.
     """
     names = names or list(REGISTRY)
     ship(panel.sparkSession)
-    wide = panel.select("code", "date", tradable().alias("mask"), *[(REGISTRY[n].build() * REGISTRY[n].direction).alias(n) for n in names])
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("i"), F.col(n).alias("f")) for k, n in enumerate(names)]))
-    values = wide.where("mask").select("code", "date", pairs.alias("p")).select("code", "date", "p.i", "p.f").where("f IS NOT NULL")
-    centre = (F.count("f").over(Window.partitionBy("i", "date")) + 1) / 2
-    ranks = values.select("code", "date", "i", (average_rank(F.col("f"), "i", "date") - centre).alias("v"))
-    vectors = ranks.groupBy("date", "code").agg(F.collect_list(F.struct("i", "v")).alias("z"))  # one entry a factor
-    k = len(names)
-    at = {(a, b): p for p, (a, b) in enumerate((a, b) for a in range(k) for b in range(a, k))}
-    day = gram(vectors, k).groupBy("date").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("g"))
-    asked = F.array(*[F.struct(F.lit(names[a]).alias("a"), F.lit(names[b]).alias("b"), F.lit(p).alias("p"), F.lit(at[a, a]).alias("x"), F.lit(at[b, b]).alias("y")) for (a, b), p in at.items()])
-    each = day.select("g", F.explode(asked).alias("q"))
-    corr = F.col("g")[F.col("q.p")] / F.nullif(F.sqrt(F.col("g")[F.col("q.x")] * F.col("g")[F.col("q.y")]), F.lit(0.0))
+    wide = panel.select("code", "date", tradable().alias("mask"), *[(REGISTRY[n].build() * REGISTRY[n].direction).alias(f"f_{k}") for k, n in enumerate(names)])
+    i, j = np.triu_indices(len(names))
+
+    def run(t: pa.Table) -> pa.Table:
+        z = np.stack([centred(average_ranks(t[f"f_{k}"])) for k in range(len(names))], axis=1)
+        norms = (z * z).sum(axis=0)
+        if joined:
+            of = t["code"].combine_chunks().dictionary_encode().indices.to_numpy()
+            order = np.argsort(of)
+            z = np.add.reduceat(z[order], np.flatnonzero(np.append(True, np.diff(of[order]) != 0)), axis=0)
+        return pa.table({"g": pa.array([(z.T @ z)[i, j]], pa.list_(pa.float64())), "own": pa.array([norms], pa.list_(pa.float64()))})
+
+    day = wide.where("mask").drop("mask").groupBy("date").applyInArrow(run, "g array<double>, own array<double>")
+    asked = F.array(*[F.struct(F.lit(names[a]).alias("a"), F.lit(names[b]).alias("b"), F.lit(p).alias("p"), F.lit(int(a)).alias("x"), F.lit(int(b)).alias("y")) for p, (a, b) in enumerate(zip(i, j))])
+    each = day.select("g", "own", F.explode(asked).alias("q"))
+    corr = F.col("g")[F.col("q.p")] / F.nullif(F.sqrt(F.col("own")[F.col("q.x")] * F.col("own")[F.col("q.y")]), F.lit(0.0))
     return each.select("q.a", "q.b", corr.alias("corr")).groupBy("a", "b").agg(F.avg("corr").alias("corr"))
