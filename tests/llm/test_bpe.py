@@ -78,3 +78,15 @@ def test_unknown_settings_are_refused(change):
     spec[change[0]] = change[1]
     with pytest.raises(ValueError):
         bpe.Tokenizer(json.dumps(spec))
+
+
+def test_a_full_memory_keeps_what_is_asked_again(monkeypatch):
+    """op1: words that come often are encoded once, however many others come between."""
+    from tidemark.llm import bpe
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    made = []
+    memo = bpe._Memo(lambda w: made.append(w) or (w, w))
+    for i in range(500):
+        assert memo[f"rare{i}"] == (f"rare{i}",) * 2 and memo["often"] == ("often", "often")
+    assert made.count("often") == 1 and len(made) == 501 and len(memo) + len(memo.before) <= 20

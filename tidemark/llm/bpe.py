@@ -28,7 +28,7 @@ from .common import ship, text_of
 END, NEVER = "\0", 1 << 62
 #: Texts are worked through in pieces of about this many characters, cut at white space.
 PIECE = 1 << 20
-#: Words whose ids a worker remembers at most; beyond that it starts anew.
+#: Words whose ids a worker remembers at most, and as many of the time before.
 REMEMBERED = 150_000
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -92,8 +92,7 @@ class Tokenizer:
                 key = text.removesuffix(suffix) + END if last else text
                 self.suffixes.add_word(key, (i, len(key) - last))
         self.suffixes.make_automaton()
-        self.ids_of = _Memo(lambda w: " ".join(map(str, self.word_ids(w))))
-        self.text_of = _Memo(lambda ids: " ".join(self.name[int(i)] for i in ids.split(" ")))
+        self.pair_of = _Memo(self._pair)
 
     def _fits(self, left: int, right: int, joined: bool = False) -> bool:
         """joined: that left and right themselves merge is no objection."""
@@ -138,31 +137,36 @@ class Tokenizer:
             at -= size
         return ids[::-1]
 
+    def _pair(self, word: str) -> tuple[str, str]:
+        """A word's ids as text ("320 1125") and what they decode to."""
+        ids = self.word_ids(word)
+        return " ".join(map(str, ids)), " ".join(map(self.name.__getitem__, ids))
+
     def words(self, text: str) -> list[str]:
         if text.isascii():
             return ASCII_WORDS.findall(text.lower())
         return WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
-    def chunks(self, text: str) -> Iterator[list[str]]:
-        """Lists of id texts ("320 1125"), one text a word."""
+    def chunks(self, text: str) -> Iterator[list[tuple[str, str]]]:
+        """Lists of id texts and what they decode to, one pair a word."""
         at = 0
         for m in self.cut.finditer(text):
             yield from self._plain(text[at : m.start()])
-            yield [str(self.added[m[0]])]
+            yield [(str(self.added[m[0]]), self.name[self.added[m[0]]])]
             at = m.end()
         yield from self._plain(text[at:])
 
-    def _plain(self, text: str) -> Iterator[list[str]]:
+    def _plain(self, text: str) -> Iterator[list[tuple[str, str]]]:
         at = 0
         while at < len(text):
             end = at + PIECE
             while end < len(text) and text[end] not in " \n\t":
                 end += 1
-            yield list(map(self.ids_of.__getitem__, self.words(text[at:end])))
+            yield list(map(self.pair_of.__getitem__, self.words(text[at:end])))
             at = end
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for chunk in self.chunks(text) for ids in chunk for i in ids.split(" ")]
+        return [int(i) for chunk in self.chunks(text) for ids, _ in chunk for i in ids.split(" ")]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' texts joined by a space, special tokens included: the file has no decoder."""
@@ -170,14 +174,17 @@ class Tokenizer:
 
 
 class _Memo(dict):
+    """When full it starts anew, but what is asked again comes over from the memory before, so frequent words are made once."""
+
     def __init__(self, make) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.before = make, {}
 
-    def __missing__(self, key: str) -> str:
+    def __missing__(self, key: str) -> tuple[str, str]:
         if len(self) >= REMEMBERED:
+            self.before = dict(self)
             self.clear()
-        made = self[key] = self.make(key)
+        made = self[key] = self.before.get(key) or self.make(key)
         return made
 
 
@@ -199,8 +206,8 @@ def row(t: Tokenizer, text: str, want: tuple[str, ...]) -> list:
     ids_sha, text_sha, ids, decoded = hashlib.sha256(), hashlib.sha256(), [], []
     for chunk in t.chunks(text):
         if chunk:
-            line = " ".join(chunk)
-            plain = " ".join(map(t.text_of.__getitem__, chunk))  # decoded from the ids, word by word
+            of_words, texts = zip(*chunk)
+            line, plain = " ".join(of_words), " ".join(texts)  # decoded from the ids, word by word
             n += line.count(" ") + 1
             ids_sha.update(sep + line.encode())
             text_sha.update(sep + plain.encode())
