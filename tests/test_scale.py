@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, factors, quality, rank, reconcile
-from tidemark.sources import ingest
+from tidemark.plans import catalog
+from tidemark.sources import ingest, market
 
 D = dt.date
 
@@ -218,3 +219,24 @@ def test_correlation_of_rows_that_share_a_code(spark, joined):
         for a, b in (("roe", "roe"), ("roe", "gross_margin"), ("gross_margin", "gross_margin")):
             want.setdefault((a, b), []).append((s[a] * s[b]).sum() / np.sqrt((z[a] ** 2).sum() * (z[b] ** 2).sum()))
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(np.mean(v)) for k, v in want.items())
+
+
+# ---- names that share a code ----
+
+
+def test_sources_of_names_that_share_a_code_do_not_multiply(spark, tmp_path):
+    """Suppliers 800 and 8000 to 8001 stand for two names of code 600100; each bar counts once, as in the SQL."""
+    rows = [(s, dt.datetime(2000, 1, 3 + 7 * w), 10 * s + w, 1, 5, 1000.0 * (w + 1) + s, 3.0) for s in (800, 8000, 8001, 2) for w in range(2)]
+    names = "l_suppkey long, l_shipdate timestamp, l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.code: r for r in catalog.QUERIES["source_compatibility"](spark, str(tmp_path)).collect()}
+    assert {c: r.sessions for c, r in got.items()} == {"600100": 4, "000000": 2}
+    bars = market.bars(spark, str(tmp_path)).where("code = '600100'").collect()
+    ratios = [b.close / round(b.close, 1) for b in bars]
+    assert len(bars) == 4 and got["600100"].ratio_range == pytest.approx(max(ratios) - min(ratios), abs=1e-6)
+
+
+def test_compatibility_of_two_tables_pairs_each_bar_once_where_a_key_tells_names_apart(spark):
+    a = spark.createDataFrame([("x", n, D(2020, 1, 1 + d), 10.0 * n + d) for n in (1, 2, 3) for d in (0, 1)], "code string, n long, date date, close double")
+    b = a.withColumn("close", F.col("close") * 2)
+    assert quality.source_compatibility(a, b, ("code", "n", "date")).first()["sessions"] == 6

@@ -137,11 +137,16 @@ def unit_ratio(daily: DataFrame, days: int = 60) -> DataFrame:
     return recent.agg(F.avg(F.col("amount") / F.nullif(F.col("volume") * F.col("close"), F.lit(0.0))).alias("ratio"), F.count(F.lit(1)).alias("bars"))
 
 
-def source_compatibility(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per code: range of the ratio of two sources' closes and the largest difference of their returns."""
+def source_compatibility(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ("code", "date")) -> DataFrame:
+    """``close_compatibility`` of two tables. ``on`` tells bars apart in each: where names share a code, add what does, or each meets all."""
+    both = a.select(*on, F.col("close").alias("a")).join(b.select(*on, F.col("close").alias("b")), list(on))
+    return close_compatibility(both)
+
+
+def close_compatibility(both: DataFrame) -> DataFrame:
+    """Per code: range of the ratio of two sources' closes (a, b), which stand side by side, and the largest difference of their returns."""
     w = Window.partitionBy("code").orderBy("date")
-    both = a.select("code", "date", F.col("close").alias("a")).join(b.select("code", "date", F.col("close").alias("b")), ["code", "date"])
-    step = both.withColumns({"ratio": F.col("a") / F.nullif("b", F.lit(0.0)), "d": F.abs(F.col("a") / F.lag("a").over(w) - F.col("b") / F.lag("b").over(w))})
+    step = both.select("code", "date", "a", "b").withColumns({"ratio": F.col("a") / F.nullif("b", F.lit(0.0)), "d": F.abs(F.col("a") / F.lag("a").over(w) - F.col("b") / F.lag("b").over(w))})
     return step.groupBy("code").agg((F.max("ratio") - F.min("ratio")).alias("ratio_range"), F.max("d").alias("return_diff"), F.count(F.lit(1)).alias("sessions"))
 
 
