@@ -5,6 +5,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
+from tidemark import shared
 from tidemark.llm import lm
 
 from .samples import DOCS, docs
@@ -120,3 +121,40 @@ def test_counts_travel_packed(spark):
     assert {int(k): int(c) for r in got for k, c in zip(np.frombuffer(r.one, np.uint64), np.frombuffer(r.c, np.int64))} == one
     assert {int(k): int(q) for r in got for k, q in zip(lm._unpack(r.two, r.top), r.q)} == {k: c.bit_length() for k, c in two.items()}
     assert sum(len(r.two) for r in got) == 5 * len(two)
+
+
+def test_probes_of_a_large_filter_travel_packed(spark, monkeypatch):
+    """What is written for pieces and shelves takes less than 10 bytes a token; it was 8 a token and 8 for each n-gram of a piece."""
+    rows = [(i, " ".join(f"w{int(x)}" for x in np.random.default_rng(i).zipf(1.3, 4000) % 30000), "s", "l") for i in range(40)]
+    model, unigrams = lm.train(docs(spark, rows))
+    made = {}
+
+    def kept(df, label):
+        made[label] = shared.durable(df, label)
+        return made[label]
+
+    monkeypatch.setattr(lm, "durable", kept)
+    got = lm.score(docs(spark, rows), model, unigrams, max_filter_mb=0.04)
+    assert got.count() == 40 and sum(r.n_tokens for r in got.collect()) == 40 * 4001
+    pieces = made["scored"].where("piece IS NOT NULL")
+    sent = sum(len(v) for r in pieces.collect() for v in (r["data"], r["words"]) if v is not None)
+    assert sent < 10 * 40 * 4001
+    key = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64))
+    assert (lm.unsteps(lm.steps(key)) == key).all() and len(lm.unsteps(lm.steps(key[:0]))) == 0
+
+
+def test_shuffles_go_when_their_table_is_written(spark, tmp_path):
+    """Spark's setting is on for the write alone."""
+    name, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+
+    class Writer:
+        sparkSession = spark
+
+        @property
+        def write(self):
+            seen.append(spark.conf.get(name))
+            return spark.range(3).repartition(2).write
+
+    before = spark.conf.get(name, None)
+    shared.written(Writer(), f"{tmp_path}/t")
+    assert seen == ["true"] and spark.conf.get(name, None) == before and spark.read.parquet(f"{tmp_path}/t").count() == 3

@@ -39,8 +39,9 @@ BUILT = 48
 #: Weight of the bigram against the unigram.
 LAMBDA = 0.6
 END = b"\n"  # no word holds white space, so this is no word
-#: Tokens looked up at once.
-PIECE = 200_000
+#: Tokens looked up at once in a broadcast filter, and tokens whose n-grams are sent to a larger one as one piece: the longer it is,
+#: the fewer of them are new.
+PIECE, SENT_PIECE = 200_000, 1_000_000
 REMEMBERED = 150_000
 #: Tokens that a task holds before it adds them up and hands them on.
 COUNTED = 600_000
@@ -84,6 +85,27 @@ def bigrams(h: np.ndarray, before_first: np.uint64 = END_HASH) -> np.ndarray:
     return mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + mix(h)) >> np.uint64(UNUSED) << np.uint64(UNUSED)
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Whole numbers without sign as their number and their bytes, all first ones, then all second ones and so on, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(data[8:], n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
+def steps(key: np.ndarray) -> bytes:
+    """Keys in rising order as the steps between them: some four bytes a bigram of a piece. Bits that no bigram key has are zero and cost nothing."""
+    return squeeze(np.diff(key, prepend=np.uint64(0)))
+
+
+def unsteps(data: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(data, np.uint64), dtype=np.uint64)
+
+
 # ---- counts ---------------------------------------------------------------------------------------------------------
 
 
@@ -336,18 +358,19 @@ def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-#: Bytes of filter that a task loads to answer probes, and of probes that it gets, when the filter is no broadcast.
-SHELF, PROBED = 64 << 20, 64 << 20
+#: Bytes of filter that a task loads to answer probes, and of probes (some four bytes each) that it gets, when the filter is no
+#: broadcast. A shelf is sent once for every PROBED bytes of its probes, so what is sent of the filter is a fourth of the probes.
+SHELF, PROBED = 16 << 20, 64 << 20
 
 
-def score(docs: DataFrame, model: Model, unigrams: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_words: int = 2_000_000, max_filter_mb: float = 256, stretch: int = PIECE) -> DataFrame:
+def score(docs: DataFrame, model: Model, unigrams: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_words: int = 2_000_000, max_filter_mb: float = 256, stretch: int | None = None) -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score is exact, so it needs exact counts: those of the ``head_words`` most frequent words are broadcast (16 bytes a
     word, at most that many); the words of a document that are not among them are joined with the tail's counts. So hot words
     never meet in a join, and the tail may have any size. A filter of up to ``max_filter_mb`` is broadcast; of a larger one,
     tasks load a shelf each (``probe``). ``stretch`` tokens are
-    looked up at once. Null texts count as empty: one token, the end. Rows are independent; repeated rows
+    looked up at once (None: PIECE, or SENT_PIECE). Null texts count as empty: one token, the end. Rows are independent; repeated rows
     give equal results; columns other than id and text are not read.
     """
     spark = docs.sparkSession
@@ -363,14 +386,40 @@ def score(docs: DataFrame, model: Model, unigrams: DataFrame, id_col: str = "doc
     whole = float(tokens + vocabulary + 1)
     small = segments * (SEGMENT_BITS // 8) <= max_filter_mb * 1e6
     shared = spark.sparkContext.broadcast(model.load()) if small else None
+    stretch = stretch or (PIECE if small else SENT_PIECE)
     per_shelf = max(1, min(SHELF, int(max_filter_mb * 1e6)) // (SEGMENT_BITS // 8))
-    schema = f"id {kind}, row long, n_tokens long, score double, n_known long, log_c double, rest array<long>, piece long, shelf long, data binary, rows array<long>, sizes array<long>"
+    schema = f"id {kind}, row long, n_tokens long, score double, n_known long, log_c double, rest array<long>, piece long, shelf long, data binary, words binary, rows array<long>, sizes array<long>"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, task, row, piece = Hashes(), TaskContext.get().partitionId() << 33, 0, 0
+        waiting: tuple[list[np.ndarray], ...] = ([], [], [])  # tokens, rows and sizes of documents that no piece holds yet
+
+        def pieces() -> Iterator[pa.RecordBatch]:
+            nonlocal piece
+            if not waiting[0]:
+                return
+            h, of, sizes = map(np.concatenate, waiting)
+            for part in waiting:
+                part.clear()
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            for at in range(0, len(h), stretch):
+                part = h[at : at + stretch]
+                held = np.flatnonzero((starts < at + len(part)) & (ends > at))  # the documents of these tokens
+                lengths = np.minimum(ends[held], at + len(part)) - np.maximum(starts[held], at)
+                q = Question.of(part, h[at - 1] if at else END_HASH)
+                one, two = q.keys[: q.unigrams], q.keys[q.unigrams :]  # each in rising order, as are their shelves
+                in_one, in_two = (segment_of(x, segments) // np.uint64(per_shelf) for x in (one, two))
+                some = np.union1d(in_one, in_two)
+                words = [steps(one)] + [steps(x) for x in np.split(one, np.searchsorted(in_one, some[1:]))]
+                data = [squeeze(q.token.astype(np.uint32))] + [steps(x) for x in np.split(two, np.searchsorted(in_two, some[1:]))]
+                none = [[]] * len(some)
+                yield out(len(data), piece=pa.array(np.full(len(data), task + piece)), shelf=pa.array(np.append(-1, some.astype(np.int64))), data=pa.array(data, pa.binary()), words=pa.array(words, pa.binary()), rows=pa.array([of[held].tolist(), *none], pa.list_(pa.int64())), sizes=pa.array([lengths.tolist(), *none], pa.list_(pa.int64())))
+                piece += 1
+
         for b in batches:
-            types = [b.schema.field(0).type, *[pa.int64()] * 2, pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), *[pa.int64()] * 2, pa.binary(), *[pa.list_(pa.int64())] * 2]
+            types = [b.schema.field(0).type, *[pa.int64()] * 2, pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), *[pa.int64()] * 2, *[pa.binary()] * 2, *[pa.list_(pa.int64())] * 2]
 
             def out(n: int, **cols: pa.Array) -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(n, t)) for c, t in zip(names, types)], names)
@@ -386,23 +435,20 @@ def score(docs: DataFrame, model: Model, unigrams: DataFrame, id_col: str = "doc
                 for at in range(0, len(h), stretch):
                     part, before = h[at : at + stretch], h[at - 1] if at else END_HASH
                     c[at : at + stretch] = _lookup(head.value, part)
-                    q = Question.of(part, before)
                     if shared is not None:
+                        q = Question.of(part, before)
                         p[at : at + stretch] = q.log10(shared.value.levels(q.keys), tokens, vocabulary)
-                        continue
-                    held = np.flatnonzero((starts < at + len(part)) & (ends > at))  # the documents of these tokens
-                    lengths = np.minimum(ends[held], at + len(part)) - np.maximum(starts[held], at)
-                    shelf = (segment_of(q.keys, segments) // np.uint64(per_shelf)).astype(np.int64)
-                    some = np.unique(shelf)
-                    ids = pa.array(np.full(len(some) + 1, task + piece))
-                    data = [np.append(before, part).tobytes()] + [q.keys[shelf == k].tobytes() for k in some]
-                    yield out(len(data), piece=ids, shelf=pa.array(np.append(-1, some)), data=pa.array(data, pa.binary()), rows=pa.array([(task + row + held).tolist()] + [[]] * len(some), pa.list_(pa.int64())), sizes=pa.array([lengths.tolist()] + [[]] * len(some), pa.list_(pa.int64())))
-                    piece += 1
+                if shared is None:
+                    if sum(map(len, waiting[0])) + len(h) > stretch:
+                        yield from pieces()
+                    for part, x in zip(waiting, (h, task + row + np.arange(hi - lo), sizes)):
+                        part.append(x)
                 cols = {"id": b.column(0).slice(lo, hi - lo), "row": pa.array(task + row + np.arange(hi - lo)), "n_tokens": pa.array(sizes), "score": pa.array(np.add.reduceat(p, starts)), "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), "log_c": pa.array(np.add.reduceat(np.log10(c + 1.0), starts))}
                 if has_tail:
                     cols["rest"] = _lists(np.repeat(np.arange(len(sizes)), sizes)[c == 0], h[c == 0], len(sizes))
                 yield out(hi - lo, **cols)
                 row += hi - lo
+        yield from pieces()
 
     done = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
     if has_tail or not small:
@@ -414,7 +460,7 @@ def score(docs: DataFrame, model: Model, unigrams: DataFrame, id_col: str = "doc
             sums = words.join(tail, "key").groupBy("row").agg(F.sum("tf").alias("k"), F.sum(F.col("tf") * F.log10(F.col("c") + F.lit(1.0))).alias("l"))
             done = done.join(sums, "row", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("k", F.lit(0)), "log_c": F.col("log_c") + F.coalesce("l", F.lit(0.0))})
         if not small:
-            done = done.drop("score").join(probe(written.where("piece IS NOT NULL").select("piece", "shelf", "data", "rows", "sizes"), model, per_shelf), "row")
+            done = done.drop("score").join(probe(written.where("piece IS NOT NULL").select("piece", "shelf", "data", "words", "rows", "sizes"), model, per_shelf), "row")
     base = F.col("log_c") - F.col("n_tokens") * F.lit(log(whole) / log(10))
     return done.select(F.col("id").alias(id_col), "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
@@ -422,23 +468,24 @@ def score(docs: DataFrame, model: Model, unigrams: DataFrame, id_col: str = "doc
 def probe(pieces: DataFrame, model: Model, per_shelf: int) -> DataFrame:
     """(row, score) from a filter of any size, by sending the probes to its shelves.
 
-    ``pieces`` has for each piece of text its tokens (shelf -1: data, with the documents' rows and sizes) and, for each shelf,
-    the keys to look up. A shelf is sent to as many tasks as its probes need; a task loads it and streams its probes past it.
-    The levels go back to the piece, which then has its probabilities.
+    ``pieces`` has for each piece of text its tokens (shelf -1: words, the keys of its unigrams, and data, the place of each token
+    among them, with the documents' rows and sizes) and, for each shelf, the keys to look up in rising order (words: unigrams,
+    data: bigrams). A shelf is sent to as many tasks as its probes need; a task loads it and streams its probes past it. The levels
+    are written, so that no shuffle holds the probes any longer, and go back to the piece, which then has its probabilities.
     """
     segments, tokens, vocabulary = model.segments, model.tokens, model.vocabulary
     shelves = -(-segments // per_shelf)
-    asked = pieces.where("shelf >= 0").select("piece", "shelf", "data")
-    size = asked.agg(F.sum(F.octet_length("data").cast("long")).alias("b")).first()["b"] or 0
+    asked = pieces.where("shelf >= 0").select("piece", "shelf", "data", "words")
+    size = asked.agg(F.sum((F.octet_length("data") + F.octet_length("words")).cast("long")).alias("b")).first()["b"] or 0
     salts = max(1, -(-size // (shelves * PROBED)))
     of = F.floor(F.col("segment") / per_shelf).cast("long")
-    bits = model.table.select(of.alias("shelf"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(None).cast("long").alias("piece"), "segment", F.col("bits").alias("data"))
-    keys = asked.select("shelf", F.pmod(F.xxhash64("piece"), F.lit(salts)).alias("salt"), "piece", F.lit(None).cast("long").alias("segment"), "data")
+    bits = model.table.select(of.alias("shelf"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(None).cast("long").alias("piece"), "segment", F.col("bits").alias("data"), F.lit(None).cast("binary").alias("words"))
+    keys = asked.select("shelf", F.pmod(F.xxhash64("piece"), F.lit(salts)).alias("salt"), "piece", F.lit(None).cast("long").alias("segment"), "data", "words")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, filter_ = None, None
         for b in batches:
-            shelf, salt, piece, segment, data = (b.column(i).to_pylist() for i in range(5))
+            shelf, salt, piece, segment, data, words = (b.column(i).to_pylist() for i in range(6))
             found = []
             for i in range(b.num_rows):
                 if here != (shelf[i], salt[i]):
@@ -446,36 +493,37 @@ def probe(pieces: DataFrame, model: Model, per_shelf: int) -> DataFrame:
                 if piece[i] is None:
                     filter_.bits[segment[i] - filter_.first] |= np.frombuffer(data[i], np.uint8)
                 else:
-                    found.append((piece[i], shelf[i], filter_.levels(np.frombuffer(data[i], np.uint64)).tobytes()))
-            p, k, d = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(k, pa.int64()), pa.array(d, pa.binary())], ["piece", "shelf", "data"])
+                    found.append((piece[i], shelf[i], *(squeeze(filter_.levels(unsteps(x))) for x in (data[i], words[i]))))
+            columns = zip(*found) if found else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 2 + [pa.binary()] * 2)], ["piece", "shelf", "data", "words"])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held = None, None
 
         def result() -> pa.RecordBatch:
-            q, rows, sizes, levels, _ = held
-            p = q.log10(levels, tokens, vocabulary)
+            q, rows, sizes, one, two = held
+            p = q.log10(np.concatenate(one + two), tokens, vocabulary)  # shelves, and keys in them, came in rising order
             starts = np.cumsum(sizes) - sizes
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.add.reduceat(p, starts))], ["row", "part"])
 
         for b in batches:
-            for piece, shelf, data, rows, sizes in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for piece, _, data, words, rows, sizes in zip(*(b.column(i).to_pylist() for i in range(6))):
                 if piece != here:
                     if held is not None:
                         yield result()
-                    h = np.frombuffer(data, np.uint64)  # shelf -1 comes first
+                    h = unsteps(words)[unsqueeze(data, np.uint32)]  # shelf -1 comes first
                     q = Question.of(h[1:], h[0])
-                    here, held = piece, (q, rows, np.array(sizes), np.zeros(len(q.keys), np.uint8), segment_of(q.keys, segments) // np.uint64(per_shelf))
+                    here, held = piece, (q, rows, np.array(sizes), [], [])
                 else:
-                    held[3][held[4] == shelf] = np.frombuffer(data, np.uint8)
+                    held[3].append(unsqueeze(words, np.uint8))
+                    held[4].append(unsqueeze(data, np.uint8))
         if held is not None:
             yield result()
 
     none = F.lit(None).cast("array<long>")
     # Nulls sort first: a shelf's segments stand before its probes.
-    sent = bits.unionAll(keys).repartition("shelf", "salt").sortWithinPartitions("shelf", "salt", "piece").mapInArrow(answer, "piece long, shelf long, data binary")
-    back = pieces.where("shelf < 0").select("piece", "shelf", "data", "rows", "sizes").unionAll(sent.select("piece", "shelf", "data", none.alias("rows"), none.alias("sizes")))
+    sent = durable(bits.unionAll(keys).repartition("shelf", "salt").sortWithinPartitions("shelf", "salt", "piece").mapInArrow(answer, "piece long, shelf long, data binary, words binary"), "levels")
+    back = pieces.where("shelf < 0").select("piece", "shelf", "data", "words", "rows", "sizes").unionAll(sent.select("piece", "shelf", "data", "words", none.alias("rows"), none.alias("sizes")))
     parts = back.repartition("piece").sortWithinPartitions("piece", "shelf").mapInArrow(combine, "row long, part double")
     return parts.groupBy("row").agg(F.sum("part").alias("score"))
 

@@ -36,11 +36,25 @@ def shared_folder(spark: SparkSession) -> str:
 _made: set[str] = set()
 
 
+def written(df: DataFrame, path: str) -> None:
+    """Write ``df``; its shuffle files go as soon as it is written, since from then on the written table is read."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(name)
+        else:
+            conf.set(name, before)
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    written(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,6 +70,6 @@ def kept(spark: SparkSession, name: str, make) -> DataFrame:
     if key not in _kept:
         df = make()
         path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        written(df, path)
         _kept[key] = path
     return spark.read.parquet(_kept[key])
